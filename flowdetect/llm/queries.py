@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowdetect.llm import quality
+from flowdetect.llm import ngram_join, quality
 from flowdetect.llm.common import table
 
 
@@ -14,8 +14,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(measured, quality.references(measured)).drop("lang")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return ngram_join.near_duplicates(docs, k=4, percent=85)
+
+
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules}
+    return {f.__name__: f for f in (op1_quality_rules, op7_ngram_join)}
 
 
 def oracle_sql() -> dict:
