@@ -44,7 +44,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 def text_key(text: Column) -> list[Column]:
     """Two columns (96 bits) that stand for a text."""
-    return [F.xxhash64(text).alias("k1"), F.crc32(text.cast("binary")).cast("int").alias("k2")]
+    return [F.xxhash64(text).alias("k1"), (F.crc32(text.cast("binary")) - (1 << 31)).cast("int").alias("k2")]
 
 
 def powers(n: int, sign: int = 1) -> np.ndarray:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowdetect.llm import ngram_join, quality
-from flowdetect.llm.common import table
+from flowdetect.llm import ngram_join, quality, suffix_dedup
+from flowdetect.llm.common import table, text_key
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +20,19 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(docs, k=4, percent=85)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select("doc_id", *text_key(text), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("own"))
+    cut = suffix_dedup.repeated_bytes(docs, 200).select("k1", "k2", "n_removed", "n_spans", F.sha2("kept", 256).alias("cut"))
+    zero = F.lit(0).cast("long")
+    return own.join(cut, ["k1", "k2"], "left").select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut", "own").alias("kept_sha256")
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op7_ngram_join)}
+    return {f.__name__: f for f in (op1_quality_rules, op6_suffix_dedup, op7_ngram_join)}
 
 
 def oracle_sql() -> dict:
