@@ -45,3 +45,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char
 
 
 OP1 = _op1()
+
+
+OP3 = r"""
+WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+  md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+p AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+q AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS weight, 2 * source_size AS cap FROM p),
+r AS (SELECT *, sum(source_size) OVER () * 150 - 100 * coalesce(sum(cap) OVER b, 0) AS lft, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS opn
+  FROM q WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT *, weight * lft > 100 * cap * opn AS ful FROM r),
+t AS (SELECT source, source_size, CASE WHEN ful THEN cap::DOUBLE ELSE (weight * (SELECT arg_min(lft, cap / weight) FROM s WHERE NOT ful))::DOUBLE / (100.0::DOUBLE * (SELECT arg_min(opn, cap / weight) FROM s WHERE NOT ful)) END AS target FROM s),
+u AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS whole,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (size * least(whole + (before + size / 2.0 <= target - whole * source_size)::INT, 2))::BIGINT AS taken FROM u"""

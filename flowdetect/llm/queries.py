@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowdetect.llm import ngram_join, quality, suffix_dedup
+from flowdetect.llm import mixing, ngram_join, quality, suffix_dedup
 from flowdetect.llm.common import table, text_key
 
 
@@ -20,6 +20,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(docs, k=4, percent=85)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    sized = table(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("n")), "op3")
+    return mixing.mix(sized, size=F.col("n")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     text = F.coalesce("text", F.lit(""))
@@ -32,10 +38,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op6_suffix_dedup, op7_ngram_join)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_mixing, op6_suffix_dedup, op7_ngram_join)}
 
 
 def oracle_sql() -> dict:
     from flowdetect.llm import oracles
 
-    return {"op1_quality_rules": oracles.OP1}
+    return {"op1_quality_rules": oracles.OP1, "op3_mixing": oracles.OP3}
