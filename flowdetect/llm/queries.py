@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowdetect.llm import mixing, ngram_join, quality, suffix_dedup
+from flowdetect.llm import mixing, ngram_join, pieces, quality, suffix_dedup
 from flowdetect.llm.common import table, text_key
 
 
@@ -20,6 +20,14 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(docs, k=4, percent=85)
 
 
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return pieces.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model", digest=True)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     sized = table(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("n")), "op3")
@@ -38,7 +46,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_mixing, op6_suffix_dedup, op7_ngram_join)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_mixing, op6_suffix_dedup, op7_ngram_join)}
 
 
 def oracle_sql() -> dict:
