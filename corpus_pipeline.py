@@ -1,13 +1,62 @@
-"""Cleaning pipeline over the documents table."""
+"""Cleaning pipeline over the documents table: quality rules, near duplicates,
+repeated passages, source mix, tokens. Every stage works on all rows that its
+predecessor kept, and its rows are written to the shared folder and read back.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowdetect.llm import mixing, ngram_join, pieces, quality, suffix_dedup
+from flowdetect.llm.common import table
+
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base limits and the divergence rules accept."""
+    return quality.quality_rules(docs).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, similarity 0.8) the
+    document with the least id."""
+    groups = ngram_join.near_duplicates(docs, k=5, percent=80)
+    gone = table(groups.where("doc_id <> component_id").select("doc_id"), "near")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes that 200-byte strings repeat."""
+    return suffix_dedup.without_repeats(docs, 200).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.repeat(mixing.mix(docs)).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their pieces and the text read back from these."""
+    return pieces.encode(docs, VOCABULARY)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("mixing sources", source_mix),
+    ("SentencePiece", tokens),
+]
+
+# Near duplicates, repeated passages and pieces are beyond SQL; the tests hold
+# the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = table(stage(spark, docs, sf_dir), name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)
