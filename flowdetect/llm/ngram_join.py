@@ -14,9 +14,12 @@ the pigeonhole no partner is lost, and every candidate is verified exactly on
 its texts.
 
 Equal sets form one class, which is joined once. Within the sets that share a
-signature only a star is verified first; then the pairs whose ends are still
-in different components, so a group of r near copies costs about r checks and
-not r * r. Set classes stand under 64-bit hashes of their shingles.
+signature only a star is verified first, around the set that shares most
+signatures with others; then the pairs whose ends are still in different
+components, so a group of r near copies costs about r checks and not r * r.
+Pairs are dropped before their texts are read where the parities of their
+shingle counts in 1,024 buckets differ in more than H places, which no similar
+pair does. Set classes stand under 64-bit hashes of their shingles.
 
 Edge cases: null and empty texts have no shingles and link with nothing; a
 text of fewer than ``k`` words is one shingle; repeated rows are one class; a
@@ -40,6 +43,7 @@ from flowdetect.llm.components import components
 
 _SALT = [U64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _RNG = U64(0xD6E8FEB86659FD93)
+PARITIES = 1024
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, k: int):
@@ -168,12 +172,16 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, keep_text: bool):
     for batch in batches:
         for at, buf, offs in chunks(batch.column(batch.num_columns - 1)):
             rows = len(offs) - 1
-            n, c = classes(*shingles(buf, offs, k), rows)
+            row, x = shingles(buf, offs, k)
+            n, c = classes(row, x, rows)
             cols = [batch.column(0).slice(at, rows), pa.array(n, pa.int64()), pa.array(as_long(c), pa.int64(), mask=n == 0)]
             if keep_text:
                 raw = buf.tobytes()
                 cols[0] = pa.array([squeeze.compress(raw[offs[i] : offs[i + 1]]) for i in range(rows)], pa.binary())
-            yield pa.RecordBatch.from_arrays(cols, ["id" if not keep_text else "z", "n", "c"])
+                odd = (np.bincount(row * PARITIES + (mix(x + _SALT[1]) % U64(PARITIES)).astype(np.int64), minlength=rows * PARITIES) & 1).astype(np.uint8)
+                odd = np.packbits(odd.reshape(rows, PARITIES), axis=1)
+                cols.append(pa.array([o.tobytes() for o in odd], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, ["z", "n", "c", "odd"] if keep_text else ["id", "n", "c"])
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int, percent: int):
@@ -201,7 +209,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
 
 def _shared(batches: Iterator[pa.RecordBatch]):
     """Of one partition: the entries of signatures that an indexed and a
-    looking-up set share, with the group's first set as centre."""
+    looking-up set share, with the number of sets that do."""
     cols = _gather(batches)
     if cols is None:
         return
@@ -217,8 +225,7 @@ def _shared(batches: Iterator[pa.RecordBatch]):
     size = np.diff(np.append(first, len(sig)))
     some = np.bitwise_or.reduceat(role, first)
     keep = np.repeat((size > 1) & (some == 3), size)
-    centre = np.repeat(c[first], size)
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, c, n * 4 + role, centre)], ["sig", "c", "meta", "centre"])
+    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, c, n * 4 + role, np.repeat(size, size))], ["sig", "c", "meta", "size"])
 
 
 def _across(batches: Iterator[pa.RecordBatch], percent: int):
@@ -227,9 +234,10 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int):
     cols = _gather(batches)
     if cols is None:
         return
-    sig, c, meta, root = cols
+    sig, c, meta, root = cols[:4]
     order = np.lexsort((root, sig))
     sig, c, meta, root = sig[order], c[order], meta[order], root[order]
+    odd = np.frombuffer(b"".join(cols[4][order]), np.uint64).reshape(len(sig), -1)
     n, role = meta >> 2, meta & 3
     first = np.append(np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])), len(sig))
     seen: set[tuple[int, int]] = set()
@@ -240,7 +248,9 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int):
             j = np.arange(i + 1, hi)
             ok = (root[j] != root[i]) & (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j]))
             ok &= ((role[i] & 1) & (role[j] >> 1) | (role[i] >> 1) & (role[j] & 1)).astype(bool)
-            seen.update((min(c[i], x), max(c[i], x)) for x in c[j[ok]].tolist())
+            j = j[ok]
+            j = j[np.bitwise_count(odd[j] ^ odd[i]).sum(1) <= (100 - percent) * (n[i] + n[j]) // (100 + percent)]
+            seen.update((min(c[i], x), max(c[i], x)) for x in c[j].tolist())
         if len(seen) > 200_000:
             yield _pairs(seen)
             seen = set()
@@ -282,32 +292,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     entries = (
         text.mapInArrow(partial(_signed, k=k, percent=percent), "sig long, c long, meta long")
         .repartition("sig")
-        .mapInArrow(_shared, "sig long, c long, meta long, centre long")
+        .mapInArrow(_shared, "sig long, c long, meta long, size long")
     )
     entries = table(entries, "entries")
-    nodes = entries.select("c").distinct()
-    texts = text.mapInArrow(partial(_sets, k=k, keep_text=True), "z binary, n long, c long").select("c", "z")
-    texts = table(texts.join(nodes, "c", "left_semi").groupBy("c").agg(F.first("z").alias("z")), "texts")
+    nodes = entries.groupBy("c").agg(F.sum("size").alias("degree")).checkpoint()
+    texts = text.mapInArrow(partial(_sets, k=k, keep_text=True), "z binary, n long, c long, odd binary").drop("n")
+    texts = texts.join(nodes, "c", "left_semi").groupBy("c").agg(F.first(F.struct("z", "odd")).alias("t"))
+    texts = table(texts.select("c", "t.*"), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("c").alias("a"), F.col("z").alias("za")), "a")
         both = both.join(texts.select(F.col("c").alias("b"), F.col("z").alias("zb")), "b").select("a", "b", "za", "zb")
         return both.mapInArrow(partial(_verified, k=k, percent=percent), "a long, b long")
 
-    star = entries.where("c <> centre").groupBy("c", "centre").count()
-    star = star.groupBy("c").agg(F.max_by("centre", F.struct("count", "centre")).alias("b")).select(F.col("c").alias("a"), "b")
-    links = verify(star).checkpoint()
+    def star(of: DataFrame) -> DataFrame:
+        """Each set against the hub of one of its signatures: the one that
+        most of its signatures have as the hub."""
+        hubs = of.join(nodes, "c").groupBy("sig").agg(F.max_by(F.struct("c", "root"), F.struct("degree", "c")).alias("h"))
+        pairs = of.join(hubs, "sig").where("root <> h.root").groupBy("c", F.col("h.c").alias("b")).count()
+        return pairs.groupBy("c").agg(F.max_by("b", F.struct("count", "b")).alias("b")).select(F.col("c").alias("a"), "b")
+
+    links = verify(star(entries.withColumn("root", F.col("c")))).checkpoint()
     for last in [False] * (rounds - 1) + [True]:
-        roots = components(links)
-        rooted = entries.join(roots.withColumnRenamed("node", "c"), "c", "left").select("sig", "c", "meta", F.coalesce("root", "c").alias("root"))
+        rooted = entries.join(components(links).withColumnRenamed("node", "c"), "c", "left").select("sig", "c", "meta", F.coalesce("root", "c").alias("root"))
+        open_ = rooted.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("sig")
+        rooted = rooted.join(open_, "sig", "left_semi").checkpoint()
         if last:
-            pairs = rooted.repartition("sig").mapInArrow(partial(_across, percent=percent), "a long, b long").distinct()
+            pairs = rooted.join(texts.select("c", "odd"), "c").select("sig", "c", "meta", "root", "odd").repartition("sig")
+            pairs = pairs.mapInArrow(partial(_across, percent=percent), "a long, b long").distinct()
         else:
-            # the first set of each component of a signature against the first of the signature
-            head = rooted.groupBy("sig", "root").agg(F.min(F.struct("c", "root")).alias("h"))
-            head = head.groupBy("sig").agg(F.min("root").alias("r0"), F.min_by("h.c", "root").alias("a"), F.count("*").alias("parts")).where("parts > 1")
-            pairs = rooted.join(head, "sig").where("root <> r0").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b"))
-            pairs = pairs.groupBy("a", "b").count().groupBy("b").agg(F.max_by("a", "count").alias("a")).select("a", "b")
+            pairs = star(rooted)
         links = links.union(verify(pairs)).checkpoint()
     roots = components(links).withColumnRenamed("node", "c")
     found = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(

@@ -132,6 +132,10 @@ def judge(measured: DataFrame, refs: DataFrame, max_char: float = 0.25, max_word
 
 
 def quality_rules(docs: DataFrame, **limits) -> DataFrame:
-    """``docs`` with counts, distances and verdict; reads ``docs`` twice."""
+    """``docs`` with counts, distances and verdict; reads ``docs`` twice.
+
+    The rows pass through a generator: a filter on the verdict stays above it.
+    Pushed below, it would hold every step above as one nested expression."""
     measured = stats(docs)
-    return judge(measured, references(measured), **limits)
+    judged = judge(measured, references(measured), **limits)
+    return judged.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in judged.columns)))))

@@ -303,10 +303,10 @@ def without_repeats(docs: DataFrame, length: int = 200, text_col: str = "text")
     that loses some of its bytes goes as a whole."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     found = repeated_bytes(docs, length, text_col).where("n_removed > 0")
-    clean = F.expr("try_validate_utf8(cast(kept AS string))")
-    # stray bytes at the cut edges are dropped
-    edge = F.decode(F.encode(F.regexp_replace(F.decode("kept", F.lit("UTF-8")), "�", ""), "UTF-8"), "UTF-8")
+    valid = F.try_validate_utf8(F.col("kept").cast("string"))
+    # stray bytes at the cut edges become U+FFFD and go
+    edges = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
     keys = text_key(text)
     both = docs.withColumns({"_k1": keys[0], "_k2": keys[1]}).join(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "kept"), ["_k1", "_k2"], "left")
-    cut = F.when(F.col("kept").isNull(), F.col(f"`{text_col}`")).otherwise(F.coalesce(clean, edge))
+    cut = F.when(F.col("kept").isNull(), F.col(f"`{text_col}`")).otherwise(F.coalesce(valid, edges))
     return both.withColumn(text_col, cut).select(*(F.col(f"`{c}`") for c in docs.columns))
