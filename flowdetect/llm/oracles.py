@@ -60,3 +60,13 @@ u AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floo
   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * least(whole + (before + size / 2.0 <= target - whole * source_size)::INT, 2))::BIGINT AS taken FROM u"""
+
+
+OP4 = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+x(h, q, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+m AS (SELECT page_id, arg_max(h || q, len(h) * 1000 + len(q)) AS rule, arg_max(verdict, len(h) * 1000 + len(q)) AS verdict
+  FROM p JOIN x ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id)
+SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)"""

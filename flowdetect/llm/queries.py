@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowdetect.llm import mixing, ngram_join, pieces, quality, suffix_dedup
+from flowdetect.llm import licenses, mixing, ngram_join, pieces, quality, suffix_dedup, url_filter
 from flowdetect.llm.common import table, text_key
 
 
@@ -34,6 +34,19 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, size=F.col("n")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.url_filter(pages, RULES).drop("url")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return licenses.scan(docs)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     text = F.coalesce("text", F.lit(""))
@@ -46,10 +59,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_mixing, op6_suffix_dedup, op7_ngram_join)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_mixing, op4_url_filter, op5_license_scan, op6_suffix_dedup, op7_ngram_join)}
 
 
 def oracle_sql() -> dict:
     from flowdetect.llm import oracles
 
-    return {"op1_quality_rules": oracles.OP1, "op3_mixing": oracles.OP3}
+    return {"op1_quality_rules": oracles.OP1, "op3_mixing": oracles.OP3, "op4_url_filter": oracles.OP4}
