@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from flowdetect.llm import imatch
 from flowdetect.llm import quality as q
 
 _SPLIT = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -70,3 +71,29 @@ x(h, q, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allo
 m AS (SELECT page_id, arg_max(h || q, len(h) * 1000 + len(q)) AS rule, arg_max(verdict, len(h) * 1000 + len(q)) AS verdict
   FROM p JOIN x ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id)
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)"""
+
+
+def _op8() -> str:
+    members, first = [], 0
+    for k, (rate, n) in enumerate(imatch.SCALES):
+        members.append(f"CASE WHEN (h // {1000 ** k}) % {rate} < {n} THEN {first} + (h // {1000 ** k}) % {rate} END")
+        first += n
+    n = imatch.SUBSETS
+    near = "CASE WHEN count(*) FILTER ({a} <> '' OR {b} <> '') = 0 THEN max(CASE WHEN {same} THEN 1e0 ELSE 0e0 END) ELSE count(*) FILTER ({a} <> '' AND {a} = {b}) / (count(*) FILTER ({a} <> '' OR {b} <> ''))::DOUBLE END"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+o AS (SELECT *, len(t) AS n, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nt, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS nid FROM d WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, substr(t, 1, n - n // 2) || substr(nt, 1, n // 2) AS ed FROM o),
+w AS (SELECT doc_id, 0 AS tag, unnest(list_distinct(list_filter(regexp_split_to_array(lower(t), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS term FROM e
+  UNION ALL SELECT doc_id, 1, unnest(list_distinct(list_filter(regexp_split_to_array(lower(ed), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) FROM e),
+x AS (SELECT term, ('0x' || substr(md5(term), 1, 15))::BIGINT AS h FROM w WHERE tag = 0 GROUP BY term HAVING count(*) >= greatest(2, 0.001 * (SELECT count(*) FROM d)) AND count(*) <= 0.1 * (SELECT count(*) FROM d)),
+m AS (SELECT doc_id, tag, h, unnest([{', '.join(members)}]) AS s FROM w JOIN x USING (term)),
+g AS (SELECT doc_id, tag, s, substr(md5(bit_xor(h) || ':' || count(*)), 1, 8) AS f FROM m WHERE s IS NOT NULL GROUP BY ALL),
+a AS (SELECT e.doc_id, i.s, coalesce(g0.f, '') AS own, coalesce(g1.f, '') AS edf, coalesce(g2.f, '') AS nxt, t = ed AS same_ed, t = nt AS same_nt FROM e CROSS JOIN range(0, {n}) i(s)
+  LEFT JOIN g g0 ON g0.doc_id = e.doc_id AND g0.s = i.s AND g0.tag = 0 LEFT JOIN g g1 ON g1.doc_id = e.doc_id AND g1.s = i.s AND g1.tag = 1 LEFT JOIN g g2 ON g2.doc_id = e.nid AND g2.s = i.s AND g2.tag = 0),
+f AS (SELECT doc_id, string_agg(CASE own WHEN '' THEN '-' ELSE own END, '' ORDER BY s) AS fingerprint, string_agg(CASE edf WHEN '' THEN '-' ELSE edf END, '' ORDER BY s) AS edited_fingerprint,
+  {near.format(a='own', b='edf', same='same_ed')} AS near_edited, {near.format(a='own', b='nxt', same='same_nt')} AS near_next FROM a GROUP BY doc_id)
+SELECT e.doc_id, n::BIGINT AS n_chars, sha256(ed) AS edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next FROM e JOIN f USING (doc_id)"""
+
+
+OP8 = _op8()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowdetect.llm import licenses, mixing, ngram_join, pieces, quality, suffix_dedup, url_filter
+from flowdetect.llm import imatch, licenses, mixing, ngram_join, pieces, quality, suffix_dedup, url_filter
 from flowdetect.llm.common import table, text_key
 
 
@@ -58,11 +58,15 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_mixing, op4_url_filter, op5_license_scan, op6_suffix_dedup, op7_ngram_join)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_mixing, op4_url_filter, op5_license_scan, op6_suffix_dedup, op7_ngram_join, op8_imatch)}
 
 
 def oracle_sql() -> dict:
     from flowdetect.llm import oracles
 
-    return {"op1_quality_rules": oracles.OP1, "op3_mixing": oracles.OP3, "op4_url_filter": oracles.OP4}
+    return {"op1_quality_rules": oracles.OP1, "op3_mixing": oracles.OP3, "op4_url_filter": oracles.OP4, "op8_imatch": oracles.OP8}
