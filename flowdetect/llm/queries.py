@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowdetect.llm import imatch, licenses, mixing, ngram_join, pieces, quality, suffix_dedup, url_filter
+from flowdetect.llm import imatch, licenses, mixing, ngram_join, pieces, quality, suffix_dedup, token_files, url_filter
 from flowdetect.llm.common import table, text_key
 
 
@@ -62,8 +62,13 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return token_files.read_documents(token_files.write_tokens(docs, f"{TOKENIZERS}/word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_mixing, op4_url_filter, op5_license_scan, op6_suffix_dedup, op7_ngram_join, op8_imatch)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_mixing, op4_url_filter, op5_license_scan, op6_suffix_dedup, op7_ngram_join, op8_imatch, op9_token_files)}
 
 
 def oracle_sql() -> dict:
