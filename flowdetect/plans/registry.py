@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from flowdetect.plans import q_data, q_detect, q_report
+
+MODULES = (q_detect, q_report, q_data)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.Q.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.O.items()}
