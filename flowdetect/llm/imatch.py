@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowdetect.llm.common import table
+
 # (rate, subsets): each subset holds 1 / rate of the lexicon
 SCALES = ((1, 1), (4, 4), (16, 8), (64, 8), (256, 8))
 SUBSETS = sum(n for _, n in SCALES)
@@ -85,21 +87,24 @@ def fingerprints(docs: DataFrame, least: float = 0.001, most: float = 0.1, min_d
     docs = docs.select("doc_id", "text")
     words = F.broadcast(lexicon(docs.select(F.coalesce("text", F.lit("")).alias("text")), least, most, min_df))
     rows = with_next(docs).withColumn("n", F.length("text")).withColumn("edited", F.expr("concat(substr(text, 1, n - n DIV 2), substr(next, 1, n DIV 2))"))
-    key = F.struct("b", "rn", "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), "nb", "nrn",
-                   (F.col("text") == F.col("edited")).alias("same_edited"), (F.col("text") == F.col("next")).alias("same_next"))
-    # a term of -1 keeps documents without lexicon terms
-    tagged = F.expr(f"concat(transform({terms('text')}, t -> struct(0 AS tag, t AS term)), transform({terms('edited')}, t -> struct(1 AS tag, t AS term)), array(struct(-1 AS tag, '' AS term)))")
-    flat = rows.select(key.alias("key"), F.explode(tagged).alias("t")).select("key", "t.tag", "t.term")
-    held = flat.join(words, "term", "left").where("h IS NOT NULL OR tag = -1")
-    held = held.select("key", "tag", "h", F.explode(F.when(F.col("tag") < 0, F.array(F.lit(-1).cast("long"))).otherwise(F.expr(_members()))).alias("s"))
-    sets = held.groupBy("key", "tag", "s").agg(F.bit_xor("h").alias("x"), F.count("*").alias("k"))
+    # narrow rows: (row, position in both lists of terms); the position tells the text
+    flat = rows.select("b", "rn", F.expr(terms("text")).alias("own"), F.expr(terms("edited")).alias("ed"))
+    flat = flat.select("b", "rn", F.size("own").alias("k"), F.posexplode(F.concat("own", "ed")).alias("p", "term"))
+    held = flat.join(words, "term").select("b", "rn", (F.col("p") >= F.col("k")).cast("int").alias("tag"), "h")
+    held = held.select("b", "rn", "tag", "h", F.explode(F.expr(_members())).alias("s"))
+    sets = held.groupBy("b", "rn", "tag", "s").agg(F.bit_xor("h").alias("x"), F.count("*").alias("k"))
     entry = F.struct((F.col("tag") * SUBSETS + F.col("s")).cast("int").alias("at"), F.expr("substr(md5(concat(x, ':', k)), 1, 8)").alias("f"))
-    per = sets.groupBy("key").agg(F.map_from_entries(F.collect_list(F.when(F.col("tag") >= 0, entry))).alias("m"))
+    maps = table(sets.groupBy("b", "rn").agg(F.map_from_entries(F.collect_list(entry)).alias("m")), "imatch")
+    base = rows.select(
+        "b", "rn", "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), "nb", "nrn",
+        (F.col("text") == F.col("edited")).alias("same_edited"), (F.col("text") == F.col("next")).alias("same_next"),
+    )
     parts = [f"transform(sequence(0, {SUBSETS - 1}), i -> coalesce(try_element_at(m, i + {of}), ''))" for of in (0, SUBSETS)]
-    per = per.select("key.*", F.expr(parts[0]).alias("own"), F.expr(parts[1]).alias("ed"))
-    after = per.select(F.col("b").alias("nb"), F.col("rn").alias("nrn"), F.col("own").alias("nxt"))
+    per = base.join(maps, ["b", "rn"], "left").withColumns({"own": F.expr(parts[0]), "ed": F.expr(parts[1])}).drop("m")
+    after = maps.select(F.col("b").alias("nb"), F.col("rn").alias("nrn"), F.expr(parts[0]).alias("nxt"))
+    per = per.join(after, ["nb", "nrn"], "left").withColumn("nxt", F.coalesce("nxt", F.array_repeat(F.lit(""), SUBSETS)))
     text = "array_join(transform({}, x -> if(x = '', '-', x)), '')".format
-    return per.join(after, ["nb", "nrn"]).select(
+    return per.select(
         "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), F.expr(text("own")).alias("fingerprint"), F.expr(text("ed")).alias("edited_fingerprint"),
         F.expr(_likeness("own", "ed", "same_edited")).alias("near_edited"), F.expr(_likeness("own", "nxt", "same_next")).alias("near_next"),
     )
