@@ -285,7 +285,7 @@ def _verified(batches: Iterator[pa.RecordBatch], k: int, percent: int):
         yield batch.select([0, 1]).filter(pa.array(ok))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
     """(id_col, n_shingles, component_id) of every row of ``docs``: the size
     of its shingle set and the least id that similarity links reach."""
     text = docs.select(F.col(f"`{text_col}`").alias("text"))
