@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from flowdetect.llm.common import shared_dir, table
 
 BATCH = 64
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_200_000
 _WORDS = re.compile(r"[^ \t\n\r]+")
 _state: dict = {}
 
@@ -58,10 +58,16 @@ def encode_texts(texts: list[str], path: str, kind) -> list[np.ndarray]:
     found = [list(map(known.get, p)) for p in parts]
     open_ = [i for i, f in enumerate(found) if None in f]
     new = list({w for i in open_ for w, f in zip(parts[i], found[i]) if f is None})
-    for lo in range(0, len(new), 4096):
-        some = new[lo : lo + 4096]
-        for w, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False)):
-            known[w] = np.array(e.ids, kind).tobytes()
+    for lo in range(0, len(new), 512):  # new words together, told apart by their offsets
+        some = new[lo : lo + 512]
+        e = tokenizer.encode(" ".join(some), add_special_tokens=False)
+        ids = np.array(e.ids, kind)
+        start = np.fromiter((o[0] for o in e.offsets), np.int64, len(ids))
+        ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+        at = 0
+        for w, to in zip(some, np.searchsorted(start, ends).tolist()):
+            known[w] = ids[at:to].tobytes()
+            at = to
     for i in open_:
         found[i] = map(known.__getitem__, parts[i])
     return [np.frombuffer(b"".join(f), kind) for f in found]
