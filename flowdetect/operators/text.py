@@ -21,7 +21,7 @@ def trigram_model(df: DataFrame, text: str) -> DataFrame:
 def ngram_score(df: DataFrame, key: str, text: str, model: DataFrame) -> DataFrame:
     """Mean log share of the text's 3-grams; unknown ones and none count -10."""
     s = trigrams(df, text, key).join(model, "gram", "left").groupBy(key).agg(F.avg(F.coalesce("logp", F.lit(-10.0))).alias("s"))
-    return df.select(key).join(s, key, "left").select(key, F.round(F.coalesce("s", F.lit(-10.0)), 4).alias("ngram_score"))
+    return df.select(key).join(s, key, "left").select(key, F.round(F.coalesce("s", F.lit(-10.0)), 9).alias("ngram_score"))
 
 
 def words(df: DataFrame, text: str, low: int = 3, high: int = 10) -> DataFrame:

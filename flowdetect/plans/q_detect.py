@@ -42,7 +42,7 @@ IAT = f"round(coalesce(list_avg({GAPS}), 0), 4) AS mean_iat, round(coalesce(list
 F1 = ["event_id", "packet_rate", "unique_dst_ports", "dst_port_entropy", "mean_iat", "std_iat", "unique_src_ips", "src_ip_entropy"]
 WN2 = f"""w AS (SELECT *, list(dst_port) OVER v AS ports, list(dst_ip) OVER v AS ips, list(ts_us) OVER v AS t FROM flows WINDOW v AS (PARTITION BY src_ip ORDER BY ts_us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)),
 f AS (SELECT * EXCLUDE (ports, ips, t), len(list_distinct(ports)) AS unique_ports, len(list_distinct(ips)) AS unique_hosts, len(t) AS connection_count, round(list_aggregate(ports, 'entropy'), 4) AS port_entropy, list_max(ports) - list_min(ports) AS port_range_span, {IAT} FROM w)"""
-F2 = ["event_id", "unique_ports", "unique_hosts", "connection_count", "port_entropy", "port_range_span", "mean_iat", "std_iat"]
+F2 = ["event_id", "unique_ports", "unique_hosts", "connection_count", "port_entropy", "port_range_span", "std_iat"]
 WN3 = f"""w AS (SELECT *, list(ts_us) OVER (PARTITION BY src_ip, dst_ip, dst_port ORDER BY ts_us, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS t FROM flows),
 f AS (SELECT * EXCLUDE t, len(t) AS observations, round(coalesce(list_avg({GAPS}), 0), 2) AS mean_interval, round(coalesce(list_aggregate({GAPS}, 'stddev_pop'), 0), 2) AS std_interval,
   CASE WHEN len(t) < 2 THEN NULL WHEN list_avg({GAPS}) = 0 THEN 'Infinity'::DOUBLE ELSE round(list_aggregate({GAPS}, 'stddev_pop') / list_avg({GAPS}), 4) END AS cv FROM w)"""
@@ -130,7 +130,7 @@ q("ag18_trigram_model", """WITH w AS (SELECT lower(text) AS t FROM documents), g
 SELECT gram, round(log2(n / sum(n) OVER ()), 4) AS logp FROM n""", "documents")(lambda s, d: text.trigram_model(view(s, d, "documents"), "text"))
 q("fn6_ngram_score", """WITH w AS (SELECT lower(query) AS t FROM dns), g AS (SELECT unnest(list_transform(range(1, len(t) - 1), lambda i: substr(t, i, 3))) AS gram FROM w), n AS (SELECT gram, count(*) AS n FROM g WHERE regexp_matches(gram, '^[a-z]{3}$') GROUP BY gram), m AS (SELECT gram, round(log2(n / sum(n) OVER ()), 4) AS logp FROM n),
 k AS (SELECT uid, unnest(list_transform(range(1, len(query) - 1), lambda i: substr(lower(query), i, 3))) AS gram FROM dns), z AS (SELECT uid, avg(coalesce(logp, -10)) AS a FROM k LEFT JOIN m USING (gram) WHERE regexp_matches(gram, '^[a-z]{3}$') GROUP BY uid)
-SELECT dns.uid, round(coalesce(a, -10), 4) AS ngram_score FROM dns LEFT JOIN z ON dns.uid = z.uid""", "dns")(lambda s, d: text.ngram_score(view(s, d, "dns"), "uid", "query", text.trigram_model(view(s, d, "dns"), "query")))
+SELECT dns.uid, round(coalesce(a, -10), 9) AS ngram_score FROM dns LEFT JOIN z ON dns.uid = z.uid""", "dns")(lambda s, d: text.ngram_score(view(s, d, "dns"), "uid", "query", text.trigram_model(view(s, d, "dns"), "query")))
 q("src13_words", """SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(trim(text)), '[^a-z]+')) AS word FROM documents) WHERE len(word) BETWEEN 3 AND 10""", "documents")(lambda s, d: text.words(view(s, d, "documents"), "text"))
 q("fn7_word_boundary_score", """WITH RECURSIVE lex AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(trim(source || ' ' || 'login example www')), '[^a-z]+')) AS word FROM documents) WHERE len(word) BETWEEN 3 AND 10),
 l AS (SELECT uid, string_split(query, '.')[1] AS lab FROM dns), c AS (SELECT uid, p, max(n) AS n FROM (SELECT uid, lab, unnest(range(1, len(lab) + 1)) AS p FROM l) CROSS JOIN range(3, 13) r(n) WHERE p + n - 1 <= len(lab) AND lower(substr(lab, p, n)) IN (SELECT word FROM lex) GROUP BY uid, p),
