@@ -165,35 +165,44 @@ def signatures(row: np.ndarray, x: np.ndarray, n: np.ndarray, bands: Bands, own:
     return sig[keep], rows[keep], role[keep]
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int, keep_text: bool):
-    """(id, or with ``keep_text`` the compressed text, n, c) of every document;
-    the text is the last column."""
+def _sets(batches: Iterator[pa.RecordBatch], k: int):
+    """(id, n, c, compressed text, parities) of every document; parities are
+    those of the shingle counts in ``PARITIES`` buckets."""
     squeeze = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        for at, buf, offs in chunks(batch.column(batch.num_columns - 1)):
+        for at, buf, offs in chunks(batch.column(1)):
             rows = len(offs) - 1
             row, x = shingles(buf, offs, k)
             n, c = classes(row, x, rows)
-            cols = [batch.column(0).slice(at, rows), pa.array(n, pa.int64()), pa.array(as_long(c), pa.int64(), mask=n == 0)]
-            if keep_text:
-                raw = buf.tobytes()
-                cols[0] = pa.array([squeeze.compress(raw[offs[i] : offs[i + 1]]) for i in range(rows)], pa.binary())
-                odd = (np.bincount(row * PARITIES + (mix(x + _SALT[1]) % U64(PARITIES)).astype(np.int64), minlength=rows * PARITIES) & 1).astype(np.uint8)
-                odd = np.packbits(odd.reshape(rows, PARITIES), axis=1)
-                cols.append(pa.array([o.tobytes() for o in odd], pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, ["z", "n", "c", "odd"] if keep_text else ["id", "n", "c"])
+            raw = buf.tobytes()
+            z = [squeeze.compress(raw[offs[i] : offs[i + 1]]) if n[i] else None for i in range(rows)]
+            odd = (np.bincount(row * PARITIES + (mix(x + _SALT[1]) % U64(PARITIES)).astype(np.int64), minlength=rows * PARITIES) & 1).astype(np.uint8)
+            odd = np.packbits(odd.reshape(rows, PARITIES), axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(at, rows), pa.array(n, pa.int64()), pa.array(as_long(c), pa.int64(), mask=n == 0), pa.array(z, pa.binary()), pa.array([o.tobytes() for o in odd], pa.binary())],
+                ["id", "n", "c", "z", "odd"],
+            )
+
+
+def _opened(z: pa.Array, most: int = 2 << 20):
+    """The compressed texts in runs of about ``most`` bytes: (bytes, offsets)."""
+    back, part, size = zstandard.ZstdDecompressor(), [], 0
+    for x in z:
+        part.append(back.decompress(x.as_py(), max_output_size=1 << 31))
+        size += len(part[-1])
+        if size >= most:
+            yield np.frombuffer(b"".join(part), np.uint8), np.cumsum([0] + [len(p) for p in part])
+            part, size = [], 0
+    if part:
+        yield np.frombuffer(b"".join(part), np.uint8), np.cumsum([0] + [len(p) for p in part])
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int, percent: int):
+    """Signatures of the texts of set classes, each in both of its bands."""
     for batch in batches:
-        for _, buf, offs in chunks(batch.column(0)):
+        for buf, offs in _opened(batch.column(0)):
             row, x = shingles(buf, offs, k)
             n, c = classes(row, x, len(offs) - 1)
-            _, once = np.unique(c, return_index=True)
-            lead = np.zeros(len(n), bool)
-            lead[once] = True
-            here = lead[row]
-            row, x = row[here], x[here]
             bands = Bands(percent, int(n.max(initial=1)))
             for own in (True, False):
                 sig, rows, role = signatures(row, x, n, bands, own)
@@ -288,17 +297,21 @@ def _verified(batches: Iterator[pa.RecordBatch], k: int, percent: int):
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
     """(id_col, n_shingles, component_id) of every row of ``docs``: the size
     of its shingle set and the least id that similarity links reach."""
-    text = docs.select(F.col(f"`{text_col}`").alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = table(found.mapInArrow(partial(_sets, k=k), f"id {kind}, n long, c long, z binary, odd binary"), "sets")
+    # one text for each class of equal sets
+    texts = found.where("c is not null").groupBy("c").agg(F.first(F.struct("z", "odd")).alias("t"))
+    texts = table(texts.select("c", "t.*"), "texts")
     entries = (
-        text.mapInArrow(partial(_signed, k=k, percent=percent), "sig long, c long, meta long")
+        texts.select("z")
+        .mapInArrow(partial(_signed, k=k, percent=percent), "sig long, c long, meta long")
         .repartition("sig")
         .mapInArrow(_shared, "sig long, c long, meta long, size long")
     )
     entries = table(entries, "entries")
     nodes = entries.groupBy("c").agg(F.sum("size").alias("degree")).checkpoint()
-    texts = text.mapInArrow(partial(_sets, k=k, keep_text=True), "z binary, n long, c long, odd binary").drop("n")
-    texts = texts.join(nodes, "c", "left_semi").groupBy("c").agg(F.first(F.struct("z", "odd")).alias("t"))
-    texts = table(texts.select("c", "t.*"), "texts")
+    texts = table(texts.join(nodes, "c", "left_semi"), "nodes")
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("c").alias("a"), F.col("z").alias("za")), "a")
@@ -324,10 +337,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             pairs = star(rooted)
         links = links.union(verify(pairs)).checkpoint()
     roots = components(links).withColumnRenamed("node", "c")
-    found = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(
-        partial(_sets, k=k, keep_text=False), f"id {docs.schema[id_col].dataType.simpleString()}, n long, c long"
-    )
-    found = table(found, "sets")
     by_class = found.where("c is not null").groupBy("c").agg(F.min("id").alias("id"))
     by_class = by_class.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     by_root = by_class.groupBy("root").agg(F.min("id").alias("component_id"))
