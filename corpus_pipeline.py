@@ -12,19 +12,25 @@ from flowdetect.llm import mixing, ngram_join, pieces, quality, suffix_dedup
 from flowdetect.llm.common import table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+KEY = "_row"  # of a row, written with the first stage's table; the second drops it
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base limits and the divergence rules accept."""
-    return quality.quality_rules(docs).where("kept").select(*docs.columns)
+    """Documents that the base limits and the divergence rules accept, each
+    with a key of its own."""
+    return quality.quality_rules(docs).where("kept").select(*docs.columns, F.monotonically_increasing_id().alias(KEY))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the
-    document with the least id."""
-    groups = ngram_join.near_duplicates(docs, k=5, percent=80)
-    gone = table(groups.where("doc_id <> component_id").select("doc_id"), "near")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates (five words, similarity 0.8) one row:
+    that with the least id, null ids last, then with the least key. Rows go by
+    their key, so ids may repeat or be null."""
+    if KEY not in docs.columns:
+        docs = table(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+    rank = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", F.col(KEY).alias("key"))
+    groups = ngram_join.near_duplicates(docs.select(rank.alias("rank"), "text"), k=5, percent=80, id_col="rank")
+    gone = table(groups.where("rank.key <> component_id.key").select(F.col("rank.key").alias(KEY)), "near")
+    return docs.join(gone, KEY, "left_anti").select(*(c for c in docs.columns if c != KEY))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
