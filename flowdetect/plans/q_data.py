@@ -30,6 +30,10 @@ q("ds1_flood_rows", "WITH " + SNAP.format(step=2_000_000, w=10_000_000) + f" SEL
 q("ds2_scan_rows", "WITH " + SNAP.format(step=5_000_000, w=60_000_000) + " SELECT session_id, label, t_us, len(list_distinct(ports)) AS unique_ports, len(list_distinct(ips)) AS unique_hosts, len(t) AS connection_count, round(list_aggregate(ports, 'entropy'), 4) AS port_entropy FROM sn", lambda s, d: dataset.scan_rows(FL(s, d), SE(s, d), 5_000_000), "marks")
 q("ds3_wn7_beacon_rows", f"WITH {MARKS}, gr AS (SELECT *, unnest(range(start_us, end_us + 1, 5000000)) AS t_us FROM se), sn AS (SELECT g.session_id, g.label, g.t_us, list(f.ts_us ORDER BY f.ts_us)[-20:] AS t FROM gr g JOIN flows f ON f.ts_us BETWEEN g.start_us AND g.t_us GROUP BY 1, 2, 3 HAVING count(*) >= 3) SELECT session_id, label, t_us, len(t) AS n, round(list_avg({GAPS}), 4) AS mean_interval, round(list_aggregate({GAPS}, 'stddev_pop'), 4) AS std_interval FROM sn",
   lambda s, d: dataset.beacon_rows(FL(s, d), SE(s, d), 5_000_000), "marks")
+# The three at the reference's own steps, without a DuckDB twin: the tests hold them against brute force
+q("ds1_flood_rows_full_rate", None, lambda s, d: dataset.flood_rows(FL(s, d), SE(s, d), 140_000))
+q("ds2_scan_rows_full_rate", None, lambda s, d: dataset.scan_rows(FL(s, d), SE(s, d), 150_000))
+q("ds3_wn7_beacon_rows_full_rate", None, lambda s, d: dataset.beacon_rows(FL(s, d), SE(s, d), 220_000))
 q("ag1_group_channels", "SELECT src_ip, dst_ip, dst_port, count(*) AS n FROM flows GROUP BY ALL HAVING count(*) >= 3", lambda s, d: dataset.group_channels(FL(s, d)).selectExpr("src_ip", "dst_ip", "dst_port", "cast(size(times) AS bigint) AS n"), "flows")
 TR = "SELECT DISTINCT src_ip, dst_ip, dst_port FROM flows WHERE event_id % 97 = 0"
 q("jn8_label_by_triple", f"SELECT event_id FROM flows WHERE (src_ip, dst_ip, dst_port) IN ({TR})", lambda s, d: dataset.label_by_triple(FL(s, d), FL(s, d).where("event_id % 97 = 0").select("src_ip", "dst_ip", "dst_port").distinct()).select("event_id"), "flows")
