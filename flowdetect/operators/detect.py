@@ -122,6 +122,27 @@ def model_alerts(rows: DataFrame, p: str, threat_class: str, threshold: float, s
     return make_alert(rows.where(f"{p} > {threshold}"), threat_class, severity, p, f"named_struct('probability', round({p}, 4))", 0, "ml", str(calibrated).lower())
 
 
+def flood_ml(scored: DataFrame, p: str = "p") -> DataFrame:
+    """Model path of floods: one alert a source in 30 s."""
+    hits = gates.cooldown(scored.where(f"{p} > 0.5"), ["src_ip"], 30)
+    return model_alerts(hits, p, "ddos", 0.5, "CASE WHEN packet_rate > 600 THEN 'CRITICAL' ELSE 'HIGH' END")
+
+
+def scan_ml(scored: DataFrame, p: str = "p") -> DataFrame:
+    """Model path of scans: one alert a source in 20 s."""
+    hits = gates.cooldown(scored.where(f"{p} > 0.5"), ["src_ip"], 20)
+    return model_alerts(hits, p, "recon", 0.5, "CASE WHEN unique_ports <= 30 THEN 'MEDIUM' ELSE 'HIGH' END")
+
+
+def dga_ml(scored: DataFrame, tunnels: DataFrame, p: str = "p") -> DataFrame:
+    """Model path of generated domains: rows that the tunnel rule fired on are
+    left out, and a source's query alerts once in 300 s."""
+    d = scored.join(tunnels.select("uid").distinct(), "uid", "left_anti").where(f"{p} > 0.7")
+    d = gates.cooldown(d, ["src_ip", "query"], 300, row="uid").selectExpr("*", "cast(null AS string) AS dst_ip", "53 AS dst_port")
+    evidence = f"named_struct('detection_path', if(word_boundary_score > 0.65, 'DICT_DGA', 'RANDOM_DGA'), 'probability', round({p}, 4))"
+    return make_alert(d, "dga", f"CASE WHEN {p} > 0.85 THEN 'HIGH' ELSE 'MEDIUM' END", p, evidence, 0, "ml", "true")
+
+
 def beacon_ml(scored: DataFrame, p: str = "p") -> DataFrame:
     """The model decides in its range (<= 20 rows, mean <= 45 s), the rule beyond."""
     inside = "observations <= 20 AND mean_interval <= 45"

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 def cooldown(candidates: DataFrame, keys: list[str], seconds: int, ts: str = "ts_us", row: str = "event_id") -> DataFrame:
     """Keeps a candidate iff it is ``seconds`` after the last kept one of its
     key. Runs on candidates only: kept rows are a fold over each key's times."""
-    c = seconds * 1_000_000
+    c, kind = seconds * 1_000_000, candidates.schema[row].dataType.simpleString()
     fold = (
-        f"aggregate(_a, named_struct('last', -9000000000000000L, 'keep', cast(array() AS array<bigint>)), (s, v) -> "
+        f"aggregate(_a, named_struct('last', -9000000000000000L, 'keep', cast(array() AS array<{kind}>)), (s, v) -> "
         f"if(v.t - s.last >= {c}L, named_struct('last', v.t, 'keep', concat(s.keep, array(v.r))), s)).keep"
     )
     times = candidates.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(row).alias("r")))).alias("_a"))

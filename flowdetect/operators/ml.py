@@ -115,12 +115,14 @@ def train_rf(rows: DataFrame, features: list[str], trees: int = 200, depth: int
     return _pipeline(features, c.setWeightCol(weight) if weight else c).fit(rows)
 
 
-def train_logistic(rows: DataFrame, features: list[str]):
-    return _pipeline(features, LogisticRegression(), scale=True).fit(rows)
+def train_logistic(rows: DataFrame, features: list[str], weight: str | None = None):
+    c = LogisticRegression()
+    return _pipeline(features, c.setWeightCol(weight) if weight else c, scale=True).fit(rows)
 
 
-def train_gbt(rows: DataFrame, features: list[str], rounds: int = 150, depth: int = 4):
-    return _pipeline(features, GBTClassifier(maxIter=rounds, maxDepth=depth, seed=42)).fit(rows)
+def train_gbt(rows: DataFrame, features: list[str], rounds: int = 150, depth: int = 4, weight: str | None = None):
+    c = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=42)
+    return _pipeline(features, c.setWeightCol(weight) if weight else c).fit(rows)
 
 
 def score(model, rows: DataFrame, out: str = "p") -> DataFrame:

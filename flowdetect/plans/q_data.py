@@ -81,42 +81,48 @@ q("ml6_ml7_group_split", None, lambda s, d: ml.group_split(SC(s, d), "grp", pinn
 FEAT = ["packet_rate", "unique_dst_ports", "dst_port_entropy", "mean_iat", "std_iat", "unique_src_ips", "src_ip_entropy"]
 
 
+def forest(rows, f, trees=200, depth=6):
+    """The reference's forest: 200 trees, balanced classes."""
+    return ml.train_rf(ml.class_weight(rows), f, trees, depth, "w")
+
+
 def flood_labelled(s, d):
     return features.entropy_baseline(features.flood_features(FL(s, d))).withColumn("y", F.expr("cast(src_ip = '10.0.9.1' AS int)"))
 
 
 def dt1(s, d):
     rows = flood_labelled(s, d)
-    scored = ml.score(ml.train_rf(rows, FEAT, trees=20), rows)
-    return detect.model_alerts(scored, "p", "ddos", 0.5, "CASE WHEN packet_rate > 600 THEN 'CRITICAL' ELSE 'HIGH' END").drop("evidence_json")
+    return detect.flood_ml(ml.score(forest(rows, FEAT), rows)).drop("evidence_json")
 
 
 def dt5(s, d):
     rows = features.scan_features(FL(s, d)).withColumn("y", F.expr("cast(src_ip = '10.0.9.1' AS int)"))
     f = ["unique_ports", "unique_hosts", "connection_count", "port_entropy", "port_range_span", "mean_iat", "std_iat"]
-    return detect.model_alerts(ml.score(ml.train_rf(rows, f, trees=20), rows), "p", "recon", 0.5, "CASE WHEN unique_ports <= 30 THEN 'MEDIUM' ELSE 'HIGH' END").drop("evidence_json")
+    return detect.scan_ml(ml.score(forest(rows, f), rows)).drop("evidence_json")
 
 
 def dt7(s, d):
     rows = features.beacon_features(FL(s, d)).where("observations >= 5 AND cv < 1e6").withColumn("y", F.expr("cast(src_ip LIKE '10.0.8.%' AS int)"))
-    return detect.beacon_ml(ml.score(ml.train_rf(rows, ["observations", "mean_interval", "std_interval", "cv"], trees=20), rows)).drop("evidence_json")
+    return detect.beacon_ml(ml.score(forest(rows, ["observations", "mean_interval", "std_interval", "cv"]), rows)).drop("evidence_json")
 
 
 def dt9(s, d):
-    rows = dataset.domain_rows(detect.dns_gate(view(s, d, "dns")), "query").withColumn("y", F.expr("cast(query LIKE '%.ru' AS int)")).selectExpr("*", "cast(null AS string) AS dst_ip", "53 AS dst_port")
-    return detect.model_alerts(ml.score(ml.train_rf(rows, ["entropy", "consonant_ratio", "numeric_ratio", "n"], trees=20), rows), "p", "dga", 0.7, "CASE WHEN p > 0.85 THEN 'HIGH' ELSE 'MEDIUM' END").drop("evidence_json")
+    dns = view(s, d, "dns")
+    rows = dataset.lexical_rows(detect.dns_gate(dns), "query", view(s, d, "documents")).withColumn("y", F.expr("cast(query LIKE '%.ru' AS int)")).persist()
+    scored = ml.score(forest(rows, dataset.LEXICAL, depth=30), rows)
+    return detect.dga_ml(scored, detect.dns_tunnel_rows(dns)).withColumn("detection_path", F.get_json_object("evidence_json", "$.detection_path")).drop("evidence_json")
 
 
 def dt10(s, d):
     rows = features.exfil_features(detect.exfil_gate(FL(s, d))).withColumn("y", F.expr("cast(orig_bytes > 500000 AS int)"))
     f = ["orig_bytes", "resp_bytes", "byte_ratio", "duration", "orig_pkts", "resp_pkts", "bytes_per_sec", "is_icmp", "to_dns", "to_common_port"]
-    return detect.exfil_ml(ml.score(ml.train_rf(rows, f, trees=20, depth=10), rows)).drop("evidence_json")
+    return detect.exfil_ml(ml.score(forest(rows, f, 150, 10), rows)).drop("evidence_json")
 
 
 def tls_scored(s, d):
     rows = features.tls_features(detect.tls_gate(joined(s, d))).withColumn("y", F.expr("cast(event_id % 3 = 0 AS int)"))
     f = ["orig_bytes", "resp_bytes", "duration", "byte_ratio", "total_bytes", "total_bps", "size_mean", "size_std", "gap_mean", "gap_std", "n_pkts", "is_quic"]
-    return rows, ml.score(ml.train_rf(rows, f, trees=20, depth=8), rows)
+    return rows, ml.score(forest(rows, f, 150, 8), rows)
 
 
 def dt13(s, d):
@@ -132,6 +138,6 @@ q("dt9_dga_ml", None, dt9)
 q("dt10_exfil_ml", None, dt10)
 q("dt12_tls_flow", None, lambda s, d: detect.model_alerts(tls_scored(s, d)[1], "p", "tls", 0.72, "CASE WHEN p > 0.85 THEN 'HIGH' ELSE 'MEDIUM' END").drop("evidence_json"))
 q("dt13_ml13_tls_tier2", None, dt13)
-q("ag19_importances", None, lambda s, d: ml.importances(ml.train_rf(flood_labelled(s, d), FEAT, trees=20), FEAT, s))
-q("ml2_compare", None, lambda s, d: ml.compare(ml.hash_folds(flood_labelled(s, d), "event_id", 2), FEAT, "fold", 2, {"rf": lambda r, f: ml.train_rf(r, f, trees=10), "logistic": ml.train_logistic, "gbt": lambda r, f: ml.train_gbt(r, f, rounds=5)}))
+q("ag19_importances", None, lambda s, d: ml.importances(forest(flood_labelled(s, d), FEAT), FEAT, s))
+q("ml2_compare", None, lambda s, d: ml.compare(ml.hash_folds(flood_labelled(s, d), "event_id", 2), FEAT, "fold", 2, {"rf": forest, "logistic": lambda r, f: ml.train_logistic(ml.class_weight(r), f, "w"), "gbt": lambda r, f: ml.train_gbt(ml.class_weight(r), f, weight="w")}))
 q("ml8_platt", None, lambda s, d: ml.calibrate(ml.platt(SC(s, d).where("doc_id % 2 = 0")), SC(s, d)).select("doc_id", F.round("calibrated", 6).alias("calibrated")))
