@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowdetect.llm import mixing, ngram_join, pieces, quality, suffix_dedup
-from flowdetect.llm.common import table
+from flowdetect.llm.common import table, tokenizer_file
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+VOCABULARY = "piece_bpe_32k.model"
 KEY = "_row"  # of a row, written with the first stage's table; the second drops it
 
 
@@ -45,7 +45,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their pieces and the text read back from these."""
-    return pieces.encode(docs, VOCABULARY)
+    return pieces.encode(docs, tokenizer_file(VOCABULARY))
 
 
 STAGES = [

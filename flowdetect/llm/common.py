@@ -3,6 +3,7 @@ vectorised word / hash kernels over Arrow string buffers."""
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -20,12 +21,14 @@ _pow = {1: np.ones(1, U64), -1: np.ones(1, U64)}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share: ``spark.checkpoint.dir``
-    of the session; only where that is unset (tests) a local folder."""
+    of the session. Only a session in one process (tests) may leave it unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = f"file:///tmp/flowdetect-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(path)
     elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -36,10 +39,49 @@ def shared_dir(spark: SparkSession) -> str:
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back, so
     that later steps start from files that survive lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Tables(df.sparkSession).add(df, name)
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of a vocabulary file of the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+class Tables:
+    """Tables of one operator in the shared folder; ``drop`` deletes them when
+    nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def add(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in names or list(self.paths):
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(conf).delete(path, True)
+
+
+def hidden(df: DataFrame, *names: str) -> dict[str, str]:
+    """Names for helper columns that no column of ``df`` has (case ignored)."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(c.startswith(mark + n.lower()) for c in taken for n in names):
+        mark += "_"
+    return {n: mark + n for n in names}
+
+
+def without(df: DataFrame, names) -> list[str]:
+    """Columns of ``df`` other than ``names`` (case ignored)."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
 
 
 def text_key(text: Column) -> list[Column]:
@@ -65,13 +107,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U64) * _MUL)
+_NEAR = 32
+
+
+def _placed(code: np.ndarray) -> np.ndarray:
+    """A pseudo-random number for each (place in a word, byte)."""
+    return mix(mix(code.astype(U64) * _MUL + U64(0x5851F42D4C957F2D)) ^ U64(0x2545F4914F6CDD1D))
+
+
+_PLACED = _placed(np.arange(_NEAR << 8))
 _IS_WS = np.zeros(256, bool)
 _IS_WS[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def chunks(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Cuts a string column into runs of whole rows of about ``most`` bytes:
     (first row, bytes, row offsets). Null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -96,7 +147,9 @@ def chunks(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, np.ndar
 
 
 def words_of(buf: np.ndarray, offs: np.ndarray, lower: bool = False):
-    """(start, end, row, 64-bit hash) of every word ``[^\\x20\\x09-\\x0D]+``."""
+    """(start, end, row, 64-bit hash) of every word ``[^\\x20\\x09-\\x0D]+``.
+    The hash sums a pseudo-random number of every (place, byte): unlike powers
+    of one multiplier, these have no pattern that some words could cancel."""
     empty = np.empty(0, np.int64)
     if not len(buf):
         return empty, empty, empty, empty.astype(U64)
@@ -119,7 +172,12 @@ def words_of(buf: np.ndarray, offs: np.ndarray, lower: bool = False):
     which = np.cumsum(first) - 1
     at = np.arange(len(buf)) - start[np.maximum(which, 0)]
     at[~on] = 0
-    value = _BYTE[_LOWER[buf] if lower else buf] * powers(int((end - start).max()))[at]
+    low = _LOWER[buf] if lower else buf
+    code = (np.minimum(at, _NEAR - 1) << 8) | low
+    value = _PLACED[code]
+    far = np.flatnonzero(at >= _NEAR)
+    if len(far):
+        value[far] = _placed((at[far] << 8) | low[far])
     value[~on] = 0
     return start, end, row, mix(np.add.reduceat(value, start) + (end - start).astype(U64))
 

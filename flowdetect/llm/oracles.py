@@ -97,3 +97,30 @@ SELECT e.doc_id, n::BIGINT AS n_chars, sha256(ed) AS edited_sha256, fingerprint,
 
 
 OP8 = _op8()
+
+
+# Every 200-byte string of every text; those that occur twice remove the bytes
+# they cover.
+OP6 = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+p AS (SELECT doc_id, i, md5_number(x[i + 1 : i + 200]) AS h FROM (SELECT doc_id, x, unnest(range(0, octet_length(x) - 199)) AS i FROM d WHERE octet_length(x) >= 200)),
+t AS (SELECT doc_id, i FROM p WHERE h IN (SELECT h FROM p GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, i > coalesce(max(i + 200) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS fresh FROM t),
+r AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM r GROUP BY doc_id, run),
+k AS (SELECT s.doc_id, run, b - a AS n, hex(x[coalesce(lag(b) OVER w, 0) + 1 : a]) AS before, hex(x[b + 1 : octet_length(x)]) AS rest, row_number() OVER (PARTITION BY s.doc_id ORDER BY a DESC) AS back
+  FROM s JOIN d ON s.doc_id = d.doc_id WINDOW w AS (PARTITION BY s.doc_id ORDER BY a)),
+c AS (SELECT doc_id, sum(n)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(before, '' ORDER BY run) || max(CASE WHEN back = 1 THEN rest END) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, octet_length(x)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(kept), x)) AS kept_sha256 FROM d LEFT JOIN c ON d.doc_id = c.doc_id"""
+
+
+# All shingle sets, all links by an equi-join on the shingle, components by
+# following links.
+OP7 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5_number(array_to_string(CASE WHEN len(w) < 4 THEN w ELSE w[i : i + 3] END, ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_ FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both_ >= 85 * (p.n + q.n - both_)),
+r AS (SELECT DISTINCT a AS doc_id, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON r.doc_id = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) c USING (doc_id)"""

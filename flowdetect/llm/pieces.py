@@ -1,5 +1,5 @@
 """SentencePiece encoding and decoding: Unigram Viterbi over a double-array
-trie of pieces with log scores, byte fallback, whitespace-marker decoding.
+trie of pieces with log probabilities, byte fallback, whitespace-marker decoding.
 
 Spaces become the marker U+2581 and one marker is put in front. The best
 segmentation has the greatest sum of scores; between equal sums the piece that
@@ -8,8 +8,8 @@ become its UTF-8 bytes, at ``min score - 10`` a character. A marker that the tex
 itself contains is always spelled in bytes, so decoding restores every text.
 
 No piece spans a space that follows another character, nor a line break, so
-the Viterbi search runs on the chunks between; each worker keeps the chunks it
-has met (bounded) and searches new ones together, position by position, in
+the Viterbi search runs on the chunks between; each worker keeps short chunks it
+has met (a bounded number) and searches new ones together, position by position, in
 arrays. Trie and scores come from a vocabulary file of fixed size and are sent
 to the workers once.
 
@@ -30,6 +30,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from flowdetect.llm.common import without
 
 MARK = "▁"
 UNKNOWN = -10.0
@@ -75,6 +78,18 @@ class Trie:
         self.base, self.check, self.value = base, check, value
 
 
+def log_scores(scores: np.ndarray) -> np.ndarray:
+    """Log probabilities of pieces. A model's own scores are kept if they can
+    be log probabilities (they sum to 1); a model that numbers its pieces
+    (0, -1, -2 ..) instead gets Zipf's law over these ranks."""
+    if abs(np.exp(scores).sum() - 1) < 0.05:
+        return scores
+    rank = np.empty(len(scores))
+    rank[np.argsort(-scores, kind="stable")] = np.arange(len(scores))
+    share = 1 / (rank + 2.7)
+    return np.log(share / share.sum())
+
+
 class Vocabulary:
     """Pieces, scores and trie of a SentencePiece model file."""
 
@@ -86,10 +101,12 @@ class Vocabulary:
         names = [model.id_to_piece(i) for i in range(n)]
         scores = np.array([model.get_score(i) for i in range(n)])
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+        scores[plain] = log_scores(scores[plain])
         self.bytes = np.full(256, model.unk_id(), np.int32)
         for i in range(n):
             if model.is_byte(i):
                 self.bytes[int(names[i][3:-1], 16)] = i
+        self.digest = zlib.crc32("\n".join(names).encode(), n)
         self.build({names[i]: i for i in plain}, scores, [b"" if model.is_control(i) else bytes([int(names[i][3:-1], 16)]) if model.is_byte(i) else names[i].replace(MARK, " ").encode() for i in range(n)])
 
     def build(self, pieces: dict[str, int], scores: np.ndarray, spelled: list[bytes]) -> None:
@@ -189,18 +206,20 @@ def _search_long(w: bytes, v: Vocabulary) -> np.ndarray:
     return _spell(w, back, piece, v)
 
 
-_known: dict[int, dict[str, bytes]] = {}
-KEPT_WORDS = 600_000
+# What a worker remembers of one vocabulary: chunks of up to KEPT_BYTES bytes,
+# KEPT_WORDS of them at most.
+_memory: dict = {"digest": None, "known": {}}
+KEPT_WORDS, KEPT_BYTES = 250_000, 48
 LONG = 256
 
 
-def encode_texts(texts: list[str], v: Vocabulary, token: int) -> list[bytes]:
-    """Ids (little-endian int32) of each text; ``token`` names the cache."""
-    known = _known.setdefault(token, {})
+def encode_texts(texts: list[str], v: Vocabulary) -> list[bytes]:
+    """Ids (little-endian int32) of each text."""
+    if _memory["digest"] != v.digest or len(_memory["known"]) > KEPT_WORDS:
+        _memory.update(digest=v.digest, known={})
+    known = _memory["known"]
     cut = re.compile(v.cut)
     parts = [cut.findall(" " + t) if t else [] for t in texts]
-    if len(known) > KEPT_WORDS:
-        known.clear()
     found = [list(map(known.get, p)) for p in parts]
     open_ = [i for i, f in enumerate(found) if None in f]
     new = sorted({w for i in open_ for w, f in zip(parts[i], found[i]) if f is None}, key=len)
@@ -220,7 +239,11 @@ def encode_texts(texts: list[str], v: Vocabulary, token: int) -> list[bytes]:
         i = k
     for k in open_:
         found[k] = map(known.__getitem__, parts[k])
-    return list(map(b"".join, found))
+    out = list(map(b"".join, found))
+    for w in new:
+        if len(w) > KEPT_BYTES:
+            del known[w]
+    return out
 
 
 def decode_ids(ids: np.ndarray, v: Vocabulary) -> bytes:
@@ -237,7 +260,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocabulary, at: int, digest: boo
         texts = pc.fill_null(batch.column(at), "").to_pylist()
         for lo in range(0, len(texts), 512):
             part = texts[lo : lo + 512]
-            ids = [np.frombuffer(b, np.int32) for b in encode_texts(part, v, id(vocabulary))]
+            ids = [np.frombuffer(b, np.int32) for b in encode_texts(part, v)]
             back = [decode_ids(i, v) for i in ids]
             cols = [c.slice(lo, len(part)) for c in batch.columns]
             if digest:
@@ -255,7 +278,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", digest: bool = Fa
     them; or with ``digest`` n_pieces, n_byte_pieces, ids_crc32 and round_trip
     in place of the text."""
     added = "n_pieces long, n_byte_pieces long, ids_crc32 long, round_trip boolean" if digest else "pieces array<int>, decoded string"
-    docs = docs.drop(*(a.split()[0] for a in added.split(", ")))
+    docs = docs.select(*(F.col(f"`{c}`") for c in without(docs, [a.split()[0] for a in added.split(", ")])))
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
     given = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if not (digest and f.name == text_col)]
     return docs.mapInArrow(partial(_encoded, vocabulary=vocabulary, at=docs.columns.index(text_col), digest=digest), ", ".join([*given, added]))

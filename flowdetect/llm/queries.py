@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowdetect.llm import hmm, imatch, licenses, mixing, ngram_join, pieces, quality, suffix_dedup, token_files, url_filter
-from flowdetect.llm.common import table, text_key
+from flowdetect.llm.common import table, text_key, tokenizer_file
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +20,9 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(docs, k=4, percent=85)
 
 
-TOKENIZERS = "/opt/tokenizers"
-
-
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pieces.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model", digest=True)
+    return pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), digest=True)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +61,7 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return token_files.read_documents(token_files.write_tokens(docs, f"{TOKENIZERS}/word_bpe_49k.json"))
+    return token_files.read_documents(token_files.write_tokens(docs, tokenizer_file("word_bpe_49k.json")))
 
 
 def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +75,4 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     from flowdetect.llm import oracles
 
-    return {"op1_quality_rules": oracles.OP1, "op3_mixing": oracles.OP3, "op4_url_filter": oracles.OP4, "op8_imatch": oracles.OP8}
+    return {"op1_quality_rules": oracles.OP1, "op3_mixing": oracles.OP3, "op4_url_filter": oracles.OP4, "op6_suffix_dedup": oracles.OP6, "op7_ngram_join": oracles.OP7, "op8_imatch": oracles.OP8}

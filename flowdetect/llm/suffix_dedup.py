@@ -28,7 +28,8 @@ Edge cases: null and empty texts, and texts under ``length`` bytes, lose
 nothing. Repeated rows are copies: a text of ``length`` bytes or more that
 occurs twice is removed whole. Overlapping occurrences in one text count.
 Empty tables give empty results; extra columns are ignored. Long texts are
-processed whole.
+processed whole, a segment at a time; what is told of a text's runs and
+suffixes meets in that text's row (4 bytes a byte of text at most).
 """
 
 from __future__ import annotations
@@ -44,24 +45,34 @@ from pyspark.sql import functions as F
 
 from flowdetect.llm.common import _BYTE, U64, as_long, chunks, mix, powers, table, text_key
 
-_AT = U64((1 << 28) - 1)  # bits of a sort code that hold the position
+_BITS = 22
+_AT = U64((1 << _BITS) - 1)  # bits of a sort code that hold the position in a segment
+SEGMENT = 1 << 21  # bytes of a text whose suffixes are looked at together
 
 
 class Block:
-    """Runs of suffixes with a common key, over texts laid end to end."""
+    """Runs of suffixes with a common key, over texts laid end to end. A text
+    above ``SEGMENT`` bytes is cut into segments that overlap by a suffix."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, length: int):
-        n, self.length, self.offs = len(buf), length, offs
+        self.length, self.offs = length, offs
+        if len(buf) <= SEGMENT + length:
+            found = [self._runs(buf, offs, 0)]
+        else:  # one long text
+            found = [self._runs(buf[i : i + SEGMENT + length - 1], np.array([0, min(SEGMENT + length - 1, len(buf) - i)]), i) for i in range(0, max(len(buf) - length + 1, 1), SEGMENT)]
+        self.l, self.r, self.g, self.t = (np.concatenate(x) for x in zip(*found))
+        self.row = np.searchsorted(offs, self.l, "right") - 1
+
+    def _runs(self, buf: np.ndarray, offs: np.ndarray, shift: int):
+        n, length = len(buf), self.length
         k = length // 2
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE[buf] * powers(n + 1)[:n], out=self.sums[1:])
-        self.inverse = powers(n + 1, -1)
         none = np.empty(0, np.int64)
-        self.row = self.l = self.r = none
-        self.g = self.t = none.astype(U64)
         if n < length:
-            return
-        names = mix((self.sums[k:] - self.sums[:-k]) * self.inverse[: n - k + 1])
+            return none, none, none.astype(U64), none.astype(U64)
+        sums = np.zeros(n + 1, U64)
+        np.cumsum(_BYTE[buf] * powers(n + 1)[:n], out=sums[1:])
+        inverse = powers(n + 1, -1)
+        names = mix((sums[k:] - sums[:-k]) * inverse[: n - k + 1])
         code = (names & ~_AT) | np.arange(len(names), dtype=U64)
         width, wide = 1, length - k + 1
         while 2 * width <= wide:
@@ -72,18 +83,13 @@ class Block:
         ends = np.repeat(offs[1:], np.diff(offs))[: len(code)]
         at = np.flatnonzero(np.arange(len(code)) + length <= ends)
         if not len(at):
-            return
+            return none, none, none.astype(U64), none.astype(U64)
         key = (code[at] & _AT).astype(np.int64)
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1)])
-        head = np.flatnonzero(new)
-        self.l, self.r = at[head], at[np.append(head[1:], len(at)) - 1]
-        p = key[head]
-        self.row = np.searchsorted(offs, self.l, "right") - 1
-        self.g = names[p]
-        self.t = mix(self.named(self.l, self.r + length) + mix((p - self.l).astype(U64) * U64(0x9E6C63D0876A68DD) + (self.r - self.l).astype(U64)))
-
-    def named(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return mix((self.sums[j] - self.sums[i]) * self.inverse[i])
+        head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1)]))
+        l, r, p = at[head], at[np.append(head[1:], len(at)) - 1], key[head]
+        whole = mix((sums[r + length] - sums[l]) * inverse[l])
+        t = mix(whole + mix((p - l).astype(U64) * U64(0x9E6C63D0876A68DD) + (r - l).astype(U64)))
+        return l + shift, r + shift, names[p], t
 
     def number(self) -> np.ndarray:
         """Of each run: its place among the runs of its text."""
@@ -111,17 +117,32 @@ def _settle(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, count
 
 
+RUNS = 400_000  # runs of a task that are settled together
+
+
 def _sampled(batches: Iterator[pa.RecordBatch], length: int):
     """Runs to sort: (g, t, k1, k2, meta = run * 4 + occurrences). Further
-    occurrences in a block are already decided: 0, dealt by their text."""
+    occurrences that the task holds at that time are already decided: 0, dealt
+    by their text."""
+    held, runs = [], 0
+
+    def settled():
+        g, t, k1, k2, number = (np.concatenate(x) for x in zip(*held))
+        first, count = _settle(g, t)
+        meta = number * 4 + np.where(first, count, 0)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.where(first, as_long(g), k1), as_long(t), k1, k2, meta.astype(np.int32))], ["g", "t", "k1", "k2", "meta"])
+
     for batch in batches:
         k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
         for at, _, b in _blocks(batch, 2, length):
-            first, count = _settle(b.g, b.t)
             row = at + b.row
-            g = np.where(first, as_long(b.g), k1[row])
-            meta = b.number() * 4 + np.where(first, count, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, as_long(b.t), k1[row], k2[row], meta.astype(np.int32))], ["g", "t", "k1", "k2", "meta"])
+            held.append((b.g, b.t, k1[row], k2[row], b.number()))
+            runs += len(row)
+            if runs > RUNS:
+                yield settled()
+                held, runs = [], 0
+    if runs:
+        yield settled()
 
 
 def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
@@ -166,20 +187,25 @@ def _spread(l: np.ndarray, r: np.ndarray) -> np.ndarray:
     return np.repeat(l - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(l) else np.empty(0, np.int64)
 
 
-def _kept(raw: np.ndarray, starts: np.ndarray, length: int):
+def _merge(l: np.ndarray, r: np.ndarray, length: int):
+    """Union of the byte ranges [l, r + length) as starts and ends, in order."""
+    order = np.argsort(l, kind="stable")
+    a, b = l[order], np.maximum.accumulate(r[order] + length) if len(l) else r
+    new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]])) if len(a) else np.empty(0, np.int64)
+    return a[new], b[np.append(new[1:], len(a)) - 1] if len(a) else b
+
+
+def _kept(raw: np.ndarray, l: np.ndarray, r: np.ndarray, length: int):
     """Bytes and maximal runs removed, and the bytes kept."""
-    step = np.zeros(len(raw) + 1, np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + length, -1)
-    gone = np.cumsum(step[:-1]) > 0
-    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-    return int(gone.sum()), spans, raw[~gone].tobytes()
+    a, b = _merge(l, r, length)
+    cuts = zip([0, *b.tolist()], [*a.tolist(), len(raw)])
+    return int((b - a).sum()), len(a), b"".join(raw[i:j].tobytes() for i, j in cuts)
 
 
 def _applied(batches: Iterator[pa.RecordBatch], length: int):
     """Texts with what became of their runs: done ones with the bytes kept,
     those with suffixes to merge with the text (compressed), the decided
-    suffixes, and the runs to show or ask about."""
+    runs, and the runs to show or ask about."""
     squeeze = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         told = batch.column(3)
@@ -193,10 +219,9 @@ def _applied(batches: Iterator[pa.RecordBatch], length: int):
                 lo, raw = b.offs[i], buf[b.offs[i] : b.offs[i + 1]]
                 l, r = b.l[run] - lo, b.r[run] - lo
                 done = flag != ASKED
-                starts = _spread(l[done], r[done])
                 show = flag != DECIDED
-                ask = None if done.all() else starts.astype(np.int32).tobytes()
-                res = _kept(raw, starts, length) if ask is None else (None, None, None)
+                ask = None if done.all() else np.stack([l[done], r[done]]).astype(np.int32).tobytes()
+                res = _kept(raw, l, r, length) if ask is None else (None, None, None)
                 more = np.stack([l[show], r[show], ~done[show]]).astype(np.int32).tobytes() if show.any() else None
                 out.append((*res, squeeze.compress(raw.tobytes()) if show.any() else None, ask, more))
             n, s, kept, z, decided, show = zip(*out)
@@ -216,12 +241,18 @@ def _suffixes(batches: Iterator[pa.RecordBatch], length: int):
         for i in range(batch.num_rows):
             raw = np.frombuffer(back.decompress(batch.column(2)[i].as_py(), max_output_size=1 << 31), np.uint8)
             l, r, ask = np.frombuffer(batch.column(3)[i].as_py(), np.int32).reshape(3, -1).astype(np.int64)
-            at = _spread(l, r)
-            sums = np.zeros(len(raw) + 1, U64)
-            np.cumsum(_BYTE[raw] * powers(len(raw) + 1)[: len(raw)], out=sums[1:])
-            name = (sums[at + length] - sums[at]) * powers(len(raw) + 1, -1)[at]
-            half = mix((sums[at + length // 2] - sums[at]) * powers(len(raw) + 1, -1)[at])
-            part.append((mix(name), half & U64(0x7FFFFFFF), np.full(len(at), batch.column(0)[i].as_py()), np.full(len(at), batch.column(1)[i].as_py()), at, np.repeat(ask, r - l + 1)))
+            for lo in range(0, len(raw), SEGMENT):
+                here = (l >= lo) & (l < lo + SEGMENT)
+                if not here.any():
+                    continue
+                seg = raw[lo : lo + SEGMENT + 3 * length]  # a run starts in the segment and is at most half of ``length`` long
+                at = _spread(l[here] - lo, r[here] - lo)
+                sums = np.zeros(len(seg) + 1, U64)
+                np.cumsum(_BYTE[seg] * powers(len(seg) + 1)[: len(seg)], out=sums[1:])
+                name = (sums[at + length] - sums[at]) * powers(len(seg) + 1, -1)[at]
+                half = mix((sums[at + length // 2] - sums[at]) * powers(len(seg) + 1, -1)[at])
+                k1, k2 = (np.full(len(at), batch.column(c)[i].as_py()) for c in (0, 1))
+                part.append((mix(name), half & U64(0x7FFFFFFF), k1, k2, at + lo, np.repeat(ask[here], (r - l + 1)[here])))
         if not part:
             continue
         w, v, k1, k2, at, ask = (np.concatenate(x) for x in zip(*part))
@@ -260,9 +291,10 @@ def _finished(batches: Iterator[pa.RecordBatch], length: int):
         out = []
         for i in range(batch.num_rows):
             raw = np.frombuffer(back.decompress(batch.column(2)[i].as_py(), max_output_size=1 << 31), np.uint8)
-            starts = np.frombuffer(batch.column(3)[i].as_py(), np.int32).astype(np.int64)
-            told = batch.column(4)[i].as_py()
-            out.append(_kept(raw, np.concatenate([starts, np.array(told or [], np.int64)]), length))
+            l, r = np.frombuffer(batch.column(3)[i].as_py(), np.int32).reshape(2, -1).astype(np.int64)
+            told = batch.column(4)[i]
+            told = told.values.to_numpy(zero_copy_only=False).astype(np.int64) if told.is_valid else np.empty(0, np.int64)
+            out.append(_kept(raw, np.concatenate([l, told]), np.concatenate([r, told]), length))
         n, s, kept = zip(*out) if out else ((), (), ())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(kept, pa.binary())], ["k1", "k2", "n_removed", "n_spans", "kept"])
 

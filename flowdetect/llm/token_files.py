@@ -41,19 +41,19 @@ from pyspark.sql import functions as F
 from flowdetect.llm.common import shared_dir, table
 
 BATCH = 64
-KEPT_WORDS = 1_200_000
+KEPT_WORDS, KEPT_CHARS = 500_000, 40  # a worker remembers so many words of up to so many characters
 _WORDS = re.compile(r"[^ \t\n\r]+")
 _state: dict = {}
 
 
 def encode_texts(texts: list[str], path: str, kind) -> list[np.ndarray]:
-    if _state.get("path") != path:
+    if (_state.get("path"), _state.get("kind")) != (path, kind):
         from tokenizers import Tokenizer
 
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), known={})
+        _state.update(path=path, kind=kind, tokenizer=Tokenizer.from_file(path), known={})
     known, tokenizer = _state["known"], _state["tokenizer"]
     if len(known) > KEPT_WORDS:
-        known.clear()
+        known = _state["known"] = {}
     parts = [_WORDS.findall(t) for t in texts]
     found = [list(map(known.get, p)) for p in parts]
     open_ = [i for i, f in enumerate(found) if None in f]
@@ -70,7 +70,11 @@ def encode_texts(texts: list[str], path: str, kind) -> list[np.ndarray]:
             at = to
     for i in open_:
         found[i] = map(known.__getitem__, parts[i])
-    return [np.frombuffer(b"".join(f), kind) for f in found]
+    out = [np.frombuffer(b"".join(f), kind) for f in found]
+    for w in new:
+        if len(w) > KEPT_CHARS:
+            del known[w]
+    return out
 
 
 def schema(length: int, kind) -> pa.Schema:
@@ -185,6 +189,6 @@ def write_tokens(docs: DataFrame, path: str, folder: str | None = None, length:
 
 def read_documents(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
-    first = manifest.select("folder").first()
-    files = manifest.repartition("name")
+    first, n = manifest.select("folder").first(), manifest.count()
+    files = manifest.repartitionByRange(max(n, 1), "part")  # a task for each file
     return files.mapInArrow(partial(_read, folder=first["folder"] if first else "file:///"), "doc_id long, start long, n_tokens long, ids_crc32 long")
