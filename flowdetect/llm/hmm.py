@@ -11,7 +11,9 @@ Counts of words come from all training tokens. Baum-Welch runs over all training
 texts: every task computes expected transition and emission counts by scaled
 forward and backward recursions, vectorised across its texts; Spark sums them
 by symbol; the driver holds the model alone, whose size is fixed. The likelihood
-of a text is its scaled forward recursion, carried over its whole length.
+of a text is its scaled forward recursion, carried over its whole length. Texts
+of like length advance together; a very long one goes by blocks, whose states at
+the edges are carried over, so its counts and score are exact as well.
 
 Words stand under 64-bit hashes. Texts are turned to symbols once, into a table
 in the shared folder. Rare words are joined with their counts by Spark; frequent
@@ -123,72 +125,158 @@ def _symbolised(batches: Iterator[pa.RecordBatch], lexicon):
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "sym", "rw", "rz", "rn", "n_tokens", "known", "base"])
 
 
-class Model:
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
-        self.start, self.move, self.emit = start, move, emit  # emit: symbol x state
+SCALE = 8  # steps between two rescalings
+BLOCK = 200_000  # symbols of a long text whose states are held at a time
+
 
-    def forward(self, sym: list[np.ndarray], keep: bool = False):
-        """log10 likelihood of each sequence; with ``keep`` also what
-        :meth:`expected` needs. Sequences advance together, longest first."""
+class Model:
+    """Emissions are kept as ratios to each symbol's own share ``p``, so sums
+    stay near 1 and need rescaling only now and then."""
+
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, p: np.ndarray | None = None):
+        p = emit.mean(1) if p is None else p
+        self.start, self.move, self.ratio, self.log_p = start, move, emit / p[:, None], np.log10(p)
+
+    def _steps(self, seen: np.ndarray, live: np.ndarray, off: np.ndarray, alpha: np.ndarray, first: bool):
+        """Forward over emissions laid out step by step: alphas, the scale that
+        each was divided by, log10 likelihood by row, last alphas."""
+        path, log = np.empty_like(seen), np.zeros(len(alpha))
+        scales, one = np.ones(len(seen)), np.ones(seen.shape[1])
+        last = alpha.copy()
+        for t in range(len(live)):
+            a, o = live[t], off[t]
+            here = path[o : o + a]
+            if t == 0 and first:
+                np.multiply(alpha[:a], seen[o : o + a], out=here)
+            else:
+                np.matmul(alpha[:a], self.move, out=here)
+                here *= seen[o : o + a]
+            if t % SCALE == SCALE - 1:
+                scale = np.matmul(here, one, out=scales[o : o + a])
+                here /= scale[:, None]
+                log[:a] += np.log10(scale)
+            alpha = here
+            b = live[t + 1] if t + 1 < len(live) else 0
+            if b < a:
+                last[b:a] = here[b:]
+        total = last.sum(1)
+        return path, scales, log + np.log10(total), last / total[:, None]
+
+    @property
+    def emit(self) -> np.ndarray:
+        return self.ratio * 10 ** self.log_p[:, None]
+
+    @staticmethod
+    def _laid(sym: list[np.ndarray]):
+        """Sequences, longest first, laid out step by step."""
         n = np.array([len(s) for s in sym])
         order = np.argsort(-n, kind="stable")
-        flat, size = np.concatenate([sym[i] for i in order]).astype(np.int64), n[order]
-        at = np.concatenate([[0], np.cumsum(size)[:-1]])
+        size = n[order]
         live = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")
-        k, log = len(self.start), np.zeros(len(n))
-        alpha = np.tile(self.start, (len(n), 1))
-        path = np.empty((len(flat), k), np.float32) if keep else None
-        for t in range(size[0]):
-            a = live[t]
-            here = at[:a] + t
-            alpha = (alpha[:a] if t == 0 else alpha[:a] @ self.move) * self.emit[flat[here]]
-            scale = alpha.sum(1)
-            alpha /= scale[:, None]
-            log[:a] += np.log10(scale)
-            if keep:
-                path[here] = alpha
-        out = np.empty(len(n))
+        off = np.concatenate([[0], np.cumsum(live)])
+        flat = np.concatenate([sym[i] for i in order]).astype(np.int64)
+        row = np.repeat(np.arange(len(size)), size)
+        step = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        by_step = np.empty(len(flat), np.int64)
+        by_step[off[step] + row] = flat
+        return order, by_step, live, off
+
+    def forward(self, sym: list[np.ndarray]) -> np.ndarray:
+        """log10 likelihood of each sequence, exactly."""
+        out = np.empty(len(sym))
+        if len(sym) == 1 and len(sym[0]) > BLOCK:
+            s, alpha, out[0] = sym[0].astype(np.int64), self.start[None], 0.0
+            for lo in range(0, len(s), BLOCK):
+                part = s[lo : lo + BLOCK]
+                _, _, log, alpha = self._steps(np.take(self.ratio, part, axis=0), np.ones(len(part), np.int64), np.arange(len(part)), alpha, lo == 0)
+                out[0] += log[0] + self.log_p[part].sum()
+            return out
+        order, flat, live, off = self._laid(sym)
+        _, _, log, _ = self._steps(np.take(self.ratio, flat, axis=0), live, off, np.tile(self.start, (len(sym), 1)), True)
         out[order] = log
-        return (out, flat, at, live, path) if keep else out
+        return out + np.array([np.take(self.log_p, s).sum() for s in sym])
+
+    def _counts(self, flat, live, off, alpha, first, beta):
+        """Expected starts, moves and emissions of a block; ``beta`` stands
+        behind its last step (``beta``: what follows the block's end)."""
+        k = len(self.start)
+        one, turn = np.ones(k), np.ascontiguousarray(self.move.T)
+        right = np.take(self.ratio, flat, axis=0)
+        path, scales, _, _ = self._steps(right, live, off, alpha, first)
+        gamma = np.empty_like(path)
+        beta = beta.copy()
+        for t in range(len(live) - 1, -1, -1):
+            a, o = live[t], off[t]
+            if t + 1 < len(live):
+                b, ahead = live[t + 1], off[t + 1]
+                now = np.matmul(right[ahead : ahead + b], turn, out=beta[:b])
+                if t % SCALE == 0:
+                    now /= (now @ one)[:, None]
+            np.multiply(path[o : o + a], beta[:a], out=gamma[o : o + a])
+            right[o : o + a] *= beta[:a]
+        norm = gamma @ one
+        gamma /= norm[:, None]
+        # a step's row is the same row one step on
+        ahead = np.arange(live[0], len(flat))
+        behind = ahead - np.repeat(live[:-1], live[1:])
+        before = np.take(path, behind, axis=0)
+        before /= (norm[live[0] :] * scales[live[0] :])[:, None]
+        move = before.T @ right[live[0] :] * self.move
+        emit = np.stack([np.bincount(flat, weights=gamma[:, j], minlength=len(self.ratio)) for j in range(k)], 1)
+        return (right[: live[0]], gamma[: live[0]]), move, emit
 
     def expected(self, sym: list[np.ndarray]):
         """Expected counts: starts, moves, emissions (symbol x state)."""
-        _, flat, at, live, path = self.forward(sym, True)
         k = len(self.start)
-        move = np.zeros((k, k))
-        beta = np.ones((len(at), k))
-        gamma = path.astype(np.float64)
-        for t in range(len(live) - 2, -1, -1):
-            a, b = live[t], live[t + 1]
-            ahead = at[:b] + t + 1
-            back = beta[:b] * self.emit[flat[ahead]]
-            before = gamma[at[:b] + t].copy()
-            new = back @ self.move.T
-            norm = (before * new).sum(1)
-            move += (before / norm[:, None]).T @ back
-            # each row's scale cancels in gamma
-            beta[:b] = new / new.sum(1)[:, None]
-            g = before * beta[:b]
-            gamma[at[:b] + t] = g / g.sum(1)[:, None]
-        emit = np.stack([np.bincount(flat, weights=gamma[:, j], minlength=len(self.emit)) for j in range(k)], 1)
-        return gamma[at].sum(0), move * self.move, emit
-
-
-def _groups(batches: Iterator[pa.RecordBatch], kind, most: int = 1_000_000):
-    """Sequences in groups of about ``most`` symbols."""
-    held, rows, n = [], [], 0
+        if len(sym) == 1 and len(sym[0]) > BLOCK:
+            s = sym[0].astype(np.int64)
+            cuts = [s[lo : lo + BLOCK] for lo in range(0, len(s), BLOCK)]
+            alphas = [self.start[None]]
+            for i, part in enumerate(cuts[:-1]):
+                alphas.append(self._steps(np.take(self.ratio, part, axis=0), np.ones(len(part), np.int64), np.arange(len(part)), alphas[-1], i == 0)[3])
+            beta, move, emit = np.ones((1, k)), np.zeros((k, k)), np.zeros_like(self.ratio)
+            for i in range(len(cuts) - 1, -1, -1):
+                one = np.ones(len(cuts[i]), np.int64)
+                (right, gamma), m, e = self._counts(cuts[i], one, np.arange(len(one)), alphas[i], i == 0, beta)
+                move, emit = move + m, emit + e
+                if i:  # the move from the block before
+                    joint = alphas[i].T @ right * self.move
+                    move += joint / joint.sum()
+                    beta = right @ self.move.T
+                    beta /= beta.sum()
+            return gamma.sum(0), move, emit
+        _, flat, live, off = self._laid(sym)
+        (_, gamma), move, emit = self._counts(flat, live, off, np.tile(self.start, (len(sym), 1)), True, np.ones((len(sym), k)))
+        return gamma.sum(0), move, emit
+
+
+def _groups(batches: Iterator[pa.RecordBatch], kind, most: int = 250_000, window: int = 4_000_000):
+    """Sequences of like length in groups of about ``most`` symbols, out of a
+    window of sequences; a very long one goes alone."""
+    held, n = [], 0
+
+    def dealt():
+        held.sort(key=lambda x: -len(x[0]))
+        part, size = [], 0
+        for x in held:
+            if part and size + len(x[0]) > most:
+                yield [s for s, _, _ in part], [(b, i) for _, b, i in part]
+                part, size = [], 0
+            part.append(x)
+            size += len(x[0])
+        if part:
+            yield [s for s, _, _ in part], [(b, i) for _, b, i in part]
+
     for batch in batches:
-        col = batch.schema.get_field_index("sym")
+        col = batch.column(batch.schema.get_field_index("sym"))
         for i in range(batch.num_rows):
-            s = np.frombuffer(batch.column(col)[i].as_py(), kind)
-            held.append(s)
-            rows.append((batch, i))
-            n += len(s)
-            if n > most:
-                yield held, rows
-                held, rows, n = [], [], 0
+            held.append((np.frombuffer(col[i].as_py(), kind), batch, i))
+            n += len(held[-1][0])
+            if n > window:
+                yield from dealt()
+                held, n = [], 0
     if held:
-        yield held, rows
+        yield from dealt()
 
 
 def _expected(batches: Iterator[pa.RecordBatch], model, kind):
@@ -219,7 +307,7 @@ def _fitted(n: np.ndarray, counts, smooth: float = 1.0) -> Model:
     start, move, emit = counts
     p = (n + 1) / (n + 1).sum()
     emit = (emit + smooth * p[:, None]) / (emit.sum(0) + smooth)
-    return Model((start + 1) / (start + 1).sum(), (move + 1) / (move + 1).sum(1)[:, None], emit)
+    return Model((start + 1) / (start + 1).sum(), (move + 1) / (move + 1).sum(1)[:, None], emit, p)
 
 
 def scores(docs: DataFrame, states: int = 6, rounds: int = 3, symbols: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

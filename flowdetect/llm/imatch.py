@@ -2,21 +2,22 @@
 
 The lexicon holds the terms (lower-cased words) whose document frequency lies in
 a band, that is, within a band of inverse document frequency. A document keeps
-its distinct lexicon terms; each set of terms is hashed without regard to
-order (exclusive or of 60-bit term hashes, with their number), as hashing the
-sorted list would. This is done for the whole lexicon and for random subsets of
+its distinct lexicon terms; they are sorted (by a 60-bit hash of each) and the
+sorted list is hashed. This is done for the whole lexicon and for random subsets of
 it at several rates, so that documents of any length have subsets that hold a
 few of their terms. The likeness of two fingerprints is the share of equal hashes
 among the subsets in which either has a term.
 
 The lexicon's broadcast is bounded: a term in ``least`` of N documents uses up
 least * N of the N * d (document, term) pairs, d distinct terms a document on
-average, so there are at most d / least terms, whatever N is.
+average, so there are at most d / least terms, whatever N is. They are counted
+all the same, and beyond ``most_terms`` the join is left to Spark.
 
 Edge cases: null and empty texts have no terms and the empty fingerprint; two
 documents without lexicon terms have likeness 1 if their texts are equal, else
 0. Ties of the id are ordered by text; rows that repeat both are interchangeable.
-A null id comes last. Long texts are used whole. A single document is its own
+A null id comes last, such rows in order of
+text. Ids may lie anywhere in the range of a long. Long texts are used whole. A single document is its own
 next one. Empty tables give empty results; extra columns are ignored.
 """
 
@@ -30,7 +31,7 @@ from flowdetect.llm.common import table
 # (rate, subsets): each subset holds 1 / rate of the lexicon
 SCALES = ((1, 1), (4, 4), (16, 8), (64, 8), (256, 8))
 SUBSETS = sum(n for _, n in SCALES)
-ID_RANGE = 4096  # documents in a range of ids, about
+CUTS, ID_RANGE = 256, 4096  # quantiles of the ids; documents in a range of ids, about
 
 
 def terms(text: str) -> str:
@@ -49,12 +50,22 @@ def with_next(docs: DataFrame) -> DataFrame:
     """(b, rn: row key, doc_id, text, next, nb, nrn: key of the next row) in
     descending order of doc_id, the first after the last. Ranges of ids are the
     windows; only one row per range meets in the window over ranges."""
-    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, ((hi or 0) - (lo or 0) + 1) * ID_RANGE // max(n, 1))
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.expr(f"(doc_id - {lo or 0}L) DIV {width}L"), F.lit(-1)).alias("b"))
+    share = [i / CUTS for i in range(CUTS)]
+    cuts, n = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), share, 10_000), F.count("*")).first()
+    cuts = sorted(set(cuts or [0]))
+    parts = max(1, n // (CUTS * ID_RANGE))
+    wide = [max(float(hi) - float(lo), 1.0) / parts for lo, hi in zip(cuts, [*cuts[1:], cuts[-1] + 1])]
+    x, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    # the quantile that an id lies in, and its place between this one and the next
+    i = F.greatest(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= x)), F.lit(1))
+    low, width = (F.element_at(F.array(*map(F.lit, v)), i) for v in (cuts, wide))
+    place = F.floor((x.cast("double") - low.cast("double")) / width)
+    b = i.cast("long") * parts + F.greatest(F.lit(0), F.least(F.lit(parts - 1), place))
+    lead = F.coalesce(F.conv(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 2)), 16, 10).cast("long"), F.lit(0))
+    d = docs.select("doc_id", text.alias("text"), F.when(x.isNotNull(), b).otherwise(-1 - lead).alias("b"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
     w = Window.partitionBy("b").orderBy(*order)
-    heads = d.groupBy("b").agg(F.min_by("text", F.struct(-F.coalesce("doc_id", F.lit(0)), F.col("text"))).alias("head"))
+    heads = d.groupBy("b").agg(F.min_by("text", F.struct(F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))), F.col("text"))).alias("head"))
     ranges = Window.orderBy(F.desc("b"))
     follow = heads.select("b", F.coalesce(F.lead("b").over(ranges), F.max("b").over(ranges)).alias("nb"))
     follow = follow.join(heads.select(F.col("b").alias("nb"), "head"), "nb")
@@ -81,19 +92,20 @@ def _likeness(a: str, b: str, same: str) -> str:
     return f"CASE WHEN size({known}) = 0 THEN CASE WHEN {same} THEN 1D ELSE 0D END ELSE aggregate({known}, 0, (s, x) -> s + x) / cast(size({known}) AS double) END"
 
 
-def fingerprints(docs: DataFrame, least: float = 0.001, most: float = 0.1, min_df: int = 2) -> DataFrame:
+def fingerprints(docs: DataFrame, least: float = 0.001, most: float = 0.1, min_df: int = 2, most_terms: int = 1_000_000) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next; see the module's text."""
     docs = docs.select("doc_id", "text")
-    words = F.broadcast(lexicon(docs.select(F.coalesce("text", F.lit("")).alias("text")), least, most, min_df))
+    words = table(lexicon(docs.select(F.coalesce("text", F.lit("")).alias("text")), least, most, min_df), "lexicon")
+    words = F.broadcast(words) if words.count() <= most_terms else words
     rows = with_next(docs).withColumn("n", F.length("text")).withColumn("edited", F.expr("concat(substr(text, 1, n - n DIV 2), substr(next, 1, n DIV 2))"))
     # narrow rows: (row, position in both lists of terms); the position tells the text
     flat = rows.select("b", "rn", F.expr(terms("text")).alias("own"), F.expr(terms("edited")).alias("ed"))
     flat = flat.select("b", "rn", F.size("own").alias("k"), F.posexplode(F.concat("own", "ed")).alias("p", "term"))
     held = flat.join(words, "term").select("b", "rn", (F.col("p") >= F.col("k")).cast("int").alias("tag"), "h")
     held = held.select("b", "rn", "tag", "h", F.explode(F.expr(_members())).alias("s"))
-    sets = held.groupBy("b", "rn", "tag", "s").agg(F.bit_xor("h").alias("x"), F.count("*").alias("k"))
-    entry = F.struct((F.col("tag") * SUBSETS + F.col("s")).cast("int").alias("at"), F.expr("substr(md5(concat(x, ':', k)), 1, 8)").alias("f"))
+    sets = held.groupBy("b", "rn", "tag", "s").agg(F.sort_array(F.collect_list("h")).alias("x"))
+    entry = F.struct((F.col("tag") * SUBSETS + F.col("s")).cast("int").alias("at"), F.expr("substr(md5(array_join(x, ',')), 1, 8)").alias("f"))
     maps = table(sets.groupBy("b", "rn").agg(F.map_from_entries(F.collect_list(entry)).alias("m")), "imatch")
     base = rows.select(
         "b", "rn", "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), "nb", "nrn",

@@ -9,8 +9,8 @@ its cap.
 
 Whole repetitions of a source take every document; for the fraction that
 remains, documents are ordered by a seeded hash and taken while their running
-size stays within the fraction. The running size is a prefix sum over 256 hash
-ranges per source, so that no source, however large, meets in one task.
+size stays within the fraction. The running size is a prefix sum over hash
+ranges (256 per source, or more by ``digits``), so that no source, however large, meets in one task.
 
 Edge cases: a null text has size 0; a null source is a source of its own, the
 last. An empty table gives an empty result; with no words at all every target
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowdetect.llm.common import table
+from flowdetect.llm.common import hidden, table, without
 
 WORDS = r"[^\x20\x09-\x0D]+"
 ADDED = ("size", "source_size", "target", "taken")
@@ -55,33 +55,39 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget_perce
     return per.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5, 2, 1), budget_percent: int = 150, max_epochs: int = 2, id_col: str = "doc_id", size: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5, 2, 1), budget_percent: int = 150, max_epochs: int = 2, id_col: str = "doc_id", size: Column | None = None, digits: int = 2) -> DataFrame:
     """Adds size, source_size, target and taken (words, repeats counted).
-    ``size``: a measure other than the words of ``text``. Reads ``docs`` twice
+    ``size``: a measure other than the words of ``text``. ``digits``: of the
+    hash that name a range, 16 ** digits ranges a source. Reads ``docs`` twice
     and deals it out once, by source and hash range."""
-    given = [c for c in docs.columns if c not in ADDED]
-    sized = docs.withColumn("_z", n_words(F.col("text")) if size is None else size)
-    sized = sized.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))))
-    sized = sized.withColumns({"_b": F.substring("_h", 1, 2), "_s": F.coalesce("source", F.lit("")), "_sn": F.col("source").isNull()})
-    # sums by source and hash range: 256 rows a source at most
-    ranges = table(sized.groupBy("_s", "_sn", "_b").agg(F.sum("_z").alias("_n")), "ranges")
-    of = targets(ranges.select(F.when(~F.col("_sn"), F.col("_s")).alias("source"), F.col("_n").alias("size")), weights, budget_percent, max_epochs)
-    of = of.select(F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_sn"), "source_size", "target")
-    order = Window.partitionBy("_s", "_sn").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).drop("_n").join(of, ["_s", "_sn"])
-    within = Window.partitionBy("_s", "_sn", "_b").orderBy("_h", "_z").rowsBetween(Window.unboundedPreceding, -1)
-    sized = sized.drop("source_size", "target").withColumn("_own", F.coalesce(F.sum("_z").over(within), F.lit(0)))
-    both = sized.join(ranges, ["_s", "_sn", "_b"])
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("target") - whole * F.col("source_size")
+    given = without(docs, ADDED)
+    z, h, b, s, sn, own = (hidden(docs, "z", "h", "b", "s", "sn", "own")[x] for x in ("z", "h", "b", "s", "sn", "own"))
+    sized = docs.withColumn(z, n_words(F.col("text")) if size is None else size).select(*(F.col(f"`{c}`") for c in given), z)
+    sized = sized.withColumn(h, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))))
+    sized = sized.withColumns({b: F.substring(h, 1, digits), s: F.coalesce("source", F.lit("")), sn: F.col("source").isNull()})
+    # sums by source and hash range
+    ranges = table(sized.groupBy(s, sn, b).agg(F.sum(z).alias("n")), "ranges")
+    of = targets(ranges.select(F.when(~F.col(sn), F.col(s)).alias("source"), F.col("n").alias("size")), weights, budget_percent, max_epochs)
+    of = of.select(F.coalesce("source", F.lit("")).alias(s), F.col("source").isNull().alias(sn), "source_size", "target")
+    order = Window.partitionBy(s, sn).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    before, goal = hidden(docs, "before", "goal").values()
+    ranges = ranges.withColumn(before, F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n").join(of, [s, sn])
+    ranges = ranges.select(s, sn, b, before, F.struct("source_size", "target").alias(goal))
+    within = Window.partitionBy(s, sn, b).orderBy(h, z).rowsBetween(Window.unboundedPreceding, -1)
+    sized = sized.withColumn(own, F.coalesce(F.sum(z).over(within), F.lit(0)))
+    both = sized.join(ranges, [s, sn, b])
+    of_source, target = F.col(f"{goal}.source_size"), F.col(f"{goal}.target")
+    whole = F.when(of_source > 0, F.floor(target / of_source)).otherwise(F.lit(0)).cast("long")
+    rest = target - whole * of_source
     # the document at the boundary is taken if at least half of it is due
-    more = F.col("_before") + F.col("_own") + F.col("_z") / 2.0 <= rest
-    taken = F.col("_z") * F.least(whole + more.cast("long"), F.lit(max_epochs))
-    return both.select(*(F.col(f"`{c}`") for c in given), F.col("_z").alias("size"), "source_size", "target", taken.alias("taken"))
+    more = F.col(before) + F.col(own) + F.col(z) / 2.0 <= rest
+    taken = F.col(z) * F.least(whole + more.cast("long"), F.lit(max_epochs))
+    return both.select(*(F.col(f"`{c}`") for c in given), F.col(z).alias("size"), of_source.alias("source_size"), target.alias("target"), taken.alias("taken"))
 
 
 def repeat(mixed: DataFrame) -> DataFrame:
     """One row per repetition that the mix takes; the columns of the input."""
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0)).cast("int")
-    rows = mixed.withColumn("_k", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(0)) + 1))).where(F.col("_k") <= times)
-    return rows.drop("_k", *ADDED)
+    k = hidden(mixed, "k")["k"]
+    rows = mixed.withColumn(k, F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(0)) + 1))).where(F.col(k) <= times)
+    return rows.drop(k, *ADDED)

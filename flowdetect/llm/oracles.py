@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from flowdetect.llm import imatch
 from flowdetect.llm import quality as q
 
 _SPLIT = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -11,7 +10,7 @@ _SPLIT = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x
 def _op1() -> str:
     n = len(q.CLASSES)
     own = ", ".join(f"len(regexp_replace(j, '[^{c}]+', '', 'g')) AS _c_{k}" for k, c in (("lower", "a-z"), ("upper", "A-Z"), ("digit", "0-9")))
-    words = ", ".join(f"len(list_filter(w, lambda x: x = '{v}' OR x = '{v.capitalize()}')) AS _w_{v}" for v in q.VOCAB)
+    words = ", ".join(f"len(list_filter(w, lambda x: x = '{v}' OR x = '{v.capitalize()}')) AS _w_{v}" for v in q.vocabulary(q.COMMON))
     sums, chars, dists = [], [], []
 
     def js(pairs, p_all, q_all):
@@ -28,7 +27,9 @@ def _op1() -> str:
         chars.append(js(list(zip(cols[:n], ref[:n])), " + ".join(cols[:n]), " + ".join(ref[:n])))
         rest = (f"n_words - ({' + '.join(cols[n:-1])})", f"{ref[-1]} - ({' + '.join(ref[n:-1])})")
         dists.append(js([*zip(cols[n:-1], ref[n:-1]), rest], "n_words", ref[-1]))
-    base, kept = q.rules_sql(0.25, 0.27, 200, 100)
+    base = "(n_words < 10 OR n_repeat_words > 0.2 * n_words)"
+    far = "((word_chars >= 200 AND coalesce(char_distance, 0) > 0.25) OR (n_words >= 100 AND coalesce(word_distance, 0) > 0.27))"
+    kept = f"(NOT {base} AND NOT ((lang IS NULL OR lang IN ('en', 'de', 'fr', 'es')) AND {far}))"
     return rf"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, {_SPLIT} AS w, regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g') AS j FROM t),
@@ -74,11 +75,12 @@ SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p
 
 
 def _op8() -> str:
+    # the whole lexicon; four quarters; eight of 16, of 64 and of 256 parts
     members, first = [], 0
-    for k, (rate, n) in enumerate(imatch.SCALES):
-        members.append(f"CASE WHEN (h // {1000 ** k}) % {rate} < {n} THEN {first} + (h // {1000 ** k}) % {rate} END")
+    for digit, (rate, n) in (("h", (1, 1)), ("h // 1000", (4, 4)), ("h // 1000000", (16, 8)), ("h // 1000000000", (64, 8)), ("h // 1000000000000", (256, 8))):
+        members.append(f"CASE WHEN ({digit}) % {rate} < {n} THEN {first} + ({digit}) % {rate} END")
         first += n
-    n = imatch.SUBSETS
+    n = first
     near = "CASE WHEN count(*) FILTER ({a} <> '' OR {b} <> '') = 0 THEN max(CASE WHEN {same} THEN 1e0 ELSE 0e0 END) ELSE count(*) FILTER ({a} <> '' AND {a} = {b}) / (count(*) FILTER ({a} <> '' OR {b} <> ''))::DOUBLE END"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -88,7 +90,7 @@ w AS (SELECT doc_id, 0 AS tag, unnest(list_distinct(list_filter(regexp_split_to_
   UNION ALL SELECT doc_id, 1, unnest(list_distinct(list_filter(regexp_split_to_array(lower(ed), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) FROM e),
 x AS (SELECT term, ('0x' || substr(md5(term), 1, 15))::BIGINT AS h FROM w WHERE tag = 0 GROUP BY term HAVING count(*) >= greatest(2, 0.001 * (SELECT count(*) FROM d)) AND count(*) <= 0.1 * (SELECT count(*) FROM d)),
 m AS (SELECT doc_id, tag, h, unnest([{', '.join(members)}]) AS s FROM w JOIN x USING (term)),
-g AS (SELECT doc_id, tag, s, substr(md5(bit_xor(h) || ':' || count(*)), 1, 8) AS f FROM m WHERE s IS NOT NULL GROUP BY ALL),
+g AS (SELECT doc_id, tag, s, substr(md5(string_agg(h, ',' ORDER BY h)), 1, 8) AS f FROM m WHERE s IS NOT NULL GROUP BY ALL),
 a AS (SELECT e.doc_id, i.s, coalesce(g0.f, '') AS own, coalesce(g1.f, '') AS edf, coalesce(g2.f, '') AS nxt, t = ed AS same_ed, t = nt AS same_nt FROM e CROSS JOIN range(0, {n}) i(s)
   LEFT JOIN g g0 ON g0.doc_id = e.doc_id AND g0.s = i.s AND g0.tag = 0 LEFT JOIN g g1 ON g1.doc_id = e.doc_id AND g1.s = i.s AND g1.tag = 1 LEFT JOIN g g2 ON g2.doc_id = e.nid AND g2.s = i.s AND g2.tag = 0),
 f AS (SELECT doc_id, string_agg(CASE own WHEN '' THEN '-' ELSE own END, '' ORDER BY s) AS fingerprint, string_agg(CASE edf WHEN '' THEN '-' ELSE edf END, '' ORDER BY s) AS edited_fingerprint,

@@ -7,19 +7,25 @@ tag) by Jensen-Shannon distance (base 2, 0 to 1). A document is rejected when
 it is far from every language, in characters or in words. Texts too short for
 a histogram to mean anything are exempt (minimum-length guards).
 
+Languages are those that ``common`` has word lists for (a parameter; four are
+built in).
+
 Edge cases: a null text counts as empty: 0 words, so ``base_failed``. A null
-or unknown ``lang`` adds nothing to the references; the document is judged
-against all of them. A language without documents is no reference; without any
+``lang`` adds nothing to the references; the document is judged against all of
+them. A ``lang`` without a word list is no reference and is judged by the base
+limits alone. A language without documents is no reference; without any
 reference the method rejects nothing. Empty tables give empty results. Extra
-columns pass through, and ones that clash with the added names are replaced.
-Repeated rows are judged alike, each on its own.
+columns pass through; ones named like the added columns, ``_hist`` or ``_refs``
+(case ignored) are replaced. Repeated rows are judged alike, each on its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowdetect.llm.common import hidden, without
+
 WS = r"[\\x20\\x09-\\x0D]+"
 CLASSES = ("lower", "space", "upper", "digit", "wide", "punct")
 # Eight common words of each language.
@@ -29,63 +35,76 @@ COMMON = {
     "fr": ("de", "la", "le", "et", "les", "des", "en", "un"),
     "es": ("de", "la", "que", "el", "en", "y", "a", "los"),
 }
-VOCAB = tuple(dict.fromkeys(w for ws in COMMON.values() for w in ws))
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-HIST = "_hist"
+HIST, REFS = "_hist", "_refs"
+
 
+def vocabulary(common: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(w for ws in common.values() for w in ws))
 
-def stats(docs: DataFrame) -> DataFrame:
+
+def stats(docs: DataFrame, common: dict[str, tuple[str, ...]] = COMMON) -> DataFrame:
     """Adds the base counts and the histogram columns to ``docs``."""
-    given = [F.col(f"`{c}`") for c in docs.columns if c not in STATS and c != HIST]
+    names = without(docs, (*STATS, HIST))
+    given = [F.col(f"`{c}`") for c in names]
+    mark = hidden(docs, "")[""]
+    vocab = vocabulary(common)
+
+    def sql(text: str) -> Column:
+        """SQL with @ for the mark of helper columns."""
+        return F.expr(text.replace("@", mark))
+
     # Common words count in lower case and capitalised. What follows holds every array that a lambda looks into as a column of its own.
-    d = docs.select(*given, F.coalesce(F.col("text"), F.lit("")).alias("_t"))
-    d = d.withColumn("_w", F.expr(f"array_remove(split(_t, '{WS}'), '')"))
+    d = docs.select(*given, F.coalesce(F.col("text"), F.lit("")).alias(f"{mark}t"))
+    d = d.withColumn(f"{mark}w", sql(f"array_remove(split(@t, '{WS}'), '')"))
     d = d.withColumn(
-        "_h",
-        F.expr("transform(slice(_w, 1, greatest(size(_w) - 4, 0)), (x, i) -> xxhash64(x, _w[i + 1], _w[i + 2], _w[i + 3], _w[i + 4]))"),
-    ).withColumn("_j", F.expr("array_join(_w, '')"))
+        f"{mark}h",
+        sql("transform(slice(@w, 1, greatest(size(@w) - 4, 0)), (x, i) -> xxhash64(x, @w[i + 1], @w[i + 2], @w[i + 3], @w[i + 4]))"),
+    ).withColumn(f"{mark}j", sql("array_join(@w, '')"))
     d = d.withColumn(
-        "_s",
-        F.expr("CASE WHEN size(array_distinct(_h)) < size(_h) THEN array_sort(transform(_h, (x, i) -> struct(x AS h, i AS i))) END"),
-    ).withColumn("_r1", F.expr("regexp_replace(_j, '[a-z]+', '')"))
+        f"{mark}s",
+        sql("CASE WHEN size(array_distinct(@h)) < size(@h) THEN array_sort(transform(@h, (x, i) -> struct(x AS h, i AS i))) END"),
+    ).withColumn(f"{mark}r1", sql("regexp_replace(@j, '[a-z]+', '')"))
+    # equal hashes are confirmed by the words themselves
+    same = "@s[k {0} 1].h = e.h AND slice(@w, @s[k {0} 1].i + 1, 5) = slice(@w, e.i + 1, 5)"
     d = d.withColumn(
-        "_p",
-        F.expr("CASE WHEN _s IS NOT NULL THEN array_sort(transform(filter(_s, (e, k) -> (k > 0 AND e.h = _s[k - 1].h) OR (k + 1 < size(_s) AND e.h = _s[k + 1].h)), e -> e.i)) END"),
-    ).withColumn("_r2", F.expr("regexp_replace(_r1, '[A-Z]+', '')"))
-    d = d.withColumn("_r3", F.expr("regexp_replace(_r2, '[0-9]+', '')"))
-    d = d.withColumn("_r4", F.expr(r"regexp_replace(_r3, '[^\\x00-\\x7F]+', '')"))
-    known = ", ".join(f"'{w}', '{w.capitalize()}'" for w in VOCAB)
-    vocab = ", ".join(f"'{w}'" for w in VOCAB)
-    d = d.withColumn("_k", F.expr(f"filter(_w, x -> x IN ({known}))"))
-    d = d.withColumn("_l", F.expr(r"filter(split(_t, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"))
+        f"{mark}p",
+        sql(f"CASE WHEN @s IS NOT NULL THEN array_sort(transform(filter(@s, (e, k) -> (k > 0 AND {same.format('-')}) OR (k + 1 < size(@s) AND {same.format('+')})), e -> e.i)) END"),
+    ).withColumn(f"{mark}r2", sql("regexp_replace(@r1, '[A-Z]+', '')"))
+    d = d.withColumn(f"{mark}r3", sql("regexp_replace(@r2, '[0-9]+', '')"))
+    d = d.withColumn(f"{mark}r4", sql(r"regexp_replace(@r3, '[^\\x00-\\x7F]+', '')"))
+    known = ", ".join(f"'{w}', '{w.capitalize()}'" for w in vocab)
+    words = ", ".join(f"'{w}'" for w in vocab)
+    d = d.withColumn(f"{mark}k", sql(f"filter(@w, x -> x IN ({known}))"))
+    d = d.withColumn(f"{mark}l", sql(r"filter(split(@t, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"))
     return d.select(
         *given,
-        F.expr("cast(size(_w) AS bigint) AS n_words"),
-        F.expr("cast(length(_j) AS bigint) AS word_chars"),
-        F.expr("cast(length(_r4) - length(regexp_replace(_r4, '[#*$%&|<>]+', '')) AS bigint) AS n_symbols"),
-        F.expr("cast(size(_l) - size(array_distinct(_l)) AS bigint) AS n_dup_lines"),
-        F.expr("""cast(coalesce(aggregate(zip_with(_p, slice(_p, 2, size(_p)), (a, b) -> least(5, coalesce(b - a, 5))), 0, (s, x) -> s + x), 0) AS bigint) AS n_repeat_words"""),
-        F.expr(
-            "cast(concat(array(length(_j) - length(_r1), length(_t) - length(_j), length(_r1) - length(_r2), length(_r2) - length(_r3), length(_r3) - length(_r4), length(_r4)),"
-            f" transform(array({vocab}), v -> 2 * size(_k) - size(array_remove(_k, v)) - size(array_remove(_k, concat(upper(left(v, 1)), substr(v, 2)))))) AS array<bigint>)"
+        sql("cast(size(@w) AS bigint) AS n_words"),
+        sql("cast(length(@j) AS bigint) AS word_chars"),
+        sql("cast(length(@r4) - length(regexp_replace(@r4, '[#*$%&|<>]+', '')) AS bigint) AS n_symbols"),
+        sql("cast(size(@l) - size(array_distinct(@l)) AS bigint) AS n_dup_lines"),
+        sql("cast(coalesce(aggregate(zip_with(@p, slice(@p, 2, size(@p)), (a, b) -> least(5, coalesce(b - a, 5))), 0, (s, x) -> s + x), 0) AS bigint) AS n_repeat_words"),
+        sql(
+            "cast(concat(array(length(@j) - length(@r1), length(@t) - length(@j), length(@r1) - length(@r2), length(@r2) - length(@r3), length(@r3) - length(@r4), length(@r4)),"
+            f" transform(array({words}), v -> 2 * size(@k) - size(array_remove(@k, v)) - size(array_remove(@k, concat(upper(left(v, 1)), substr(v, 2)))))) AS array<bigint>)"
         ).alias(HIST),
     )
 
 
-def references(measured: DataFrame) -> DataFrame:
-    """One row ``refs``: map of language to its summed histogram, with the
+def references(measured: DataFrame, common: dict[str, tuple[str, ...]] = COMMON) -> DataFrame:
+    """One row ``_refs``: map of language to its summed histogram, with the
     number of words as the last bin. Its size is fixed."""
     bins = (
-        measured.where(F.col("lang").isin(*COMMON))
+        measured.where(F.col("lang").isin(*common))
         .select("lang", F.posexplode(F.concat(HIST, F.array("n_words"))).alias("bin", "n"))
         .groupBy("lang", "bin")
         .agg(F.sum("n").alias("n"))
     )
     return bins.groupBy().agg(
         F.map_from_arrays(
-            F.array(*(F.lit(x) for x in COMMON)),
-            F.array(*(F.transform(F.array_sort(F.collect_list(F.when(F.col("lang") == x, F.struct("bin", "n")))), lambda e: e["n"]) for x in COMMON)),
-        ).alias("refs")
+            F.array(*(F.lit(x) for x in common)),
+            F.array(*(F.transform(F.array_sort(F.collect_list(F.when(F.col("lang") == x, F.struct("bin", "n")))), lambda e: e["n"]) for x in common)),
+        ).alias(REFS)
     )
 
 
@@ -97,45 +116,46 @@ def _distance(p: str, q: str) -> str:
     return f"CASE WHEN {total(p)} > 0 AND {total(q)} > 0 THEN sqrt(greatest(0D, aggregate({of}, 0D, (s, x) -> s + x) / (2 * ln(2D)))) END"
 
 
-def _distances() -> tuple[str, str]:
+def _distances(common: dict[str, tuple[str, ...]]) -> tuple[str, str]:
     """SQL of the least distance to any language, in characters and in words."""
     chars, words = [], []
-    n = len(CLASSES)
-    for lang, common in COMMON.items():
-        ref = f"refs['{lang}']"
+    n, vocab = len(CLASSES), vocabulary(common)
+    for lang, own_words in common.items():
+        ref = f"{REFS}['{lang}']"
         chars.append(_distance(f"slice({HIST}, 1, {n})", f"slice({ref}, 1, {n})"))
-        at = ", ".join(str(n + 1 + VOCAB.index(w)) for w in common)
+        at = ", ".join(str(n + 1 + vocab.index(w)) for w in own_words)
         own, theirs = (f"transform(array({at}), i -> element_at({h}, i))" for h in (HIST, ref))
         rest = "concat({0}, array({1} - aggregate({0}, 0L, (s, x) -> s + x)))".format
         there = f"size({ref}) > 0 AND n_words > 0"
         words.append(f"CASE WHEN {there} THEN {_distance(rest(own, 'n_words'), rest(theirs, f'element_at({ref}, -1)'))} END")
-    return f"round(least({', '.join(chars)}), 6)", f"round(least({', '.join(words)}), 6)"
-
+    least = lambda d: f"least({', '.join(d)})" if len(d) > 1 else d[0]
+    return f"round({least(chars)}, 6)", f"round({least(words)}, 6)"
 
-def rules_sql(max_char: float, max_word: float, min_chars: int, min_words: int) -> tuple[str, str]:
-    base = "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)"
-    method = f"NOT coalesce(word_chars >= {min_chars} AND char_distance > {max_char}, false) AND NOT coalesce(n_words >= {min_words} AND word_distance > {max_word}, false)"
-    return base, f"(NOT {base} AND {method})"
 
-
-def judge(measured: DataFrame, refs: DataFrame, max_char: float = 0.25, max_word: float = 0.27, min_chars: int = 200, min_words: int = 100) -> DataFrame:
+def judge(
+    measured: DataFrame, refs: DataFrame, max_char: float = 0.25, max_word: float = 0.27, min_chars: int = 200, min_words: int = 100,
+    common: dict[str, tuple[str, ...]] = COMMON,
+) -> DataFrame:
     """Adds char_distance, word_distance, base_failed and kept to what
     :func:`stats` returned. ``refs`` is the row of :func:`references`: its
     broadcast has a fixed size."""
-    added = ("char_distance", "word_distance", "base_failed", "kept", "refs")
-    given = [c for c in measured.columns if c not in added and c != HIST]
-    char, word = _distances()
-    base, kept = rules_sql(max_char, max_word, min_chars, min_words)
-    both = measured.drop(*added).crossJoin(F.broadcast(refs))
+    added = ("char_distance", "word_distance", "base_failed", "kept")
+    given = without(measured, (*added, HIST, REFS))
+    char, word = _distances(common)
+    base = "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)"
+    far = f"coalesce(word_chars >= {min_chars} AND char_distance > {max_char}, false) OR coalesce(n_words >= {min_words} AND word_distance > {max_word}, false)"
+    both = measured.select(*(F.col(f"`{c}`") for c in (*given, HIST))).crossJoin(F.broadcast(refs))
     both = both.withColumns({"char_distance": F.expr(char), "word_distance": F.expr(word)})
-    return both.select(*(F.col(f"`{c}`") for c in given), "char_distance", "word_distance", F.expr(base).alias("base_failed"), F.expr(kept).alias("kept"))
+    judged = F.col("lang").isNull() | F.col("lang").isin(*common)
+    kept = ~F.expr(base) & ~(judged & F.expr(far))
+    return both.select(*(F.col(f"`{c}`") for c in given), "char_distance", "word_distance", F.expr(base).alias("base_failed"), kept.alias("kept"))
 
 
-def quality_rules(docs: DataFrame, **limits) -> DataFrame:
+def quality_rules(docs: DataFrame, common: dict[str, tuple[str, ...]] = COMMON, **limits) -> DataFrame:
     """``docs`` with counts, distances and verdict; reads ``docs`` twice.
 
     The rows pass through a generator: a filter on the verdict stays above it.
     Pushed below, it would hold every step above as one nested expression."""
-    measured = stats(docs)
-    judged = judge(measured, references(measured), **limits)
+    measured = stats(docs, common)
+    judged = judge(measured, references(measured, common), common=common, **limits)
     return judged.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in judged.columns)))))
