@@ -12,9 +12,20 @@ def is_internal(ip: str) -> str:
     return f"({ip} rlike '{INTERNAL}')"
 
 
+def let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def entropy(a: str) -> str:
-    """Shannon entropy in bits of an array's values, 0 if empty."""
-    return f"aggregate(transform(array_distinct({a}), v -> cast(size({a}) - size(array_remove({a}, v)) AS double) / size({a})), 0D, (s, p) -> s - p * log2(p))"
+    """Shannon entropy in bits of an array's values, 0 if empty: the values are
+    sorted once and their runs counted."""
+    c_log = "if(s.c > 1, s.c * log2(s.c), 0D)"
+    fold = (
+        f"aggregate(slice(_e, 2, greatest(size(_e) - 1, 0)), named_struct('v', _e[0], 'c', 1D, 'h', 0D), "
+        f"(s, x) -> if(x <=> s.v, named_struct('v', s.v, 'c', s.c + 1D, 'h', s.h), named_struct('v', x, 'c', 1D, 'h', s.h + {c_log})), s -> log2(size(_e)) - (s.h + {c_log}) / size(_e))"
+    )
+    return let("_e", f"array_sort({a})", f"CASE WHEN size(_e) > 0 THEN greatest({fold}, 0D) ELSE 0D END")
 
 
 def char_entropy(s: str) -> str:
@@ -23,12 +34,12 @@ def char_entropy(s: str) -> str:
 
 def interval_stats(us: str) -> str:
     """struct(mean, std) of the gaps in seconds of an array of micros; the
-    population standard deviation; (0, 0) below two values."""
-    a = f"array_sort({us})"
-    gaps = f"transform(zip_with(slice({a}, 1, greatest(size({a}) - 1, 0)), slice({a}, 2, greatest(size({a}) - 1, 0)), (x, y) -> y - x), g -> g / 1e6)"
-    mean = f"aggregate({gaps}, 0D, (s, g) -> s + g) / greatest(size({gaps}), 1)"
-    std = f"sqrt(greatest(aggregate({gaps}, 0D, (s, g) -> s + (g - ({mean})) * (g - ({mean}))) / greatest(size({gaps}), 1), 0D))"
-    return f"named_struct('mean', {mean}, 'std', {std})"
+    population standard deviation; (0, 0) below two values. One sort, one pass."""
+    mean = "if(size(_t) > 1, (_t[size(_t) - 1] - _t[0]) / 1e6D / (size(_t) - 1), 0D)"
+    fold = "aggregate(_t, named_struct('t', _t[0], 'q', 0D), (s, x) -> named_struct('t', x, 'q', s.q + if(x IS NULL, 0D, power((x - s.t) / 1e6D - _m, 2))), s -> s.q)"
+    # the first value differs from itself by 0, which is not a gap
+    std = f"if(size(_t) > 1, sqrt(greatest(({fold} - power(_m, 2)) / (size(_t) - 1), 0D)), 0D)"
+    return let("_t", f"array_sort({us})", let("_m", mean, f"named_struct('mean', _m, 'std', {std})"))
 
 
 def mean_of(a: str) -> str:
@@ -37,7 +48,7 @@ def mean_of(a: str) -> str:
 
 def std_of(a: str) -> str:
     """Population standard deviation of an array, 0 below two values."""
-    return f"CASE WHEN size({a}) > 1 THEN sqrt(aggregate({a}, 0D, (s, x) -> s + power(x - aggregate({a}, 0D, (t, y) -> t + y) / size({a}), 2)) / size({a})) ELSE 0D END"
+    return let("_m", mean_of(a), f"CASE WHEN size({a}) > 1 THEN sqrt(aggregate({a}, 0D, (s, x) -> s + power(x - _m, 2)) / size({a})) ELSE 0D END")
 
 
 def consonant_ratio(s: str) -> str:

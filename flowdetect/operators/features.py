@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowdetect.functions import expr as x
-from flowdetect.operators.windows import halo, last_rows, trailing
+from flowdetect.operators.windows import frame_stats, halo, last_rows, trailing
 
 S = 1_000_000
 
@@ -15,26 +15,20 @@ S = 1_000_000
 def flood_features(flows: DataFrame, seconds: int = 10, digits: int = 4) -> DataFrame:
     """Adds packet_rate, unique_dst_ports, dst_port_entropy, mean_iat, std_iat,
     unique_src_ips and src_ip_entropy over all traffic of the last seconds."""
-    w = trailing(seconds * S, "_b")
-    d = halo(flows, seconds * S).withColumn("_f", F.collect_list(F.struct("dst_port", "src_ip", "ts_us")).over(w)).where("_own")
-    d = d.withColumn("_i", F.expr(x.interval_stats("_f.ts_us")))
+    d = frame_stats(flows, [], seconds * S, ["dst_port", "src_ip"])
     return d.selectExpr(
-        *flows.columns, "cast(size(_f) AS bigint) AS packet_rate", "size(array_distinct(_f.dst_port)) AS unique_dst_ports",
-        f"round({x.entropy('_f.dst_port')}, {digits}) AS dst_port_entropy", f"round(_i.mean, {digits}) AS mean_iat", f"round(_i.std, {digits}) AS std_iat",
-        "size(array_distinct(_f.src_ip)) AS unique_src_ips", f"round({x.entropy('_f.src_ip')}, {digits}) AS src_ip_entropy",
+        *flows.columns, "_n AS packet_rate", "_d_dst_port AS unique_dst_ports", f"round(_h_dst_port, {digits}) AS dst_port_entropy", f"round(_mean, {digits}) AS mean_iat",
+        f"round(_std, {digits}) AS std_iat", "_d_src_ip AS unique_src_ips", f"round(_h_src_ip, {digits}) AS src_ip_entropy",
     )
 
 
 def scan_features(flows: DataFrame, seconds: int = 60, digits: int = 4) -> DataFrame:
     """Per source: unique_ports, unique_hosts, connection_count, port_entropy,
     port_range_span, mean_iat and std_iat of the last seconds."""
-    w = trailing(seconds * S, "src_ip")
-    d = flows.where("src_ip IS NOT NULL AND src_ip <> ''").withColumn("_f", F.collect_list(F.struct("dst_port", "dst_ip", "ts_us")).over(w))
-    d = d.withColumn("_i", F.expr(x.interval_stats("_f.ts_us")))
+    d = frame_stats(flows.where("src_ip IS NOT NULL AND src_ip <> ''"), ["src_ip"], seconds * S, ["dst_port", "dst_ip"], "dst_port")
     return d.selectExpr(
-        *flows.columns, "size(array_distinct(_f.dst_port)) AS unique_ports", "size(array_distinct(_f.dst_ip)) AS unique_hosts", "size(_f) AS connection_count",
-        f"round({x.entropy('_f.dst_port')}, {digits}) AS port_entropy", "array_max(_f.dst_port) - array_min(_f.dst_port) AS port_range_span",
-        f"round(_i.mean, {digits}) AS mean_iat", f"round(_i.std, {digits}) AS std_iat",
+        *flows.columns, "_d_dst_port AS unique_ports", "_d_dst_ip AS unique_hosts", "cast(_n AS int) AS connection_count", f"round(_h_dst_port, {digits}) AS port_entropy",
+        "_span AS port_range_span", f"round(_mean, {digits}) AS mean_iat", f"round(_std, {digits}) AS std_iat",
     )
 
 

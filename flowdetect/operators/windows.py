@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def halo(df: DataFrame, width_us: int, ts: str = "ts_us") -> DataFrame:
-    """Rows dealt to time buckets of the frame's width, each also to the next
-    bucket: every trailing frame of ``width_us`` then lies within one bucket,
-    and no keyless window has to order the whole table in one task. Columns
-    ``_b`` (bucket) and ``_own`` (the row's home bucket)."""
-    home = F.expr(f"{ts} DIV {width_us}L")
-    return df.withColumn("_home", home).withColumn("_b", F.explode(F.expr("array(_home, _home + 1)"))).withColumn("_own", F.col("_b") == F.col("_home")).drop("_home")
+def halo(df: DataFrame, width_us: int, ts: str = "ts_us", stretch: int = 1) -> DataFrame:
+    """Rows dealt to time buckets of ``stretch`` times the frame's width; those
+    in the last ``width_us`` of a bucket also to the next: every trailing frame
+    then lies within one bucket, and no keyless window has to order the whole
+    table in one task. Columns ``_b`` (bucket) and ``_own`` (the row's home)."""
+    whole = width_us * stretch
+    home = df.withColumn("_home", F.expr(f"{ts} DIV {whole}L"))
+    dealt = home.withColumn("_b", F.explode(F.expr(f"if(({ts} + {width_us}L) DIV {whole}L > _home, array(_home, _home + 1), array(_home))")))
+    return dealt.withColumn("_own", F.col("_b") == F.col("_home")).drop("_home")
 
 
 def trailing(width_us: int, *keys: str, ts: str = "ts_us"):
@@ -22,3 +29,107 @@ def trailing(width_us: int, *keys: str, ts: str = "ts_us"):
 
 def last_rows(n: int, *keys: str, order: tuple[str, ...] = ("ts_us", "event_id")):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(n - 1), 0)
+
+
+def frame_stats(rows: DataFrame, keys: list[str], width_us: int, values: list[str], span: str | None = None, ts: str = "ts_us") -> DataFrame:
+    """Statistics of the frame [t - width, t] of every row, by ``keys``: ``_n``
+    rows, ``_mean`` and ``_std`` of the gaps in seconds, for each of ``values``
+    the number of distinct ones ``_d_`` and their entropy ``_h_``, and the range
+    ``_span`` of one. Peers of equal time are in each other's frames.
+
+    Rows are dealt by key and time bucket (:func:`halo`), so a busy key is cut
+    by time. Within a bucket counts are updated as rows enter and leave: the
+    work is linear in the rows, whatever the frame holds."""
+    added = [T.StructField("_n", T.LongType()), T.StructField("_mean", T.DoubleType()), T.StructField("_std", T.DoubleType())]
+    for v in values:
+        added += [T.StructField(f"_d_{v}", T.IntegerType()), T.StructField(f"_h_{v}", T.DoubleType())]
+    if span:
+        added.append(T.StructField("_span", T.IntegerType()))
+    dealt = halo(rows, width_us, ts, 4)
+
+    def run(t: pa.Table) -> pa.Table:
+        return _frames(t, width_us, values, span, ts)
+
+    return dealt.groupBy(*keys, "_b").applyInArrow(run, T.StructType([*dealt.schema.fields, *added])).where("_own").drop("_b", "_own")
+
+
+class _Counted:
+    """Counts of the values in a frame, with their number and entropy."""
+
+    def __init__(self, codes: list[int], c_log: list[float]):
+        self.codes, self.c_log = codes, c_log
+        self.count = [0] * (max(codes, default=0) + 1)
+        self.distinct, self.sum = 0, 0.0
+
+    def add(self, i: int) -> None:
+        c = self.count[self.codes[i]]
+        self.count[self.codes[i]] = c + 1
+        self.distinct += c == 0
+        self.sum += self.c_log[c + 1] - self.c_log[c]
+
+    def drop(self, i: int) -> None:
+        c = self.count[self.codes[i]]
+        self.count[self.codes[i]] = c - 1
+        self.distinct -= c == 1
+        self.sum += self.c_log[c - 1] - self.c_log[c]
+
+    def entropy(self, n: int) -> float:
+        return max(float(np.log2(n)) - self.sum / n, 0.0) if self.distinct > 1 else 0.0
+
+
+def _frames(table: pa.Table, width: int, values: list[str], span: str | None, ts: str) -> pa.Table:
+    times = table[ts].to_numpy()
+    order = np.argsort(times, kind="stable")
+    table, times = table.take(pa.array(order)), times[order]
+    n, t = len(times), times.tolist()
+    whole = np.arange(n + 2, dtype=float)
+    c_log = np.concatenate([[0.0, 0.0], whole[2:] * np.log2(whole[2:])]).tolist()
+    counted = [_Counted(table[v].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_pylist(), c_log) for v in values]
+    squares, total = [0], 0  # running sum of squared gaps, in whole micros
+    for i in range(1, n):
+        total += (t[i] - t[i - 1]) ** 2
+        squares.append(total)
+    held = [x if x is not None else 0 for x in table[span].to_pylist()] if span else []
+    high, low = deque(), deque()
+    out: list[list] = [[] for _ in range(3 + 2 * len(values) + bool(span))]
+    lo = hi = 0
+    while hi < n:
+        first, now = hi, t[hi]
+        while hi < n and t[hi] == now:
+            for c in counted:
+                c.add(hi)
+            if span:
+                while high and held[high[-1]] <= held[hi]:
+                    high.pop()
+                while low and held[low[-1]] >= held[hi]:
+                    low.pop()
+                high.append(hi)
+                low.append(hi)
+            hi += 1
+        while t[lo] < now - width:
+            for c in counted:
+                c.drop(lo)
+            lo += 1
+        k = hi - lo - 1
+        spread, square = t[hi - 1] - t[lo], squares[hi - 1] - squares[lo]
+        if k > 8:
+            got = [k + 1, spread / k / 1e6, max(k * square - spread * spread, 0) ** 0.5 / k / 1e6]
+        else:  # few gaps: straight from their seconds
+            gaps = [(t[i] - t[i - 1]) / 1e6 for i in range(lo + 1, hi)]
+            mean = sum(gaps) / max(k, 1)
+            got = [k + 1, mean, (sum((g - mean) * (g - mean) for g in gaps) / max(k, 1)) ** 0.5]
+        for c in counted:
+            got += [c.distinct, c.entropy(k + 1)]
+        if span:
+            while high[0] < lo:
+                high.popleft()
+            while low[0] < lo:
+                low.popleft()
+            got.append(held[high[0]] - held[low[0]])
+        for column, x in zip(out, got):
+            column.extend([x] * (hi - first))
+    kinds = [pa.int64(), pa.float64(), pa.float64(), *[pa.int32(), pa.float64()] * len(values), *[pa.int32()] * bool(span)]
+    names = ["_n", "_mean", "_std", *(f"_{p}_{v}" for v in values for p in "dh"), *["_span"] * bool(span)]
+    for name, column, kind in zip(names, out, kinds):
+        table = table.append_column(name, pa.array(column, kind))
+    return table
