@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def cooldown(candidates: DataFrame, keys: list[str], seconds: int, ts: str = "ts_us", row: str = "event_id") -> DataFrame:
     """Keeps a candidate iff it is ``seconds`` after the last kept one of its
-    key. Runs on candidates only: kept rows are a fold over each key's times."""
-    c, kind = seconds * 1_000_000, candidates.schema[row].dataType.simpleString()
-    fold = (
-        f"aggregate(_a, named_struct('last', -9000000000000000L, 'keep', cast(array() AS array<{kind}>)), (s, v) -> "
-        f"if(v.t - s.last >= {c}L, named_struct('last', v.t, 'keep', concat(s.keep, array(v.r))), s)).keep"
-    )
-    times = candidates.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(row).alias("r")))).alias("_a"))
-    kept = times.select(F.explode(F.expr(fold)).alias(row))
-    return candidates.join(kept, row, "left_semi")
+    key: one pass over each key's candidates in order of time, then ``row``."""
+
+    def run(t: pa.Table) -> pa.Table:
+        order = pc.sort_indices(t, sort_keys=[(ts, "ascending"), (row, "ascending")])
+        kept, last = [], None
+        for i, now in zip(order.to_pylist(), t[ts].take(order).to_pylist()):
+            if last is None or now - last >= seconds * 1_000_000:
+                kept.append(i)
+                last = now
+        return t.take(pa.array(kept, pa.int64()))
+
+    return candidates.groupBy(*keys).applyInArrow(run, candidates.schema)
 
 
 def first_only(candidates: DataFrame, keys: list[str], order: tuple[str, ...] = ("ts_us", "event_id")) -> DataFrame:
@@ -33,17 +38,22 @@ def novel_set(firings: DataFrame, seconds: int = 900) -> DataFrame:
     first that fires ends the alert's turn."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        fired: dict[str, tuple[int, frozenset]] = {}
-        keep, done = [], None
-        for i, r in rows.sort_values(["ts_us", "seq", "priority"]).iterrows():
-            if done == r["seq"]:
-                continue
-            ids, old = frozenset(r["ids"]), fired.get(r["pattern"])
-            if old and r["ts_us"] - old[0] <= seconds * 1_000_000 and ids <= old[1]:
-                continue
-            fired[r["pattern"]] = (r["ts_us"], ids)
-            done = r["seq"]
-            keep.append(i)
-        return rows.loc[keep]
+        rows = rows.sort_values(["ts_us", "seq", "priority"]).reset_index(drop=True)
+        return rows.loc[list(news(rows["ts_us"], rows["seq"], rows["pattern"], rows["ids"], seconds, {}))]
 
     return firings.groupBy("src_ip").applyInPandas(run, firings.schema)
+
+
+def news(ts, seq, pattern, ids, seconds: int, fired: dict):
+    """Positions of the firings that are news, in order; ``fired`` holds the
+    last firing of each pattern: (time, ids)."""
+    done = None
+    for i, (t, q, p, x) in enumerate(zip(ts, seq, pattern, ids)):
+        if done == q:
+            continue
+        x, old = frozenset(x), fired.get(p)
+        if old and t - old[0] <= seconds * 1_000_000 and x <= old[1]:
+            continue
+        fired[p] = (t, x)
+        done = q
+        yield i

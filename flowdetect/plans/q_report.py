@@ -63,13 +63,68 @@ PAT = []
 for p, (name, classes, sec, conf, sev) in enumerate(correlate.PATTERNS):
     PAT.append(f"SELECT a.seq, {p} AS priority, '{name}' AS pattern, {conf}::DOUBLE AS confidence, '{sev}' AS severity, count(DISTINCT coalesce(b.flow_id, b.ts_us || ':' || b.threat_class)) AS n_ids FROM alerts a JOIN alerts b ON a.src_ip = b.src_ip AND b.ts_us <= a.ts_us AND b.ts_us > a.ts_us - {sec * 1000000} AND b.threat_class IN {classes} GROUP BY a.seq HAVING count(DISTINCT b.threat_class) = {len(classes)}")
 q("cr1_patterns", " UNION ALL ".join(PAT), lambda a: correlate.patterns(a).selectExpr("seq", "priority", "pattern", "confidence", "severity", "cast(size(ids) AS bigint) AS n_ids"))
-q("cr2_fire", None, lambda a: correlate.fire(a).selectExpr("seq", "src_ip", "pattern", "confidence"))
-EW = """WITH RECURSIVE g AS (SELECT seq, threat_class, ts_us, row_number() OVER (PARTITION BY threat_class ORDER BY ts_us, seq) AS i, (ts_us - lag(ts_us) OVER (PARTITION BY threat_class ORDER BY ts_us, seq)) / 1e6 AS gap FROM alerts),
-r AS (SELECT seq, threat_class, i, NULL::DOUBLE AS m, 0 AS n FROM g WHERE i = 1 UNION ALL SELECT g.seq, g.threat_class, g.i, CASE WHEN gap > 0 THEN coalesce(0.2 * gap + 0.8 * r.m, gap) ELSE r.m END, r.n + (gap > 0)::INT FROM r JOIN g ON g.threat_class = r.threat_class AND g.i = r.i + 1)
-SELECT seq, round(m, 3) AS class_gap, n AS class_n FROM r"""
-q("cr4_rate_baseline", EW, lambda a: correlate.rate_baseline(a).select("seq", F.round("class_gap", 3).alias("class_gap"), "class_n"))
-q("cr3_adaptive", None, lambda a: correlate.adaptive(a).selectExpr("seq", "src_ip", "pattern", "round(confidence, 4) AS confidence", "severity"))
-q("cr6_assemble", None, lambda a: correlate.assemble(correlate.correlate(a)).selectExpr("seq", "threat_class", "severity", "confidence", "size(contributing) AS n"))
-q("ag9_pattern_counts", None, lambda a: R.pattern_counts(correlate.fire(a).select("pattern"), tuple(p[0] for p in correlate.PATTERNS)))
-q("tk4_tk5_incident_steps", None, lambda a: R.incident_steps(correlate.fire(a).selectExpr("concat(src_ip, ':', seq) AS incident_id", "transform(contributing, r -> struct(r.ts_us / 1e6 AS event_ts, r.threat_class AS threat_class)) AS contributing")))
+# Candidates of the pattern table: (seq, priority, pattern, ids, last 20 rows).
+PATTERN_TABLE = "pt(priority, pattern, need, us, conf, sev) AS (VALUES (0, 'KILL_CHAIN', ['recon', 'c2', 'exfil'], 600000000, 0.97::DOUBLE, 'CRITICAL'), (1, 'C2_EXFIL', ['c2', 'exfil'], 600000000, 0.92::DOUBLE, 'CRITICAL'), (2, 'DGA_C2', ['dga', 'c2'], 120000000, 0.88::DOUBLE, 'HIGH'), (3, 'RECON_DDOS', ['recon', 'ddos'], 300000000, 0.85::DOUBLE, 'HIGH'))"
+CANDIDATES = f"""{PATTERN_TABLE},
+cand AS (SELECT a.seq, a.src_ip, a.ts_us, a.event_ts, a.dst_ip, priority, pattern, any_value(conf) AS conf, any_value(sev) AS sev, list_sort(list_distinct(list(coalesce(b.flow_id, b.ts_us || ':' || b.threat_class)))) AS ids,
+  list_sort(list({{'ts_us': b.ts_us, 'seq': b.seq, 'threat_class': b.threat_class}}))[-20:] AS rows20
+  FROM alerts a CROSS JOIN pt JOIN alerts b ON b.src_ip = a.src_ip AND b.ts_us <= a.ts_us AND b.ts_us > a.ts_us - us AND list_contains(need, b.threat_class)
+  GROUP BY a.seq, a.src_ip, a.ts_us, a.event_ts, a.dst_ip, priority, pattern HAVING count(DISTINCT b.threat_class) = len(any_value(need)))"""
+
+
+def fired_sql(cand: str) -> str:
+    """Alerts in order per source; the first candidate that is news fires."""
+    return f"""turns AS (SELECT seq, src_ip, ts_us, list({{'priority': priority, 'pattern': pattern, 'ids': ids}} ORDER BY priority) AS c, row_number() OVER (PARTITION BY src_ip ORDER BY ts_us, seq) AS i FROM {cand} GROUP BY seq, src_ip, ts_us),
+nil AS (SELECT [{{'pattern': '', 't': 0::BIGINT, 'ids': ['']}}] AS st),
+walk AS (SELECT src_ip, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::VARCHAR AS pattern, st FROM (SELECT DISTINCT src_ip FROM turns), nil
+  UNION ALL SELECT src_ip, i, seq, hit.pattern, CASE WHEN hit IS NULL THEN st ELSE list_append(list_filter(st, lambda s: s.pattern <> hit.pattern), {{'pattern': hit.pattern, 't': ts_us, 'ids': hit.ids}}) END
+  FROM (SELECT t.src_ip, t.i, t.seq, t.ts_us, st, list_filter(c, lambda x: NOT list_bool_or(list_transform(st, lambda s: s.pattern = x.pattern AND t.ts_us - s.t <= 900000000 AND list_has_all(s.ids, x.ids))))[1] AS hit
+    FROM walk w JOIN turns t ON t.src_ip = w.src_ip AND t.i = w.i + 1)),
+fired AS (SELECT c.* FROM walk w JOIN {cand} c ON c.seq = w.seq AND c.pattern = w.pattern WHERE w.pattern IS NOT NULL)"""
+
+
+CAND = "WITH RECURSIVE " + CANDIDATES + ", " + fired_sql("cand")
+q("cr2_fire", CAND + " SELECT seq, src_ip, pattern, conf AS confidence FROM fired", lambda a: correlate.fire(a).selectExpr("seq", "src_ip", "pattern", "confidence"))
+# Running mean gaps of each class and of all alerts, then the adaptive layer.
+EWMA = """g AS (SELECT k, ts_us, row_number() OVER w AS i, (ts_us - lag(ts_us) OVER w) / 1e6 AS gap FROM (SELECT DISTINCT threat_class AS k, ts_us FROM alerts UNION ALL SELECT DISTINCT '*', ts_us FROM alerts) WINDOW w AS (PARTITION BY k ORDER BY ts_us)),
+ew AS (SELECT k, ts_us, i, NULL::DOUBLE AS m, 0 AS n FROM g WHERE i = 1 UNION ALL SELECT g.k, g.ts_us, g.i, coalesce(0.2::DOUBLE * gap + 0.8::DOUBLE * m, gap), n + 1 FROM ew JOIN g ON g.k = ew.k AND g.i = ew.i + 1)"""
+ADAPT = f"""{EWMA},
+w AS (SELECT a.*, CASE WHEN m IS NULL THEN 300 ELSE least(900, greatest(60, 3 * m)) END AS win FROM alerts a JOIN ew ON k = '*' AND ew.ts_us = a.ts_us),
+fr AS (SELECT w.seq, w.src_ip, w.ts_us, w.event_ts, w.dst_ip, win, list_sort(list_distinct(list(b.threat_class))) AS classes, list_sort(list_distinct(list(coalesce(b.flow_id, b.ts_us || ':' || b.threat_class)))) AS ids,
+  list_sort(list({{'ts_us': b.ts_us, 'seq': b.seq, 'threat_class': b.threat_class}}))[-20:] AS rows20
+  FROM w JOIN alerts b ON b.src_ip = w.src_ip AND b.ts_us <= w.ts_us AND b.ts_us > w.ts_us - 900000000 AND b.ts_us > w.ts_us - CAST(trunc(win * 1000000) AS BIGINT) GROUP BY ALL),
+pc AS (SELECT seq, ts_us, win, unnest(classes) AS k FROM fr WHERE len(classes) >= 2),
+ps AS (SELECT pc.seq, sum(-ln(greatest(CASE WHEN n < 3 THEN 1 ELSE 1 - exp(-win / greatest(m, 1e-6)) END, 1e-6))) AS score FROM pc ASOF JOIN ew ON pc.k = ew.k AND pc.ts_us >= ew.ts_us GROUP BY pc.seq),
+ad AS (SELECT fr.seq, src_ip, fr.ts_us, event_ts, dst_ip, 99 AS priority, 'ADAPTIVE:' || array_to_string(classes, ',') AS pattern, least(0.99, 1 - exp(-score))::DOUBLE AS conf, CASE WHEN len(classes) >= 3 THEN 'CRITICAL' ELSE 'HIGH' END AS sev, ids, rows20 FROM fr JOIN ps ON ps.seq = fr.seq WHERE score >= 3)"""
+q("cr3_adaptive", f"WITH RECURSIVE {ADAPT} SELECT seq, src_ip, pattern, round(conf, 4) AS confidence, sev AS severity FROM ad", lambda a: correlate.adaptive(a).selectExpr("seq", "src_ip", "pattern", "round(confidence, 4) AS confidence", "severity"))
+q("cr4_all_gaps", f"WITH RECURSIVE {EWMA} SELECT seq, round(m, 3) AS all_gap, n AS all_n FROM alerts a JOIN ew ON k = '*' AND ew.ts_us = a.ts_us", lambda a: correlate.rate_baseline(a).select("seq", F.round("all_gap", 3).alias("all_gap"), "all_n"))
+# A thinner alert stream on which the adaptive layer fires: rare classes close together.
+THIN = "alerts AS (SELECT * FROM alerts0 WHERE threat_class IN ('ddos', 'recon') OR seq % 40 < 5)"
+
+
+def thin(a):
+    return a.where("threat_class IN ('ddos', 'recon') OR seq % 40 < 5")
+
+
+def thin_sql(body: str) -> str:
+    """The twin's SQL over the thinned alerts."""
+    return duck("WITH RECURSIVE " + THIN + ", " + body.replace("WITH RECURSIVE ", "", 1), "alerts").replace("alerts AS (SELECT event_id", "alerts0 AS (SELECT event_id", 1)
+
+
+def q_thin(name, sql, f):
+    Q[name] = lambda s, d: f(thin(view(s, d, "alerts")))
+    O[name] = thin_sql(sql)
+
+
+q_thin("cr3_adaptive_thin", f"WITH RECURSIVE {ADAPT} SELECT seq, src_ip, pattern, round(conf, 4) AS confidence, sev AS severity FROM ad", lambda a: correlate.adaptive(a).selectExpr("seq", "src_ip", "pattern", "round(confidence, 4) AS confidence", "severity"))
+BOTH = "WITH RECURSIVE " + CANDIDATES + ", " + ADAPT + ", allc AS (SELECT * FROM cand UNION ALL SELECT seq, src_ip, ts_us, event_ts, dst_ip, priority, pattern, conf, sev, ids, rows20 FROM ad), " + fired_sql("allc")
+INCIDENT = " SELECT seq, CASE WHEN priority = 99 THEN 'MULTI_VECTOR_ANOMALY' ELSE 'MULTI_VECTOR' END AS threat_class, sev AS severity, round(least(conf, 0.99), 2) AS confidence, len(rows20) AS n FROM fired"
+assembled = lambda a: correlate.assemble(correlate.correlate(a)).selectExpr("seq", "threat_class", "severity", "confidence", "size(contributing) AS n")
+q("cr6_assemble", BOTH + INCIDENT, assembled)
+q_thin("cr6_assemble_thin", BOTH + INCIDENT, assembled)
+q("ag9_pattern_counts", CAND + " SELECT p.pattern, count(f.seq) AS count FROM (SELECT pattern FROM pt UNION ALL SELECT 'ADAPTIVE') p LEFT JOIN fired f ON f.pattern = p.pattern GROUP BY 1", lambda a: R.pattern_counts(correlate.fire(a).select("pattern"), tuple(p[0] for p in correlate.PATTERNS)))
+q("tk4_tk5_incident_steps", CAND + ", s AS (SELECT src_ip || ':' || seq AS incident_id, unnest(rows20) AS r, generate_subscripts(rows20, 1) - 1 AS step, rows20[1].ts_us AS t0 FROM fired) SELECT incident_id, step, r.threat_class, round(r.ts_us / 1e6 - t0 / 1e6, 3) AS \"offset\" FROM s",
+  lambda a: R.incident_steps(correlate.fire(a).selectExpr("concat(src_ip, ':', seq) AS incident_id", "transform(contributing, r -> struct(r.ts_us / 1e6 AS event_ts, r.threat_class AS threat_class)) AS contributing")))
+q("cr1_multi_vector", """WITH u AS (SELECT * FROM alerts UNION ALL SELECT seq + 1000000, ts_us, event_ts, 'MULTI_VECTOR', src_ip, dst_ip, dst_port, severity, confidence, flow_id, detector, evidence FROM alerts WHERE seq % 3 = 0) SELECT seq FROM u WHERE threat_class NOT LIKE 'MULTI_VECTOR%' AND src_ip <> ''""",
+  lambda a: correlate.usable(a.unionByName(a.where("seq % 3 = 0").withColumns({"seq": F.col("seq") + 1000000, "threat_class": F.lit("MULTI_VECTOR")}))).select("seq"))
 q("fn17_fn18_windows", "SELECT seq, round(1 - exp(-300 / (1 + seq % 50)), 6) AS p, least(900, greatest(60, 3 * (1 + seq % 400)))::DOUBLE AS w FROM alerts", lambda a: a.selectExpr("seq", f"round({x.poisson_p('300D', 'cast(1 + seq % 50 AS double)', '5')}, 6) AS p", f"{x.adaptive_window('cast(1 + seq % 400 AS double)')} AS w"))
