@@ -23,7 +23,7 @@ def usable(alerts: DataFrame) -> DataFrame:
     return alerts.where("src_ip IS NOT NULL AND src_ip <> '' AND threat_class IS NOT NULL AND event_ts IS NOT NULL AND threat_class NOT LIKE 'MULTI_VECTOR%'")
 
 
-def _identity() -> str:
+def identity() -> str:
     return "coalesce(flow_id, concat(cast(ts_us AS string), ':', threat_class))"
 
 
@@ -31,7 +31,7 @@ def patterns(alerts: DataFrame) -> DataFrame:
     """Candidate firings: an alert completes a pattern when all its classes
     occur for the source within the window that ends at the alert."""
     d = usable(alerts)
-    row = F.struct("ts_us", "seq", "threat_class", F.expr(_identity()).alias("id"), "confidence")
+    row = F.struct("ts_us", "seq", "threat_class", F.expr(identity()).alias("id"), "confidence")
     for p, (name, _, seconds, _, _) in enumerate(PATTERNS):
         w = Window.partitionBy("src_ip").orderBy("ts_us").rangeBetween(-(seconds * S - 1), 0)
         d = d.withColumn(f"_p{p}", F.collect_list(row).over(w))
@@ -43,6 +43,20 @@ def patterns(alerts: DataFrame) -> DataFrame:
     return d.select("src_ip", "ts_us", "seq", "f.priority", "f.pattern", F.col("f.conf").alias("confidence"), F.col("f.sev").alias("severity"), F.expr("array_distinct(f.rows.id)").alias("ids"), F.expr("slice(array_sort(f.rows), greatest(size(f.rows) - 19, 1), 20)").alias("contributing"), "dst_ip", "event_ts")
 
 
+def gaps(alerts: DataFrame) -> DataFrame:
+    """seq with the seconds since the previous alert of its class and since the
+    previous one of all; null at the first and where the time does not advance.
+    The order of all alerts is cut into hours: only the last time of each hour
+    meets in one window."""
+    d = alerts.withColumn("_b", F.expr("ts_us DIV 3600000000"))
+    own = Window.partitionBy("_b").orderBy("event_ts", "seq")
+    last = d.groupBy("_b").agg(F.max("event_ts").alias("_m")).withColumn("_m", F.lag("_m").over(Window.orderBy("_b")))
+    cls = Window.partitionBy("threat_class").orderBy("event_ts", "seq")
+    d = d.withColumns({"_c": F.lag("event_ts").over(cls), "_a": F.lag("event_ts").over(own)}).join(last, "_b").withColumn("_a", F.coalesce("_a", "_m"))
+    gap = "CASE WHEN event_ts > {0} THEN round(event_ts - {0}, 3) END".format
+    return d.selectExpr("seq", f"{gap('_c')} AS class_gap", f"{gap('_a')} AS all_gap")
+
+
 def fire(alerts: DataFrame) -> DataFrame:
     """Firings that are news; a suppressed pattern leaves room for the next."""
     return gates.novel_set(patterns(alerts))
@@ -72,7 +86,7 @@ def adaptive(alerts: DataFrame, threshold: float = 3.0) -> DataFrame:
     window whose joint chance is small. Each class counts with its latest gap
     at the alert."""
     d = rate_baseline(alerts).withColumn("window", F.expr(x.adaptive_window("all_gap")))
-    row = F.struct("ts_us", "seq", "threat_class", F.expr(_identity()).alias("id"), "confidence")
+    row = F.struct("ts_us", "seq", "threat_class", F.expr(identity()).alias("id"), "confidence")
     w = Window.partitionBy("src_ip").orderBy("ts_us").rangeBetween(-(900 * S - 1), 0)
     d = d.withColumn("_r", F.expr("filter(_a, r -> r.ts_us > ts_us - cast(window * 1000000 AS bigint))")) if "_a" in d.columns else d.withColumn("_a", F.collect_list(row).over(w)).withColumn("_r", F.expr("filter(_a, r -> r.ts_us > ts_us - cast(window * 1000000 AS bigint))"))
     d = d.withColumn("classes", F.expr("array_sort(array_distinct(_r.threat_class))")).where("size(classes) >= 2")
@@ -90,6 +104,17 @@ def adaptive(alerts: DataFrame, threshold: float = 3.0) -> DataFrame:
                         "array_distinct(_r.id) AS ids", "slice(array_sort(_r), greatest(size(_r) - 19, 1), 20) AS contributing", "dst_ip", "event_ts")
 
 
+def combine(*detectors: DataFrame) -> DataFrame:
+    """Alerts of several detectors in the order of evaluation: by event, then by
+    detector as given. ``detector_rank`` and the event's time and id are the sort
+    key; no global order is computed."""
+    out = None
+    for rank, d in enumerate(detectors):
+        d = d.withColumn("detector_rank", F.lit(rank))
+        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    return out
+
+
 def correlate(alerts: DataFrame) -> DataFrame:
     """Incidents of both layers: the statistical one fires where no pattern did."""
     return gates.novel_set(patterns(alerts).unionByName(adaptive(alerts)))

@@ -27,6 +27,18 @@ def clamp_windows(w: DataFrame, flush_us: int = 65 * S) -> DataFrame:
     return w.withColumn("end_us", F.least(F.col("end_us") + flush_us, F.coalesce(nxt, F.col("end_us") + flush_us)))
 
 
+def filter_events(events: DataFrame, dst_ips: list[str] | DataFrame | None = None, ports: tuple[int, int] | None = None, src_ip: str | None = None) -> DataFrame:
+    """Capture filters: destination in a set (a list, or a table ``dst_ip``),
+    port in a range, source."""
+    if isinstance(dst_ips, DataFrame):
+        events = events.join(dst_ips.select("dst_ip"), "dst_ip", "left_semi")
+    elif dst_ips is not None:
+        events = events.where(F.col("dst_ip").isin(*dst_ips))
+    if ports is not None:
+        events = events.where(F.col("dst_port").between(*ports))
+    return events if src_ip is None else events.where(F.col("src_ip") == src_ip)
+
+
 def interval_join(events: DataFrame, sessions: DataFrame, width_us: int = 60 * S) -> DataFrame:
     """Events within sessions (start <= t <= end): both sides are dealt to time
     buckets, joined on the bucket, and the range is checked."""
@@ -59,18 +71,45 @@ def scan_rows(events: DataFrame, sessions: DataFrame, step_us: int = 150_000, se
     return d.selectExpr("session_id", "label", "t_us", "size(array_distinct(rows.dst_port)) AS unique_ports", "size(array_distinct(rows.dst_ip)) AS unique_hosts", "size(rows) AS connection_count", f"round({x.entropy('rows.dst_port')}, 4) AS port_entropy")
 
 
+def history(inside: DataFrame, sessions: DataFrame, step_us: int, last: int = 20, least: int = 3) -> DataFrame:
+    """Statistics of a session's ``last`` events (session_id, ts_us) at every grid
+    instant that has ``least`` or more. Each event carries the times of the last
+    events up to it; an instant takes those of the latest event before it, found
+    within its time bucket or else in the last one of an earlier bucket."""
+    width = 60 * S
+    own = Window.partitionBy("session_id").orderBy("ts_us").rowsBetween(1 - last, 0)
+    e = inside.withColumn("h", F.collect_list("ts_us").over(own)).withColumn("b", F.expr(f"ts_us DIV {width}"))
+    g = grid(sessions, step_us).withColumn("b", F.expr(f"t_us DIV {width}"))
+    both = e.select("session_id", "b", F.col("ts_us").alias("at"), F.lit(0).alias("k"), "h", F.lit(None).cast(sessions.schema["label"].dataType).alias("label"))
+    both = both.unionByName(g.select("session_id", "b", F.col("t_us").alias("at"), F.lit(1).alias("k"), F.lit(None).cast("array<bigint>").alias("h"), "label"))
+    before = Window.partitionBy("session_id", "b").orderBy("at", "k").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("h", F.last("h", True).over(before))
+    ends = both.groupBy("session_id", "b").agg(F.max_by("h", F.struct("at", "k")).alias("h"))
+    ends = ends.select("session_id", "b", F.last("h", True).over(Window.partitionBy("session_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("h0"))
+    d = both.where("k = 1").join(ends, ["session_id", "b"]).withColumn("h", F.coalesce("h", "h0")).where(F.size("h") >= least).withColumn("_i", F.expr(x.interval_stats("h")))
+    return d.selectExpr("session_id", "label", "at AS t_us", "size(h) AS n", "round(_i.mean, 4) AS mean_interval", "round(_i.std, 4) AS std_interval")
+
+
 def snapshot_history(events: DataFrame, sessions: DataFrame, step_us: int, last: int = 20, least: int = 3) -> DataFrame:
     """The session's last events at every grid instant, three or more."""
     inside = interval_join(events, sessions).select("session_id", "ts_us")
-    per = inside.groupBy("session_id").agg(F.sort_array(F.collect_list("ts_us")).alias("_t"))
-    d = grid(sessions, step_us).join(per, "session_id").withColumn("h", F.expr("filter(_t, v -> v <= t_us)"))
-    d = d.withColumn("h", F.expr(f"slice(h, greatest(size(h) - {last - 1}, 1), {last})")).where(f"size(h) >= {least}").withColumn("_i", F.expr(x.interval_stats("h")))
-    return d.selectExpr("session_id", "label", "t_us", "size(h) AS n", "round(_i.mean, 4) AS mean_interval", "round(_i.std, 4) AS std_interval")
+    return history(inside, sessions, step_us, last, least)
 
 
 beacon_rows = snapshot_history
 
 
+def beacon_truth_rows(flows: DataFrame, truth: DataFrame, scenario: str, step_us: int = 220_000, last: int = 20, least: int = 3) -> DataFrame:
+    """Beacon rows of channels that a public capture's ground truth names: a
+    snapshot of the channel's last events at every step from its first event to
+    its last."""
+    named = label_by_triple(flows, truth).withColumn("session_id", F.concat_ws("_", F.lit(f"c2_real_{scenario}"), "src_ip", "dst_ip", "dst_port"))
+    ends = named.groupBy("session_id").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), F.count("*").alias("_n")).where(f"_n >= {least}")
+    d = history(named.select("session_id", "ts_us"), ends.drop("_n").withColumn("label", F.lit(1)), step_us, last, least)
+    fixed = {"source": "real_public_dataset", "scenario_id": f"c2_real_{scenario}", "attack_subtype": "periodic_beacon", "label_method": "dataset_ground_truth"}
+    return d.withColumns({k: F.lit(v) for k, v in fixed.items()})
+
+
 def group_channels(flows: DataFrame, least: int = 3) -> DataFrame:
     return flows.groupBy("src_ip", "dst_ip", "dst_port").agg(F.sort_array(F.collect_list("ts_us")).alias("times")).where(F.size("times") >= least)
 

@@ -23,15 +23,26 @@ def register(name: str):
     return add
 
 
-ALERT = ("event_ts", "flow_id", "src_ip", "dst_ip", "dst_port", "threat_class", "severity", "confidence", "calibrated", "detector", "window_seconds", "detection_method", "evidence_json")
+ALERT = (
+    "timestamp", "event_ts", "flow_id", "src_ip", "src_port", "dst_ip", "dst_port", "threat_class", "threat_label", "severity", "confidence", "calibrated", "evidence_json", "detector",
+    "window_seconds", "detection_method", "feature_contributions",
+)
+# Labels of the classes.
+LABELS = {"ddos": "DDoS / SYN Flood", "recon": "Reconnaissance", "c2": "C2 Beaconing", "dga": "DGA / DNS Tunnelling", "tls": "TLS Malware (JA3/JA4)", "exfil": "Data Exfiltration"}
+NOW = "date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"
 
 
 def make_alert(rows: DataFrame, threat_class: str, severity: str, confidence: str, evidence: str, window: int, method: str = "rule_based", calibrated: str = "false") -> DataFrame:
-    """Rows that fired, in the unified alert schema (SQL text per field)."""
-    return rows.selectExpr(
-        "ts_us / 1e6 AS event_ts", "uid AS flow_id", "src_ip", "dst_ip", "dst_port", f"'{threat_class}' AS threat_class", f"{severity} AS severity", f"{x.confidence(confidence)} AS confidence",
-        f"{calibrated} AS calibrated", f"'{threat_class}_detector' AS detector", f"{window} AS window_seconds", f"{method if method.startswith('CASE') else repr(method)} AS detection_method", f"to_json({evidence}) AS evidence_json",
-    )
+    """Rows that fired, in the unified alert schema (SQL text per field). What
+    the rows lack (ports, ``feature_contributions``) is null."""
+    kinds = {"src_port": "int", "dst_ip": "string", "dst_port": "int", "feature_contributions": "array<struct<feature:string,value:double,importance:double>>"}
+    own = {c: c if c in rows.columns else f"cast(null AS {t})" for c, t in kinds.items()}
+    fields = {
+        "timestamp": NOW, "event_ts": "ts_us / 1e6", "flow_id": "uid", "src_ip": "src_ip", **own, "threat_class": f"'{threat_class}'", "threat_label": f"'{LABELS[threat_class]}'",
+        "severity": severity, "confidence": x.confidence(confidence), "calibrated": calibrated, "evidence_json": f"to_json({evidence})", "detector": f"'{threat_class}_detector'",
+        "window_seconds": str(window), "detection_method": method if method.startswith("CASE") else repr(method),
+    }
+    return rows.selectExpr(*(f"{fields[c]} AS {c}" for c in ALERT))
 
 
 def slow_rows(flows: DataFrame, least: int = 25) -> DataFrame:
@@ -82,19 +93,23 @@ def dns_tunnel_rows(dns: DataFrame) -> DataFrame:
     return d.where("qtype_name IN ('TXT', 'NULL') AND length(query) > 50 AND t.ratio > 3")
 
 
+def _at_port_53(dns: DataFrame) -> DataFrame:
+    """Port 53 where the record itself names none."""
+    return dns if "dst_port" in dns.columns else dns.withColumn("dst_port", F.lit(53))
+
+
 @register("dns_tunnel")
 def dns_tunnel(dns: DataFrame) -> DataFrame:
-    rows = dns_tunnel_rows(dns).selectExpr("*", "cast(null AS string) AS dst_ip", "53 AS dst_port")
-    return make_alert(rows, "dga", "'HIGH'", "least(0.97D, 0.6D + length(query) / 200D + t.ratio / 20)", "named_struct('detection_path', 'TUNNEL', 'payload_ratio', round(t.ratio, 3), 'tunnel_direction', t.direction)", 0)
+    return make_alert(_at_port_53(dns_tunnel_rows(dns)), "dga", "'HIGH'", "least(0.97D, 0.6D + length(query) / 200D + t.ratio / 20)", "named_struct('detection_path', 'TUNNEL', 'payload_ratio', round(t.ratio, 3), 'tunnel_direction', t.direction)", 0)
 
 
 def exfil_gate(flows: DataFrame) -> DataFrame:
     return flows.where(f"NOT ({x.is_internal('src_ip')} AND {x.is_internal('dst_ip')}) AND orig_bytes >= 1000")
 
 
-@register("exfil_pattern")
 def exfil_pattern(flows: DataFrame) -> DataFrame:
-    """The pattern stage; without a model a pattern alone fires, at 0.70."""
+    """The pattern stage alone, at 0.70. It is no registered detector: without a
+    model no exfiltration alert is due."""
     rows = features.exfil_features(exfil_gate(flows)).withColumn("pattern", F.expr(features.EXFIL_PATTERN)).where("pattern IS NOT NULL")
     return make_alert(rows, "exfil", "CASE WHEN pattern = 'ICMP_COVERT' THEN 'CRITICAL' ELSE 'MEDIUM' END", "0.70D", "named_struct('pattern', pattern, 'byte_ratio', round(byte_ratio, 4))", 0)
 
@@ -114,12 +129,25 @@ def blacklisted(joined: DataFrame, blacklist: DataFrame) -> DataFrame:
 @register("tls_blacklist")
 def tls_blacklist(joined: DataFrame, blacklist: DataFrame | None = None) -> DataFrame:
     rows = blacklisted(tls_gate(joined), blacklist)
-    return make_alert(rows, "tls", "'HIGH'", "0.95D", "named_struct('family', family, 'matched', matched)", 0)
+    return make_alert(rows, "tls", "'HIGH'", "0.95D", "named_struct('family', family, 'matched', matched)", 0, "CASE WHEN matched = 'ja3' THEN 'ja3_blacklist' ELSE 'ja4_blacklist' END")
 
 
-def model_alerts(rows: DataFrame, p: str, threat_class: str, threshold: float, severity: str, calibrated: bool = True) -> DataFrame:
+def model_alerts(rows: DataFrame, p: str, threat_class: str, threshold: float, severity: str, calibrated: bool = True, method: str = "ml") -> DataFrame:
     """Model path: rows whose score column passes the threshold."""
-    return make_alert(rows.where(f"{p} > {threshold}"), threat_class, severity, p, f"named_struct('probability', round({p}, 4))", 0, "ml", str(calibrated).lower())
+    return make_alert(rows.where(f"{p} > {threshold}"), threat_class, severity, p, f"named_struct('probability', round({p}, 4))", 0, method, str(calibrated).lower())
+
+
+def tls_flow(scored: DataFrame, p: str = "p") -> DataFrame:
+    """Tier 1 of encrypted flows."""
+    return model_alerts(scored, p, "tls", 0.72, f"CASE WHEN {p} > 0.85 THEN 'HIGH' ELSE 'MEDIUM' END", method="flow_stats_ml")
+
+
+def tls_tier2_alerts(decided: DataFrame, p: str = "p") -> DataFrame:
+    """Alerts of what :func:`tls_tier2` holds malicious; the second score counts
+    where there is one."""
+    own = decided.where("malicious").withColumn("_p", F.expr(f"coalesce(p2, {p})"))
+    evidence = "CASE WHEN p2 IS NOT NULL THEN named_struct('tier2_invoked', true, 'tier2_confidence', round(p2, 4)) END"
+    return make_alert(own, "tls", "CASE WHEN _p > 0.85 THEN 'HIGH' ELSE 'MEDIUM' END", "_p", evidence, 0, "CASE WHEN p2 IS NOT NULL THEN 'flow_stats_ml+tier2_seq' ELSE 'flow_stats_ml' END", "true")
 
 
 def flood_ml(scored: DataFrame, p: str = "p") -> DataFrame:
@@ -138,7 +166,7 @@ def dga_ml(scored: DataFrame, tunnels: DataFrame, p: str = "p") -> DataFrame:
     """Model path of generated domains: rows that the tunnel rule fired on are
     left out, and a source's query alerts once in 300 s."""
     d = scored.join(tunnels.select("uid").distinct(), "uid", "left_anti").where(f"{p} > 0.7")
-    d = gates.cooldown(d, ["src_ip", "query"], 300, row="uid").selectExpr("*", "cast(null AS string) AS dst_ip", "53 AS dst_port")
+    d = _at_port_53(gates.cooldown(d, ["src_ip", "query"], 300, row="uid"))
     evidence = f"named_struct('detection_path', if(word_boundary_score > 0.65, 'DICT_DGA', 'RANDOM_DGA'), 'probability', round({p}, 4))"
     return make_alert(d, "dga", f"CASE WHEN {p} > 0.85 THEN 'HIGH' ELSE 'MEDIUM' END", p, evidence, 0, "ml", "true")
 
@@ -158,7 +186,7 @@ def exfil_ml(scored: DataFrame, p: str = "p") -> DataFrame:
     d = scored.withColumn("pattern", F.expr(features.EXFIL_PATTERN)).where(f"CASE WHEN pattern IS NULL THEN {p} >= 0.8 ELSE {p} >= 0.6 END")
     conf = f"CASE WHEN pattern IS NULL THEN {p} ELSE greatest({p}, 0.70D) END"
     severity = f"CASE WHEN pattern = 'ICMP_COVERT' THEN 'CRITICAL' WHEN {conf} > 0.85 THEN 'HIGH' ELSE 'MEDIUM' END"
-    return make_alert(d, "exfil", severity, conf, "named_struct('pattern', pattern)", 0, "ml", f"coalesce(pattern IS NULL OR {p} >= 0.70, true)")
+    return make_alert(d, "exfil", severity, conf, "named_struct('pattern', coalesce(pattern, 'ML_ONLY'))", 0, "CASE WHEN pattern IS NULL THEN 'ml_only' ELSE 'ml_rule_confirmed' END", f"coalesce(pattern IS NULL OR {p} >= 0.70, true)")
 
 
 def tls_tier2(scored: DataFrame, tier2: Callable[[DataFrame], DataFrame] | None, threshold2: float = 0.51, p: str = "p") -> DataFrame:

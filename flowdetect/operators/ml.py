@@ -72,7 +72,7 @@ def hash_folds(rows: DataFrame, group: str, k: int = 10) -> DataFrame:
 def group_split(rows: DataFrame, group: str, seed: int = 42, pinned: tuple[str, ...] = ()) -> DataFrame:
     """Adds split: test 20 %, cal 25 % of the rest, fit; by groups, pinned ones
     in fit."""
-    u = F.expr(f"pmod(xxhash64({group}, {seed}), 10000) / 10000D")
+    u = F.expr(f"conv(substr(md5(concat({seed}, ':', {group})), 1, 8), 16, 10) % 10000 / 10000D")
     s = F.when(F.col(group).isin(*pinned), "fit") if pinned else F.when(F.lit(False), "")
     return rows.withColumn("split", s.when(u < 0.2, "test").when(u < 0.4, "cal").otherwise("fit"))
 
@@ -130,9 +130,17 @@ def score(model, rows: DataFrame, out: str = "p") -> DataFrame:
     return d.withColumn(out, vector_to_array("probability")[1]).drop("_v", "_z", "probability", "rawPrediction", "prediction")
 
 
+def evaluate_unseen(rows: DataFrame, unseen: DataFrame, score_with, threshold: float = 0.5) -> DataFrame:
+    """Confusion over the rows of groups (``unseen``: grp) that no training,
+    fold or threshold has met. ``score_with``: adds the column p."""
+    held = score_with(rows.join(unseen, "grp", "left_semi"))
+    return confusion(held.selectExpr("y", f"cast(p > {threshold} AS int) AS pred"))
+
+
 def compare(rows: DataFrame, features: list[str], fold: str, k: int, trainers: dict) -> DataFrame:
     """Pooled confusion of every trainer over the folds' held-out rows."""
     parts = []
+    rows = rows.persist()  # every fit of every fold passes over these
     for i in range(k):
         fit, out = rows.where(f"{fold} <> {i}"), rows.where(f"{fold} = {i}")
         parts += [score(train(fit, features), out).select(F.lit(name).alias("model"), "y", F.expr("cast(p > 0.5 AS int)").alias("pred")) for name, train in trainers.items()]

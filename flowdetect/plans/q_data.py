@@ -57,7 +57,7 @@ q("st4_split_unseen", f"WITH {MARKS} SELECT session_id, (row_number() OVER (ORDE
 q("fn14_map_scenario", "SELECT event_id, CASE WHEN dst_ip LIKE '203.0.113.200%' THEN 's2' WHEN dst_ip LIKE '203.%' THEN 's1' END AS scenario_id FROM flows", lambda s, d: dataset.map_scenario(FL(s, d), "dst_ip", {"203.": ("s1", "x", "lab"), "203.0.113.200": ("s2", "y", "lab")}).select("event_id", "scenario_id"), "flows")
 q("tk7_systematic_sample", "WITH n AS (SELECT src_ip, event_id, row_number() OVER (PARTITION BY src_ip ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY src_ip) AS n FROM flows WHERE src_ip LIKE '10.0.0.%') SELECT n.src_ip, event_id FROM n JOIN range(10) k(k) ON i = k * n // 10", lambda s, d: dataset.systematic_sample(FL(s, d).where("src_ip LIKE '10.0.0.%'"), "src_ip", ["event_id"], 10).select("src_ip", "event_id"), "flows")
 q("tk9_take_exact", "SELECT event_id FROM flows ORDER BY ts_us LIMIT 100", lambda s, d: dataset.take_exact(FL(s, d), ["ts_us"], 100).select("event_id"), "flows")
-q("prj10_capture_filters", "SELECT event_id FROM flows WHERE dst_ip IN ('192.168.1.60', '203.0.113.1') AND dst_port BETWEEN 80 AND 443 AND src_ip = '10.0.0.3'", lambda s, d: FL(s, d).where("dst_ip IN ('192.168.1.60', '203.0.113.1') AND dst_port BETWEEN 80 AND 443 AND src_ip = '10.0.0.3'").select("event_id"), "flows")
+q("prj10_capture_filters", "SELECT event_id FROM flows WHERE dst_ip IN ('192.168.1.60', '203.0.113.1') AND dst_port BETWEEN 80 AND 443 AND src_ip = '10.0.0.3'", lambda s, d: dataset.filter_events(FL(s, d), dst_ips=["192.168.1.60", "203.0.113.1"], ports=(80, 443), src_ip="10.0.0.3").select("event_id"), "flows")
 q("prj14_rebase_time", "SELECT event_id, ts_us + (1000000 - (SELECT min(ts_us) FROM flows)) AS ts_us FROM flows", lambda s, d: normalize.rebase_time(FL(s, d), 1_000_000).select("event_id", "ts_us"), "flows")
 RAW = ["ts", "uid", "src_ip AS `id.orig_h`", "'0' AS `id.orig_p`", "dst_ip AS `id.resp_h`", "cast(dst_port AS string) AS `id.resp_p`", "proto", "conn_state", "if(event_id % 10 = 3, 'x', cast(orig_bytes AS string)) AS orig_bytes", "cast(resp_bytes AS string) AS resp_bytes", "cast(null AS string) AS orig_pkts", "cast(resp_pkts AS string) AS resp_pkts", "cast(duration AS string) AS duration",
        "if(event_id % 4 = 1, 'q.example', null) AS query", "cast(null AS string) AS qtype_name", "if(event_id % 4 = 2, 'aa', null) AS ja3", "cast(null AS string) AS ja4", "if(event_id % 8 = 3, 'h', null) AS server_name", "cast(null AS string) AS version", "if(event_id % 16 = 0, array(1L), null) AS sizes", "if(event_id % 16 = 0, array(1D), null) AS gaps"]
@@ -136,7 +136,7 @@ q("dt5_scan_ml", None, dt5)
 q("dt7_beacon_ml", None, dt7)
 q("dt9_dga_ml", None, dt9)
 q("dt10_exfil_ml", None, dt10)
-q("dt12_tls_flow", None, lambda s, d: detect.model_alerts(tls_scored(s, d)[1], "p", "tls", 0.72, "CASE WHEN p > 0.85 THEN 'HIGH' ELSE 'MEDIUM' END").drop("evidence_json"))
+q("dt12_tls_flow", None, lambda s, d: detect.tls_flow(tls_scored(s, d)[1]).drop("evidence_json"))
 q("dt13_ml13_tls_tier2", None, dt13)
 q("ag19_importances", None, lambda s, d: ml.importances(forest(flood_labelled(s, d), FEAT), FEAT, s))
 q("ml2_compare", None, lambda s, d: ml.compare(ml.hash_folds(flood_labelled(s, d), "event_id", 2), FEAT, "fold", 2, {"rf": forest, "logistic": lambda r, f: ml.train_logistic(ml.class_weight(r), f, "w"), "gbt": lambda r, f: ml.train_gbt(ml.class_weight(r), f, weight="w")}))

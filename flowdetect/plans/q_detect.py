@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowdetect.functions import expr as x
-from flowdetect.operators import detect, enrich, features, gates, text
+from flowdetect.operators import correlate, detect, enrich, features, gates, text
 from flowdetect.plans.views import duck, view
 
 Q, O = {}, {}
@@ -70,7 +70,9 @@ q("wn4_entropy_baseline", f"WITH {WN1.format(src='flows', iat=IAT)}, {WN4} SELEC
 SLOW = "sl AS (SELECT *, count(*) OVER (PARTITION BY dst_ip, dst_port ORDER BY ts_us RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW) AS slow_count FROM flows WHERE proto IN ('tcp', 'udp') AND duration > 15 AND orig_bytes < 500)"
 q("wn5_slow_connections", f"WITH {SLOW} SELECT event_id, slow_count FROM sl", "flows")(lambda s, d: features.slow_conns(FL(s, d).where("proto IN ('tcp', 'udp')")).select("event_id", "slow_count"))
 q("wn11_alert_gaps", """SELECT seq, CASE WHEN event_ts > lag(event_ts) OVER w THEN round(event_ts - lag(event_ts) OVER w, 3) END AS gap FROM alerts WINDOW w AS (PARTITION BY threat_class ORDER BY event_ts, seq)""", "alerts")(
-    lambda s, d: s.sql("SELECT seq, CASE WHEN event_ts > lag(event_ts) OVER w THEN round(event_ts - lag(event_ts) OVER w, 3) END AS gap FROM {a} WINDOW w AS (PARTITION BY threat_class ORDER BY event_ts, seq)", a=view(s, d, "alerts")))
+    lambda s, d: correlate.gaps(view(s, d, "alerts")).select("seq", F.col("class_gap").alias("gap")))
+q("wn11_all_gaps", "SELECT seq, CASE WHEN event_ts > lag(event_ts) OVER w THEN round(event_ts - lag(event_ts) OVER w, 3) END AS gap FROM alerts WINDOW w AS (ORDER BY event_ts, seq)", "alerts")(
+    lambda s, d: correlate.gaps(view(s, d, "alerts")).select("seq", F.col("all_gap").alias("gap")))
 A = ["flow_id", "src_ip", "dst_ip", "dst_port", "threat_class", "severity", "confidence", "detection_method"]
 
 
@@ -109,7 +111,7 @@ q("jn4_join_uid_bounded", "SELECT s.uid, coalesce(c.orig_bytes, 0) AS orig_bytes
 GATE = f"NOT {INT.format('dst_ip')} AND duration >= 0.1 AND orig_bytes + resp_bytes >= 100"
 q("prj8_tls_gate", f"WITH {JOINED} SELECT uid FROM j WHERE {GATE}", "ssl", "conn", "pktseq")(lambda s, d: detect.tls_gate(joined(s, d)).select("uid"))
 BLS = "b AS (SELECT md5(k::VARCHAR) AS hash, 'fam' || (k % 3) AS family FROM range(0, 97, 13) t(k))"
-q("dt11_jn5_tls_blacklist", f"WITH {JOINED}, {BLS} SELECT uid AS flow_id, src_ip, dst_ip, dst_port, 'tls' AS threat_class, 'HIGH' AS severity, 0.95::DOUBLE AS confidence, 'rule_based' AS detection_method, family FROM j JOIN b ON j.ja3 = b.hash WHERE {GATE}", "ssl", "conn", "pktseq")(
+q("dt11_jn5_tls_blacklist", f"WITH {JOINED}, {BLS} SELECT uid AS flow_id, src_ip, dst_ip, dst_port, 'tls' AS threat_class, 'HIGH' AS severity, 0.95::DOUBLE AS confidence, 'ja3_blacklist' AS detection_method, family FROM j JOIN b ON j.ja3 = b.hash WHERE {GATE}", "ssl", "conn", "pktseq")(
     lambda s, d: detect.tls_blacklist(joined(s, d), blacklist(s)).selectExpr(*A, "get_json_object(evidence_json, '$.family') AS family"))
 q("fn12_tls_features", f"WITH {JOINED} SELECT uid, orig_bytes + resp_bytes AS total_bytes, round(coalesce(list_avg(sizes), 0), 4) AS size_mean, CASE WHEN len(sizes) > 1 THEN round(list_aggregate(sizes, 'stddev_pop'), 4) ELSE 0 END AS size_std, round(coalesce(list_avg(gaps), 0), 4) AS gap_mean, CASE WHEN len(gaps) > 1 THEN round(list_aggregate(gaps, 'stddev_pop'), 4) ELSE 0 END AS gap_std, len(sizes) AS n_pkts, (log_type = 'quic')::INT AS is_quic FROM j", "ssl", "conn", "pktseq")(
     lambda s, d: features.tls_features(joined(s, d)).select("uid", "total_bytes", "size_mean", "size_std", "gap_mean", "gap_std", "n_pkts", "is_quic"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from flowdetect.plans import q_data, q_detect, q_report
+from flowdetect.plans import q_data, q_detect, q_io, q_report
 
-MODULES = (q_detect, q_report, q_data)
+MODULES = (q_detect, q_report, q_data, q_io)
 
 
 def queries() -> dict:

@@ -13,13 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from flowdetect.functions import expr as x
+from flowdetect.operators import correlate, gates
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TOPICS = ("conn", "dns", "ssl", "quic", "pktseq")
 
 
 def kafka_source(spark: SparkSession, servers: str, topics: tuple[str, ...] = TOPICS, schema: str = "ts double, uid string") -> DataFrame:
     d = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).option("startingOffsets", "latest").load()
-    return d.select("topic", F.from_json(F.col("value").cast("string"), schema).alias("v")).where("v IS NOT NULL").select("topic", "v.*")
+    return decoded(d, schema)
+
+
+def decoded(records: DataFrame, schema: str) -> DataFrame:
+    """Records of a topic (topic, value) as rows; values that are no JSON of the
+    schema are skipped."""
+    d = records.select("topic", F.from_json(F.col("value").cast("string"), schema).alias("v"))
+    return d.where("v IS NOT NULL").select("topic", "v.*")
 
 
 def file_source(spark: SparkSession, path: str, schema, fmt: str = "json") -> DataFrame:
@@ -85,7 +95,7 @@ class Trailing(StatefulProcessor):
         self.seconds, self.rows, self.value = seconds, rows, value
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("held", f"t long, v long")
+        self.held = handle.getListState("held", "t long, v long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         d = pd.concat(rows).sort_values(["ts_us", "event_id"])
@@ -127,11 +137,90 @@ def beacon_state(flows: DataFrame, rows: int = 20) -> DataFrame:
     return _keyed(flows, ["src_ip", "dst_ip", "dst_port"], Trailing(None, rows, "event_id"), "event_id long, n long, distinct long")
 
 
+class Baseline(StatefulProcessor):
+    """Running mean gap of a class of alerts: one number of state for each
+    class, so gaps of any length count."""
+
+    def __init__(self, alpha: float):
+        self.alpha = alpha
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "t long, m double, n int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        d = pd.concat(rows).sort_values(["ts_us", "seq"])
+        last, m, n = self.held.get() if self.held.exists() else (None, None, 0)
+        gaps, counts = [], []
+        for t in d["ts_us"].tolist():
+            if last is not None and t > last:
+                gap = (t - last) / 1e6
+                m, n = gap if m is None else self.alpha * gap + (1 - self.alpha) * m, n + 1
+            last = t if last is None else max(last, t)
+            gaps.append(m)
+            counts.append(n)
+        self.held.update((last, m, n))
+        yield pd.DataFrame({"seq": d["seq"], "class_gap": pd.array(gaps, dtype="Float64").astype(object), "class_n": counts})
+
+    def close(self) -> None:
+        pass
+
+
+class Correlate(StatefulProcessor):
+    """A source's alerts of the last 900 s and the last firing of each pattern;
+    an alert fires the first pattern that it completes and that is news."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "t long, id string, kind string")
+        self.fired = handle.getMapState("fired", "pattern string", "t long, ids array<string>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        d = pd.concat(rows).sort_values(["ts_us", "seq"])
+        held = [tuple(h) for h in self.held.get()] if self.held.exists() else []
+        fired = {k[0]: (v[0], frozenset(v[1])) for k, v in self.fired.iterator()}
+        times, out = d["ts_us"].tolist(), []
+        news_of = list(zip(times, d["id"].tolist(), d["threat_class"].tolist()))
+        for i, (t, _, _) in enumerate(news_of):
+            peers = [h for h in news_of if h[0] == t]  # of equal time, in each other's frames
+            seen = [h for h in held if h not in peers] + [h for h in news_of if h[0] <= t]
+            tries = []
+            for name, classes, seconds, confidence, _ in correlate.PATTERNS:
+                inside = [h for h in seen if h[2] in classes and h[0] > t - seconds * 1_000_000]
+                if {h[2] for h in inside} == set(classes):
+                    tries.append((name, confidence, [h[1] for h in inside]))
+            for k in gates.news([t] * len(tries), [i] * len(tries), [x[0] for x in tries], [x[2] for x in tries], 900, fired):
+                out.append((int(d["seq"].iloc[i]), key[0], tries[k][0], tries[k][1]))
+        last = times[-1]
+        self.held.put([h for h in held + news_of if h[0] > last - 900_000_000])
+        for k, (t, ids) in fired.items():
+            self.fired.updateValue((k,), (int(t), sorted(ids)))
+        yield pd.DataFrame(out, columns=["seq", "src_ip", "pattern", "confidence"])
+
+    def close(self) -> None:
+        pass
+
+
+def rate_baseline(alerts: DataFrame, alpha: float = 0.2) -> DataFrame:
+    """seq, class_gap, class_n after every alert."""
+    return _keyed(correlate.usable(alerts), ["threat_class"], Baseline(alpha), "seq long, class_gap double, class_n int")
+
+
+def correlated(alerts: DataFrame) -> DataFrame:
+    """Pattern incidents: seq, src_ip, pattern, confidence."""
+    d = correlate.usable(alerts).select("seq", "ts_us", "src_ip", "threat_class", F.expr(correlate.identity()).alias("id"))
+    return _keyed(d, ["src_ip"], Correlate(), "seq long, src_ip string, pattern string, confidence double")
+
+
 def flood_state(flows: DataFrame) -> DataFrame:
-    """Sliding 10 s windows every second: an approximation of the per-event
-    frame; for exact values run the batch operator in ``exact``."""
+    """The seven flood features of sliding 10 s windows every second: a grid in
+    place of the frame at every event; for that run the batch operator in
+    ``exact``."""
     d = with_time(flows).withWatermark("event_time", "30 seconds")
-    return d.groupBy(F.window("event_time", "10 seconds", "1 second")).agg(F.count("*").alias("packet_rate"), F.approx_count_distinct("dst_port").alias("unique_dst_ports"))
+    d = d.groupBy(F.window("event_time", "10 seconds", "1 second")).agg(F.collect_list("dst_port").alias("ports"), F.collect_list("src_ip").alias("ips"), F.collect_list("ts_us").alias("times"))
+    d = d.withColumn("i", F.expr(x.interval_stats("times")))
+    return d.selectExpr(
+        "window", "cast(size(times) AS bigint) AS packet_rate", "size(array_distinct(ports)) AS unique_dst_ports", f"round({x.entropy('ports')}, 4) AS dst_port_entropy",
+        "round(i.mean, 4) AS mean_iat", "round(i.std, 4) AS std_iat", "size(array_distinct(ips)) AS unique_src_ips", f"round({x.entropy('ips')}, 4) AS src_ip_entropy",
+    )
 
 
 def throughput(flows: DataFrame) -> DataFrame:
@@ -148,20 +237,28 @@ def alert_feed(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def exact(source: DataFrame, operator: Callable[[DataFrame], DataFrame], seconds: int, sink: str, carry: str, checkpoint: str):
-    """Runs a batch operator over every micro-batch and the ``seconds`` before
-    it; results of new rows only, written idempotently under the batch's id.
-    Also carries correlation (900 s) and the alert-rate baseline."""
+    """Runs a batch operator with a trailing frame over every micro-batch and
+    the ``seconds`` before it; results of new rows only. Results and carried rows
+    stand under the batch's id, so a repeated batch overwrites itself; each
+    batch carries on what may still be in a frame, and older folders go."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         first = batch.agg(F.min("ts_us")).first()[0]
-        if first is None:
+        if first is None:  # Spark gives no empty batch to this sink without a watermark
             return
-        old = spark.read.schema(batch.schema).parquet(carry) if batch_id else batch.limit(0)
-        old = old.where(F.col("ts_us") >= first - seconds * 1_000_000).join(batch.select("event_id"), "event_id", "left_anti")
+        since = first - seconds * 1_000_000
+        held = spark.read.schema(batch.schema).parquet(f"{carry}/batch={batch_id - 1}") if batch_id else batch.limit(0)
+        old = held.where(F.col("ts_us") >= since).join(batch.select("event_id"), "event_id", "left_anti")
         out = operator(old.unionByName(batch)).join(batch.select("event_id"), "event_id", "left_semi")
         out.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-        batch.write.mode("append").parquet(carry)
+        batch.unionByName(old).write.mode("overwrite").parquet(f"{carry}/batch={batch_id}")
+        root = spark._jvm.org.apache.hadoop.fs.Path(carry)
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        for folder in files.listStatus(root):
+            name = folder.getPath().getName()
+            if name.startswith("batch=") and int(name[6:]) < batch_id - 1:
+                files.delete(folder.getPath(), True)
 
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
