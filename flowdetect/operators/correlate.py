@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,41 +66,87 @@ def fire(alerts: DataFrame) -> DataFrame:
     return gates.novel_set(patterns(alerts))
 
 
+HOUR = 3600 * S
+
+
+def _local(rows: pd.DataFrame, alpha: float) -> pd.DataFrame:
+    """Of one key's bucket: after each time, the running mean as an affine map of
+    the mean that comes in: add + keep * m, with the gaps so far and the first
+    gap (a missing m counts as that)."""
+    t = rows["ts_us"].sort_values().to_numpy()
+    before = rows["last_us"].iloc[0]
+    starts = pd.isna(before)
+    gap = np.diff(t, prepend=t[0] if starts else int(before)) / 1e6
+    add, keep, n, adds, keeps, counts = 0.0, 1.0, 0, [], [], []
+    for i, g in enumerate(gap.tolist()):
+        if not (starts and i == 0):
+            add, keep, n = alpha * g + (1 - alpha) * add, (1 - alpha) * keep, n + 1
+        adds.append(add)
+        keeps.append(keep)
+        counts.append(n)
+    own = gap[1:] if starts else gap
+    return pd.DataFrame({"key": rows["key"].iloc[0], "b": rows["b"].iloc[0], "ts_us": t, "add": adds, "keep": keeps, "n": counts, "first": own[0] if len(own) else np.nan})
+
+
+def _carried(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one key's buckets: the mean and the gaps that come into each."""
+    rows = rows.sort_values("b")
+    m, n, means, counts = np.nan, 0, [], []
+    for add, keep, k, first in rows[["add", "keep", "n", "first"]].itertuples(index=False):
+        means.append(m)
+        counts.append(n)
+        if k:
+            m = add + keep * (first if np.isnan(m) else m)
+        n += k
+    return pd.DataFrame({"key": rows["key"], "b": rows["b"], "m0": means, "n0": counts})
+
+
+def _running(times: DataFrame, alpha: float) -> DataFrame:
+    """(key, b, ts_us, m, n) after every distinct time of a key. Steps of the
+    mean are affine maps: they are composed within each hour, the hours (a row
+    each) are scanned, and what comes in is put into the hours' maps."""
+    d = times.distinct().withColumn("b", F.expr(f"ts_us DIV {HOUR}"))
+    ends = d.groupBy("key", "b").agg(F.max("ts_us").alias("last_us"))
+    ends = ends.withColumn("last_us", F.lag("last_us").over(Window.partitionBy("key").orderBy("b")))
+    inside = d.join(ends, ["key", "b"]).groupBy("key", "b").applyInPandas(partial(_local, alpha=alpha), "key string, b long, ts_us long, add double, keep double, n int, first double")
+    last = inside.groupBy("key", "b").agg(F.max_by(F.struct("add", "keep", "n", "first"), "ts_us").alias("r")).select("key", "b", "r.*")
+    come = last.groupBy("key").applyInPandas(_carried, "key string, b long, m0 double, n0 int")
+    m = "if(n0 + n = 0, null, add + keep * coalesce(nanvl(m0, null), nanvl(first, null), 0D))"
+    return inside.join(come, ["key", "b"]).selectExpr("key", "b", "ts_us", f"{m} AS m", "n0 + n AS n")
+
+
 def rate_baseline(alerts: DataFrame, alpha: float = 0.2) -> DataFrame:
     """Adds class_gap, class_n, all_gap, all_n: the running mean gaps of the
-    alert's class and of all alerts, after this alert. The fold of all alerts is
-    one chain by its nature; alerts are few."""
-    fold = (
-        f"aggregate(array_sort(a), named_struct('t', cast(null AS bigint), 'm', cast(null AS double), 'n', 0, 'o', cast(array() AS array<struct<seq: bigint, m: double, n: int>>)), (s, r) -> "
-        f"named_struct('t', greatest(s.t, r.ts_us), 'm', if(r.ts_us > s.t, coalesce({alpha}D * ((r.ts_us - s.t) / 1e6) + {1 - alpha}D * s.m, (r.ts_us - s.t) / 1e6), s.m), 'n', s.n + if(r.ts_us > s.t, 1, 0), "
-        f"'o', concat(s.o, array(named_struct('seq', r.seq, 'm', if(r.ts_us > s.t, coalesce({alpha}D * ((r.ts_us - s.t) / 1e6) + {1 - alpha}D * s.m, (r.ts_us - s.t) / 1e6), s.m), 'n', s.n + if(r.ts_us > s.t, 1, 0)))))).o"
-    )
+    alert's class and of all alerts, after this alert; times that do not advance
+    change nothing."""
     d = usable(alerts)
+    own = _running(d.select(F.col("threat_class").alias("key"), "ts_us"), alpha)
+    all_ = _running(d.select(F.lit("").alias("key"), "ts_us"), alpha)
+    d = d.join(own.select(F.col("key").alias("threat_class"), "ts_us", F.col("m").alias("class_gap"), F.col("n").alias("class_n")), ["threat_class", "ts_us"])
+    return d.join(all_.select("ts_us", F.col("m").alias("all_gap"), F.col("n").alias("all_n")), "ts_us")
 
-    def run(keys):
-        got = d.groupBy(*keys).agg(F.collect_list(F.struct("ts_us", "seq")).alias("a"))
-        return got.select(F.explode(F.expr(fold)).alias("r")).select("r.*")
 
-    c, g = run(["threat_class"]).toDF("seq", "class_gap", "class_n"), run([]).toDF("seq", "all_gap", "all_n")
-    return d.join(c, "seq").join(g, "seq")
-
-
-def adaptive(alerts: DataFrame, threshold: float = 3.0) -> DataFrame:
+def adaptive(alerts: DataFrame, threshold: float = 3.0, alpha: float = 0.2) -> DataFrame:
     """Candidates of the statistical layer: two classes or more in the adaptive
     window whose joint chance is small. Each class counts with its latest gap
     at the alert."""
-    d = rate_baseline(alerts).withColumn("window", F.expr(x.adaptive_window("all_gap")))
+    d = usable(alerts)
+    tempo = _running(d.select(F.lit("").alias("key"), "ts_us"), alpha).select("ts_us", F.col("m").alias("all_gap"))
+    d = d.join(tempo, "ts_us").withColumn("window", F.expr(x.adaptive_window("all_gap")))
     row = F.struct("ts_us", "seq", "threat_class", F.expr(identity()).alias("id"), "confidence")
     w = Window.partitionBy("src_ip").orderBy("ts_us").rangeBetween(-(900 * S - 1), 0)
-    d = d.withColumn("_r", F.expr("filter(_a, r -> r.ts_us > ts_us - cast(window * 1000000 AS bigint))")) if "_a" in d.columns else d.withColumn("_a", F.collect_list(row).over(w)).withColumn("_r", F.expr("filter(_a, r -> r.ts_us > ts_us - cast(window * 1000000 AS bigint))"))
+    d = d.withColumn("_a", F.collect_list(row).over(w)).withColumn("_r", F.expr("filter(_a, r -> r.ts_us > ts_us - cast(window * 1000000 AS bigint))"))
     d = d.withColumn("classes", F.expr("array_sort(array_distinct(_r.threat_class))")).where("size(classes) >= 2")
-    # the class gaps as of the alert: the last update of each class, an as-of join per class
-    hist = rate_baseline(alerts).select(F.col("threat_class").alias("c"), F.col("ts_us").alias("ct"), F.col("seq").alias("cs"), "class_gap", "class_n")
-    pairs = d.select("seq", "ts_us", "window", F.explode("classes").alias("c"))
-    both = pairs.select("c", F.col("ts_us").alias("t"), "seq", F.lit(None).cast("double").alias("gap"), F.lit(None).cast("int").alias("n"), F.lit(1).alias("k"), "window").unionByName(
-        hist.select("c", F.col("ct").alias("t"), F.col("cs").alias("seq"), F.col("class_gap").alias("gap"), F.col("class_n").alias("n"), F.lit(0).alias("k"), F.lit(None).cast("double").alias("window")))
-    asof = Window.partitionBy("c").orderBy("t", "seq", "k").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumns({"g": F.last("gap", True).over(asof), "m": F.last("n", True).over(asof)}).where("k = 1")
+    # the class gaps as of the alert: the last update of the class within the hour, else the one that came into it
+    hist = _running(usable(alerts).select(F.col("threat_class").alias("key"), "ts_us"), alpha)
+    pairs = d.select("seq", "ts_us", "window", F.explode("classes").alias("key")).withColumn("b", F.expr(f"ts_us DIV {HOUR}"))
+    both = pairs.selectExpr("key", "b", "ts_us", "1 AS k", "seq", "window", "cast(null AS struct<m:double,n:int>) AS v").unionByName(
+        hist.selectExpr("key", "b", "ts_us", "0 AS k", "cast(null AS bigint) AS seq", "cast(null AS double) AS window", "struct(m, n) AS v"))
+    asof = Window.partitionBy("key", "b").orderBy("ts_us", "k").rowsBetween(Window.unboundedPreceding, 0)
+    hours = both.groupBy("key", "b").agg(F.max_by("v", F.when(F.col("v").isNotNull(), F.col("ts_us"))).alias("v"))
+    hours = hours.select("key", "b", F.last("v", True).over(Window.partitionBy("key").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("v0"))
+    both = both.withColumn("v", F.last("v", True).over(asof)).where("k = 1").join(hours, ["key", "b"], "left")
+    both = both.withColumn("v", F.coalesce("v", "v0")).selectExpr("seq", "window", "v.m AS g", "v.n AS m")
     p = F.greatest(F.expr(x.poisson_p("window", "g", "coalesce(m, 0)")), F.lit(1e-6))
     score = both.groupBy("seq").agg(F.sum(-F.log(p)).alias("score"))
     d = d.join(score, "seq").where(F.col("score") >= threshold)

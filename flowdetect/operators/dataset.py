@@ -11,11 +11,23 @@ from flowdetect.operators import features, text
 S = 1_000_000
 
 
+def _following(d: DataFrame, order: str, columns: dict[str, str], width_us: int = 3600 * S) -> DataFrame:
+    """Adds values of the next row in order (name: column), and ``_i``, the row's
+    number. Rows meet by hours; across hours only each one's first row does."""
+    d = d.withColumn("_b", F.expr(f"{order} DIV {width_us}"))
+    w = Window.partitionBy("_b").orderBy(order)
+    first = d.groupBy("_b").agg(F.count("*").alias("_k"), F.min_by(F.struct(*(F.col(c).alias(n) for n, c in columns.items())), order).alias("_f"))
+    over = Window.orderBy("_b")
+    first = first.select("_b", F.lead("_f").over(over).alias("_f"), F.coalesce(F.sum("_k").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_k"))
+    d = d.withColumns({"_i": F.row_number().over(w), "_x": F.lead(F.struct(*(F.col(c).alias(n) for n, c in columns.items()))).over(w)}).join(first, "_b")
+    d = d.withColumns({"_i": F.col("_i") + F.col("_k"), "_x": F.coalesce("_x", "_f")})
+    return d.withColumns({n: F.col(f"_x.{n}") for n in columns}).drop("_b", "_k", "_f", "_x")
+
+
 def pair_marks(marks: DataFrame, margin_us: int = 0, ts: str = "ts_us") -> DataFrame:
     """Adjacent _start / _end marks to (session_id, label, start_us, end_us,
-    ok); marks are few, their order is global."""
-    w = Window.orderBy(ts)
-    d = marks.withColumns({"_n": F.row_number().over(w), "_e": F.lead(ts).over(w), "_l": F.lead("label").over(w)}).where("_n % 2 = 1")
+    ok); pairs are counted from the earliest mark."""
+    d = _following(marks, ts, {"_e": ts, "_l": "label"}).where("_i % 2 = 1")
     base = F.regexp_replace("label", "_start$", "")
     ok = F.col("label").endswith("_start") & F.coalesce(F.col("_l") == F.concat(base, F.lit("_end")), F.lit(False))
     return d.select(base.alias("session_id"), F.expr("split(label, '_')[0]").alias("label"), (F.col(ts) + margin_us).alias("start_us"), (F.col("_e") - margin_us).alias("end_us"), ok.alias("ok"))
@@ -23,8 +35,8 @@ def pair_marks(marks: DataFrame, margin_us: int = 0, ts: str = "ts_us") -> DataF
 
 def clamp_windows(w: DataFrame, flush_us: int = 65 * S) -> DataFrame:
     """Ends moved by the flush margin, but not past the next start."""
-    nxt = F.lead("start_us").over(Window.orderBy("start_us"))
-    return w.withColumn("end_us", F.least(F.col("end_us") + flush_us, F.coalesce(nxt, F.col("end_us") + flush_us)))
+    d = _following(w, "start_us", {"_n": "start_us"})
+    return d.withColumn("end_us", F.least(F.col("end_us") + flush_us, F.coalesce("_n", F.col("end_us") + flush_us))).drop("_n", "_i")
 
 
 def filter_events(events: DataFrame, dst_ips: list[str] | DataFrame | None = None, ports: tuple[int, int] | None = None, src_ip: str | None = None) -> DataFrame:

@@ -130,6 +130,10 @@ def score(model, rows: DataFrame, out: str = "p") -> DataFrame:
     return d.withColumn(out, vector_to_array("probability")[1]).drop("_v", "_z", "probability", "rawPrediction", "prediction")
 
 
+def _with_score(model, rows: DataFrame) -> DataFrame:
+    return score(model, rows) if hasattr(model, "transform") else model(rows)
+
+
 def evaluate_unseen(rows: DataFrame, unseen: DataFrame, score_with, threshold: float = 0.5) -> DataFrame:
     """Confusion over the rows of groups (``unseen``: grp) that no training,
     fold or threshold has met. ``score_with``: adds the column p."""
@@ -138,12 +142,13 @@ def evaluate_unseen(rows: DataFrame, unseen: DataFrame, score_with, threshold: f
 
 
 def compare(rows: DataFrame, features: list[str], fold: str, k: int, trainers: dict) -> DataFrame:
-    """Pooled confusion of every trainer over the folds' held-out rows."""
+    """Pooled confusion of every trainer over the folds' held-out rows. A
+    trainer gives a model, or a function that adds the score ``p``."""
     parts = []
     rows = rows.persist()  # every fit of every fold passes over these
     for i in range(k):
         fit, out = rows.where(f"{fold} <> {i}"), rows.where(f"{fold} = {i}")
-        parts += [score(train(fit, features), out).select(F.lit(name).alias("model"), "y", F.expr("cast(p > 0.5 AS int)").alias("pred")) for name, train in trainers.items()]
+        parts += [_with_score(train(fit, features), out).select(F.lit(name).alias("model"), "y", F.expr("cast(p > 0.5 AS int)").alias("pred")) for name, train in trainers.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

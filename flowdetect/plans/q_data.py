@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowdetect.operators import dataset, detect, features, ml, normalize
 from flowdetect.plans.q_detect import F3, GAPS, INT, JOINED, WN3, blacklist, joined
-from flowdetect.plans.views import duck, view
+from flowdetect.plans.views import duck, stored, view
 
 Q, O = {}, {}
 
@@ -77,7 +77,7 @@ q("ml5_group_folds", "WITH g AS (SELECT grp, row_number() OVER (ORDER BY count(*
 q("ml9_select_threshold", "WITH t AS (SELECT unnest(range(1, 100)) AS t), d AS (SELECT t, count(*) FILTER (y = 1 AND round(p * 100) >= t) AS tp, count(*) FILTER (round(p * 100) >= t) AS said FROM t, scores GROUP BY t) SELECT coalesce(arg_max(t, (tp, -t)) FILTER (said > 0 AND tp >= 0.1 * said), 50) / 100 AS threshold FROM d", lambda s, d: ml.select_threshold(SC(s, d), 0.1), "scores")
 q("ml12_rule_baseline", f"WITH {WN3} SELECT event_id, coalesce(observations >= 5 AND mean_interval BETWEEN 3 AND 600 AND cv <= 0.35, false)::INT AS pred FROM f", lambda s, d: ml.rule_baseline(features.beacon_features(FL(s, d)), "c2").select("event_id", "pred"), "flows")
 q("ml14_stratified_split", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(doc_id::VARCHAR), doc_id) AS r, count(*) OVER (PARTITION BY y) AS n FROM scores) SELECT doc_id, CASE WHEN r <= round(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM r", lambda s, d: ml.stratified_split(SC(s, d), "y", "doc_id").select("doc_id", "split"), "scores")
-q("ml6_ml7_group_split", None, lambda s, d: ml.group_split(SC(s, d), "grp", pinned=("src1",)).select("doc_id", "split"))
+q("ml6_ml7_group_split", "SELECT doc_id, CASE WHEN grp = 'src1' THEN 'fit' WHEN u < 0.2 THEN 'test' WHEN u < 0.4 THEN 'cal' ELSE 'fit' END AS split FROM (SELECT doc_id, grp, ('0x' || substr(md5('42:' || grp), 1, 8))::BIGINT % 10000 / 10000 AS u FROM scores)", lambda s, d: ml.group_split(SC(s, d), "grp", pinned=("src1",)).select("doc_id", "split"), "scores")
 FEAT = ["packet_rate", "unique_dst_ports", "dst_port_entropy", "mean_iat", "std_iat", "unique_src_ips", "src_ip_entropy"]
 
 
@@ -87,7 +87,8 @@ def forest(rows, f, trees=200, depth=6):
 
 
 def flood_labelled(s, d):
-    return features.entropy_baseline(features.flood_features(FL(s, d))).withColumn("y", F.expr("cast(src_ip = '10.0.9.1' AS int)"))
+    rows = features.entropy_baseline(features.flood_features(FL(s, d))).withColumn("y", F.expr("cast(src_ip = '10.0.9.1' AS int)"))
+    return stored(rows, "flood")  # every step of a training passes over it
 
 
 def dt1(s, d):
@@ -96,19 +97,19 @@ def dt1(s, d):
 
 
 def dt5(s, d):
-    rows = features.scan_features(FL(s, d)).withColumn("y", F.expr("cast(src_ip = '10.0.9.1' AS int)"))
+    rows = stored(features.scan_features(FL(s, d)).withColumn("y", F.expr("cast(src_ip = '10.0.9.1' AS int)")), "scan")
     f = ["unique_ports", "unique_hosts", "connection_count", "port_entropy", "port_range_span", "mean_iat", "std_iat"]
     return detect.scan_ml(ml.score(forest(rows, f), rows)).drop("evidence_json")
 
 
 def dt7(s, d):
-    rows = features.beacon_features(FL(s, d)).where("observations >= 5 AND cv < 1e6").withColumn("y", F.expr("cast(src_ip LIKE '10.0.8.%' AS int)"))
+    rows = stored(features.beacon_features(FL(s, d)).where("observations >= 5 AND cv < 1e6").withColumn("y", F.expr("cast(src_ip LIKE '10.0.8.%' AS int)")), "beacon")
     return detect.beacon_ml(ml.score(forest(rows, ["observations", "mean_interval", "std_interval", "cv"]), rows)).drop("evidence_json")
 
 
 def dt9(s, d):
     dns = view(s, d, "dns")
-    rows = dataset.lexical_rows(detect.dns_gate(dns), "query", view(s, d, "documents")).withColumn("y", F.expr("cast(query LIKE '%.ru' AS int)")).persist()
+    rows = stored(dataset.lexical_rows(detect.dns_gate(dns), "query", view(s, d, "documents")).withColumn("y", F.expr("cast(query LIKE '%.ru' AS int)")), "lexical")
     scored = ml.score(forest(rows, dataset.LEXICAL, depth=30), rows)
     return detect.dga_ml(scored, detect.dns_tunnel_rows(dns)).withColumn("detection_path", F.get_json_object("evidence_json", "$.detection_path")).drop("evidence_json")
 
@@ -120,7 +121,7 @@ def dt10(s, d):
 
 
 def tls_scored(s, d):
-    rows = features.tls_features(detect.tls_gate(joined(s, d))).withColumn("y", F.expr("cast(event_id % 3 = 0 AS int)"))
+    rows = stored(features.tls_features(detect.tls_gate(joined(s, d))).withColumn("y", F.expr("cast(event_id % 3 = 0 AS int)")), "tls")
     f = ["orig_bytes", "resp_bytes", "duration", "byte_ratio", "total_bytes", "total_bps", "size_mean", "size_std", "gap_mean", "gap_std", "n_pkts", "is_quic"]
     return rows, ml.score(forest(rows, f, 150, 8), rows)
 
@@ -141,3 +142,14 @@ q("dt13_ml13_tls_tier2", None, dt13)
 q("ag19_importances", None, lambda s, d: ml.importances(forest(flood_labelled(s, d), FEAT), FEAT, s))
 q("ml2_compare", None, lambda s, d: ml.compare(ml.hash_folds(flood_labelled(s, d), "event_id", 2), FEAT, "fold", 2, {"rf": forest, "logistic": lambda r, f: ml.train_logistic(ml.class_weight(r), f, "w"), "gbt": lambda r, f: ml.train_gbt(ml.class_weight(r), f, weight="w")}))
 q("ml8_platt", None, lambda s, d: ml.calibrate(ml.platt(SC(s, d).where("doc_id % 2 = 0")), SC(s, d)).select("doc_id", F.round("calibrated", 6).alias("calibrated")))
+
+
+def given(column):
+    """A trainer whose model is a score that the rows hold."""
+    return lambda fit, f: lambda rows: rows.withColumn("p", F.col(column))
+
+
+q("ml2_compare_scored", "WITH m AS (SELECT 'p' AS model, y, p > 0.5 AS hit FROM scores UNION ALL SELECT 'q', y, q > 0.5 FROM scores) SELECT model, count(*) FILTER (y = 1 AND hit) AS tp, count(*) FILTER (y = 0 AND hit) AS fp, count(*) FILTER (y = 0 AND NOT hit) AS tn, count(*) FILTER (y = 1 AND NOT hit) AS fn FROM m GROUP BY 1",
+  lambda s, d: ml.compare(ml.hash_folds(SC(s, d), "grp", 5), [], "fold", 5, {"p": given("p"), "q": given("q")}).select("model", "tp", "fp", "tn", "fn"), "scores")
+for full, sparse, step in (("ds1_flood_rows", 2_000_000, 140_000), ("ds2_scan_rows", 5_000_000, 150_000), ("ds3_wn7_beacon_rows", 5_000_000, 220_000)):
+    O[f"{full}_full_rate"] = O[full].replace(f", {sparse})) AS t_us", f", {step})) AS t_us")

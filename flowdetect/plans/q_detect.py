@@ -130,12 +130,12 @@ q("fn2_fn9_dns_functions", """SELECT uid, round(list_aggregate(string_split(lowe
 GR = "g AS (SELECT doc_id, substr(t, i, 3) AS gram FROM (SELECT doc_id, lower(source || ' ' || lang) AS t, unnest(range(1, len(source || ' ' || lang) - 1)) AS i FROM documents) WHERE regexp_matches(substr(t, i, 3), '^[a-z]{3}$'))"
 q("ag18_trigram_model", """WITH w AS (SELECT lower(text) AS t FROM documents), g AS (SELECT unnest(list_transform(range(1, len(t) - 1), lambda i: substr(t, i, 3))) AS gram FROM w), n AS (SELECT gram, count(*) AS n FROM g WHERE regexp_matches(gram, '^[a-z]{3}$') GROUP BY gram)
 SELECT gram, round(log2(n / sum(n) OVER ()), 4) AS logp FROM n""", "documents")(lambda s, d: text.trigram_model(view(s, d, "documents"), "text"))
-q("fn6_ngram_score", """WITH w AS (SELECT lower(query) AS t FROM dns), g AS (SELECT unnest(list_transform(range(1, len(t) - 1), lambda i: substr(t, i, 3))) AS gram FROM w), n AS (SELECT gram, count(*) AS n FROM g WHERE regexp_matches(gram, '^[a-z]{3}$') GROUP BY gram), m AS (SELECT gram, round(log2(n / sum(n) OVER ()), 4) AS logp FROM n),
+q("fn6_ngram_score", """WITH w AS (SELECT lower(text) AS t FROM documents), g AS (SELECT unnest(list_transform(range(1, len(t) - 1), lambda i: substr(t, i, 3))) AS gram FROM w), n AS (SELECT gram, count(*) AS n FROM g WHERE regexp_matches(gram, '^[a-z]{3}$') GROUP BY gram), m AS (SELECT gram, round(log2(n / sum(n) OVER ()), 4) AS logp FROM n),
 k AS (SELECT uid, unnest(list_transform(range(1, len(query) - 1), lambda i: substr(lower(query), i, 3))) AS gram FROM dns), z AS (SELECT uid, avg(coalesce(logp, -10)) AS a FROM k LEFT JOIN m USING (gram) WHERE regexp_matches(gram, '^[a-z]{3}$') GROUP BY uid)
-SELECT dns.uid, round(coalesce(a, -10), 9) AS ngram_score FROM dns LEFT JOIN z ON dns.uid = z.uid""", "dns")(lambda s, d: text.ngram_score(view(s, d, "dns"), "uid", "query", text.trigram_model(view(s, d, "dns"), "query")))
+SELECT dns.uid, round(coalesce(a, -10), 9) AS ngram_score FROM dns LEFT JOIN z ON dns.uid = z.uid""", "dns")(lambda s, d: text.ngram_score(view(s, d, "dns"), "uid", "query", text.trigram_model(view(s, d, "documents"), "text")))
 q("src13_words", """SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(trim(text)), '[^a-z]+')) AS word FROM documents) WHERE len(word) BETWEEN 3 AND 10""", "documents")(lambda s, d: text.words(view(s, d, "documents"), "text"))
-q("fn7_word_boundary_score", """WITH RECURSIVE lex AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(trim(source || ' ' || 'login example www')), '[^a-z]+')) AS word FROM documents) WHERE len(word) BETWEEN 3 AND 10),
+q("fn7_word_boundary_score", """WITH RECURSIVE lex AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(trim(text)), '[^a-z]+')) AS word FROM documents) WHERE len(word) BETWEEN 3 AND 10),
 l AS (SELECT uid, string_split(query, '.')[1] AS lab FROM dns), c AS (SELECT uid, p, max(n) AS n FROM (SELECT uid, lab, unnest(range(1, len(lab) + 1)) AS p FROM l) CROSS JOIN range(3, 13) r(n) WHERE p + n - 1 <= len(lab) AND lower(substr(lab, p, n)) IN (SELECT word FROM lex) GROUP BY uid, p),
 w AS (SELECT uid, len(lab) AS ln, 1 AS p, 0 AS m FROM l UNION ALL SELECT w.uid, ln, w.p + coalesce(c.n, 1), m + coalesce(c.n, 0) FROM w LEFT JOIN c ON w.uid = c.uid AND w.p = c.p WHERE w.p <= ln)
 SELECT uid, round(max(m) / greatest(max(ln), 1), 4) AS wbs FROM w GROUP BY uid""", "dns")(
-    lambda s, d: text.word_boundary_score(view(s, d, "dns").selectExpr("uid", "split(query, '\\\\.')[0] AS label"), "uid", "label", text.words(view(s, d, "documents").selectExpr("concat(source, ' login example www') AS text"), "text")))
+    lambda s, d: text.word_boundary_score(view(s, d, "dns").selectExpr("uid", "split(query, '\\\\.')[0] AS label"), "uid", "label", text.words(view(s, d, "documents"), "text")))

@@ -3,14 +3,13 @@ to the shared folder in a source's format, then read or streamed back."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowdetect.operators import correlate, dataset, detect, export, features, gates, ml, report
 from flowdetect.plans.q_detect import INT, JOINED, WN2, WN3, cool, joined
-from flowdetect.plans.views import duck, view
+from flowdetect.plans.q_report import CAND, EW
+from flowdetect.plans.views import duck, folder, view
 from flowdetect.sources import logs
 from flowdetect.streaming import stream
 
@@ -23,15 +22,6 @@ def q(name, sql, f, *views):
         O[name] = duck(sql, *views)
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else f"file:///tmp/flowdetect-{uuid.uuid4().hex}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def FL(s, d):
     return view(s, d, "flows")
 
@@ -271,8 +261,6 @@ q("dt12_tls_scored", f"WITH {JOINED}, t AS (SELECT *, {P} AS p FROM j WHERE {GAT
 P2 = "CAST((event_id * 71) % 100 AS DOUBLE) / 1e2"
 q("dt13_tier2_scored", f"WITH {JOINED}, t0 AS (SELECT *, {P} AS p FROM j WHERE {GATE}), t AS (SELECT * REPLACE (coalesce(p2, p) AS p), p2 IS NOT NULL AS again FROM (SELECT *, CASE WHEN p BETWEEN 0.4 AND 0.7 AND len(sizes) > 0 THEN {P2} END AS p2 FROM t0))" + alert_sql("tls", HIGH, "CASE WHEN again THEN 'flow_stats_ml+tier2_seq' ELSE 'flow_stats_ml' END", "t WHERE CASE WHEN again THEN p >= 0.51 ELSE p > 0.72 END"),
   lambda s, d: detect.tls_tier2_alerts(detect.tls_tier2(with_p(detect.tls_gate(joined(s, d))), lambda r: r.withColumn("p2", F.expr(P2)))).select(A), "ssl", "conn", "pktseq")
-q("ml6_ml7_split_by_hash", "SELECT doc_id, CASE WHEN grp = 'src1' THEN 'fit' WHEN u < 0.2 THEN 'test' WHEN u < 0.4 THEN 'cal' ELSE 'fit' END AS split FROM (SELECT doc_id, grp, ('0x' || substr(md5('42:' || grp), 1, 8))::BIGINT % 10000 / 10000 AS u FROM scores)", lambda s, d: ml.group_split(view(s, d, "scores"), "grp", pinned=("src1",)).select("doc_id", "split"), "scores")
-
 # ---- streams ----
 
 
@@ -319,19 +307,10 @@ q("sm6_cooldown_state", cool("(SELECT * FROM sl WHERE slow_count >= 25)", ["dst_
 q("sm7_once_state", f"WITH {SLOW} SELECT event_id FROM sl WHERE slow_count >= 25 QUALIFY row_number() OVER (PARTITION BY dst_ip ORDER BY ts_us, event_id) = 1", lambda s, d: landed(s, stream.once(arriving(s, slow(s, d)), ["dst_ip"])).select("event_id"), "flows")
 q("jn3_sm2_enrich_stream", "SELECT s.uid, coalesce(c.orig_bytes, 0) AS orig_bytes, coalesce(c.duration, 0) AS duration FROM ssl s LEFT JOIN conn c ON s.uid = c.uid AND c.ts_us BETWEEN s.ts_us - 30000000 AND s.ts_us + 30000000",
   lambda s, d: landed(s, stream.enrich_stream(arriving(s, view(s, d, "ssl"), ends=True), arriving(s, view(s, d, "conn"), ends=True)).select("uid", "orig_bytes", "duration")).where("uid <> 'end'"), "ssl", "conn")
-EW = """WITH RECURSIVE g AS (SELECT seq, threat_class, ts_us, row_number() OVER (PARTITION BY threat_class ORDER BY ts_us, seq) AS i, (ts_us - lag(ts_us) OVER (PARTITION BY threat_class ORDER BY ts_us, seq)) / 1e6 AS gap FROM alerts),
-r AS (SELECT seq, threat_class, i, NULL::DOUBLE AS m, 0 AS n FROM g WHERE i = 1 UNION ALL SELECT g.seq, g.threat_class, g.i, CASE WHEN gap > 0 THEN coalesce(0.2 * gap + 0.8 * r.m, gap) ELSE r.m END, r.n + (gap > 0)::INT FROM r JOIN g ON g.threat_class = r.threat_class AND g.i = r.i + 1)
-SELECT seq, round(m, 3) AS class_gap, n AS class_n FROM r"""
 q("sm9_baseline_state", EW, lambda s, d: landed(s, stream.rate_baseline(arriving(s, view(s, d, "alerts")))).select("seq", F.round("class_gap", 3).alias("class_gap"), "class_n"), "alerts")
 
 
-def correlation_sql() -> str:
-    from flowdetect.plans.q_report import CAND
-
-    return CAND + " SELECT seq, src_ip, pattern, conf AS confidence FROM fired"
-
-
-q("sm8_correlation_state", correlation_sql(), lambda s, d: landed(s, stream.correlated(arriving(s, view(s, d, "alerts")))), "alerts")
+q("sm8_correlation_state", CAND + " SELECT seq, src_ip, pattern, conf AS confidence FROM fired", lambda s, d: landed(s, stream.correlated(arriving(s, view(s, d, "alerts")))), "alerts")
 
 
 def sink_and_feed(s, d):
