@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from flowdetect.llm.common import shared_dir, table
 
 BATCH = 64
-KEPT_WORDS, KEPT_CHARS = 500_000, 40  # a worker remembers so many words of up to so many characters
+KEPT_WORDS, KEPT_CHARS = 1_000_000, 40  # a worker remembers so many words of up to so many characters
 _WORDS = re.compile(r"[^ \t\n\r]+")
 _state: dict = {}
 
