@@ -63,40 +63,79 @@ def enrich_stream(tls: DataFrame, conn: DataFrame, pktseq: DataFrame | None = No
     return d.fillna({"orig_bytes": 0, "resp_bytes": 0, "duration": 0.0})
 
 
-class Cooldown(StatefulProcessor):
+class Expiring(StatefulProcessor):
+    """A key's state that says nothing of rows ``seconds`` or more after the
+    key's latest. With ``timed`` it goes once the watermark is that far; rows
+    behind the watermark are dropped before they get here."""
+
+    def __init__(self, seconds: int | None, timed: bool):
+        self.seconds, self.timed = seconds, timed and seconds is not None
+
+    def remind(self, last: int) -> None:
+        if self.timed:
+            self.handle.registerTimer(-(-(last + self.seconds * 1_000_000) // 1000))
+
+    def latest(self) -> int | None:
+        """Time of the key's latest row, None where there is no state."""
+        raise NotImplementedError
+
+    def clear(self) -> None:
+        raise NotImplementedError
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = self.latest()
+        if last is not None and last + self.seconds * 1_000_000 <= timerValues.getCurrentWatermarkInMs() * 1000:
+            self.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+class Cooldown(Expiring):
     """Keeps a row iff it is ``seconds`` after the last kept one of its key;
     with None only the first row of a key."""
 
-    def __init__(self, seconds: int | None):
-        self.seconds = seconds
-
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "t long")
 
+    def latest(self) -> int | None:
+        return self.last.get()[0] if self.last.exists() else None
+
+    def clear(self) -> None:
+        self.last.clear()
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         d = pd.concat(rows).sort_values(["ts_us", "event_id"])
-        last = self.last.get()[0] if self.last.exists() else None
+        last = self.latest()
         keep = []
         for t in d["ts_us"]:
             ok = last is None or (self.seconds is not None and t - last >= self.seconds * 1_000_000)
             keep.append(ok)
             last = t if ok else last
         self.last.update((last,))
-        yield d[keep]
-
-    def close(self) -> None:
-        pass
+        self.remind(last)
+        yield d[keep].drop(columns=_TIME, errors="ignore")
 
 
-class Trailing(StatefulProcessor):
+class Trailing(Expiring):
     """Rows of a key with the values of the last ``seconds`` (or ``rows``)."""
 
-    def __init__(self, seconds: int | None, rows: int | None, value: str):
-        self.seconds, self.rows, self.value = seconds, rows, value
+    def __init__(self, seconds: int | None, rows: int | None, value: str, timed: bool = False):
+        super().__init__(seconds, timed)
+        self.rows, self.value = rows, value
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.held = handle.getListState("held", "t long, v long")
 
+    def latest(self) -> int | None:
+        return max(h[0] for h in self.held.get()) if self.held.exists() else None
+
+    def clear(self) -> None:
+        self.held.clear()
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         d = pd.concat(rows).sort_values(["ts_us", "event_id"])
         held = sorted(tuple(h) for h in self.held.get()) if self.held.exists() else []
@@ -110,27 +149,33 @@ class Trailing(StatefulProcessor):
             n.append(len(held))
             distinct.append(len({h[1] for h in held}))
         self.held.put(held)
+        self.remind(held[-1][0])
         yield pd.DataFrame({"event_id": d["event_id"], "n": n, "distinct": distinct})
 
-    def close(self) -> None:
-        pass
+
+_TIME = "_event_time"
 
 
-def _keyed(d: DataFrame, keys: list[str], processor: StatefulProcessor, schema) -> DataFrame:
-    return d.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "none")
+def _keyed(d: DataFrame, keys: list[str], processor: StatefulProcessor, schema, delay: str | None = None) -> DataFrame:
+    """With ``delay`` rows may come that much late, later ones are dropped, and
+    states that have run out go; without it all rows count, states stay."""
+    if delay is None:
+        return d.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "none")
+    return with_time(d, _TIME).withWatermark(_TIME, delay).groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "eventTime")
 
 
-def cooldown(candidates: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    return _keyed(candidates, keys, Cooldown(seconds), candidates.schema)
+def cooldown(candidates: DataFrame, keys: list[str], seconds: int, delay: str | None = None) -> DataFrame:
+    return _keyed(candidates, keys, Cooldown(seconds, delay is not None), candidates.schema, delay)
 
 
 def once(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    return _keyed(candidates, keys, Cooldown(None), candidates.schema)
+    """The first candidate of each key that arrives; a key is never forgotten."""
+    return _keyed(candidates, keys, Cooldown(None, False), candidates.schema)
 
 
-def scan_state(flows: DataFrame, seconds: int = 60) -> DataFrame:
+def scan_state(flows: DataFrame, seconds: int = 60, delay: str | None = None) -> DataFrame:
     """event_id, n and distinct ports of the source's last seconds."""
-    return _keyed(flows, ["src_ip"], Trailing(seconds, None, "dst_port"), "event_id long, n long, distinct long")
+    return _keyed(flows, ["src_ip"], Trailing(seconds, None, "dst_port", delay is not None), "event_id long, n long, distinct long", delay)
 
 
 def beacon_state(flows: DataFrame, rows: int = 20) -> DataFrame:
@@ -165,11 +210,23 @@ class Baseline(StatefulProcessor):
         pass
 
 
-class Correlate(StatefulProcessor):
+class Correlate(Expiring):
     """A source's alerts of the last 900 s and the last firing of each pattern;
-    an alert fires the first pattern that it completes and that is news."""
+    an alert fires the first pattern that it completes and that is news. A
+    firing counts for 900 s and a moment, hence 901."""
+
+    def __init__(self, timed: bool = False):
+        super().__init__(901, timed)
+
+    def latest(self) -> int | None:
+        return max(h[0] for h in self.held.get()) if self.held.exists() else None
+
+    def clear(self) -> None:
+        self.held.clear()
+        self.fired.clear()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.held = handle.getListState("held", "t long, id string, kind string")
         self.fired = handle.getMapState("fired", "pattern string", "t long, ids array<string>")
 
@@ -193,21 +250,19 @@ class Correlate(StatefulProcessor):
         self.held.put([h for h in held + news_of if h[0] > last - 900_000_000])
         for k, (t, ids) in fired.items():
             self.fired.updateValue((k,), (int(t), sorted(ids)))
+        self.remind(last)
         yield pd.DataFrame(out, columns=["seq", "src_ip", "pattern", "confidence"])
 
-    def close(self) -> None:
-        pass
-
 
 def rate_baseline(alerts: DataFrame, alpha: float = 0.2) -> DataFrame:
     """seq, class_gap, class_n after every alert."""
     return _keyed(correlate.usable(alerts), ["threat_class"], Baseline(alpha), "seq long, class_gap double, class_n int")
 
 
-def correlated(alerts: DataFrame) -> DataFrame:
+def correlated(alerts: DataFrame, delay: str | None = None) -> DataFrame:
     """Pattern incidents: seq, src_ip, pattern, confidence."""
     d = correlate.usable(alerts).select("seq", "ts_us", "src_ip", "threat_class", F.expr(correlate.identity()).alias("id"))
-    return _keyed(d, ["src_ip"], Correlate(), "seq long, src_ip string, pattern string, confidence double")
+    return _keyed(d, ["src_ip"], Correlate(delay is not None), "seq long, src_ip string, pattern string, confidence double", delay)
 
 
 def flood_state(flows: DataFrame) -> DataFrame:
