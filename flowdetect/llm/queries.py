@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowdetect.llm import hmm, imatch, licenses, mixing, ngram_join, pieces, quality, suffix_dedup, token_files, url_filter
+from flowdetect.llm import hmm, imatch, licenses, mixing, ngram_join, pieces, quality, simhash, suffix_dedup, token_files, url_filter
 from flowdetect.llm.common import table, text_key, tokenizer_file
 
 
@@ -68,8 +68,19 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scores(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return simhash.near_duplicates(docs, k=3, radius=2)
+
+
+QUERIES = (
+    op1_quality_rules, op2_sentencepiece, op3_mixing, op4_url_filter, op5_license_scan, op6_suffix_dedup,
+    op7_ngram_join, op8_imatch, op9_token_files, op10_hmm, op13_simhash,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_mixing, op4_url_filter, op5_license_scan, op6_suffix_dedup, op7_ngram_join, op8_imatch, op9_token_files, op10_hmm)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict:
