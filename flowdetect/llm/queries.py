@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowdetect.llm import hard_negatives, hmm, imatch, licenses, mixing, ngram_join, pieces, quality, simhash, suffix_dedup, token_files, url_filter
+from flowdetect.llm import hard_negatives, hmm, imatch, licenses, mixing, ngram_join, pieces, quality, simhash, suffix_dedup, token_files, url_filter, whitening
 from flowdetect.llm.common import table, text_key, tokenizer_file
 
 
@@ -68,6 +68,11 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scores(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return whitening.by_component(whitening.whiten(rows, k=16))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -81,7 +86,7 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_quality_rules, op2_sentencepiece, op3_mixing, op4_url_filter, op5_license_scan, op6_suffix_dedup,
-    op7_ngram_join, op8_imatch, op9_token_files, op10_hmm, op12_hard_negatives, op13_simhash,
+    op7_ngram_join, op8_imatch, op9_token_files, op10_hmm, op11_whitening, op12_hard_negatives, op13_simhash,
 )
 
 
