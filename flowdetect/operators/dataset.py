@@ -24,13 +24,18 @@ def _following(d: DataFrame, order: str, columns: dict[str, str], width_us: int
     return d.withColumns({n: F.col(f"_x.{n}") for n in columns}).drop("_b", "_k", "_f", "_x")
 
 
-def pair_marks(marks: DataFrame, margin_us: int = 0, ts: str = "ts_us") -> DataFrame:
-    """Adjacent _start / _end marks to (session_id, label, start_us, end_us,
-    ok); pairs are counted from the earliest mark."""
-    d = _following(marks, ts, {"_e": ts, "_l": "label"}).where("_i % 2 = 1")
-    base = F.regexp_replace("label", "_start$", "")
-    ok = F.col("label").endswith("_start") & F.coalesce(F.col("_l") == F.concat(base, F.lit("_end")), F.lit(False))
-    return d.select(base.alias("session_id"), F.expr("split(label, '_')[0]").alias("label"), (F.col(ts) + margin_us).alias("start_us"), (F.col("_e") - margin_us).alias("end_us"), ok.alias("ok"))
+def pair_marks(marks: DataFrame, margin_us: int = 0, ts: str = "ts_us", file: str | None = None, order: str | None = None) -> DataFrame:
+    """_start / _end marks to (session_id, label, start_us, end_us, ok), and
+    ``file`` if given: a start is paired with the mark of its name that follows
+    it in its file, in ``order`` (else by time). ``ok`` is false, and the end
+    null, where that is no end; a lost mark costs its own session alone."""
+    name = F.regexp_replace("label", "_(start|end)$", "")
+    d = marks.withColumns({"_name": name, "_starts": F.col("label").endswith("_start")})
+    w = Window.partitionBy(*([file] if file else []), "_name").orderBy(*([order] if order else [ts, F.desc("_starts")]))
+    after = F.lead(F.when(F.col("label").endswith("_end"), F.col(ts))).over(w)
+    d = d.withColumn("_e", after).where("_starts")
+    kept = [F.col("_name").alias("session_id"), F.expr("split(label, '_')[0]").alias("label"), (F.col(ts) + margin_us).alias("start_us"), (F.col("_e") - margin_us).alias("end_us"), F.col("_e").isNotNull().alias("ok")]
+    return d.select(*([file] if file else []), *kept)
 
 
 def clamp_windows(w: DataFrame, flush_us: int = 65 * S) -> DataFrame:
@@ -63,24 +68,23 @@ def grid(sessions: DataFrame, step_us: int) -> DataFrame:
     return sessions.withColumn("t_us", F.explode(F.expr(f"sequence(start_us, end_us, {step_us}L)")))
 
 
-def snapshot_window(events: DataFrame, sessions: DataFrame, step_us: int, seconds: int) -> DataFrame:
-    """(session_id, label, t_us, rows): events of the session in [max(start,
-    t - W), t] at every grid instant that has any."""
-    g, width = grid(sessions, step_us), seconds * S
-    inside = interval_join(events, sessions).select("session_id", "ts_us", "src_ip", "dst_ip", "dst_port", "event_id")
-    e = inside.withColumn("_b", F.explode(F.expr(f"array(ts_us DIV {width}, ts_us DIV {width} + 1)")))
-    j = g.withColumn("_b", F.expr(f"t_us DIV {width}")).join(e, ["session_id", "_b"]).where(f"ts_us BETWEEN t_us - {width} AND t_us")
-    return j.groupBy("session_id", "label", "t_us").agg(F.collect_list(F.struct("ts_us", "dst_port", "src_ip", "dst_ip")).alias("rows"))
+def _snapshots(events: DataFrame, sessions: DataFrame, step_us: int) -> tuple[DataFrame, DataFrame]:
+    """(a session's events, its grid instants), both by session_id and ts_us."""
+    inside = interval_join(events, sessions.select("session_id", "start_us", "end_us")).select("session_id", "ts_us", "src_ip", "dst_ip", "dst_port")
+    return inside, grid(sessions, step_us).select("session_id", "label", F.col("t_us").alias("ts_us")).distinct()
 
 
 def flood_rows(events: DataFrame, sessions: DataFrame, step_us: int = 140_000, seconds: int = 10) -> DataFrame:
-    d = snapshot_window(events, sessions, step_us, seconds).withColumn("_i", F.expr(x.interval_stats("rows.ts_us")))
-    return d.selectExpr("session_id", "label", "t_us", "size(rows) AS packet_rate", "size(array_distinct(rows.dst_port)) AS unique_dst_ports", f"round({x.entropy('rows.dst_port')}, 4) AS dst_port_entropy", "round(_i.mean, 4) AS mean_iat", "round(_i.std, 4) AS std_iat")
+    """The seven flood features of a session's events in [max(start, t - W), t]
+    at every grid instant that has any."""
+    inside, points = _snapshots(events, sessions, step_us)
+    return features.flood_features(inside, seconds, keys=("session_id",), points=points).withColumnRenamed("ts_us", "t_us")
 
 
 def scan_rows(events: DataFrame, sessions: DataFrame, step_us: int = 150_000, seconds: int = 60) -> DataFrame:
-    d = snapshot_window(events, sessions, step_us, seconds)
-    return d.selectExpr("session_id", "label", "t_us", "size(array_distinct(rows.dst_port)) AS unique_ports", "size(array_distinct(rows.dst_ip)) AS unique_hosts", "size(rows) AS connection_count", f"round({x.entropy('rows.dst_port')}, 4) AS port_entropy")
+    """The seven scan features, likewise."""
+    inside, points = _snapshots(events, sessions, step_us)
+    return features.scan_features(inside, seconds, keys=("session_id",), points=points).withColumnRenamed("ts_us", "t_us")
 
 
 def history(inside: DataFrame, sessions: DataFrame, step_us: int, last: int = 20, least: int = 3) -> DataFrame:
@@ -99,7 +103,7 @@ def history(inside: DataFrame, sessions: DataFrame, step_us: int, last: int = 20
     ends = both.groupBy("session_id", "b").agg(F.max_by("h", F.struct("at", "k")).alias("h"))
     ends = ends.select("session_id", "b", F.last("h", True).over(Window.partitionBy("session_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("h0"))
     d = both.where("k = 1").join(ends, ["session_id", "b"]).withColumn("h", F.coalesce("h", "h0")).where(F.size("h") >= least).withColumn("_i", F.expr(x.interval_stats("h")))
-    return d.selectExpr("session_id", "label", "at AS t_us", "size(h) AS n", "round(_i.mean, 4) AS mean_interval", "round(_i.std, 4) AS std_interval")
+    return d.selectExpr("session_id", "label", "at AS t_us", "size(h) AS n", "round(_i.mean, 4) AS mean_interval", "round(_i.std, 4) AS std_interval", "if(_i.mean > 0, round(_i.std / _i.mean, 4), double('Infinity')) AS cv")
 
 
 def snapshot_history(events: DataFrame, sessions: DataFrame, step_us: int, last: int = 20, least: int = 3) -> DataFrame:
@@ -163,11 +167,31 @@ def row_groups(df: DataFrame, category: str, prefix: str) -> DataFrame:
     return df.withColumn("grp", F.concat(F.lit(f"{prefix}_"), F.col(category).cast("string"), F.lit("_"), n.cast("string")))
 
 
-def map_scenario(df: DataFrame, column: str, mapping: dict[str, tuple[str, str, str]]) -> DataFrame:
-    """(scenario_id, attack_subtype, source) by the longest matching prefix; null
-    where none matches."""
-    case = " ".join(f"WHEN {column} LIKE '{p}%' THEN named_struct('scenario_id', '{a}', 'attack_subtype', '{b}', 'source', '{c}')" for p, (a, b, c) in sorted(mapping.items(), key=lambda m: -len(m[0])))
-    return df.withColumn("_m", F.expr(f"CASE {case} END")).select("*", "_m.*").drop("_m")
+def map_scenario(df: DataFrame, column: str, mapping: dict[str, tuple[str, str | None, str]], strict: bool = True) -> DataFrame:
+    """(scenario_id, attack_subtype, source) by the longest matching prefix; a
+    row that none matches is an error or, unless ``strict``, gets nulls."""
+    text = lambda v: "cast(NULL AS string)" if v is None else "'" + v.replace("'", "\\'") + "'"
+    case = " ".join(f"WHEN startswith({column}, {text(p)}) THEN named_struct('scenario_id', {text(a)}, 'attack_subtype', {text(b)}, 'source', {text(c)})" for p, (a, b, c) in sorted(mapping.items(), key=lambda m: -len(m[0])))
+    other = f"ELSE raise_error(concat('no scenario for ', coalesce({column}, 'null')))" if strict else ""
+    return df.withColumn("_m", F.expr(f"CASE {case} {other} END")).select("*", "_m.*").drop("_m")
+
+
+# Scenario, attack subtype and source by prefix of the session's id.
+FLOOD_SCENARIOS = {
+    "benign_udpspoof_": ("ddos_benign_udpspoof_baseline", None, "real"), "benign_http_": ("ddos_benign_http_baseline", None, "real"), "benign_": ("ddos_benign_baseline", None, "real"),
+    "ddos_udpflood_": ("ddos_udp_flood", "udp_flood", "real"), "ddos_spoofed_": ("ddos_spoofed_source", "spoofed_source", "real"), "ddos_": ("ddos_syn_flood", "syn_flood", "real"),
+}
+
+
+def provenance(rows: DataFrame, mapping: dict[str, tuple[str, str | None, str]], environment: str, scenario: tuple[str, str] | None = None) -> DataFrame:
+    """Adds source, scenario_id, attack_subtype, label_method and environment to
+    feature rows of generated sessions, by the prefix of session_id; ``scenario``
+    (id, subtype of its attacks) overrides the mapping."""
+    if scenario is None:
+        d = map_scenario(rows, "session_id", mapping)
+    else:
+        d = rows.withColumns({"scenario_id": F.lit(scenario[0]), "attack_subtype": F.when(~F.col("label").cast("string").isin("benign", "0"), F.lit(scenario[1])), "source": F.lit("real")})
+    return d.withColumns({"label_method": F.lit("generator_ground_truth"), "environment": F.lit(environment)})
 
 
 def tag(df: DataFrame, source: str, scenario: str, environment: str, method: str = "session_marks") -> DataFrame:

@@ -7,27 +7,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowdetect.functions import expr as x
-from flowdetect.operators.windows import frame_stats, halo, last_rows, trailing
+from flowdetect.operators.windows import frame_stats, last_rows, sliding_sums
 
 S = 1_000_000
 
 
-def flood_features(flows: DataFrame, seconds: int = 10, digits: int = 4) -> DataFrame:
+def flood_features(flows: DataFrame, seconds: int = 10, digits: int = 4, keys: tuple[str, ...] = (), points: DataFrame | None = None) -> DataFrame:
     """Adds packet_rate, unique_dst_ports, dst_port_entropy, mean_iat, std_iat,
-    unique_src_ips and src_ip_entropy over all traffic of the last seconds."""
-    d = frame_stats(flows, [], seconds * S, ["dst_port", "src_ip"])
+    unique_src_ips and src_ip_entropy over all traffic (of equal ``keys``) of the
+    last seconds; at ``points`` (keys, ts_us), if given, in place of the rows."""
+    d = frame_stats(flows, list(keys), seconds * S, ["dst_port", "src_ip"], points=points)
     return d.selectExpr(
-        *flows.columns, "_n AS packet_rate", "_d_dst_port AS unique_dst_ports", f"round(_h_dst_port, {digits}) AS dst_port_entropy", f"round(_mean, {digits}) AS mean_iat",
+        *(flows if points is None else points).columns, "_n AS packet_rate", "_d_dst_port AS unique_dst_ports", f"round(_h_dst_port, {digits}) AS dst_port_entropy", f"round(_mean, {digits}) AS mean_iat",
         f"round(_std, {digits}) AS std_iat", "_d_src_ip AS unique_src_ips", f"round(_h_src_ip, {digits}) AS src_ip_entropy",
     )
 
 
-def scan_features(flows: DataFrame, seconds: int = 60, digits: int = 4) -> DataFrame:
-    """Per source: unique_ports, unique_hosts, connection_count, port_entropy,
-    port_range_span, mean_iat and std_iat of the last seconds."""
-    d = frame_stats(flows.where("src_ip IS NOT NULL AND src_ip <> ''"), ["src_ip"], seconds * S, ["dst_port", "dst_ip"], "dst_port")
+def scan_features(flows: DataFrame, seconds: int = 60, digits: int = 4, keys: tuple[str, ...] = ("src_ip",), points: DataFrame | None = None) -> DataFrame:
+    """Per source (or ``keys``): unique_ports, unique_hosts, connection_count,
+    port_entropy, port_range_span, mean_iat and std_iat of the last seconds; at
+    ``points`` (keys, ts_us), if given, in place of the rows."""
+    d = frame_stats(flows.where("src_ip IS NOT NULL AND src_ip <> ''"), list(keys), seconds * S, ["dst_port", "dst_ip"], "dst_port", points=points)
     return d.selectExpr(
-        *flows.columns, "_d_dst_port AS unique_ports", "_d_dst_ip AS unique_hosts", "cast(_n AS int) AS connection_count", f"round(_h_dst_port, {digits}) AS port_entropy",
+        *(flows if points is None else points).columns, "_d_dst_port AS unique_ports", "_d_dst_ip AS unique_hosts", "cast(_n AS int) AS connection_count", f"round(_h_dst_port, {digits}) AS port_entropy",
         "_span AS port_range_span", f"round(_mean, {digits}) AS mean_iat", f"round(_std, {digits}) AS std_iat",
     )
 
@@ -41,22 +43,25 @@ def beacon_features(flows: DataFrame, last: int = 20) -> DataFrame:
     return d.selectExpr(*flows.columns, "size(_t) AS observations", "round(_i.mean, 2) AS mean_interval", "round(_i.std, 2) AS std_interval", f"{cv} AS cv", "_i.mean AS _mean")
 
 
-def entropy_baseline(featured: DataFrame, seconds: int = 600) -> DataFrame:
+def entropy_baseline(featured: DataFrame, seconds: int = 600, digits: int = 4) -> DataFrame:
     """Adds sigma and anomalous: the row's dst_port_entropy against the mean and
-    sample deviation of the rows before it within the window."""
-    w = trailing(seconds * S, "_b")
-    d = halo(featured, seconds * S).withColumns({"_n": F.count("*").over(w), "_s": F.sum("dst_port_entropy").over(w), "_q": F.sum(F.col("dst_port_entropy") * F.col("dst_port_entropy")).over(w)}).where("_own")
-    d = d.selectExpr("*", "_n - 1 AS _m", "_s - dst_port_entropy AS _s1", "_q - dst_port_entropy * dst_port_entropy AS _q1")
-    d = d.withColumn("_sd", F.expr("greatest(sqrt(greatest((_q1 - _s1 * _s1 / nullif(_m, 0)) / nullif(_m - 1, 0), 0D)), 0.01D)"))
-    sigma = "CASE WHEN _m < 10 THEN 0D ELSE round(abs(dst_port_entropy - _s1 / nullif(_m, 0)) / _sd, 3) END"
-    odd = "CASE WHEN _m < 10 THEN dst_port_entropy < 1.5 ELSE abs(dst_port_entropy - _s1 / nullif(_m, 0)) / _sd > 2 END"
-    return d.where("_m >= 0").selectExpr(*featured.columns, f"{sigma} AS sigma", f"{odd} AS anomalous")
+    sample deviation of the rows before it within the window. Entropies are
+    whole numbers of 10 ** -digits, so their moments are exact sums and slide
+    without cancelling."""
+    d = featured.withColumn("_x", F.expr(f"cast(round(dst_port_entropy * 1e{digits}D) AS bigint)"))
+    moments = {"_m0": F.lit(1).cast("long"), "_m1": F.col("_x"), "_m2": (F.col("_x") * F.col("_x")).cast("decimal(38,0)")}
+    d = sliding_sums(d, [], seconds * S, moments).selectExpr("*", "_m0 - 1 AS _m", "_m1 - _x AS _s1", "_m2 - _x * _x AS _q1")
+    spread = "cast(_m * _q1 - cast(_s1 AS decimal(19,0)) * _s1 AS double)"
+    d = d.withColumn("_sd", F.expr(f"greatest(sqrt({spread} / nullif(cast(_m AS double) * (_m - 1), 0D)) / 1e{digits}D, 0.01D)"))
+    far = f"abs(_x - _s1 / nullif(_m, 0)) / 1e{digits}D / _sd"
+    sigma, odd = f"CASE WHEN _m < 10 THEN 0D ELSE round({far}, 3) END", f"CASE WHEN _m < 10 THEN dst_port_entropy < 1.5 ELSE {far} > 2 END"
+    return d.selectExpr(*featured.columns, f"{sigma} AS sigma", f"{odd} AS anomalous")
 
 
 def slow_conns(flows: DataFrame, seconds: int = 300, least: float = 15.0, most_bytes: int = 500) -> DataFrame:
     """Long, nearly silent connections with their number per target."""
-    w = trailing(seconds * S, "dst_ip", "dst_port")
-    return flows.where((F.col("duration") > least) & (F.col("orig_bytes") < most_bytes)).withColumn("slow_count", F.count("*").over(w))
+    slow = flows.where((F.col("duration") > least) & (F.col("orig_bytes") < most_bytes))
+    return sliding_sums(slow, ["dst_ip", "dst_port"], seconds * S, {"slow_count": F.lit(1).cast("long")})
 
 
 def exfil_features(flows: DataFrame) -> DataFrame:

@@ -1,14 +1,16 @@
-"""Event-time frames."""
+"""Event-time frames.
 
-from __future__ import annotations
+A trailing frame [t - W, t] is a sum of signed events: a row enters at its time
+and leaves just after t + W. Time is cut into slots, ``SLOTS`` a frame. What a
+row adds to its own slot and to the starts of the few later ones that it lasts
+into is dealt there, and within a slot all is a running sum. No group spans
+more than a slot, so a busy instant or key is cut by time, whatever the keys;
+work is linear in the rows. Sums are of whole numbers: nothing cancels."""
 
-from collections import deque
+from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def halo(df: DataFrame, width_us: int, ts: str = "ts_us", stretch: int = 1) -> DataFrame:
@@ -31,105 +33,127 @@ def last_rows(n: int, *keys: str, order: tuple[str, ...] = ("ts_us", "event_id")
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(n - 1), 0)
 
 
-def frame_stats(rows: DataFrame, keys: list[str], width_us: int, values: list[str], span: str | None = None, ts: str = "ts_us") -> DataFrame:
+SLOTS = 4  # slots a frame
+BITS = 1 << 30  # fractions in which c * log2(c) is summed; exact to 2 ** 28 rows a frame
+
+
+def _slot(t: str, slot_us: int) -> str:
+    return f"(({t} - pmod({t}, {slot_us}L)) DIV {slot_us}L)"
+
+
+def _events(items: DataFrame, by: list[str], sums: list[str], slot_us: int, maxima: tuple[str, ...] = ()) -> DataFrame:
+    """(by, _s: slot, _t, sums, maxima) of items that last from ``_a`` to before
+    ``_b``: their values enter at _a, leave at _b, and stand at the start of
+    every slot between. A maximum does not leave; it holds while its item does."""
+    first, last = _slot("_a", slot_us), _slot("_b", slot_us)
+    enter, leave = ", ".join([*sums, *maxima]), ", ".join([*(f"-{c} AS {c}" for c in sums), *(f"cast(NULL AS bigint) AS {c}" for c in maxima)])
+    between = f"if({last} > {first}, transform(sequence({first} + 1, {last}), j -> struct(j AS _s, j * {slot_us} AS _t, {enter})), array())"
+    each = F.expr(f"explode(concat(array(struct({first} AS _s, _a AS _t, {enter}), struct({last} AS _s, _b AS _t, {leave})), {between}))").alias("_e")
+    met = items.select(*by, each).select(*by, "_e.*")
+    return met.groupBy(*by, "_s", "_t").agg(*(F.sum(c).alias(c) for c in sums), *(F.max(c).alias(c) for c in maxima))
+
+
+def _keyed(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """``df`` with ``_g`` (its keys, never null itself) and ``_t``."""
+    return df.withColumns({"_g": F.struct(*keys) if keys else F.struct(F.lit(0)), "_t": F.col(ts).cast("long")})
+
+
+def _running(by: list[str]):
+    return Window.partitionBy(*by, "_s").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def sliding_sums(rows: DataFrame, keys: list[str], width_us: int, sums: dict[str, Column], ts: str = "ts_us") -> DataFrame:
+    """Adds sums of whole numbers (name: column) over the frame [t - width, t]
+    of every row, by ``keys``, peers of equal time included."""
+    each = _keyed(rows, keys, ts).select("_g", "_t", *(c.alias(n) for n, c in sums.items()))
+    met = each.groupBy("_g", F.col("_t").alias("_a")).agg(*(F.sum(n).alias(n) for n in sums)).withColumns({"_b": F.col("_a") + F.lit(width_us + 1), "_own": F.col("_a")})
+    held = _events(met, ["_g"], list(sums), width_us // SLOTS, ("_own",))
+    held = held.withColumns({n: F.sum(n).over(_running(["_g"])) for n in sums}).where("_own = _t").select("_g", "_t", *sums)
+    return _keyed(rows, keys, ts).join(held, ["_g", "_t"]).select(*rows.columns, *sums)
+
+
+def frame_stats(rows: DataFrame, keys: list[str], width_us: int, values: list[str], span: str | None = None, ts: str = "ts_us", points: DataFrame | None = None) -> DataFrame:
     """Statistics of the frame [t - width, t] of every row, by ``keys``: ``_n``
     rows, ``_mean`` and ``_std`` of the gaps in seconds, for each of ``values``
     the number of distinct ones ``_d_`` and their entropy ``_h_``, and the range
-    ``_span`` of one. Peers of equal time are in each other's frames.
-
-    Rows are dealt by key and time bucket (:func:`halo`), so a busy key is cut
-    by time. Within a bucket counts are updated as rows enter and leave: the
-    work is linear in the rows, whatever the frame holds."""
-    added = [T.StructField("_n", T.LongType()), T.StructField("_mean", T.DoubleType()), T.StructField("_std", T.DoubleType())]
-    for v in values:
-        added += [T.StructField(f"_d_{v}", T.IntegerType()), T.StructField(f"_h_{v}", T.DoubleType())]
+    ``_span`` of one. Peers of equal time are in each other's frames. A null
+    value counts as a value, and as 0 in ``_span``.
+
+    ``points`` (keys, ts and any other columns): the frames that end there are
+    measured, and the points whose frame has rows are returned with them.
+    ``width_us`` is a multiple of ``SLOTS``."""
+    if width_us % SLOTS or not values:
+        raise ValueError(f"a frame takes a multiple of {SLOTS} microseconds and at least one value")
+    base = _keyed(rows, keys, ts)
+    at = base if points is None else _keyed(points, keys, ts)
+    slot, gone = width_us // SLOTS, width_us + 1
+    sums = ["_n", *(f"_{p}{i}" for i in range(len(values)) for p in "df"), "_q", "_first"]
+    maxima = ["_last", "_own", *["_hi", "_lo"] * bool(span)]
+
+    def part(df: DataFrame, **given: str) -> DataFrame:
+        """Changes at (_g, _s, _t); what is not given stays as it was."""
+        return df.selectExpr("_g", "_s", "_t", *(f"cast({given.get(c, '0')} AS bigint) AS {c}" for c in sums), *(f"cast({given.get(c, 'NULL')} AS bigint) AS {c}" for c in maxima))
+
+    # how often each value stands in the frame, and how its share of the sums changes
+    kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.coalesce(F.concat(F.lit("="), F.col(v).cast("string")), F.lit("")).alias("v")) for i, v in enumerate(values))))
+    by = ["_g", "c", "v"]
+    met = base.select("_g", "_t", kinds.alias("_v")).groupBy("_g", "_v.c", "_v.v", F.col("_t").alias("_a")).agg(F.count("*").alias("x")).withColumn("_b", F.col("_a") + gone)
+    held = _events(met, by, ["x"], slot).withColumn("y", F.sum("x").over(_running(by)))
+    f = lambda c: f"if({c} > 1, cast(round({c} * log2({c}) * {BITS}) AS bigint), 0L)"
+    held = held.selectExpr("_g", "_s", "_t", "c", "x", f"{f('y')} - {f('(y - x)')} AS f", "cast(y > 0 AS bigint) - cast(y > x AS bigint) AS d")
+    counts = part(held, _n="if(c = 0, x, 0)", **{f"_{p}{i}": f"if(c = {i}, {p}, 0)" for i in range(len(values)) for p in "df"})
+    # instants with rows, each with the gap from the one before, if a frame can hold both
+    near = F.expr(f"explode(concat(array(struct({_slot('_t', slot)} AS _s, _t AS i)), transform(sequence(1, {SLOTS + 1}), j -> struct({_slot('_t', slot)} + j AS _s, cast(NULL AS bigint) AS i))))").alias("_e")
+    times = base.select("_g", "_t", near).groupBy("_g", "_e._s", "_e.i").agg(F.max("_t").alias("_t"))
+    times = times.withColumn("p", F.lag("_t").over(Window.partitionBy("_g", "_s").orderBy("_t"))).where("i IS NOT NULL").withColumn("g", F.expr(f"if(_t - p <= {width_us}, _t - p, NULL)"))
+    item = f"struct(_t AS _a, _t + {gone} AS _b, 0L AS _q, 0L AS _first, _t AS _last), struct(if(g IS NULL, _t, p + {gone}) AS _a, _t + {gone} AS _b, 0L AS _q, _t AS _first, cast(NULL AS bigint) AS _last)"
+    gap = f"if(g IS NULL, array(), array(struct(_t AS _a, p + {gone} AS _b, g * g AS _q, 0L AS _first, cast(NULL AS bigint) AS _last)))"
+    spans = _events(times.select("_g", F.expr(f"explode(concat(array({item}), {gap}))").alias("_e")).select("_g", "_e.*"), ["_g"], ["_q", "_first"], slot, ("_last",))
+    every = counts.unionByName(part(spans, _q="_q", _first="_first", _last="_last"))
+    every = every.unionByName(part(at.select("_g", "_t").distinct().withColumn("_s", F.expr(_slot("_t", slot))), _own="1"))
+    if span:
+        every = every.unionByName(part(_edges(base, slot, span), _hi="hi", _lo="lo"))
+    every = every.groupBy("_g", "_s", "_t").agg(*(F.sum(c).alias(c) for c in sums), *(F.max(c).alias(c) for c in maxima))
+    w = _running(["_g"])
+    every = every.withColumns({c: F.sum(c).over(w) for c in sums} | {c: F.max(c).over(w) for c in maxima if c != "_own"})
+    held = every.where("_own = 1 AND _n > 0").selectExpr("*", "_n - 1 AS _k", "_last - _first AS _w")
+    spread = "greatest(cast(_k AS decimal(20,0)) * cast(_q AS decimal(18,0)) - cast(_w AS decimal(18,0)) * _w, 0)"
+    # of two gaps, whose deviation is half their difference, in the order of a plain loop over seconds
+    a, b = (f"((_w {sign} round(sqrt(cast(2 * _q - _w * _w AS double)))) / 2 / 1e6D)" for sign in "+-")
+    two = f"sqrt((power({a} - ({a} + {b}) / 2, 2) + power({b} - ({a} + {b}) / 2, 2)) / 2)"
+    out = held.selectExpr(
+        "_g", "_t", "_n", "if(_k > 0, _w / _k / 1e6D, 0D) AS _mean", f"CASE WHEN _k = 2 THEN {two} WHEN _k > 0 THEN sqrt(cast({spread} AS double)) / _k / 1e6D ELSE 0D END AS _std",
+        *(e for i, v in enumerate(values) for e in (f"cast(_d{i} AS int) AS `_d_{v}`", f"if(_d{i} > 1, greatest(log2(_n) - _f{i} / {BITS}D / _n, 0D), 0D) AS `_h_{v}`")),
+        *["_hi", "_lo"] * bool(span),
+    )
     if span:
-        added.append(T.StructField("_span", T.IntegerType()))
-    dealt = halo(rows, width_us, ts, 4)
-
-    def run(t: pa.Table) -> pa.Table:
-        return _frames(t, width_us, values, span, ts)
-
-    return dealt.groupBy(*keys, "_b").applyInArrow(run, T.StructType([*dealt.schema.fields, *added])).where("_own").drop("_b", "_own")
-
-
-class _Counted:
-    """Counts of the values in a frame, with their number and entropy."""
-
-    def __init__(self, codes: list[int], c_log: list[float]):
-        self.codes, self.c_log = codes, c_log
-        self.count = [0] * (max(codes, default=0) + 1)
-        self.distinct, self.sum = 0, 0.0
-
-    def add(self, i: int) -> None:
-        c = self.count[self.codes[i]]
-        self.count[self.codes[i]] = c + 1
-        self.distinct += c == 0
-        self.sum += self.c_log[c + 1] - self.c_log[c]
-
-    def drop(self, i: int) -> None:
-        c = self.count[self.codes[i]]
-        self.count[self.codes[i]] = c - 1
-        self.distinct -= c == 1
-        self.sum += self.c_log[c - 1] - self.c_log[c]
-
-    def entropy(self, n: int) -> float:
-        return max(float(np.log2(n)) - self.sum / n, 0.0) if self.distinct > 1 else 0.0
-
-
-def _frames(table: pa.Table, width: int, values: list[str], span: str | None, ts: str) -> pa.Table:
-    times = table[ts].to_numpy()
-    order = np.argsort(times, kind="stable")
-    table, times = table.take(pa.array(order)), times[order]
-    n, t = len(times), times.tolist()
-    whole = np.arange(n + 2, dtype=float)
-    c_log = np.concatenate([[0.0, 0.0], whole[2:] * np.log2(whole[2:])]).tolist()
-    counted = [_Counted(table[v].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_pylist(), c_log) for v in values]
-    squares, total = [0], 0  # running sum of squared gaps, in whole micros
-    for i in range(1, n):
-        total += (t[i] - t[i - 1]) ** 2
-        squares.append(total)
-    held = [x if x is not None else 0 for x in table[span].to_pylist()] if span else []
-    high, low = deque(), deque()
-    out: list[list] = [[] for _ in range(3 + 2 * len(values) + bool(span))]
-    lo = hi = 0
-    while hi < n:
-        first, now = hi, t[hi]
-        while hi < n and t[hi] == now:
-            for c in counted:
-                c.add(hi)
-            if span:
-                while high and held[high[-1]] <= held[hi]:
-                    high.pop()
-                while low and held[low[-1]] >= held[hi]:
-                    low.pop()
-                high.append(hi)
-                low.append(hi)
-            hi += 1
-        while t[lo] < now - width:
-            for c in counted:
-                c.drop(lo)
-            lo += 1
-        k = hi - lo - 1
-        spread, square = t[hi - 1] - t[lo], squares[hi - 1] - squares[lo]
-        if k > 8:
-            got = [k + 1, spread / k / 1e6, max(k * square - spread * spread, 0) ** 0.5 / k / 1e6]
-        else:  # few gaps: straight from their seconds
-            gaps = [(t[i] - t[i - 1]) / 1e6 for i in range(lo + 1, hi)]
-            mean = sum(gaps) / max(k, 1)
-            got = [k + 1, mean, (sum((g - mean) * (g - mean) for g in gaps) / max(k, 1)) ** 0.5]
-        for c in counted:
-            got += [c.distinct, c.entropy(k + 1)]
-        if span:
-            while high[0] < lo:
-                high.popleft()
-            while low[0] < lo:
-                low.popleft()
-            got.append(held[high[0]] - held[low[0]])
-        for column, x in zip(out, got):
-            column.extend([x] * (hi - first))
-    kinds = [pa.int64(), pa.float64(), pa.float64(), *[pa.int32(), pa.float64()] * len(values), *[pa.int32()] * bool(span)]
-    names = ["_n", "_mean", "_std", *(f"_{p}_{v}" for v in values for p in "dh"), *["_span"] * bool(span)]
-    for name, column, kind in zip(names, out, kinds):
-        table = table.append_column(name, pa.array(column, kind))
-    return table
+        out = out.join(_left(base, at, width_us, span), ["_g", "_t"]).withColumn("_span", F.expr("cast(greatest(_hi, hi) + greatest(_lo, lo) AS int)")).drop("_hi", "_lo", "hi", "lo")
+    given = rows if points is None else points
+    return at.join(out, ["_g", "_t"]).select(*given.columns, *(c for c in out.columns if c not in ("_g", "_t")))
+
+
+def _ends(rows: DataFrame, column: str) -> DataFrame:
+    v = F.coalesce(F.col(column), F.lit(0)).cast("long")
+    return rows.select("_g", "_t", v.alias("hi"), (-v).alias("lo"))
+
+
+def _edges(rows: DataFrame, slot_us: int, column: str) -> DataFrame:
+    """Largest value and largest negative one of an instant; a slot's stand at
+    the starts of the later ones whose frames hold all of it."""
+    here = _slot("_t", slot_us)
+    each = f"explode(concat(array(struct({here} AS _s, _t AS t)), transform(sequence(1, {SLOTS - 1}), j -> struct({here} + j AS _s, ({here} + j) * {slot_us} AS t))))"
+    dealt = _ends(rows, column).select("_g", "hi", "lo", F.expr(each).alias("_e"))
+    return dealt.groupBy("_g", "_e._s", F.col("_e.t").alias("_t")).agg(F.max("hi").alias("hi"), F.max("lo").alias("lo"))
+
+
+def _left(rows: DataFrame, points: DataFrame, width_us: int, column: str) -> DataFrame:
+    """(_g, _t, hi, lo) of the part of a point's frame in the slot in which the
+    frame begins: running maxima backwards."""
+    here = F.expr(_slot("_t", width_us // SLOTS))
+    none = F.lit(None).cast("long")
+    asked = points.select("_g", (F.col("_t") - width_us).alias("_t"), none.alias("hi"), none.alias("lo"), F.col("_t").alias("to"))
+    both = _ends(rows, column).withColumn("to", none).unionByName(asked).withColumn("_s", here)
+    both = both.groupBy("_g", "_s", "_t").agg(*(F.max(c).alias(c) for c in ("hi", "lo", "to")))
+    back = Window.partitionBy("_g", "_s").orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({c: F.max(c).over(back) for c in ("hi", "lo")})
+    return both.where("to IS NOT NULL").select("_g", F.col("to").alias("_t"), "hi", "lo")

@@ -24,16 +24,18 @@ MARKS = "pm AS (SELECT *, row_number() OVER w AS n, lead(ts_us) OVER w AS e, lea
 q("wn9_pair_marks", f"WITH {MARKS} SELECT * FROM se", lambda s, d: SE(s, d).drop("ok"), "marks")
 q("wn8_clamp_windows", f"WITH {MARKS} SELECT session_id, least(end_us + 65000000, coalesce(lead(start_us) OVER (ORDER BY start_us), end_us + 65000000)) AS end_us FROM se", lambda s, d: dataset.clamp_windows(SE(s, d)).select("session_id", "end_us"), "marks")
 q("jn6_interval_join", f"WITH {MARKS} SELECT f.event_id, se.session_id FROM flows f JOIN se ON f.ts_us BETWEEN start_us AND end_us", lambda s, d: dataset.interval_join(FL(s, d), SE(s, d)).select("event_id", "session_id"), "marks")
-SNAP = f"{MARKS}, gr AS (SELECT *, unnest(range(start_us, end_us + 1, {{step}})) AS t_us FROM se), sn AS (SELECT g.session_id, g.label, g.t_us, list(f.dst_port) AS ports, list(f.dst_ip) AS ips, list(f.ts_us ORDER BY f.ts_us) AS t FROM gr g JOIN flows f ON f.ts_us BETWEEN greatest(g.start_us, g.t_us - {{w}}) AND g.t_us AND f.ts_us <= g.end_us GROUP BY 1, 2, 3)"
+SNAP = f"{MARKS}, gr AS (SELECT *, unnest(range(start_us, end_us + 1, {{step}})) AS t_us FROM se), sn AS (SELECT g.session_id, g.label, g.t_us, list(f.dst_port) AS ports, list(f.dst_ip) AS ips, list(f.src_ip) AS srcs, list(f.ts_us ORDER BY f.ts_us) AS t FROM gr g JOIN flows f ON f.ts_us BETWEEN greatest(g.start_us, g.t_us - {{w}}) AND g.t_us AND f.ts_us <= g.end_us GROUP BY 1, 2, 3)"
 IAT = f"round(coalesce(list_avg({GAPS}), 0), 4) AS mean_iat, round(coalesce(list_aggregate({GAPS}, 'stddev_pop'), 0), 4) AS std_iat"
-q("ds1_flood_rows", "WITH " + SNAP.format(step=2_000_000, w=10_000_000) + f" SELECT session_id, label, t_us, len(t) AS packet_rate, len(list_distinct(ports)) AS unique_dst_ports, round(list_aggregate(ports, 'entropy'), 4) AS dst_port_entropy, {IAT} FROM sn", lambda s, d: dataset.flood_rows(FL(s, d), SE(s, d), 2_000_000), "marks")
-q("ds2_scan_rows", "WITH " + SNAP.format(step=5_000_000, w=60_000_000) + " SELECT session_id, label, t_us, len(list_distinct(ports)) AS unique_ports, len(list_distinct(ips)) AS unique_hosts, len(t) AS connection_count, round(list_aggregate(ports, 'entropy'), 4) AS port_entropy FROM sn", lambda s, d: dataset.scan_rows(FL(s, d), SE(s, d), 5_000_000), "marks")
-q("ds3_wn7_beacon_rows", f"WITH {MARKS}, gr AS (SELECT *, unnest(range(start_us, end_us + 1, 5000000)) AS t_us FROM se), sn AS (SELECT g.session_id, g.label, g.t_us, list(f.ts_us ORDER BY f.ts_us)[-20:] AS t FROM gr g JOIN flows f ON f.ts_us BETWEEN g.start_us AND g.t_us GROUP BY 1, 2, 3 HAVING count(*) >= 3) SELECT session_id, label, t_us, len(t) AS n, round(list_avg({GAPS}), 4) AS mean_interval, round(list_aggregate({GAPS}, 'stddev_pop'), 4) AS std_interval FROM sn",
+q("ds1_flood_rows", "WITH " + SNAP.format(step=2_000_000, w=10_000_000) + f" SELECT session_id, label, t_us, len(t) AS packet_rate, len(list_distinct(ports)) AS unique_dst_ports, round(list_aggregate(ports, 'entropy'), 4) AS dst_port_entropy, {IAT}, len(list_distinct(srcs)) AS unique_src_ips, round(list_aggregate(srcs, 'entropy'), 4) AS src_ip_entropy FROM sn", lambda s, d: dataset.flood_rows(FL(s, d), SE(s, d), 2_000_000), "marks")
+q("ds2_scan_rows", "WITH " + SNAP.format(step=5_000_000, w=60_000_000) + f" SELECT session_id, label, t_us, len(list_distinct(ports)) AS unique_ports, len(list_distinct(ips)) AS unique_hosts, len(t) AS connection_count, round(list_aggregate(ports, 'entropy'), 4) AS port_entropy, list_max(ports) - list_min(ports) AS port_range_span, {IAT} FROM sn", lambda s, d: dataset.scan_rows(FL(s, d), SE(s, d), 5_000_000), "marks")
+q("ds3_wn7_beacon_rows", f"WITH {MARKS}, gr AS (SELECT *, unnest(range(start_us, end_us + 1, 5000000)) AS t_us FROM se), sn AS (SELECT g.session_id, g.label, g.t_us, list(f.ts_us ORDER BY f.ts_us)[-20:] AS t FROM gr g JOIN flows f ON f.ts_us BETWEEN g.start_us AND g.t_us GROUP BY 1, 2, 3 HAVING count(*) >= 3) SELECT session_id, label, t_us, len(t) AS n, round(list_avg({GAPS}), 4) AS mean_interval, round(list_aggregate({GAPS}, 'stddev_pop'), 4) AS std_interval, CASE WHEN list_avg({GAPS}) > 0 THEN round(list_aggregate({GAPS}, 'stddev_pop') / list_avg({GAPS}), 4) ELSE 'Infinity'::DOUBLE END AS cv FROM sn",
   lambda s, d: dataset.beacon_rows(FL(s, d), SE(s, d), 5_000_000), "marks")
-# The three at the reference's own steps, without a DuckDB twin: the tests hold them against brute force
-q("ds1_flood_rows_full_rate", None, lambda s, d: dataset.flood_rows(FL(s, d), SE(s, d), 140_000))
-q("ds2_scan_rows_full_rate", None, lambda s, d: dataset.scan_rows(FL(s, d), SE(s, d), 150_000))
-q("ds3_wn7_beacon_rows_full_rate", None, lambda s, d: dataset.beacon_rows(FL(s, d), SE(s, d), 220_000))
+# The three at the reference's own steps; their twins follow at the end
+SCENARIOS = {"scan_": ("recon_port_scan", "port_scan", "real"), "benign_": ("recon_benign_baseline", None, "real")}
+full = lambda rows: dataset.provenance(rows, SCENARIOS, "loopback")
+q("ds1_flood_rows_full_rate", None, lambda s, d: full(dataset.flood_rows(FL(s, d), SE(s, d))))
+q("ds2_scan_rows_full_rate", None, lambda s, d: full(dataset.scan_rows(FL(s, d), SE(s, d))))
+q("ds3_wn7_beacon_rows_full_rate", None, lambda s, d: full(dataset.beacon_rows(FL(s, d), SE(s, d), 220_000)))
 q("ag1_group_channels", "SELECT src_ip, dst_ip, dst_port, count(*) AS n FROM flows GROUP BY ALL HAVING count(*) >= 3", lambda s, d: dataset.group_channels(FL(s, d)).selectExpr("src_ip", "dst_ip", "dst_port", "cast(size(times) AS bigint) AS n"), "flows")
 TR = "SELECT DISTINCT src_ip, dst_ip, dst_port FROM flows WHERE event_id % 97 = 0"
 q("jn8_label_by_triple", f"SELECT event_id FROM flows WHERE (src_ip, dst_ip, dst_port) IN ({TR})", lambda s, d: dataset.label_by_triple(FL(s, d), FL(s, d).where("event_id % 97 = 0").select("src_ip", "dst_ip", "dst_port").distinct()).select("event_id"), "flows")
@@ -54,7 +56,7 @@ q("ds12_ds13_domain_rows", "SELECT uid, len(query) AS n, round_even(len(query) /
 q("ds11_st1_extend", "SELECT label, count(*) AS n, count(DISTINCT session_id) AS sessions FROM (SELECT (event_id % 2)::VARCHAR AS label, event_id % 7 AS session_id FROM flows UNION ALL SELECT (event_id % 3)::VARCHAR, event_id % 5 FROM flows) GROUP BY 1", lambda s, d: dataset.extend(FL(s, d).selectExpr("cast(event_id % 2 AS string) AS label", "event_id % 7 AS session_id"), FL(s, d).selectExpr("cast(event_id % 3 AS string) AS label", "event_id % 5 AS session_id"))[1], "flows")
 q("st3_observed", "SELECT src_ip AS ip FROM flows UNION SELECT dst_ip FROM flows", lambda s, d: FL(s, d).select(F.col("src_ip").alias("ip")).union(FL(s, d).select("dst_ip")).distinct(), "flows")
 q("st4_split_unseen", f"WITH {MARKS} SELECT session_id, (row_number() OVER (ORDER BY start_us) % 5 = 0) AS unseen FROM se", lambda s, d: (lambda r, m: dataset.split_unseen(r, m)[0].selectExpr("session_id", "false AS unseen").union(dataset.split_unseen(r, m)[1].selectExpr("session_id", "true AS unseen")))(SE(s, d), s.sql("SELECT session_id, if(row_number() OVER (ORDER BY start_us) % 5 = 0, 'unseen_test', 'train') AS split FROM {m}", m=SE(s, d))), "marks")
-q("fn14_map_scenario", "SELECT event_id, CASE WHEN dst_ip LIKE '203.0.113.200%' THEN 's2' WHEN dst_ip LIKE '203.%' THEN 's1' END AS scenario_id FROM flows", lambda s, d: dataset.map_scenario(FL(s, d), "dst_ip", {"203.": ("s1", "x", "lab"), "203.0.113.200": ("s2", "y", "lab")}).select("event_id", "scenario_id"), "flows")
+q("fn14_map_scenario", "SELECT event_id, CASE WHEN dst_ip LIKE '203.0.113.200%' THEN 's2' WHEN dst_ip LIKE '203.%' THEN 's1' END AS scenario_id FROM flows", lambda s, d: dataset.map_scenario(FL(s, d), "dst_ip", {"203.": ("s1", "x", "lab"), "203.0.113.200": ("s2", "y", "lab")}, strict=False).select("event_id", "scenario_id"), "flows")
 q("tk7_systematic_sample", "WITH n AS (SELECT src_ip, event_id, row_number() OVER (PARTITION BY src_ip ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY src_ip) AS n FROM flows WHERE src_ip LIKE '10.0.0.%') SELECT n.src_ip, event_id FROM n JOIN range(10) k(k) ON i = k * n // 10", lambda s, d: dataset.systematic_sample(FL(s, d).where("src_ip LIKE '10.0.0.%'"), "src_ip", ["event_id"], 10).select("src_ip", "event_id"), "flows")
 q("tk9_take_exact", "SELECT event_id FROM flows ORDER BY ts_us LIMIT 100", lambda s, d: dataset.take_exact(FL(s, d), ["ts_us"], 100).select("event_id"), "flows")
 q("prj10_capture_filters", "SELECT event_id FROM flows WHERE dst_ip IN ('192.168.1.60', '203.0.113.1') AND dst_port BETWEEN 80 AND 443 AND src_ip = '10.0.0.3'", lambda s, d: dataset.filter_events(FL(s, d), dst_ips=["192.168.1.60", "203.0.113.1"], ports=(80, 443), src_ip="10.0.0.3").select("event_id"), "flows")
@@ -151,5 +153,6 @@ def given(column):
 
 q("ml2_compare_scored", "WITH m AS (SELECT 'p' AS model, y, p > 0.5 AS hit FROM scores UNION ALL SELECT 'q', y, q > 0.5 FROM scores) SELECT model, count(*) FILTER (y = 1 AND hit) AS tp, count(*) FILTER (y = 0 AND hit) AS fp, count(*) FILTER (y = 0 AND NOT hit) AS tn, count(*) FILTER (y = 1 AND NOT hit) AS fn FROM m GROUP BY 1",
   lambda s, d: ml.compare(ml.hash_folds(SC(s, d), "grp", 5), [], "fold", 5, {"p": given("p"), "q": given("q")}).select("model", "tp", "fp", "tn", "fn"), "scores")
-for full, sparse, step in (("ds1_flood_rows", 2_000_000, 140_000), ("ds2_scan_rows", 5_000_000, 150_000), ("ds3_wn7_beacon_rows", 5_000_000, 220_000)):
-    O[f"{full}_full_rate"] = O[full].replace(f", {sparse})) AS t_us", f", {step})) AS t_us")
+ORIGIN = "'real' AS source, CASE label WHEN 'scan' THEN 'recon_port_scan' ELSE 'recon_benign_baseline' END AS scenario_id, CASE label WHEN 'scan' THEN 'port_scan' END AS attack_subtype, 'generator_ground_truth' AS label_method, 'loopback' AS environment"
+for name, sparse, step in (("ds1_flood_rows", 2_000_000, 140_000), ("ds2_scan_rows", 5_000_000, 150_000), ("ds3_wn7_beacon_rows", 5_000_000, 220_000)):
+    O[f"{name}_full_rate"] = f"SELECT *, {ORIGIN} FROM (" + O[name].replace(f", {sparse})) AS t_us", f", {step})) AS t_us") + ")"

@@ -217,11 +217,25 @@ round(least(0.6 + least(unique_ports / 15.0 * 0.3, 0.35), 0.99)::DOUBLE, 2) AS c
 BEACONS = "be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_ip, dst_ip, dst_port ORDER BY ts_us, event_id) AS rn FROM g WHERE observations >= 5 AND mean_interval BETWEEN 3 AND 600 AND cv <= 0.35) WHERE rn = 1)"
 q("sm11_combine", SCANS + f", w3 AS (SELECT *, list(ts_us) OVER (PARTITION BY src_ip, dst_ip, dst_port ORDER BY ts_us, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS t FROM flows), " + WN3[WN3.index("f AS (SELECT"):].replace("f AS (SELECT", "g AS (SELECT", 1).replace("FROM w)", "FROM w3)") + f", {BEACONS}, al AS (SELECT ts_us / 1e6 AS event_ts, uid, 0 AS detector_rank, 'recon' AS threat_class FROM r UNION ALL SELECT ts_us / 1e6, uid, 1, 'c2' FROM be) SELECT event_ts, uid AS flow_id, detector_rank, threat_class, row_number() OVER (ORDER BY event_ts, uid, detector_rank) AS turn FROM al",
   lambda s, d: s.sql("SELECT event_ts, flow_id, detector_rank, threat_class, row_number() OVER (ORDER BY event_ts, flow_id, detector_rank) AS turn FROM {a}", a=correlate.combine(detect.scan_rule(FL(s, d)), detect.beacon_rule(FL(s, d)))), "flows")
+CV_OF = "CASE WHEN list_avg({0}) > 0 THEN round(list_aggregate({0}, 'stddev_pop') / list_avg({0}), 4) ELSE 'Infinity'::DOUBLE END".format("list_transform(range(1, len(t)), lambda i: (t[i + 1] - t[i]) / 1e6)")
 GAPS_OF = "list_transform(range(1, len(t)), lambda i: (t[i + 1] - t[i]) / 1e6)"
+
+
+def truth_rows(s, d, step):
+    truth = FL(s, d).where("event_id % 197 = 0").select("src_ip", "dst_ip", "dst_port").distinct()
+    return dataset.beacon_truth_rows(FL(s, d), truth, "s1", step)
+
+
 q("ds4_beacon_truth_rows", f"""WITH tr AS (SELECT DISTINCT src_ip, dst_ip, dst_port FROM flows WHERE event_id % 197 = 0), n AS (SELECT 'c2_real_s1_' || src_ip || '_' || dst_ip || '_' || dst_port AS session_id, ts_us FROM flows WHERE (src_ip, dst_ip, dst_port) IN (SELECT * FROM tr)),
 se AS (SELECT session_id, min(ts_us) AS a, max(ts_us) AS b FROM n GROUP BY 1 HAVING count(*) >= 3), gr AS (SELECT session_id, unnest(range(a, b + 1, 30000000)) AS t_us FROM se), sn AS (SELECT g.session_id, g.t_us, list(n.ts_us ORDER BY n.ts_us)[-20:] AS t FROM gr g JOIN n ON n.session_id = g.session_id AND n.ts_us <= g.t_us GROUP BY 1, 2 HAVING count(*) >= 3)
-SELECT session_id, t_us, 1 AS label, len(t) AS n, round(list_avg({GAPS_OF}), 4) AS mean_interval, round(list_aggregate({GAPS_OF}, 'stddev_pop'), 4) AS std_interval, 'periodic_beacon' AS attack_subtype, 'c2_real_s1' AS scenario_id FROM sn""",
-  lambda s, d: dataset.beacon_truth_rows(FL(s, d), FL(s, d).where("event_id % 197 = 0").select("src_ip", "dst_ip", "dst_port").distinct(), "s1", 30_000_000).drop("source", "label_method"), "flows")
+SELECT session_id, t_us, 1 AS label, len(t) AS n, round(list_avg({GAPS_OF}), 4) AS mean_interval, round(list_aggregate({GAPS_OF}, 'stddev_pop'), 4) AS std_interval, {CV_OF} AS cv, 'periodic_beacon' AS attack_subtype, 'c2_real_s1' AS scenario_id FROM sn""",
+  lambda s, d: truth_rows(s, d, 30_000_000).drop("source", "label_method"), "flows")
+# at the reference's step: each event holds its channel's last twenty times, an instant takes those of the event before it
+q("ds4_beacon_truth_rows_full_rate", f"""WITH tr AS (SELECT DISTINCT src_ip, dst_ip, dst_port FROM flows WHERE event_id % 197 = 0), n AS (SELECT 'c2_real_s1_' || src_ip || '_' || dst_ip || '_' || dst_port AS session_id, ts_us, event_id FROM flows WHERE (src_ip, dst_ip, dst_port) IN (SELECT * FROM tr)),
+se AS (SELECT session_id, min(ts_us) AS a, max(ts_us) AS b FROM n GROUP BY 1 HAVING count(*) >= 3), gr AS (SELECT session_id, unnest(range(a, b + 1, 220000)) AS t_us FROM se), h AS (SELECT session_id, ts_us, list(ts_us) OVER (PARTITION BY session_id ORDER BY ts_us, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS t FROM n),
+k AS (SELECT session_id, ts_us, arg_max(t, (len(t), t)) AS t FROM h GROUP BY 1, 2), m AS (SELECT *, len(t) AS n, list_avg({GAPS_OF}) AS mean, list_aggregate({GAPS_OF}, 'stddev_pop') AS std FROM k)
+SELECT gr.session_id, gr.t_us, 1 AS label, n, round(mean, 4) AS mean_interval, round(std, 4) AS std_interval, CASE WHEN mean > 0 THEN round(std / mean, 4) ELSE 'Infinity'::DOUBLE END AS cv, 'periodic_beacon' AS attack_subtype, 'c2_real_s1' AS scenario_id, 'real_public_dataset' AS source, 'dataset_ground_truth' AS label_method
+FROM gr ASOF JOIN m ON gr.session_id = m.session_id AND gr.t_us >= m.ts_us WHERE n >= 3""", lambda s, d: truth_rows(s, d, 220_000), "flows")
 q("ml11_evaluate_unseen", "SELECT count(*) FILTER (y = 1 AND p > 0.5) AS tp, count(*) FILTER (y = 0 AND p > 0.5) AS fp, count(*) FILTER (y = 0 AND p <= 0.5) AS tn, count(*) FILTER (y = 1 AND p <= 0.5) AS fn FROM scores WHERE grp IN (SELECT DISTINCT grp FROM scores WHERE md5(grp) < '5')",
   lambda s, d: ml.evaluate_unseen(view(s, d, "scores"), view(s, d, "scores").where("md5(grp) < '5'").select("grp").distinct(), lambda r: r).select("tp", "fp", "tn", "fn"), "scores")
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import statistics
 from collections import Counter
 
 import pytest
@@ -43,6 +44,49 @@ def test_frame_stats_equal_a_plain_loop(spark):
         assert g["_span"] == max(known) - min(known)
 
 
+def test_frames_at_points_and_before_zero(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(-30, 30) * 333_333, rng.choice([None, "a"]), rng.choice([1, 2, 3]), rng.choice("xyz")) for i in range(120)]
+    rows += [(200 + i, -5_000_000 + i % 3, "hot", i % 7, "x") for i in range(400)]  # a busy instant of one key
+    d = spark.createDataFrame(rows, "event_id long, ts_us long, src_ip string, dst_port int, dst_ip string")
+    points = [(t, k, t // 7) for t in range(-12_000_000, 12_000_000, 777_777) for k in (None, "a", "hot", "none")]
+    p = spark.createDataFrame(points, "ts_us long, src_ip string, label long")
+    got = {(r.ts_us, r.src_ip): r for r in windows.frame_stats(d, ["src_ip"], 2_000_000, ["dst_port", "dst_ip"], "dst_port", points=p).collect()}
+    want = {}
+    for t, k, _ in points:
+        frame = sorted((r for r in rows if r[2] == k and t - 2_000_000 <= r[1] <= t), key=lambda r: r[1])
+        if frame:
+            want[t, k] = frame
+    assert got.keys() == want.keys() and any(len(f) > 399 for f in want.values())
+    for k, frame in want.items():
+        g, ports = got[k], [r[3] for r in frame]
+        mean, std = deviation([(b[1] - a[1]) / 1e6 for a, b in zip(frame, frame[1:])])
+        assert (g.label, g["_n"], g["_d_dst_port"], g["_d_dst_ip"], g["_span"]) == (k[0] // 7, len(frame), len(set(ports)), len({r[4] for r in frame}), max(ports) - min(ports))
+        assert (g["_h_dst_port"], g["_mean"], g["_std"]) == (pytest.approx(entropy(ports), abs=1e-8), pytest.approx(mean, abs=1e-9), pytest.approx(std, abs=1e-9))
+    with pytest.raises(ValueError):
+        windows.frame_stats(d, ["src_ip"], 3, ["dst_port"])
+
+
+def test_sliding_sums_equal_a_plain_loop(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.randrange(0, 60) * 250_000, rng.choice("ab"), rng.randrange(100)) for i in range(300)]
+    d = spark.createDataFrame(rows, "event_id long, ts_us long, k string, v long")
+    for keys in ([], ["k"]):
+        got = {r.event_id: (r.n, r.total) for r in windows.sliding_sums(d, keys, 4_000_000, {"n": F.lit(1).cast("long"), "total": F.col("v")}).collect()}
+        assert got == {i: (len(f), sum(r[3] for r in f)) for i, t, k, _ in rows for f in [[r for r in rows if t - 4_000_000 <= r[1] <= t and (not keys or r[2] == k)]]}
+    assert windows.sliding_sums(d.limit(0), [], 4_000_000, {"n": F.lit(1).cast("long")}).count() == 0
+
+
+def test_entropy_baseline_of_many_rows_in_a_window(spark):
+    n = 100_000
+    d = spark.range(n).selectExpr("id AS event_id", "id * 5000 AS ts_us", "round(1e4 + (id * 7919 % 10007) / 1e4, 4) AS dst_port_entropy")
+    rows = features.entropy_baseline(d).where(f"event_id IN (5, {n - 1})").collect()
+    values = [round(1e4 + (i * 7919 % 10007) / 1e4, 4) for i in range(n - 1)]
+    mean, std = statistics.fmean(values), statistics.stdev(values)
+    last = next(r for r in rows if r.event_id == n - 1)
+    assert last.sigma == pytest.approx(abs(1e4 + ((n - 1) * 7919 % 10007) / 1e4 - mean) / std, abs=1e-3) and next(r for r in rows if r.event_id == 5).sigma == 0
+
+
 @pytest.mark.parametrize("values", [[], [5], [1, 1, 1], [3, 1, 2, 1, 3, 3], list(range(50))])
 def test_array_expressions(spark, values):
     d = spark.createDataFrame([(values,)], "a array<long>")
