@@ -12,33 +12,45 @@ GENESIS = "0" * 64
 
 
 def canonical(*columns: str) -> Column:
-    """JSON with its keys in order; the stored text is what is hashed."""
-    return F.to_json(F.struct(*sorted(columns)))
+    """JSON with its keys in order; the stored text is what is hashed. Null
+    fields are written too, so that taking one out is seen."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
 
 
-def append(records: DataFrame, start: int = 0, prev: str = GENESIS) -> DataFrame:
+def append(records: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """(chain_id, pos, body) to (.., seq, prev_hash, record_hash), a fold per
-    chain; chains run in parallel."""
+    chain; chains run in parallel. ``heads``, as :func:`tail` gives them, are the
+    ends of stored chains: each goes on from its own number and hash, and one
+    without a head begins anew. A chain's links depend on each other, so one
+    chain is one task's work, whatever the engine."""
+    schema = "chain_id string, pos long, body string, seq long, prev_hash string, record_hash string"
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos").reset_index(drop=True)
-        last, before, own = prev, [], []
+        seq, last = (int(head["seq"].iloc[0]) + 1, head["record_hash"].iloc[0]) if len(head) else (0, GENESIS)
+        before, own = [], []
         for body in rows["body"]:
             before.append(last)
             last = hashlib.sha256(f"{body}|{last}".encode()).hexdigest()
             own.append(last)
-        return rows.assign(seq=range(start, start + len(rows)), prev_hash=before, record_hash=own)
+        return rows.assign(seq=range(seq, seq + len(rows)), prev_hash=before, record_hash=own)
 
-    return records.select("chain_id", "pos", "body").groupBy("chain_id").applyInPandas(run, "chain_id string, pos long, body string, seq long, prev_hash string, record_hash string")
+    records = records.select("chain_id", "pos", "body")
+    if heads is None:
+        return records.groupBy("chain_id").applyInPandas(lambda rows: run(rows, rows[:0]), schema)
+    ends = heads.select("chain_id", "seq", "record_hash").join(records.select("chain_id").distinct(), "chain_id", "left_semi")
+    return records.groupBy("chain_id").cogroup(ends.groupBy("chain_id")).applyInPandas(run, schema)
 
 
 def verify(chain: DataFrame) -> DataFrame:
     """Per chain: valid, total, verified, broken_at, detail. Every row checks
-    its own hash and, by an equi-join on the position, its predecessor's."""
-    before = chain.select("chain_id", (F.col("seq") + 1).alias("seq"), F.col("record_hash").alias("linked"))
-    d = chain.join(before, ["chain_id", "seq"], "left")
+    its own hash and, by an equi-join on the position, its predecessor's; a
+    position that occurs twice (a replayed record) breaks the chain there."""
+    at = chain.groupBy("chain_id", "seq").agg(F.count("*").alias("times"), F.min("record_hash").alias("one"))
+    before = at.select("chain_id", (F.col("seq") + 1).alias("seq"), F.col("one").alias("linked"))
+    d = chain.join(at.drop("one"), ["chain_id", "seq"]).join(before, ["chain_id", "seq"], "left")
     detail = F.expr(
-        f"CASE WHEN body IS NULL OR prev_hash IS NULL OR record_hash IS NULL THEN 'missing fields' WHEN prev_hash <> coalesce(linked, '{GENESIS}') THEN 'broken link' "
+        f"CASE WHEN body IS NULL OR prev_hash IS NULL OR record_hash IS NULL THEN 'missing fields' WHEN times > 1 THEN 'repeated record' WHEN prev_hash <> coalesce(linked, '{GENESIS}') THEN 'broken link' "
         "WHEN record_hash <> sha2(concat(body, '|', prev_hash), 256) THEN 'content changed' END"
     )
     d = d.withColumn("detail", detail).groupBy("chain_id").agg(

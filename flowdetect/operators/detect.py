@@ -119,11 +119,13 @@ def tls_gate(joined: DataFrame, min_duration: float = 0.1, min_bytes: int = 100)
 
 
 def blacklisted(joined: DataFrame, blacklist: DataFrame) -> DataFrame:
-    """JA3 hits before JA4 hits; empty fingerprints never match."""
-    b3 = blacklist.select(F.col("hash").alias("ja3"), F.col("family").alias("f3"), F.lit(True).alias("h3"))
-    b4 = blacklist.select(F.col("hash").alias("ja4"), F.col("family").alias("f4"), F.lit(True).alias("h4"))
-    d = joined.join(b3.where("ja3 <> ''"), "ja3", "left").join(b4.where("ja4 <> ''"), "ja4", "left")
-    return d.where("h3 OR h4").withColumns({"family": F.coalesce("f3", "f4"), "matched": F.expr("if(h3, 'ja3', 'ja4')")}).drop("f3", "f4", "h3", "h4")
+    """JA3 hits before JA4 hits; empty fingerprints never match. A hash listed
+    more than once counts once, with the least of its families."""
+    listed = blacklist.where("hash <> ''").groupBy("hash").agg(F.min("family").alias("family"))
+    b3 = listed.select(F.col("hash").alias("ja3"), F.col("family").alias("f3"), F.lit(True).alias("h3"))
+    b4 = listed.select(F.col("hash").alias("ja4"), F.col("family").alias("f4"), F.lit(True).alias("h4"))
+    d = joined.join(b3, "ja3", "left").join(b4, "ja4", "left")
+    return d.where("h3 OR h4").withColumns({"family": F.expr("if(h3, f3, f4)"), "matched": F.expr("if(h3, 'ja3', 'ja4')")}).drop("f3", "f4", "h3", "h4")
 
 
 @register("tls_blacklist")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,20 +10,61 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cooldown(candidates: DataFrame, keys: list[str], seconds: int, ts: str = "ts_us", row: str = "event_id") -> DataFrame:
+def cooldown(candidates: DataFrame, keys: list[str], seconds: int, ts: str = "ts_us", row: str = "event_id", blocks: int = 64) -> DataFrame:
     """Keeps a candidate iff it is ``seconds`` after the last kept one of its
-    key: one pass over each key's candidates in order of time, then ``row``."""
-
-    def run(t: pa.Table) -> pa.Table:
-        order = pc.sort_indices(t, sort_keys=[(ts, "ascending"), (row, "ascending")])
-        kept, last = [], None
-        for i, now in zip(order.to_pylist(), t[ts].take(order).to_pylist()):
-            if last is None or now - last >= seconds * 1_000_000:
-                kept.append(i)
-                last = now
-        return t.take(pa.array(kept, pa.int64()))
-
-    return candidates.groupBy(*keys).applyInArrow(run, candidates.schema)
+    key, in order of time, then ``row``.
+
+    A key's candidates are cut into blocks of ``blocks`` cooldowns. The last one
+    that a block keeps is a step function of the first time at which it may keep
+    any; these functions (a row for each step) are composed along a key, and
+    each block then keeps its own, so a busy key is spread over tasks."""
+    span = max(seconds, 1) * 1_000_000
+    block, gap = span * blocks, seconds * 1_000_000
+    d = candidates.withColumn("_b", F.expr(f"({ts} - pmod({ts}, {block}L)) DIV {block}L"))
+    kinds = ", ".join(f"`{k}` {candidates.schema[k].dataType.simpleString()}" for k in keys)
+
+    def steps(t: pa.Table) -> pa.Table:
+        """(keys, block, until, last): a block that may keep from a time up to
+        ``until`` on, and later than the ``until`` before, keeps ``last`` as its last."""
+        at = np.sort(t[ts].to_numpy())
+        start = t["_b"][0].as_py() * block
+        first = np.arange(min(len(at), int(np.searchsorted(at, start + span)) + 1))
+        end, after = first, np.maximum(np.searchsorted(at, at + gap), np.arange(len(at)) + 1)
+        while (go := after[end] < len(at)).any():  # along the kept ones, for all first ones at once
+            end = np.where(go, after[np.minimum(end, len(at) - 1)].clip(max=len(at) - 1), end)
+        change = np.append(at[end][1:] != at[end][:-1], True)
+        head = t.slice(0, 1).select([*keys, "_b"])
+        columns = [pa.chunked_array([pa.array([c[0].as_py()] * int(change.sum()), c.type)]) for c in head.columns]
+        return pa.Table.from_arrays([*columns, pa.array(at[first][change]), pa.array(at[end][change])], names=[*keys, "_b", "until", "last"])
+
+    def along(t: pa.Table) -> pa.Table:
+        """(keys, block, from): when a key's blocks may keep their first."""
+        order = pc.sort_indices(t, sort_keys=[("_b", "ascending"), ("until", "ascending")])
+        t = t.take(order)
+        start, begins, now, done = [], [], None, None
+        for i, (b, until, last) in enumerate(zip(t["_b"].to_pylist(), t["until"].to_pylist(), t["last"].to_pylist())):
+            if not start or b != begins[-1][0]:
+                start.append(i)
+                begins.append((b, now))
+                done = False
+            if not done and (now is None or until >= now):
+                now, done = last + gap, True
+        head = t.take(pa.array(start)).select([*keys, "_b"])
+        return head.append_column("_from", pa.array([f for _, f in begins], pa.int64()))
+
+    def keep(own: pa.Table, begin: pa.Table) -> pa.Table:
+        own = own.take(pc.sort_indices(own, sort_keys=[(ts, "ascending"), (row, "ascending")]))
+        at, since = own[ts].to_numpy(), begin["_from"][0].as_py() if len(begin) else None
+        i, kept = 0 if since is None else int(np.searchsorted(at, since)), []
+        while i < len(at):
+            kept.append(i)
+            i = max(i + 1, int(np.searchsorted(at, at[i] + gap)))
+        return own.take(pa.array(kept, pa.int64())).drop_columns("_b")
+
+    by = d.groupBy(*keys, "_b")
+    maps = by.applyInArrow(steps, f"{kinds}, _b long, until long, last long")
+    begins = maps.groupBy(*keys).applyInArrow(along, f"{kinds}, _b long, _from long")
+    return by.cogroup(begins.groupBy(*keys, "_b")).applyInArrow(keep, candidates.schema)
 
 
 def first_only(candidates: DataFrame, keys: list[str], order: tuple[str, ...] = ("ts_us", "event_id")) -> DataFrame:

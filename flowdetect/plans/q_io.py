@@ -99,10 +99,19 @@ def mark_files(s, d):
     path = folder(s, "marks")
     arrays = view(s, d, "marks").groupBy(F.expr("event_id DIV 2000").alias("capture")).agg(F.to_json(F.sort_array(F.collect_list(F.expr("named_struct('ts', ts_us / 1e6, 'label', label)")))).alias("value"))
     arrays.repartition("capture").write.partitionBy("capture").text(path)
-    return logs.read_marks(s, path).select("label", "ts")
+    return logs.read_marks(s, path)
 
 
-q("src11_marks", "SELECT label, ts_us / 1e6 AS ts FROM marks", mark_files, "marks")
+q("src11_marks", "SELECT label, ts_us / 1e6 AS ts FROM marks", lambda s, d: mark_files(s, d).select("label", "ts"), "marks")
+
+
+def paired_files(s, d):
+    """The sessions of all captures, paired in each one's own file."""
+    read = mark_files(s, d).withColumn("ts_us", F.round(F.col("ts") * 1e6).cast("long"))
+    return dataset.pair_marks(read, file="file", order="place").where("ok").drop("ok", "file")
+
+
+q("src11_wn9_file_marks", "WITH m AS (SELECT *, event_id // 2000 AS capture, regexp_replace(label, '_(start|end)$', '') AS name FROM marks), p AS (SELECT *, lead(label) OVER w AS l, lead(ts_us) OVER w AS e FROM m WINDOW w AS (PARTITION BY capture, name ORDER BY ts_us)) SELECT name AS session_id, string_split(label, '_')[1] AS label, ts_us AS start_us, e AS end_us FROM p WHERE label = name || '_start' AND l = name || '_end'", paired_files, "marks")
 
 
 def word_file(s, d):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowdetect.functions import expr as x
 from flowdetect.operators import correlate, custody, export, report
-from flowdetect.plans.views import duck, view
+from flowdetect.plans.views import duck, stored, view
 
 Q, O = {}, {}
 
@@ -55,8 +55,20 @@ chained = lambda a: custody.append(a.select(F.col("src_ip").alias("chain_id"), F
 BODY = """b AS (SELECT src_ip AS chain_id, seq AS pos, row_number() OVER (PARTITION BY src_ip ORDER BY seq) - 1 AS i, '{"seq":' || seq || ',"threat_class":"' || threat_class || '"}' AS body FROM alerts)"""
 CHAIN = f"WITH RECURSIVE {BODY}, c AS (SELECT chain_id, i, pos, body, repeat('0', 64) AS prev_hash, sha256(body || '|' || repeat('0', 64)) AS record_hash FROM b WHERE i = 0 UNION ALL SELECT b.chain_id, b.i, b.pos, b.body, c.record_hash, sha256(b.body || '|' || c.record_hash) FROM c JOIN b ON b.chain_id = c.chain_id AND b.i = c.i + 1)"
 q("ch1_append", CHAIN + " SELECT chain_id, pos, body, i AS seq, prev_hash, record_hash FROM c", chained)
-q("ch2_verify", "SELECT src_ip AS chain_id, count(*) <= 3 AS valid, count(*) AS total, least(3, count(*)) AS verified, CASE WHEN count(*) > 3 THEN 3 END::BIGINT AS broken_at, CASE WHEN count(*) > 3 THEN 'content changed' END AS detail FROM alerts GROUP BY 1",
+q("ch2_verify", CHAIN + """, k AS (SELECT * REPLACE (CASE WHEN i = 3 THEN body || ' ' ELSE body END AS body) FROM c), v AS (SELECT chain_id, i, CASE WHEN prev_hash <> coalesce(lag(record_hash) OVER (PARTITION BY chain_id ORDER BY i), repeat('0', 64)) THEN 'broken link' WHEN record_hash <> sha256(body || '|' || prev_hash) THEN 'content changed' END AS detail FROM k)
+SELECT chain_id, count(detail) = 0 AS valid, count(*) AS total, coalesce(min(i) FILTER (detail IS NOT NULL), count(*)) AS verified, min(i) FILTER (detail IS NOT NULL) AS broken_at, arg_min(detail, i) FILTER (detail IS NOT NULL) AS detail FROM v GROUP BY 1""",
   lambda a: custody.verify(chained(a).withColumn("body", F.expr("if(seq = 3, concat(body, ' '), body)"))))
+
+
+def resumed(a):
+    """The chains in two parts: what comes later goes on from the stored heads."""
+    rows = a.select(F.col("src_ip").alias("chain_id"), F.col("seq").alias("pos"), custody.canonical("seq", "threat_class").alias("body"))
+    first = stored(custody.append(rows.where("pos < 2000")), "chain")
+    rest = rows.join(first.select("chain_id", "pos"), ["chain_id", "pos"], "left_anti")
+    return first.unionByName(custody.append(rest, custody.tail(first)))
+
+
+q("ch3_resume", CHAIN.replace("seq AS pos, row_number() OVER (PARTITION BY src_ip ORDER BY seq) - 1 AS i", "seq AS pos, row_number() OVER (PARTITION BY src_ip ORDER BY seq >= 2000, seq) - 1 AS i") + " SELECT chain_id, pos, body, i AS seq, prev_hash, record_hash FROM c", resumed)
 q("ch3_tail", CHAIN + " SELECT chain_id, max(i) AS seq, arg_max(record_hash, i) AS record_hash FROM c GROUP BY 1", lambda a: custody.tail(chained(a)))
 q("fn19_canonical", """SELECT seq, sha256('{"seq":' || seq || ',"threat_class":"' || threat_class || '"}') AS h FROM alerts""", lambda a: a.select("seq", F.sha2(custody.canonical("threat_class", "seq"), 256).alias("h")))
 PAT = []

@@ -6,10 +6,10 @@ division and ``{us}`` the epoch micros of ``events.ts``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from flowdetect.sources.shared import folder, stored  # noqa: F401
+
 VIEWS = {
     "flows": """SELECT event_id, 'C' || CAST(event_id AS STRING) AS uid, ts_us, ts_us / 1e6 AS ts,
   CASE WHEN event_id % 20 = 7 THEN '10.0.8.' || CAST((event_id {d} 400) % 50 + 1 AS STRING)
@@ -72,22 +72,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(_named(VIEWS[name].format(**_SPARK), _BASE[name]), **{b: view(spark, sf_dir, b) for b in _BASE[name]})
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else f"file:///tmp/flowdetect-{uuid.uuid4().hex}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _named(text: str, names: list[str]) -> str:
     for n in names:
         text = text.replace(f"FROM {n}", "FROM {" + n + "}").replace(f"JOIN {n}", "JOIN {" + n + "}")

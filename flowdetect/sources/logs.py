@@ -66,7 +66,11 @@ def read_blacklist(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_marks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("label string, ts double").json(path, multiLine=True).withColumn("file", F.col("_metadata.file_name"))
+    """(label, ts, file, place): the marks of each file's array with their place
+    in it; starts and ends are paired by these (``dataset.pair_marks``)."""
+    d = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
+    marks = F.from_json("value", "array<struct<label: string, ts: double>>")
+    return d.select("file", F.posexplode(marks).alias("place", "m")).select("m.label", "m.ts", "file", "place")
 
 
 def read_manifests(spark: SparkSession, path: str, marks: DataFrame) -> DataFrame:

@@ -104,6 +104,22 @@ def test_cooldown_is_greedy(spark):
     assert gates.cooldown(d.limit(0), ["src_ip"], 30).count() == 0
 
 
+@pytest.mark.parametrize("seconds,blocks", [(30, 64), (3, 2), (1, 1), (0, 2)])
+def test_cooldown_across_blocks_equals_the_fold(spark, seconds, blocks):
+    rng = random.Random(seconds + blocks)
+    rows, t = [], -40_000_000
+    for i in range(900):
+        t += rng.choice([0, 0, 1, 400_000, 999_999, 1_000_000, 2_999_999, 3_000_000, 40_000_000 if rng.random() < 0.1 else 7])
+        rows.append((rng.randrange(10**6) * 1000 + i, t, rng.choice(["hot", "hot", "hot", "b", None])))
+    want, last = [], {}
+    for e, t, k in sorted(rows, key=lambda r: (r[1], r[0])):
+        if k not in last or t - last[k] >= seconds * 1_000_000:
+            want.append(e)
+            last[k] = t
+    d = spark.createDataFrame(rows, "event_id long, ts_us long, src_ip string")
+    assert sorted(r.event_id for r in gates.cooldown(d, ["src_ip"], seconds, blocks=blocks).collect()) == sorted(want)
+
+
 def test_running_means_across_hours(spark):
     rng = random.Random(5)
     rows, t = [], 1_700_000_000
