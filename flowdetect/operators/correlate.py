@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -31,10 +29,13 @@ def identity() -> str:
     return "coalesce(flow_id, concat(cast(ts_us AS string), ':', threat_class))"
 
 
-def patterns(alerts: DataFrame) -> DataFrame:
+def patterns(alerts: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """Candidate firings: an alert completes a pattern when all its classes
-    occur for the source within the window that ends at the alert."""
-    d = usable(alerts)
+    occur for the source within the window that ends at the alert. ``held``:
+    earlier alerts that windows may reach, without firings of their own."""
+    d = usable(alerts).withColumn("_new", F.lit(True))
+    if held is not None:
+        d = d.unionByName(usable(held).withColumn("_new", F.lit(False)))
     row = F.struct("ts_us", "seq", "threat_class", F.expr(identity()).alias("id"), "confidence")
     for p, (name, _, seconds, _, _) in enumerate(PATTERNS):
         w = Window.partitionBy("src_ip").orderBy("ts_us").rangeBetween(-(seconds * S - 1), 0)
@@ -43,7 +44,7 @@ def patterns(alerts: DataFrame) -> DataFrame:
     for p, (name, classes, _, confidence, severity) in enumerate(PATTERNS):
         need = f"array({', '.join(map(repr, classes))})"
         parts.append(f"CASE WHEN size(array_except({need}, _p{p}.threat_class)) = 0 THEN named_struct('priority', {p}, 'pattern', '{name}', 'conf', {confidence}D, 'sev', '{severity}', 'rows', filter(_p{p}, r -> array_contains({need}, r.threat_class))) END")
-    d = d.select("seq", "ts_us", "event_ts", "src_ip", "dst_ip", F.explode(F.expr(f"array_compact(array({', '.join(parts)}))")).alias("f"))
+    d = d.where("_new").select("seq", "ts_us", "event_ts", "src_ip", "dst_ip", F.explode(F.expr(f"array_compact(array({', '.join(parts)}))")).alias("f"))
     return d.select("src_ip", "ts_us", "seq", "f.priority", "f.pattern", F.col("f.conf").alias("confidence"), F.col("f.sev").alias("severity"), F.expr("array_distinct(f.rows.id)").alias("ids"), F.expr("slice(array_sort(f.rows), greatest(size(f.rows) - 19, 1), 20)").alias("contributing"), "dst_ip", "event_ts")
 
 
@@ -67,24 +68,25 @@ def fire(alerts: DataFrame) -> DataFrame:
 
 
 HOUR = 3600 * S
+FIRST = -(1 << 40)  # the bucket of what stood before
 
 
 def _local(rows: pd.DataFrame, alpha: float) -> pd.DataFrame:
     """Of one key's bucket: after each time, the running mean as an affine map of
     the mean that comes in: add + keep * m, with the gaps so far and the first
-    gap (a missing m counts as that)."""
+    gap (a missing m counts as that). A time that does not advance has no gap."""
     t = rows["ts_us"].sort_values().to_numpy()
     before = rows["last_us"].iloc[0]
-    starts = pd.isna(before)
-    gap = np.diff(t, prepend=t[0] if starts else int(before)) / 1e6
+    reached = np.maximum.accumulate(t if pd.isna(before) else np.maximum(t, int(before)))
+    gap = np.diff(reached, prepend=reached[0] if pd.isna(before) else int(before)) / 1e6
     add, keep, n, adds, keeps, counts = 0.0, 1.0, 0, [], [], []
-    for i, g in enumerate(gap.tolist()):
-        if not (starts and i == 0):
+    for g in gap.tolist():
+        if g > 0:
             add, keep, n = alpha * g + (1 - alpha) * add, (1 - alpha) * keep, n + 1
         adds.append(add)
         keeps.append(keep)
         counts.append(n)
-    own = gap[1:] if starts else gap
+    own = gap[gap > 0]
     return pd.DataFrame({"key": rows["key"].iloc[0], "b": rows["b"].iloc[0], "ts_us": t, "add": adds, "keep": keeps, "n": counts, "first": own[0] if len(own) else np.nan})
 
 
@@ -101,47 +103,79 @@ def _carried(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": rows["key"], "b": rows["b"], "m0": means, "n0": counts})
 
 
-def _running(times: DataFrame, alpha: float) -> DataFrame:
+def _running(times: DataFrame, alpha: float, start: DataFrame | None = None) -> DataFrame:
     """(key, b, ts_us, m, n) after every distinct time of a key. Steps of the
     mean are affine maps: they are composed within each hour, the hours (a row
-    each) are scanned, and what comes in is put into the hours' maps."""
+    each) are scanned, and what comes in is put into the hours' maps. ``start``
+    (key, last_us, m, n): where keys stood before, as :func:`tempo` gives it."""
+
+    def local(rows: pd.DataFrame) -> pd.DataFrame:
+        return _local(rows, alpha)
+
     d = times.distinct().withColumn("b", F.expr(f"ts_us DIV {HOUR}"))
     ends = d.groupBy("key", "b").agg(F.max("ts_us").alias("last_us"))
-    ends = ends.withColumn("last_us", F.lag("last_us").over(Window.partitionBy("key").orderBy("b")))
-    inside = d.join(ends, ["key", "b"]).groupBy("key", "b").applyInPandas(partial(_local, alpha=alpha), "key string, b long, ts_us long, add double, keep double, n int, first double")
+    if start is not None:
+        ends = ends.unionByName(start.select("key", F.lit(FIRST).alias("b"), "last_us"))
+    ends = ends.withColumn("last_us", F.max("last_us").over(Window.partitionBy("key").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
+    inside = d.join(ends, ["key", "b"]).groupBy("key", "b").applyInPandas(local, "key string, b long, ts_us long, add double, keep double, n int, first double")
     last = inside.groupBy("key", "b").agg(F.max_by(F.struct("add", "keep", "n", "first"), "ts_us").alias("r")).select("key", "b", "r.*")
+    if start is not None:
+        last = last.unionByName(start.select("key", F.lit(FIRST).alias("b"), F.col("m").alias("add"), F.lit(0.0).alias("keep"), "n", F.col("m").alias("first")))
     come = last.groupBy("key").applyInPandas(_carried, "key string, b long, m0 double, n0 int")
     m = "if(n0 + n = 0, null, add + keep * coalesce(nanvl(m0, null), nanvl(first, null), 0D))"
     return inside.join(come, ["key", "b"]).selectExpr("key", "b", "ts_us", f"{m} AS m", "n0 + n AS n")
 
 
-def rate_baseline(alerts: DataFrame, alpha: float = 0.2) -> DataFrame:
+ALL = ""  # the key of all alerts; no usable alert has it for its class
+
+
+def _tempos(alerts: DataFrame) -> DataFrame:
+    return alerts.select(F.col("threat_class").alias("key"), "ts_us").union(alerts.select(F.lit(ALL), "ts_us"))
+
+
+def tempo(alerts: DataFrame, alpha: float = 0.2, start: DataFrame | None = None) -> DataFrame:
+    """(key, last_us, m, n): where the running mean gaps of each class and of
+    all alerts stand after ``alerts``, on from ``start``: a row for each class."""
+    now = _running(_tempos(usable(alerts)), alpha, start)
+    now = now.groupBy("key").agg(F.max("ts_us").alias("last_us"), F.max_by(F.struct("m", "n"), "ts_us").alias("v")).select("key", "last_us", "v.m", "v.n")
+    if start is None:
+        return now
+    both = now.withColumn("k", F.lit(1)).unionByName(start.withColumn("k", F.lit(0)))
+    best = both.groupBy("key").agg(F.max("last_us").alias("last_us"), F.max_by(F.struct("m", "n"), "k").alias("v"))
+    return best.select("key", "last_us", "v.m", "v.n")
+
+
+def rate_baseline(alerts: DataFrame, alpha: float = 0.2, start: DataFrame | None = None) -> DataFrame:
     """Adds class_gap, class_n, all_gap, all_n: the running mean gaps of the
     alert's class and of all alerts, after this alert; times that do not advance
-    change nothing."""
+    change nothing. ``start``: see :func:`tempo`."""
     d = usable(alerts)
-    own = _running(d.select(F.col("threat_class").alias("key"), "ts_us"), alpha)
-    all_ = _running(d.select(F.lit("").alias("key"), "ts_us"), alpha)
-    d = d.join(own.select(F.col("key").alias("threat_class"), "ts_us", F.col("m").alias("class_gap"), F.col("n").alias("class_n")), ["threat_class", "ts_us"])
-    return d.join(all_.select("ts_us", F.col("m").alias("all_gap"), F.col("n").alias("all_n")), "ts_us")
+    at = _running(_tempos(d), alpha, start).select("key", "ts_us", "m", "n")
+    d = d.join(at.select(F.col("key").alias("threat_class"), "ts_us", F.col("m").alias("class_gap"), F.col("n").alias("class_n")), ["threat_class", "ts_us"])
+    return d.join(at.where(F.col("key") == ALL).select("ts_us", F.col("m").alias("all_gap"), F.col("n").alias("all_n")), "ts_us")
 
 
-def adaptive(alerts: DataFrame, threshold: float = 3.0, alpha: float = 0.2) -> DataFrame:
+def adaptive(alerts: DataFrame, threshold: float = 3.0, alpha: float = 0.2, start: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
     """Candidates of the statistical layer: two classes or more in the adaptive
     window whose joint chance is small. Each class counts with its latest gap
-    at the alert."""
+    at the alert. ``start`` and ``held``: see :func:`correlate`."""
     d = usable(alerts)
-    tempo = _running(d.select(F.lit("").alias("key"), "ts_us"), alpha).select("ts_us", F.col("m").alias("all_gap"))
-    d = d.join(tempo, "ts_us").withColumn("window", F.expr(x.adaptive_window("all_gap")))
+    hist = _running(_tempos(d), alpha, start)
+    rows = d.withColumn("_new", F.lit(True))
+    if held is not None:
+        rows = rows.unionByName(usable(held).withColumn("_new", F.lit(False)))
     row = F.struct("ts_us", "seq", "threat_class", F.expr(identity()).alias("id"), "confidence")
     w = Window.partitionBy("src_ip").orderBy("ts_us").rangeBetween(-(900 * S - 1), 0)
-    d = d.withColumn("_a", F.collect_list(row).over(w)).withColumn("_r", F.expr("filter(_a, r -> r.ts_us > ts_us - cast(window * 1000000 AS bigint))"))
+    d = rows.withColumn("_a", F.collect_list(row).over(w)).where("_new").drop("_new")
+    d = d.join(hist.where(F.col("key") == ALL).select("ts_us", F.col("m").alias("all_gap")), "ts_us").withColumn("window", F.expr(x.adaptive_window("all_gap")))
+    d = d.withColumn("_r", F.expr("filter(_a, r -> r.ts_us > ts_us - cast(window * 1000000 AS bigint))"))
     d = d.withColumn("classes", F.expr("array_sort(array_distinct(_r.threat_class))")).where("size(classes) >= 2")
     # the class gaps as of the alert: the last update of the class within the hour, else the one that came into it
-    hist = _running(usable(alerts).select(F.col("threat_class").alias("key"), "ts_us"), alpha)
     pairs = d.select("seq", "ts_us", "window", F.explode("classes").alias("key")).withColumn("b", F.expr(f"ts_us DIV {HOUR}"))
     both = pairs.selectExpr("key", "b", "ts_us", "1 AS k", "seq", "window", "cast(null AS struct<m:double,n:int>) AS v").unionByName(
         hist.selectExpr("key", "b", "ts_us", "0 AS k", "cast(null AS bigint) AS seq", "cast(null AS double) AS window", "struct(m, n) AS v"))
+    if start is not None:
+        both = both.unionByName(start.selectExpr("key", f"{FIRST}L AS b", "last_us AS ts_us", "0 AS k", "cast(null AS bigint) AS seq", "cast(null AS double) AS window", "struct(m, n) AS v"))
     asof = Window.partitionBy("key", "b").orderBy("ts_us", "k").rowsBetween(Window.unboundedPreceding, 0)
     hours = both.groupBy("key", "b").agg(F.max_by("v", F.when(F.col("v").isNotNull(), F.col("ts_us"))).alias("v"))
     hours = hours.select("key", "b", F.last("v", True).over(Window.partitionBy("key").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("v0"))
@@ -165,9 +199,20 @@ def combine(*detectors: DataFrame) -> DataFrame:
     return out
 
 
-def correlate(alerts: DataFrame) -> DataFrame:
-    """Incidents of both layers: the statistical one fires where no pattern did."""
-    return gates.novel_set(patterns(alerts).unionByName(adaptive(alerts)))
+def correlate(alerts: DataFrame, start: DataFrame | None = None, held: DataFrame | None = None, fired: DataFrame | None = None) -> DataFrame:
+    """Incidents of both layers: the statistical one fires where no pattern did.
+    A stream goes on from what stood before: ``start`` (:func:`tempo`), ``held``
+    (alerts of the last 900 s) and ``fired`` (:func:`last_fired`)."""
+    return gates.novel_set(patterns(alerts, held).unionByName(adaptive(alerts, start=start, held=held)), fired=fired)
+
+
+def last_fired(incidents: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(src_ip, pattern, ts_us, ids): each pattern's last firing for a source."""
+    own = incidents.select("src_ip", "pattern", "ts_us", "seq", "ids")
+    if before is not None:
+        own = own.unionByName(before.select("src_ip", "pattern", "ts_us", F.lit(None).cast("long").alias("seq"), "ids"))
+    last = own.groupBy("src_ip", "pattern").agg(F.max_by(F.struct("ts_us", "ids"), F.struct("ts_us", "seq")).alias("v"))
+    return last.select("src_ip", "pattern", "v.ts_us", "v.ids")
 
 
 def assemble(incidents: DataFrame) -> DataFrame:

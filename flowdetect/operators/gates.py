@@ -73,17 +73,21 @@ def first_only(candidates: DataFrame, keys: list[str], order: tuple[str, ...] =
     return candidates.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def novel_set(firings: DataFrame, seconds: int = 900) -> DataFrame:
+def novel_set(firings: DataFrame, seconds: int = 900, fired: DataFrame | None = None) -> DataFrame:
     """Firings (key, ts_us, seq, priority, pattern, ids array) that are news: per
     key, rows of one alert (seq) are tried by priority; a pattern fires unless
     its ids are a subset of those of its last firing within ``seconds``; the
-    first that fires ends the alert's turn."""
+    first that fires ends the alert's turn. ``fired`` (key, pattern, ts_us, ids):
+    the last firings before."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ts_us", "seq", "priority"]).reset_index(drop=True)
-        return rows.loc[list(news(rows["ts_us"], rows["seq"], rows["pattern"], rows["ids"], seconds, {}))]
+        last = {p: (t, frozenset(i)) for p, t, i in zip(before["pattern"], before["ts_us"], before["ids"])}
+        return rows.loc[list(news(rows["ts_us"], rows["seq"], rows["pattern"], rows["ids"], seconds, last))]
 
-    return firings.groupBy("src_ip").applyInPandas(run, firings.schema)
+    if fired is None:
+        return firings.groupBy("src_ip").applyInPandas(lambda rows: run(rows, rows[:0]), firings.schema)
+    return firings.groupBy("src_ip").cogroup(fired.groupBy("src_ip")).applyInPandas(run, firings.schema)
 
 
 def news(ts, seq, pattern, ids, seconds: int, fired: dict):

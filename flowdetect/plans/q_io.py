@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from flowdetect.operators import correlate, dataset, detect, export, features, gates, ml, report
 from flowdetect.plans.q_detect import INT, JOINED, WN2, WN3, cool, joined
-from flowdetect.plans.q_report import CAND, EW
+from flowdetect.plans.q_report import ALL_GAPS, BOTH, CAND, EW, INCIDENT, thin, thin_sql
 from flowdetect.plans.views import duck, folder, view
-from flowdetect.sources import logs
+from flowdetect.sources import logs, tail
 from flowdetect.streaming import stream
 
 Q, O = {}, {}
@@ -318,6 +318,18 @@ def landed(s, d: DataFrame, mode: str = "append") -> DataFrame:
     return s.read.schema(d.schema).parquet(out)
 
 
+def tailed(s, d):
+    """Log files tailed as they come, in two runs of one checkpoint."""
+    path, out, marks = folder(s, "tailed"), folder(s, "landed"), folder(s, "progress")
+    rows = FL(s, d).select("event_id", "uid", "orig_bytes")
+    for part in (rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1")):
+        part.drop("event_id").write.mode("append").json(path)
+        d_ = tail.tail_logs(s, path, "uid string, orig_bytes long")
+        d_.writeStream.option("checkpointLocation", marks).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+    return s.read.schema("uid string, orig_bytes long").parquet(out)
+
+
+q("src4_tailed_logs", "SELECT uid, orig_bytes FROM flows", tailed, "flows")
 q("src4_file_stream", "SELECT uid, orig_bytes FROM flows", lambda s, d: landed(s, arriving(s, FL(s, d)).select("uid", "orig_bytes")), "flows")
 q("src3_src5_topic_rows", "SELECT src_ip AS key, uid, ts FROM flows", lambda s, d: stream.decoded(stream.kafka_rows(FL(s, d).select("src_ip", "uid", "ts")).selectExpr("key AS topic", "value"), "ts double, uid string").withColumnRenamed("topic", "key"), "flows")
 q("sm3_scan_state", "SELECT event_id, count(*) OVER w AS n, len(list_distinct(list(dst_port) OVER w)) AS \"distinct\" FROM flows WINDOW w AS (PARTITION BY src_ip ORDER BY ts_us, event_id RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)".replace("ORDER BY ts_us, event_id", "ORDER BY ts_us"), lambda s, d: landed(s, stream.scan_state(arriving(s, FL(s, d)))), "flows")
@@ -336,6 +348,19 @@ q("sm9_baseline_state", EW, lambda s, d: landed(s, stream.rate_baseline(arriving
 q("sm8_correlation_state", CAND + " SELECT seq, src_ip, pattern, conf AS confidence FROM fired", lambda s, d: landed(s, stream.correlated(arriving(s, view(s, d, "alerts")))), "alerts")
 
 
+def correlated_stream(s, d, part, of=lambda a: a):
+    """Both layers on a stream: what it leaves of ``part`` (incidents, baseline)."""
+    out = folder(s, "correlated")
+    stream.correlate_stream(arriving(s, of(view(s, d, "alerts")), 2), out, folder(s, "state"), folder(s, "progress"), baseline=part == "baseline").awaitTermination()
+    return s.read.parquet(f"{out}/{part}/*")
+
+
+INCIDENTS = ("seq", "threat_class", "severity", "confidence", "size(contributing) AS n")
+Q["sm8_adaptive_stream"] = lambda s, d: correlate.assemble(correlated_stream(s, d, "incidents", thin)).selectExpr(*INCIDENTS)
+O["sm8_adaptive_stream"] = thin_sql(BOTH + INCIDENT)
+q("sm9_tempo_stream", ALL_GAPS, lambda s, d: correlated_stream(s, d, "baseline").select("seq", F.round("all_gap", 3).alias("all_gap"), "all_n"), "alerts")
+
+
 def sink_and_feed(s, d):
     """Alerts through the sink, then as a feed from its folder."""
     path, marks = folder(s, "sink"), folder(s, "progress")

@@ -113,7 +113,8 @@ pc AS (SELECT seq, ts_us, win, unnest(classes) AS k FROM fr WHERE len(classes) >
 ps AS (SELECT pc.seq, sum(-ln(greatest(CASE WHEN n < 3 THEN 1 ELSE 1 - exp(-win / greatest(m, 1e-6)) END, 1e-6))) AS score FROM pc ASOF JOIN ew ON pc.k = ew.k AND pc.ts_us >= ew.ts_us GROUP BY pc.seq),
 ad AS (SELECT fr.seq, src_ip, fr.ts_us, event_ts, dst_ip, 99 AS priority, 'ADAPTIVE:' || array_to_string(classes, ',') AS pattern, least(0.99, 1 - exp(-score))::DOUBLE AS conf, CASE WHEN len(classes) >= 3 THEN 'CRITICAL' ELSE 'HIGH' END AS sev, ids, rows20 FROM fr JOIN ps ON ps.seq = fr.seq WHERE score >= 3)"""
 q("cr3_adaptive", f"WITH RECURSIVE {ADAPT} SELECT seq, src_ip, pattern, round(conf, 4) AS confidence, sev AS severity FROM ad", lambda a: correlate.adaptive(a).selectExpr("seq", "src_ip", "pattern", "round(confidence, 4) AS confidence", "severity"))
-q("cr4_all_gaps", f"WITH RECURSIVE {EWMA} SELECT seq, round(m, 3) AS all_gap, n AS all_n FROM alerts a JOIN ew ON k = '*' AND ew.ts_us = a.ts_us", lambda a: correlate.rate_baseline(a).select("seq", F.round("all_gap", 3).alias("all_gap"), "all_n"))
+ALL_GAPS = f"WITH RECURSIVE {EWMA} SELECT seq, round(m, 3) AS all_gap, n AS all_n FROM alerts a JOIN ew ON k = '*' AND ew.ts_us = a.ts_us"
+q("cr4_all_gaps", ALL_GAPS, lambda a: correlate.rate_baseline(a).select("seq", F.round("all_gap", 3).alias("all_gap"), "all_n"))
 # A thinner alert stream on which the adaptive layer fires: rare classes close together.
 THIN = "alerts AS (SELECT * FROM alerts0 WHERE threat_class IN ('ddos', 'recon') OR seq % 40 < 5)"
 

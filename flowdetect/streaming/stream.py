@@ -6,6 +6,7 @@ with a carry-over of the frame's length (``foreachBatch``)."""
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from flowdetect.functions import expr as x
 from flowdetect.operators import correlate, gates
 
+log = logging.getLogger(__name__)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TOPICS = ("conn", "dns", "ssl", "quic", "pktseq")
 
@@ -236,9 +238,14 @@ class Correlate(Expiring):
         fired = {k[0]: (v[0], frozenset(v[1])) for k, v in self.fired.iterator()}
         times, out = d["ts_us"].tolist(), []
         news_of = list(zip(times, d["id"].tolist(), d["threat_class"].tolist()))
+        first = next((i for i, h in enumerate(held) if h[0] == times[0]), len(held))
+        late = held[first:]  # of the first new instant; they stand in its frames like its own rows
+        seen, to = held[:first], 0
         for i, (t, _, _) in enumerate(news_of):
-            peers = [h for h in news_of if h[0] == t]  # of equal time, in each other's frames
-            seen = [h for h in held if h not in peers] + [h for h in news_of if h[0] <= t]
+            if i == to:  # rows of equal time are in each other's frames
+                while to < len(news_of) and news_of[to][0] == t:
+                    to += 1
+                seen += (late if i == 0 else []) + news_of[i:to]
             tries = []
             for name, classes, seconds, confidence, _ in correlate.PATTERNS:
                 inside = [h for h in seen if h[2] in classes and h[0] > t - seconds * 1_000_000]
@@ -308,23 +315,79 @@ def exact(source: DataFrame, operator: Callable[[DataFrame], DataFrame], seconds
         out = operator(old.unionByName(batch)).join(batch.select("event_id"), "event_id", "left_semi")
         out.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
         batch.unionByName(old).write.mode("overwrite").parquet(f"{carry}/batch={batch_id}")
-        root = spark._jvm.org.apache.hadoop.fs.Path(carry)
-        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        for folder in files.listStatus(root):
-            name = folder.getPath().getName()
-            if name.startswith("batch=") and int(name[6:]) < batch_id - 1:
-                files.delete(folder.getPath(), True)
+        _forget(spark, carry, batch_id - 1)
 
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def correlate_stream(source: DataFrame, sink: str, state: str, checkpoint: str, trigger: dict | None = None, baseline: bool = True):
+    """Incidents of both correlation layers and, if ``baseline``, the running mean
+    gaps of each alert's class and of all, of a stream of alerts that come in
+    order of time.
+
+    Two states are handed from batch to batch: the baseline (a row for each class
+    and one for the tempo of all alerts) and, of the last 900 s, the alerts that
+    windows still reach with the last firings. A batch runs the batch operators
+    from there, so its work is spread like theirs. Results stand under the batch's
+    id in ``sink``/incidents and ``sink``/baseline, states in ``state``; a repeated
+    batch overwrites itself, and states before the last go."""
+    tempo = "key string, last_us long, m double, n int"
+    fired = "src_ip string, pattern string, ts_us long, ids array<string>"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            last = batch.agg(F.max("ts_us")).first()[0]
+            if last is None:
+                return
+            before = f"{state}/batch={batch_id - 1}"
+            old = lambda name, schema: spark.read.schema(schema).parquet(f"{before}/{name}") if batch_id else spark.createDataFrame([], schema)
+            start, held, news = old("tempo", tempo), old("held", batch.schema), old("fired", fired)
+            incidents = correlate.correlate(batch, start, held, news).persist()
+            try:
+                incidents.write.mode("overwrite").parquet(f"{sink}/incidents/batch={batch_id}")
+                if baseline:
+                    correlate.rate_baseline(batch, start=start).write.mode("overwrite").parquet(f"{sink}/baseline/batch={batch_id}")
+                now = f"{state}/batch={batch_id}"
+                recent = F.col("ts_us") > last - 901_000_000
+                correlate.tempo(batch, start=start).write.mode("overwrite").parquet(f"{now}/tempo")
+                held.unionByName(batch).where(recent).write.mode("overwrite").parquet(f"{now}/held")
+                correlate.last_fired(incidents, news).where(recent).write.mode("overwrite").parquet(f"{now}/fired")
+            finally:
+                incidents.unpersist()
+            _forget(spark, state, batch_id - 1)
+        finally:
+            batch.unpersist()
+
+    return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _forget(spark: SparkSession, path: str, first: int) -> None:
+    """Deletes the folders of batches before ``first``."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in files.listStatus(root):
+        name = folder.getPath().getName()
+        if name.startswith("batch=") and int(name[6:]) < first:
+            files.delete(folder.getPath(), True)
+
+
 def alert_sink(alerts: DataFrame, path: str, checkpoint: str, export: Callable[[DataFrame, str], None] | None = None, trigger: dict | None = None):
-    """Canonical Parquet first, then an export that may fail; each batch has a
-    folder of its own, so a repeated batch overwrites itself."""
+    """Canonical Parquet first, then a best-effort export: one that fails is
+    logged and the stream goes on. Each batch has a folder of its own, so a
+    repeated batch overwrites itself."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/alerts/batch={batch_id}")
-        if export is not None:
-            export(batch, f"{path}/export/batch={batch_id}")
+        batch = batch.persist()
+        try:
+            batch.write.mode("overwrite").parquet(f"{path}/alerts/batch={batch_id}")
+            if export is not None:
+                try:
+                    export(batch, f"{path}/export/batch={batch_id}")
+                except Exception:
+                    log.warning("export of batch %s failed", batch_id, exc_info=True)
+        finally:
+            batch.unpersist()
 
     return alerts.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "100 milliseconds"})).start()
