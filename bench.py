@@ -21,7 +21,7 @@ def main() -> None:
     scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.local.dir", scratch).config("spark.checkpoint.dir", f"file://{scratch}/checkpoint").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.adaptive.coalescePartitions.enabled", "false").config("spark.local.dir", scratch).config("spark.checkpoint.dir", f"file://{scratch}/checkpoint").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     flows = spark.read.parquet(f"{sf}/events.parquet").count()

@@ -33,7 +33,7 @@ def last_rows(n: int, *keys: str, order: tuple[str, ...] = ("ts_us", "event_id")
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(n - 1), 0)
 
 
-SLOTS = 4  # slots a frame
+SLOTS = 2  # slots a frame
 BITS = 1 << 30  # fractions in which c * log2(c) is summed; exact to 2 ** 28 rows a frame
 
 
@@ -43,13 +43,14 @@ def _slot(t: str, slot_us: int) -> str:
 
 def _events(items: DataFrame, by: list[str], sums: list[str], slot_us: int, maxima: tuple[str, ...] = ()) -> DataFrame:
     """(by, _s: slot, _t, sums, maxima) of items that last from ``_a`` to before
-    ``_b``: their values enter at _a, leave at _b, and stand at the start of
-    every slot between. A maximum does not leave; it holds while its item does."""
-    first, last = _slot("_a", slot_us), _slot("_b", slot_us)
+    ``_b``, a frame's length at most: their values enter at _a, leave at _b, and
+    stand at the start of every slot between. A maximum does not leave; it holds
+    while its item does."""
     enter, leave = ", ".join([*sums, *maxima]), ", ".join([*(f"-{c} AS {c}" for c in sums), *(f"cast(NULL AS bigint) AS {c}" for c in maxima)])
-    between = f"if({last} > {first}, transform(sequence({first} + 1, {last}), j -> struct(j AS _s, j * {slot_us} AS _t, {enter})), array())"
-    each = F.expr(f"explode(concat(array(struct({first} AS _s, _a AS _t, {enter}), struct({last} AS _s, _b AS _t, {leave})), {between}))").alias("_e")
-    met = items.select(*by, each).select(*by, "_e.*")
+    items = items.selectExpr("*", f"{_slot('_a', slot_us)} AS _sa", f"{_slot('_b', slot_us)} AS _sb")
+    between = ", ".join(f"struct(if(_sa + {j} <= _sb, _sa + {j}, NULL) AS _s, (_sa + {j}) * {slot_us} AS _t, {enter})" for j in range(1, SLOTS + 2))
+    each = F.expr(f"inline(array(struct(_sa AS _s, _a AS _t, {enter}), struct(_sb AS _s, _b AS _t, {leave}), {between}))")
+    met = items.select(*by, each).where("_s IS NOT NULL")
     return met.groupBy(*by, "_s", "_t").agg(*(F.sum(c).alias(c) for c in sums), *(F.max(c).alias(c) for c in maxima))
 
 
@@ -64,12 +65,18 @@ def _running(by: list[str]):
 
 def sliding_sums(rows: DataFrame, keys: list[str], width_us: int, sums: dict[str, Column], ts: str = "ts_us") -> DataFrame:
     """Adds sums of whole numbers (name: column) over the frame [t - width, t]
-    of every row, by ``keys``, peers of equal time included."""
-    each = _keyed(rows, keys, ts).select("_g", "_t", *(c.alias(n) for n, c in sums.items()))
-    met = each.groupBy("_g", F.col("_t").alias("_a")).agg(*(F.sum(n).alias(n) for n in sums)).withColumns({"_b": F.col("_a") + F.lit(width_us + 1), "_own": F.col("_a")})
-    held = _events(met, ["_g"], list(sums), width_us // SLOTS, ("_own",))
-    held = held.withColumns({n: F.sum(n).over(_running(["_g"])) for n in sums}).where("_own = _t").select("_g", "_t", *sums)
-    return _keyed(rows, keys, ts).join(held, ["_g", "_t"]).select(*rows.columns, *sums)
+    of every row, by ``keys``, peers of equal time included. A row travels with
+    its own entry, so ``rows`` are computed and dealt once."""
+    slot = width_us // SLOTS
+    d = _keyed(rows, keys, ts).withColumns({f"_v{i}": c for i, c in enumerate(sums.values())} | {"_sa": F.expr(_slot(f"cast({ts} AS bigint)", slot)), "_sb": F.expr(_slot(f"(cast({ts} AS bigint) + {width_us + 1})", slot))})
+    row = "struct({})".format(", ".join(f"`{c}`" for c in rows.columns))
+    none = f"if(true, NULL, {row})"
+    later = ", ".join(f"struct(if(_sa + {j} <= _sb, _sa + {j}, NULL) AS _s, (_sa + {j}) * {slot} AS _at, 1 AS _w, {none} AS _row)" for j in range(1, SLOTS + 2))
+    each = F.expr(f"inline(array(struct(_sa AS _s, _t AS _at, 1 AS _w, {row} AS _row), struct(_sb AS _s, _t + {width_us + 1} AS _at, -1 AS _w, {none} AS _row), {later}))")
+    d = d.select("_g", *(f"_v{i}" for i in range(len(sums))), each).where("_s IS NOT NULL")
+    w = Window.partitionBy("_g", "_s").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    d = d.select("_row", *(F.sum(F.col(f"_v{i}") * F.col("_w")).over(w).alias(n) for i, n in enumerate(sums)))
+    return d.where("_row IS NOT NULL").select("_row.*", *sums)
 
 
 def frame_stats(rows: DataFrame, keys: list[str], width_us: int, values: list[str], span: str | None = None, ts: str = "ts_us", points: DataFrame | None = None) -> DataFrame:
@@ -97,18 +104,19 @@ def frame_stats(rows: DataFrame, keys: list[str], width_us: int, values: list[st
     # how often each value stands in the frame, and how its share of the sums changes
     kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.coalesce(F.concat(F.lit("="), F.col(v).cast("string")), F.lit("")).alias("v")) for i, v in enumerate(values))))
     by = ["_g", "c", "v"]
-    met = base.select("_g", "_t", kinds.alias("_v")).groupBy("_g", "_v.c", "_v.v", F.col("_t").alias("_a")).agg(F.count("*").alias("x")).withColumn("_b", F.col("_a") + gone)
+    met = base.select("_g", F.col("_t").alias("_a"), (F.col("_t") + gone).alias("_b"), kinds.alias("_v"), F.lit(1).cast("long").alias("x")).select("_g", "_v.c", "_v.v", "_a", "_b", "x")
     held = _events(met, by, ["x"], slot).withColumn("y", F.sum("x").over(_running(by)))
     f = lambda c: f"if({c} > 1, cast(round({c} * log2({c}) * {BITS}) AS bigint), 0L)"
     held = held.selectExpr("_g", "_s", "_t", "c", "x", f"{f('y')} - {f('(y - x)')} AS f", "cast(y > 0 AS bigint) - cast(y > x AS bigint) AS d")
     counts = part(held, _n="if(c = 0, x, 0)", **{f"_{p}{i}": f"if(c = {i}, {p}, 0)" for i in range(len(values)) for p in "df"})
     # instants with rows, each with the gap from the one before, if a frame can hold both
-    near = F.expr(f"explode(concat(array(struct({_slot('_t', slot)} AS _s, _t AS i)), transform(sequence(1, {SLOTS + 1}), j -> struct({_slot('_t', slot)} + j AS _s, cast(NULL AS bigint) AS i))))").alias("_e")
-    times = base.select("_g", "_t", near).groupBy("_g", "_e._s", "_e.i").agg(F.max("_t").alias("_t"))
+    later = ", ".join(f"struct({_slot('_t', slot)} + {j} AS _s, cast(NULL AS bigint) AS i)" for j in range(1, SLOTS + 2))
+    near = F.expr(f"inline(array(struct({_slot('_t', slot)} AS _s, _t AS i), {later}))")
+    times = base.select("_g", "_t", near).groupBy("_g", "_s", "i").agg(F.max("_t").alias("_t"))
     times = times.withColumn("p", F.lag("_t").over(Window.partitionBy("_g", "_s").orderBy("_t"))).where("i IS NOT NULL").withColumn("g", F.expr(f"if(_t - p <= {width_us}, _t - p, NULL)"))
     item = f"struct(_t AS _a, _t + {gone} AS _b, 0L AS _q, 0L AS _first, _t AS _last), struct(if(g IS NULL, _t, p + {gone}) AS _a, _t + {gone} AS _b, 0L AS _q, _t AS _first, cast(NULL AS bigint) AS _last)"
-    gap = f"if(g IS NULL, array(), array(struct(_t AS _a, p + {gone} AS _b, g * g AS _q, 0L AS _first, cast(NULL AS bigint) AS _last)))"
-    spans = _events(times.select("_g", F.expr(f"explode(concat(array({item}), {gap}))").alias("_e")).select("_g", "_e.*"), ["_g"], ["_q", "_first"], slot, ("_last",))
+    gap = f"struct(_t AS _a, if(g IS NULL, NULL, p + {gone}) AS _b, g * g AS _q, 0L AS _first, cast(NULL AS bigint) AS _last)"
+    spans = _events(times.select("_g", F.expr(f"inline(array({item}, {gap}))")).where("_b IS NOT NULL"), ["_g"], ["_q", "_first"], slot, ("_last",))
     every = counts.unionByName(part(spans, _q="_q", _first="_first", _last="_last"))
     every = every.unionByName(part(at.select("_g", "_t").distinct().withColumn("_s", F.expr(_slot("_t", slot))), _own="1"))
     if span:
