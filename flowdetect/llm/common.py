@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
@@ -84,6 +85,14 @@ def without(df: DataFrame, names) -> list[str]:
     return [c for c in df.columns if c.lower() not in gone]
 
 
+def map_arrow(df: DataFrame, run, fields: list[T.StructField], added: str) -> DataFrame:
+    """``df.mapInArrow(run, ..)`` to columns ``fields`` and those ``added``. Columns go
+    by place under plain names, so their own names may hold anything."""
+    out = [*fields, *T._parse_datatype_string(added).fields]
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(out)])
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, plain).toDF(*(f.name for f in out))
+
+
 def text_key(text: Column) -> list[Column]:
     """Two columns (96 bits) that stand for a text."""
     return [F.xxhash64(text).alias("k1"), (F.crc32(text.cast("binary")) - (1 << 31)).cast("int").alias("k2")]

@@ -31,6 +31,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from flowdetect.llm.common import map_arrow
+
 # Notices as they stand in files.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -141,6 +143,6 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     """``docs`` without the text, with license (best template or null), score
     and n_matches (windows that match and share no word, taken best first)."""
     docs = docs.drop("license", "score", "n_matches")
-    given = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col]
+    given = [f for f in docs.schema.fields if f.name != text_col]
     run = partial(_scanned, templates=Templates(templates, least), at=docs.columns.index(text_col))
-    return docs.mapInArrow(run, ", ".join([*given, "license string, score double, n_matches long"]))
+    return map_arrow(docs, run, given, "license string, score double, n_matches long")

@@ -10,7 +10,7 @@ its cap.
 Whole repetitions of a source take every document; for the fraction that
 remains, documents are ordered by a seeded hash and taken while their running
 size stays within the fraction. The running size is a prefix sum over hash
-ranges (256 per source, or more by ``digits``), so that no source, however large, meets in one task.
+ranges, whose number follows the rows, so that no source, however large, meets in one task.
 
 Edge cases: a null text has size 0; a null source is a source of its own, the
 last. An empty table gives an empty result; with no words at all every target
@@ -21,12 +21,15 @@ taken alike up to the budget, in any order. Extra columns pass through
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowdetect.llm.common import hidden, table, without
 
 WORDS = r"[^\x20\x09-\x0D]+"
+RANGE = 20_000  # rows of a range, about
 ADDED = ("size", "source_size", "target", "taken")
 
 
@@ -55,11 +58,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget_perce
     return per.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5, 2, 1), budget_percent: int = 150, max_epochs: int = 2, id_col: str = "doc_id", size: Column | None = None, digits: int = 2) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5, 2, 1), budget_percent: int = 150, max_epochs: int = 2, id_col: str = "doc_id", size: Column | None = None, digits: int | None = None) -> DataFrame:
     """Adds size, source_size, target and taken (words, repeats counted).
     ``size``: a measure other than the words of ``text``. ``digits``: of the
-    hash that name a range, 16 ** digits ranges a source. Reads ``docs`` twice
-    and deals it out once, by source and hash range."""
+    hash that name a range, 16 ** digits ranges a source; else as many as keep a
+    range to ``RANGE`` rows, were all of one source. The result is the same for
+    any. Counts ``docs``, reads it twice and deals it out once, by source and range."""
+    if digits is None:
+        digits = max(2, math.ceil(math.log(max(docs.count() / RANGE, 1), 16)))
     given = without(docs, ADDED)
     z, h, b, s, sn, own = (hidden(docs, "z", "h", "b", "s", "sn", "own")[x] for x in ("z", "h", "b", "s", "sn", "own"))
     sized = docs.withColumn(z, n_words(F.col("text")) if size is None else size).select(*(F.col(f"`{c}`") for c in given), z)

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowdetect.llm.common import without
+from flowdetect.llm.common import map_arrow, without
 
 MARK = "▁"
 UNKNOWN = -10.0
@@ -78,18 +78,57 @@ class Trie:
         self.base, self.check, self.value = base, check, value
 
 
-def log_scores(scores: np.ndarray) -> np.ndarray:
-    """Log probabilities of pieces. A model's own scores are kept if they can
-    be log probabilities (they sum to 1); a model that numbers its pieces
-    (0, -1, -2 ..) instead gets Zipf's law over these ranks."""
-    if abs(np.exp(scores).sum() - 1) < 0.05:
-        return scores
+UNIGRAM = 1  # fixed value: the model type of a trainer's specification
+
+
+def _fields(data: bytes):
+    """(number, value) of a protocol-buffer message's fields."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte, at = data[at], at + 1
+            out, shift = out | (byte & 0x7F) << shift, shift + 7
+            if byte < 0x80:
+                return out
+
+    while at < len(data):
+        tag = number()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, number()
+        else:
+            size = number() if kind == 2 else 8 if kind == 1 else 4
+            yield tag >> 3, data[at : at + size]
+            at += size
+
+
+def model_type(path: str) -> int:
+    """The type that the model file's trainer specification (field 2) names in
+    its field 3; unigram where it names none."""
+    with open(path, "rb") as f:
+        spec = next((v for k, v in _fields(f.read()) if k == 2), b"")
+    return next((v for k, v in _fields(spec) if k == 3), UNIGRAM)
+
+
+def rank_scores(scores: np.ndarray) -> np.ndarray:
+    """Log probabilities by Zipf's law over the ranks of pieces that a model
+    numbers (0, -1, -2 ..) in place of scoring them."""
     rank = np.empty(len(scores))
     rank[np.argsort(-scores, kind="stable")] = np.arange(len(scores))
     share = 1 / (rank + 2.7)
     return np.log(share / share.sum())
 
 
+def _given(path: str, n: int) -> set[int]:
+    """Ids of the user-defined pieces (field 3 of a piece is 4)."""
+    with open(path, "rb") as f:
+        kinds = [dict(_fields(v)).get(3, 1) for k, v in _fields(f.read()) if k == 1]
+    return {i for i in range(n) if kinds[i] == 4}
+
+
 class Vocabulary:
     """Pieces, scores and trie of a SentencePiece model file."""
 
@@ -101,21 +140,26 @@ class Vocabulary:
         names = [model.id_to_piece(i) for i in range(n)]
         scores = np.array([model.get_score(i) for i in range(n)])
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        scores[plain] = log_scores(scores[plain])
+        given = _given(path, n)
+        normal = [i for i in plain if i not in given]
+        if model_type(path) != UNIGRAM:
+            scores[normal] = rank_scores(scores[normal])
+        for i in given:  # as in the library: near the score of certainty, so that they win over what they hold
+            scores[i] = len(names[i].encode()) * max(scores[normal].max(), 0.0) - 0.1
         self.bytes = np.full(256, model.unk_id(), np.int32)
         for i in range(n):
             if model.is_byte(i):
                 self.bytes[int(names[i][3:-1], 16)] = i
         self.digest = zlib.crc32("\n".join(names).encode(), n)
-        self.build({names[i]: i for i in plain}, scores, [b"" if model.is_control(i) else bytes([int(names[i][3:-1], 16)]) if model.is_byte(i) else names[i].replace(MARK, " ").encode() for i in range(n)])
+        self.build({names[i]: i for i in plain}, scores, float(scores[normal].min()), [b"" if model.is_control(i) else bytes([int(names[i][3:-1], 16)]) if model.is_byte(i) else names[i].replace(MARK, " ").encode() for i in range(n)])
 
-    def build(self, pieces: dict[str, int], scores: np.ndarray, spelled: list[bytes]) -> None:
+    def build(self, pieces: dict[str, int], scores: np.ndarray, least: float, spelled: list[bytes]) -> None:
         self.scores, self.spelled = scores, spelled
         # Trie keys are spelled with spaces: texts then need no rewriting, and a
         # marker in a text matches nothing.
         self.trie = Trie([(p.replace(MARK, " ").encode(), i) for p, i in pieces.items()])
         self.longest = max(len(p.replace(MARK, " ").encode()) for p in pieces)
-        self.worst = float(scores[list(pieces.values())].min()) + UNKNOWN
+        self.worst = least + UNKNOWN
         spaces = any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
         lines = any("\n" in p for p in pieces)
         self.cut = "(?s).+" if spaces else " *[^ ]+| +" if lines else " *[^ \n]+| +|\n"
@@ -278,7 +322,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", digest: bool = Fa
     them; or with ``digest`` n_pieces, n_byte_pieces, ids_crc32 and round_trip
     in place of the text."""
     added = "n_pieces long, n_byte_pieces long, ids_crc32 long, round_trip boolean" if digest else "pieces array<int>, decoded string"
-    docs = docs.select(*(F.col(f"`{c}`") for c in without(docs, [a.split()[0] for a in added.split(", ")])))
+    docs = docs.select(*(F.col("`" + c.replace("`", "``") + "`") for c in without(docs, [a.split()[0] for a in added.split(", ")])))
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
-    given = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if not (digest and f.name == text_col)]
-    return docs.mapInArrow(partial(_encoded, vocabulary=vocabulary, at=docs.columns.index(text_col), digest=digest), ", ".join([*given, added]))
+    given = [f for f in docs.schema.fields if not (digest and f.name == text_col)]
+    return map_arrow(docs, partial(_encoded, vocabulary=vocabulary, at=docs.columns.index(text_col), digest=digest), given, added)

@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowdetect.llm.common import _BYTE, U64, as_long, chunks, mix, powers, table, text_key
+from flowdetect.llm.common import _BYTE, U64, as_long, chunks, hidden, mix, powers, table, text_key
 
 _BITS = 22
 _AT = U64((1 << _BITS) - 1)  # bits of a sort code that hold the position in a segment
@@ -339,6 +339,7 @@ def without_repeats(docs: DataFrame, length: int = 200, text_col: str = "text")
     # stray bytes at the cut edges become U+FFFD and go
     edges = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
     keys = text_key(text)
-    both = docs.withColumns({"_k1": keys[0], "_k2": keys[1]}).join(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "kept"), ["_k1", "_k2"], "left")
-    cut = F.when(F.col("kept").isNull(), F.col(f"`{text_col}`")).otherwise(F.coalesce(valid, edges))
+    k1, k2, kept = hidden(docs, "k1", "k2", "kept").values()
+    both = docs.withColumns({k1: keys[0], k2: keys[1]}).join(found.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.coalesce(valid, edges).alias(kept)), [k1, k2], "left")
+    cut = F.coalesce(F.col(kept), F.col(f"`{text_col}`"))
     return both.withColumn(text_col, cut).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowdetect.llm.common import hidden, table, without
+from flowdetect.llm.common import hidden, map_arrow, table, without
 
 
 def host_path(url: str) -> tuple[Column, Column]:
@@ -142,7 +142,7 @@ def _joined(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     hit = cand.join(rules.select(F.col("rule").alias(name[1:-1]), F.col("verdict").alias("_verdict")), name[1:-1])
     won = hit.groupBy(F.expr(key).alias(key[1:-1])).agg(F.max_by(F.struct(F.expr(name).alias("rule"), "_verdict"), F.expr(best)).alias(best[1:-1]))
     out = keyed.join(won, key[1:-1], "left")
-    given = [F.col(f"`{c}`") for c in parts.columns]
+    given = [F.col("`" + c.replace("`", "``") + "`") for c in parts.columns]
     return out.select(*given, F.expr(f"{best}.rule AS rule"), F.coalesce(F.expr(f"{best}._verdict"), F.lit(default)).alias("verdict"))
 
 
@@ -151,7 +151,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, defau
     given = without(pages, ("host", "path", "rule", "verdict"))
     url = hidden(pages, "url")["url"]
     host, path = host_path(url)
-    parts = pages.withColumn(url, F.col(f"`{url_col}`")).select(*(F.col(f"`{c}`") for c in given), host.alias("host"), path.alias("path"))
+    parts = pages.withColumn(url, F.col(f"`{url_col}`")).select(*(F.col("`" + c.replace("`", "``") + "`") for c in given), host.alias("host"), path.alias("path"))
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame) and len(rules) > max_rules:
         rules = spark.createDataFrame(rules, "rule string, verdict string")
@@ -166,5 +166,4 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, defau
         if known.setdefault(rule if "/" in rule else rule + "/", verdict) != verdict:
             raise ValueError(f"two verdicts for {rule}")
     digests = spark.sparkContext.broadcast(Digests(known))
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema] + ["rule string", "verdict string"]
-    return parts.mapInArrow(partial(_judged, digests=digests, default=default), ", ".join(schema))
+    return map_arrow(parts, partial(_judged, digests=digests, default=default), parts.schema.fields, "rule string, verdict string")
