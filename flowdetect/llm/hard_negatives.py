@@ -280,11 +280,15 @@ def search(anchors: DataFrame, rows: DataFrame, index: Index, dims: int, k: int,
         found = going.groupBy("shelf", "block").cogroup(met.groupBy("shelf", "of")).applyInArrow(meet, FOUND)
         found = found if best is None else best.drop("rank").union(found)
         best = tables.add(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), f"best-{name}{turn}")
-        left = visits.where("shelf = -1 AND next > double('-Infinity')")
-        windows = left.select("a", "next", F.posexplode(F.arrays_zip("lo", "hi")).alias("w", "s")).where("s.lo <= s.hi AND next >= s.lo")
+        # a full window takes no rows below its last one from here on; a certified one takes none
+        left = visits.where("shelf = -1 AND next > double('-Infinity')").select("a", "id", "label", "v", "lo", "hi", "skip", "next")
         full = best.groupBy("a", "w").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-        short = windows.join(full, ["a", "w"], "left").where(f"n IS NULL OR n < {k} OR least <= next").select("a")
-        open_ = tables.add(left.join(short, "a", "left_semi").select("a", "id", "label", "v", "lo", "hi", "skip"), f"open-{name}{turn}")
+        windows = left.select("a", "next", F.posexplode(F.arrays_zip("lo", "hi")).alias("w", "s")).join(full, ["a", "w"], "left")
+        windows = windows.selectExpr("a", "w", "next", "s.hi AS hi", f"if(n >= {k}, greatest(s.lo, least), s.lo) AS lo", f"coalesce(n >= {k} AND least > next, false) AS sure")
+        windows = windows.selectExpr("a", "w", "lo <= hi AND next >= lo AND NOT sure AS wants", "lo", "hi")
+        bounds_ = windows.groupBy("a").agg(F.max("wants").alias("wants"), F.sort_array(F.collect_list(F.expr("struct(w, if(wants, lo, 1) AS lo, if(wants, hi, 0) AS hi)"))).alias("s")).where("wants")
+        open_ = left.drop("lo", "hi", "next").join(bounds_, "a").select("a", "id", "label", "v", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"), "skip")
+        open_ = tables.add(open_, f"open-{name}{turn}")
         if open_.isEmpty():
             return best
         turn += 1
