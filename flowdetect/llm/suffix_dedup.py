@@ -98,7 +98,7 @@ class Block:
 
 
 def _blocks(batch: pa.RecordBatch, text: int, length: int):
-    for at, buf, offs in chunks(batch.column(text)):
+    for at, buf, offs in chunks(batch.column(text), 1 << 18):
         yield at, buf, Block(buf, offs, length)
 
 
