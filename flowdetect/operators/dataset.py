@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowdetect.functions import expr as x
-from flowdetect.operators import features, text
+from flowdetect.operators import features, ranks, text
 
 S = 1_000_000
 
@@ -163,8 +163,9 @@ def exfil_rows(flows: DataFrame, upload_port: int = 8199) -> DataFrame:
 
 
 def row_groups(df: DataFrame, category: str, prefix: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(category).orderBy("ts_us", "uid")) - 1
-    return df.withColumn("grp", F.concat(F.lit(f"{prefix}_"), F.col(category).cast("string"), F.lit("_"), n.cast("string")))
+    """Adds grp: every row a group of its own, numbered within its category."""
+    d = ranks.numbered(df, ["ts_us", "uid"], (category,), "_n")
+    return d.withColumn("grp", F.concat(F.lit(f"{prefix}_"), F.col(category).cast("string"), F.lit("_"), F.col("_n").cast("string"))).drop("_n")
 
 
 def map_scenario(df: DataFrame, column: str, mapping: dict[str, tuple[str, str | None, str]], strict: bool = True) -> DataFrame:
@@ -225,10 +226,10 @@ def extend(base: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def systematic_sample(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
     """n equally spaced rows per group; a group too small is an error."""
-    d = df.withColumns({"_i": F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1, "_n": F.count("*").over(Window.partitionBy(group))})
+    d = ranks.numbered(df, order, (group,), "_i", "_n")
     d = d.where(F.expr(f"assert_true(_n >= {n}, concat('too few rows in ', {group})) IS NULL"))
-    picks = d.sparkSession.range(n).withColumnRenamed("id", "_k")
-    return d.join(F.broadcast(picks), F.expr(f"_i = _k * _n DIV {n}")).drop("_i", "_n", "_k")
+    # row i is the k-th pick if i = k * _n DIV n, that is for the least k with k * _n >= i * n
+    return d.where(f"((_i * {n} + _n - 1) DIV _n) * _n DIV {n} = _i AND (_i * {n} + _n - 1) DIV _n < {n}").drop("_i", "_n")
 
 
 def take_exact(df: DataFrame, order: list[str], n: int) -> DataFrame:
@@ -256,10 +257,34 @@ def lexical_rows(df: DataFrame, query: str, corpus: DataFrame) -> DataFrame:
     return d.selectExpr("*", *own).drop("_first")
 
 
-def validate(flows: DataFrame, manifest_ips: DataFrame, errors: int = 0) -> DataFrame:
-    """Findings (level, check, n) of the scenario quality gate."""
-    seen = flows.select(F.col("src_ip").alias("ip")).union(flows.select("dst_ip")).distinct()
+def capture_window(marks: DataFrame, flush_us: int = 65 * S, ts: str = "ts_us") -> DataFrame:
+    """One row (_lo, _hi): from a capture's first mark to its last one and the
+    flush margin; nulls without marks."""
+    return marks.agg(F.min(ts).alias("_lo"), (F.max(ts) + flush_us).alias("_hi"))
+
+
+# The level of a finding that is not zero.
+LEVELS = {"missing_fields": "FAIL", "absent_addresses": "FAIL", "malformed": "WARN", "loopback": "INFO", "self": "INFO", "no_window": "WARN", "outside_window": "INFO", "empty": "FAIL"}
+
+
+def validate(flows: DataFrame, manifest_ips: DataFrame, errors: int = 0, marks: DataFrame | None = None, flush_us: int = 65 * S, multihost: bool = False) -> DataFrame:
+    """Findings (level, check, n) of the scenario quality gate. With ``marks``,
+    flows outside the capture's own window are counted apart and no other check
+    sees them, so scenarios that share addresses do not vouch for each other; no
+    marks is a warning and all flows count, no flow within them a failure. On
+    captures of several hosts, loopback and self connections are failures."""
+    levels = LEVELS | ({"loopback": "FAIL", "self": "FAIL"} if multihost else {})
+    checks = ["loopback", "self", "missing_fields", "malformed"]
+    inside = F.lit(True)
+    if marks is not None:
+        flows = flows.crossJoin(F.broadcast(capture_window(marks, flush_us)))
+        inside = F.expr("_lo IS NULL OR coalesce(ts_us BETWEEN _lo AND _hi, false)")
+        window = [F.expr("cast(count(*) > 0 AND max(_lo) IS NULL AS bigint)").alias("no_window"), F.count_if(~inside).alias("outside_window"), (F.count_if(inside) == 0).cast("long").alias("empty")]
+        checks += ["no_window", "outside_window", "empty"]
+    within = lambda c: F.count_if(inside & F.expr(c))
+    seen = flows.where(inside).select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).distinct()
     absent = manifest_ips.join(seen, "ip", "left_anti").agg(F.count("*").alias("n")).select(F.lit("absent_addresses").alias("check"), "n")
-    counts = flows.agg(F.count_if(F.expr("src_ip LIKE '127.%' OR dst_ip LIKE '127.%'")).alias("loopback"), F.count_if(F.expr("src_ip = dst_ip")).alias("self"), F.count_if(F.expr("src_ip IS NULL OR dst_ip IS NULL OR ts_us IS NULL")).alias("missing_fields"), F.lit(errors).cast("long").alias("malformed"))
-    d = counts.unpivot([], ["loopback", "self", "missing_fields", "malformed"], "check", "n").unionByName(absent)
-    return d.select(F.expr("CASE WHEN n = 0 THEN 'PASS' WHEN check IN ('missing_fields', 'absent_addresses') THEN 'FAIL' WHEN check = 'malformed' THEN 'WARN' ELSE 'INFO' END").alias("level"), "check", "n")
+    own = [within("src_ip LIKE '127.%' OR dst_ip LIKE '127.%'").alias("loopback"), within("src_ip = dst_ip").alias("self"), within("src_ip IS NULL OR dst_ip IS NULL OR ts_us IS NULL").alias("missing_fields"), F.lit(errors).cast("long").alias("malformed")]
+    d = flows.agg(*own, *(window if marks is not None else [])).unpivot([], checks, "check", "n").unionByName(absent)
+    cases = " ".join(f"WHEN check = '{c}' THEN '{v}'" for c, v in levels.items())
+    return d.select(F.expr(f"CASE WHEN n = 0 THEN 'PASS' {cases} END").alias("level"), "check", "n")

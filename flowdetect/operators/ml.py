@@ -6,9 +6,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowdetect.operators import ranks
+
 
 def _rates(d: DataFrame) -> DataFrame:
     d = d.selectExpr("*", "round(tp / nullif(tp + fp, 0), 4) AS precision", "round(tp / nullif(tp + fn, 0), 4) AS recall", "round(fp / nullif(fp + tn, 0), 4) AS fpr", "round(fn / nullif(fn + tp, 0), 4) AS fnr", "round((tp + tn) / nullif(tp + tn + fp + fn, 0), 4) AS accuracy")
@@ -57,12 +59,46 @@ def row_weight(rows: DataFrame, column: str, value: str, factor: float = 10.0) -
 
 
 def group_folds(rows: DataFrame, group: str, k: int = 10) -> DataFrame:
-    """Folds balanced by rows: groups by size, dealt there and back; the table
-    of groups is one row each."""
+    """Folds balanced by rows: groups by falling size, dealt there and back."""
     size = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    i = F.row_number().over(Window.orderBy(F.desc("_n"), group)) - 1
+    i = F.col("_i")
     fold = F.when((F.floor(i / k) % 2) == 0, i % k).otherwise(k - 1 - i % k)
-    return rows.join(size.select(group, fold.cast("long").alias("fold")), group)
+    size = ranks.numbered(size, [F.desc("_n"), group]).select(F.col(group).alias("_g"), fold.cast("long").alias("fold"))
+    return rows.join(size, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+
+
+def _packed(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, list[int]]]:
+    """Greedy packing, largest first, of ``c`` groups of each size ``s`` into k
+    folds: how many of each size the folds 0 .. i take. The c groups of one size
+    go to the c least of all ``load + j * s`` (ties: the first fold), so a class
+    is placed at once, by bisection of the load they fill up to."""
+    loads, out = [0] * k, []
+    for s, c in sorted(sizes, reverse=True):
+        below = lambda t: [max(0, -((load - t) // s)) for load in loads]  # noqa: E731, B023
+        low, high = min(loads), max(loads) + s * c + 1  # places with a load below t: at most c at low, c or more at high
+        while low + 1 < high:
+            mid = (low + high) // 2
+            low, high = (mid, high) if sum(below(mid)) <= c else (low, mid)
+        took = below(low)
+        for f in range(k):  # the rest stands at the load itself
+            if sum(took) < c and loads[f] + took[f] * s == low:
+                took[f] += 1
+        loads = [load + t * s for load, t in zip(loads, took)]
+        out.append((s, [sum(took[: f + 1]) for f in range(k)]))
+    return out
+
+
+def packed_folds(rows: DataFrame, group: str, k: int = 10) -> DataFrame:
+    """Adds fold: each group, largest first, goes to the fold with the fewest
+    rows. Groups of one size are alike, so only the sizes and how many groups
+    have each come to the driver (n rows have at most sqrt(2 n) sizes); which of
+    them a fold takes is settled by their numbers within the size."""
+    size = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    counted = [(r["_n"], r["c"]) for r in size.groupBy("_n").agg(F.count("*").alias("c")).collect()]
+    plan = rows.sparkSession.createDataFrame(_packed(counted, k), "_n long, _upto array<long>")
+    d = ranks.numbered(size, [group], ("_n",)).join(plan, "_n")
+    d = d.select(F.col(group).alias("_g"), F.expr("cast(size(filter(_upto, u -> u <= _i)) AS bigint)").alias("fold"))
+    return rows.join(d, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def hash_folds(rows: DataFrame, group: str, k: int = 10) -> DataFrame:
@@ -79,9 +115,8 @@ def group_split(rows: DataFrame, group: str, seed: int = 42, pinned: tuple[str,
 
 def stratified_split(rows: DataFrame, y: str, key: str, test: float = 0.2) -> DataFrame:
     """Exact share per label, in the order of a hash."""
-    w = Window.partitionBy(y)
-    d = rows.withColumns({"_r": F.row_number().over(w.orderBy(F.md5(F.col(key).cast("string")), key)), "_n": F.count("*").over(w)})
-    return d.withColumn("split", F.expr(f"if(_r <= round(_n * {test}), 'test', 'train')")).drop("_r", "_n")
+    d = ranks.numbered(rows, [F.md5(F.col(key).cast("string")), key], (y,), "_r", "_n")
+    return d.withColumn("split", F.expr(f"if(_r < round(_n * {test}), 'test', 'train')")).drop("_r", "_n")
 
 
 def select_threshold(rows: DataFrame, floor: float = 0.9, p: str = "p", y: str = "y") -> DataFrame:

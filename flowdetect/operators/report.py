@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowdetect.operators import ranks
+
 CLASSES = ("ddos", "recon", "c2", "dga", "tls", "exfil", "MULTI_VECTOR", "MULTI_VECTOR_ANOMALY")
 
 
@@ -73,17 +75,11 @@ def class_share(a: DataFrame) -> DataFrame:
 
 
 def latency(a: DataFrame, value: str) -> DataFrame:
-    """count, min, upper median and max, without gathering the values."""
+    """count, min, upper median and max, without gathering the values: the median
+    is found by quantile cuts (:func:`ranks.order_statistic`)."""
     n = a.agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
-    # counts of 1,024 ranges find the median's range; only its values are ordered
-    ranged = a.where(F.col(value).isNotNull()).crossJoin(F.broadcast(n)).withColumn("_r", F.expr(f"cast(if(high > low, floor(1023 * (({value} - low) / (high - low))), 0) AS int)"))
-    per = ranged.groupBy("_r").count()
-    w = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
-    one = per.withColumn("_c", F.sum("count").over(w)).crossJoin(n.select("n")).where("_c > n DIV 2").agg(F.min(F.struct("_r", F.expr("_c - count").alias("before"))).alias("m")).select("m.*")
-    freq = ranged.join(F.broadcast(one), "_r").groupBy(F.col(value).alias("v"), "before", "n").count()
-    inner = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    mid = freq.withColumn("c", F.col("before") + F.sum("count").over(inner)).where("c > n DIV 2").agg(F.min("v").alias("median"))
-    return n.crossJoin(mid)
+    median = ranks.order_statistic(a, value, n.first()["n"] // 2)
+    return n.withColumn("median", F.lit(median).cast(a.schema[value].dataType))
 
 
 def rate_summary(samples: DataFrame, value: str) -> DataFrame:

@@ -50,6 +50,10 @@ q("ds6_tls_rows", f"WITH {JOINED} SELECT uid, round((orig_bytes + resp_bytes) /
 q("ds7_sequence_rows", f"WITH {JOINED} SELECT uid, least(12, len(sizes)) AS n FROM j WHERE len(sizes) > 0", lambda s, d: dataset.sequence_rows(joined(s, d)).selectExpr("uid", "least(12, size(sizes)) AS n"), "ssl", "conn", "pktseq")
 q("ds8_tag", f"WITH {MARKS} SELECT session_id, 'lab' AS source, 's1' AS scenario_id, CASE WHEN label = 'benign' THEN NULL ELSE label END AS attack_subtype, 'session_marks' AS label_method, 'loop' AS environment FROM se", lambda s, d: dataset.tag(SE(s, d), "lab", "s1", "loop").select("session_id", "source", "scenario_id", "attack_subtype", "label_method", "environment"), "marks")
 q("ds9_empty_sessions", f"WITH {MARKS} SELECT session_id FROM se WHERE NOT EXISTS (FROM flows f WHERE f.dst_ip = '203.0.113.200' AND f.ts_us BETWEEN start_us AND start_us + 3000000)", lambda s, d: dataset.empty_sessions(SE(s, d), dataset.interval_join(FL(s, d).where("dst_ip = '203.0.113.200'"), SE(s, d).withColumn("end_us", F.expr("start_us + 3000000")))).select("session_id"), "marks")
+q("ds10_window_validate", """WITH w AS (SELECT min(ts_us) AS lo, max(ts_us) + 65000000 AS hi FROM marks), f AS (SELECT *, ts_us BETWEEN lo AND hi AS inside FROM flows, w), i AS (SELECT * FROM f WHERE inside), ip AS (SELECT src_ip AS ip FROM i UNION SELECT dst_ip FROM i),
+c AS (SELECT 'loopback' AS "check", count(*) FILTER (src_ip LIKE '127.%' OR dst_ip LIKE '127.%') AS n FROM i UNION ALL SELECT 'self', count(*) FILTER (src_ip = dst_ip) FROM i UNION ALL SELECT 'missing_fields', count(*) FILTER (src_ip IS NULL OR dst_ip IS NULL) FROM i UNION ALL SELECT 'malformed', 0 UNION ALL SELECT 'no_window', 0 UNION ALL SELECT 'empty', (count(*) = 0)::BIGINT FROM i UNION ALL SELECT 'outside_window', count(*) FROM f WHERE inside IS NOT TRUE UNION ALL SELECT 'absent_addresses', count(*) FROM (VALUES ('10.0.0.1'), ('9.9.9.9')) v(ip) WHERE v.ip NOT IN (SELECT ip FROM ip))
+SELECT CASE WHEN n = 0 THEN 'PASS' WHEN "check" IN ('malformed', 'no_window') THEN 'WARN' WHEN "check" = 'outside_window' THEN 'INFO' ELSE 'FAIL' END AS level, "check", n FROM c""",
+  lambda s, d: dataset.validate(FL(s, d), s.sql("SELECT explode(array('10.0.0.1', '9.9.9.9')) AS ip"), marks=view(s, d, "marks"), multihost=True), "marks", "flows")
 q("ds10_jn14_validate", """WITH ip AS (SELECT src_ip AS ip FROM flows UNION SELECT dst_ip FROM flows), c AS (SELECT 'loopback' AS "check", count(*) FILTER (src_ip LIKE '127.%' OR dst_ip LIKE '127.%') AS n FROM flows UNION ALL SELECT 'self', count(*) FILTER (src_ip = dst_ip) FROM flows UNION ALL SELECT 'missing_fields', count(*) FILTER (src_ip IS NULL OR dst_ip IS NULL OR ts_us IS NULL) FROM flows UNION ALL SELECT 'malformed', 2 UNION ALL SELECT 'absent_addresses', count(*) FROM (VALUES ('10.0.0.1'), ('9.9.9.9')) v(ip) WHERE v.ip NOT IN (SELECT ip FROM ip))
 SELECT CASE WHEN n = 0 THEN 'PASS' WHEN "check" IN ('missing_fields', 'absent_addresses') THEN 'FAIL' WHEN "check" = 'malformed' THEN 'WARN' ELSE 'INFO' END AS level, "check", n FROM c""", lambda s, d: dataset.validate(FL(s, d), s.sql("SELECT explode(array('10.0.0.1', '9.9.9.9')) AS ip"), 2), "flows")
 q("ds12_ds13_domain_rows", "SELECT uid, len(query) AS n, round_even(len(query) / 5.0::DOUBLE, 0) * 5 AS length_bucket FROM dns", lambda s, d: dataset.domain_rows(view(s, d, "dns"), "query").select("uid", "n", "length_bucket"), "dns")
@@ -78,6 +82,11 @@ q("ml3_ml4_weights", "WITH n AS (SELECT y, count(*) AS c FROM scores GROUP BY y)
 q("ml5_group_folds", "WITH g AS (SELECT grp, row_number() OVER (ORDER BY count(*) DESC, grp) - 1 AS i FROM scores GROUP BY grp) SELECT grp, CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END AS fold FROM g", lambda s, d: ml.group_folds(SC(s, d), "grp", 5).select("grp", "fold").distinct(), "scores")
 q("ml9_select_threshold", "WITH t AS (SELECT unnest(range(1, 100)) AS t), d AS (SELECT t, count(*) FILTER (y = 1 AND round(p * 100) >= t) AS tp, count(*) FILTER (round(p * 100) >= t) AS said FROM t, scores GROUP BY t) SELECT coalesce(arg_max(t, (tp, -t)) FILTER (said > 0 AND tp >= 0.1 * said), 50) / 100 AS threshold FROM d", lambda s, d: ml.select_threshold(SC(s, d), 0.1), "scores")
 q("ml12_rule_baseline", f"WITH {WN3} SELECT event_id, coalesce(observations >= 5 AND mean_interval BETWEEN 3 AND 600 AND cv <= 0.35, false)::INT AS pred FROM f", lambda s, d: ml.rule_baseline(features.beacon_features(FL(s, d)), "c2").select("event_id", "pred"), "flows")
+q("ml5_packed_folds", """WITH RECURSIVE g AS (SELECT grp, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, grp) AS i FROM scores GROUP BY grp),
+r AS (SELECT 0::BIGINT AS i, [0, 0, 0]::BIGINT[] AS loads UNION ALL
+SELECT r.i + 1, [CASE WHEN list_position(loads, list_min(loads)) = f THEN loads[f] + g.n ELSE loads[f] END FOR f IN [1, 2, 3]] FROM r JOIN g ON g.i = r.i + 1)
+SELECT (f - 1)::BIGINT AS fold, loads[f] AS n FROM (SELECT loads FROM r ORDER BY i DESC LIMIT 1), (VALUES (1), (2), (3)) v(f) WHERE loads[f] > 0""",
+  lambda s, d: ml.packed_folds(SC(s, d), "grp", 3).groupBy("fold").agg(F.count("*").alias("n")), "scores")
 q("ml14_stratified_split", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(doc_id::VARCHAR), doc_id) AS r, count(*) OVER (PARTITION BY y) AS n FROM scores) SELECT doc_id, CASE WHEN r <= round(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM r", lambda s, d: ml.stratified_split(SC(s, d), "y", "doc_id").select("doc_id", "split"), "scores")
 q("ml6_ml7_group_split", "SELECT doc_id, CASE WHEN grp = 'src1' THEN 'fit' WHEN u < 0.2 THEN 'test' WHEN u < 0.4 THEN 'cal' ELSE 'fit' END AS split FROM (SELECT doc_id, grp, ('0x' || substr(md5('42:' || grp), 1, 8))::BIGINT % 10000 / 10000 AS u FROM scores)", lambda s, d: ml.group_split(SC(s, d), "grp", pinned=("src1",)).select("doc_id", "split"), "scores")
 FEAT = ["packet_rate", "unique_dst_ports", "dst_port_entropy", "mean_iat", "std_iat", "unique_src_ips", "src_ip_entropy"]
