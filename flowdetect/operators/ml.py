@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -176,18 +180,24 @@ def evaluate_unseen(rows: DataFrame, unseen: DataFrame, score_with, threshold: f
     return confusion(held.selectExpr("y", f"cast(p > {threshold} AS int) AS pred"))
 
 
-def compare(rows: DataFrame, features: list[str], fold: str, k: int, trainers: dict) -> DataFrame:
-    """Pooled confusion of every trainer over the folds' held-out rows. A
-    trainer gives a model, or a function that adds the score ``p``."""
-    parts = []
-    rows = rows.persist()  # every fit of every fold passes over these
-    for i in range(k):
-        fit, out = rows.where(f"{fold} <> {i}"), rows.where(f"{fold} = {i}")
-        parts += [_with_score(train(fit, features), out).select(F.lit(name).alias("model"), "y", F.expr("cast(p > 0.5 AS int)").alias("pred")) for name, train in trainers.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return confusion(out, by=("model",))
+def out_of_fold(rows: DataFrame, features: list[str], fold: str, k: int, train, parallel: int = 4) -> DataFrame:
+    """Every row of the folds 0 .. k - 1 with the score ``p`` of a model that met
+    no row of its fold. ``train`` gives a model, or a function that adds ``p``;
+    ``parallel`` folds train at a time."""
+
+    def held(i: int) -> DataFrame:
+        return _with_score(train(rows.where(f"{fold} <> {i}"), features), rows.where(f"{fold} = {i}"))
+
+    with ThreadPool(min(parallel, k)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(rows.sparkSession)(held), range(k)))
+
+
+def compare(rows: DataFrame, features: list[str], fold: str, k: int, trainers: dict, parallel: int = 4) -> DataFrame:
+    """Pooled confusion of every trainer over the folds' held-out rows (see
+    :func:`out_of_fold`). Every fit of every fold passes over ``rows``: give a
+    stored table."""
+    parts = [out_of_fold(rows, features, fold, k, train, parallel).select(F.lit(name).alias("model"), "y", F.expr("cast(p > 0.5 AS int)").alias("pred")) for name, train in trainers.items()]
+    return confusion(reduce(DataFrame.unionByName, parts), by=("model",))
 
 
 def platt(cal: DataFrame, p: str = "p"):

@@ -36,3 +36,33 @@ def test_forest_is_the_reference_one(spark):
     assert model.getNumTrees == 200 and model.getOrDefault("maxDepth") == 6 and model.getOrDefault("weightCol") == "w"
     weighted = ml.class_weight(rows)
     assert ml.train_gbt(weighted, ["v"], rounds=2, weight="w").stages[-1].getOrDefault("weightCol") == ml.train_logistic(weighted, ["v"], "w").stages[-1].getOrDefault("weightCol") == "w"
+
+
+def test_held_out_scores_come_from_models_that_met_no_row_of_the_fold(spark):
+    rows = ml.packed_folds(spark.range(60).selectExpr("id", "id DIV 7 AS grp", "cast(id % 2 AS int) AS y"), "grp", 3)
+    fold_of = {r.id: r.fold for r in rows.collect()}
+    met = {}
+
+    def train(fit, features):
+        known = {r.id for r in fit.select("id").collect()}
+
+        def model(held):
+            for r in held.select("id").collect():
+                met[r.id] = known
+            return held.withColumn("p", F.col("y") * 0.8)
+
+        return model
+
+    got = ml.out_of_fold(rows, [], "fold", 3, train).collect()
+    assert sorted(r.id for r in got) == list(range(60)) and {r.p for r in got} == {0.0, 0.8}
+    assert all(known == {j for j in range(60) if fold_of[j] != fold_of[i]} for i, known in met.items()) and len(met) == 60
+    report = ml.compare(rows, [], "fold", 3, {"given": train}).first()
+    assert (report["model"], report["tp"], report["fp"], report["tn"], report["fn"]) == ("given", 30, 0, 30, 0)
+
+
+def test_calibration_is_fitted_on_its_own_groups(spark):
+    rows = ml.group_split(spark.range(400).selectExpr("id", "concat('g', id % 40) AS grp", "id % 100 / 100D AS p", "cast(id % 100 > 60 AS int) AS y"), "grp")
+    parts = {r.split for r in rows.select("split").distinct().collect()}
+    assert parts == {"test", "cal", "fit"}
+    got = ml.calibrate(ml.platt(rows.where("split = 'cal'")), rows).where("split = 'test'")
+    assert got.where("(calibrated > 0.5) <> (y = 1)").count() <= got.count() // 10
