@@ -6,9 +6,10 @@ cut into byte ranges that tasks read; only offsets and sizes are on the driver.
 A file smaller than its offset was begun anew and is read from its start.
 
 ``maxRecords`` bounds the lines of a batch (with a short processing-time trigger
-a batch then closes by count or by time). Offsets handed out are noted under
-``progress`` before they are used, for a restart goes on from there: the bound
-holds for every batch but one that a crash cuts off between the two."""
+a batch then closes by count or by time). The end of a batch is noted under
+``progress`` when the batch is planned, after Spark has logged it. Whatever is
+logged but not noted is planned again first by a restart, so the bound is counted
+from the last batch and holds for every batch."""
 
 from __future__ import annotations
 
@@ -75,9 +76,6 @@ class TailReader(DataSourceStreamReader):
                     end[name] = self._last(f, begin, sizes[name])
                 else:
                     end[name], left = self._after(f, begin, sizes[name], left)
-        if self.progress:
-            self._note(end)
-        self.at = end
         return end
 
     @staticmethod
@@ -108,7 +106,9 @@ class TailReader(DataSourceStreamReader):
         return end, most
 
     def partitions(self, start: dict, end: dict) -> list[Lines]:
-        out = []
+        if self.progress:
+            self._note(end)
+        self.at, out = end, []
         for name, to in end.items():
             begin = start.get(name, 0)
             begin = begin if begin <= to else 0

@@ -46,6 +46,25 @@ def test_ranges_of_a_file_share_its_lines(tmp_path):
         assert got == text.splitlines()
 
 
+def test_a_restart_between_offset_and_batch_keeps_the_bound(tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    for name in "ab":
+        (logs / name).write_text("".join(f"{name}{i:02}\n" for i in range(10)))
+    options = {"path": str(logs), "maxrecords": "6", "progress": str(tmp_path / "progress.json")}
+    count = lambda start, end: sum((e - start.get(n, 0)) // 4 for n, e in end.items())
+    first = tail.TailReader(options)
+    one = first.latestOffset()
+    assert tail.TailReader(options).latestOffset() == one and count({}, one) == 6  # cut off before Spark logged it
+    again = tail.TailReader(options)
+    again.partitions({}, one)  # logged, then cut off: planned first by the restart
+    two = again.latestOffset()
+    assert count(one, two) == 6 and tail.TailReader(options).latestOffset() == two
+    again.partitions(one, two)
+    three = tail.TailReader(options).latestOffset()
+    assert count(two, three) == 6 and all(three[n] >= two[n] >= one[n] for n in three)
+
+
 def test_batches_hold_so_many_records(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
