@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowdetect.functions import expr as x
-from flowdetect.operators import gates
+from flowdetect.operators import firings, gates
 
 # Classes, window in seconds, confidence, severity by priority.
 PATTERNS = (
@@ -63,8 +63,10 @@ def gaps(alerts: DataFrame) -> DataFrame:
 
 
 def fire(alerts: DataFrame) -> DataFrame:
-    """Firings that are news; a suppressed pattern leaves room for the next."""
-    return gates.novel_set(patterns(alerts))
+    """Firings that are news; a suppressed pattern leaves room for the next. No
+    alert gathers its window and no source is one task: see :mod:`firings`."""
+    d = usable(alerts).select("src_ip", "ts_us", "seq", "threat_class", F.expr(identity()).alias("id"), "confidence", "dst_ip", "event_ts")
+    return firings.spread(d, PATTERNS)
 
 
 HOUR = 3600 * S
@@ -202,7 +204,12 @@ def combine(*detectors: DataFrame) -> DataFrame:
 def correlate(alerts: DataFrame, start: DataFrame | None = None, held: DataFrame | None = None, fired: DataFrame | None = None) -> DataFrame:
     """Incidents of both layers: the statistical one fires where no pattern did.
     A stream goes on from what stood before: ``start`` (:func:`tempo`), ``held``
-    (alerts of the last 900 s) and ``fired`` (:func:`last_fired`)."""
+    (alerts of the last 900 s) and ``fired`` (:func:`last_fired`); its incidents
+    hold the ids that the next batch asks for."""
+    if start is None and held is None and fired is None:
+        known = fire(alerts)
+        rest = adaptive(alerts).join(known.select("src_ip", "seq"), ["src_ip", "seq"], "left_anti")
+        return known.unionByName(gates.novel_set(rest).drop("ids"))
     return gates.novel_set(patterns(alerts, held).unionByName(adaptive(alerts, start=start, held=held)), fired=fired)
 
 
