@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowdetect.operators import correlate, dataset, detect, export, features, gates, ml, report
-from flowdetect.plans.q_detect import INT, JOINED, WN2, WN3, cool, joined
+from flowdetect.plans.q_detect import F1, IAT, INT, JOINED, WN1, WN2, WN3, cool, joined
 from flowdetect.plans.q_report import ALL_GAPS, BOTH, CAND, EW, INCIDENT, thin, thin_sql
 from flowdetect.plans.views import duck, folder, view
 from flowdetect.sources import logs, tail
@@ -105,6 +105,22 @@ def mark_files(s, d):
 q("src11_marks", "SELECT label, ts_us / 1e6 AS ts FROM marks", lambda s, d: mark_files(s, d).select("label", "ts"), "marks")
 
 
+def manifests(s, d):
+    """A manifest of each capture, a document of its own; every other capture
+    has no marks file."""
+    path = folder(s, "manifests")
+    marks = view(s, d, "marks").withColumn("capture", F.expr("event_id DIV 2000"))
+    body = F.expr("""to_json(named_struct('scenario_id', concat('cap', capture), 'session_id', min(label), 'split', if(capture % 4 = 0, 'train', 'test'),
+        'victim_ips', array(concat('10.0.0.', capture % 250)), 'configuration', cast(count(*) AS string)))""")
+    marks.groupBy("capture").agg(body.alias("value")).repartition("capture").write.partitionBy("capture").text(path)
+    there = marks.where("capture % 2 = 0").select(F.expr("concat('sessions_cap', capture, '.json')").alias("file"))
+    return logs.read_manifests(s, path, there)
+
+
+q("src12_manifests", """SELECT 'cap' || (event_id // 2000) AS scenario_id, min(label) AS session_id, CASE WHEN event_id // 2000 % 4 = 0 THEN 'train' ELSE 'test' END AS split, '10.0.0.' || (event_id // 2000 % 250) AS victim, count(*)::VARCHAR AS configuration
+FROM marks WHERE event_id // 2000 % 2 = 0 GROUP BY event_id // 2000""", lambda s, d: manifests(s, d).selectExpr("scenario_id", "session_id", "split", "victim_ips[0] AS victim", "configuration"), "marks")
+
+
 def paired_files(s, d):
     """The sessions of all captures, paired in each one's own file."""
     read = mark_files(s, d).withColumn("ts_us", F.round(F.col("ts") * 1e6).cast("long"))
@@ -284,6 +300,20 @@ q("dt12_tls_scored", f"WITH {JOINED}, t AS (SELECT *, {P} AS p FROM j WHERE {GAT
 P2 = "CAST((event_id * 71) % 100 AS DOUBLE) / 1e2"
 q("dt13_tier2_scored", f"WITH {JOINED}, t0 AS (SELECT *, {P} AS p FROM j WHERE {GATE}), t AS (SELECT * REPLACE (coalesce(p2, p) AS p), p2 IS NOT NULL AS again FROM (SELECT *, CASE WHEN p BETWEEN 0.4 AND 0.7 AND len(sizes) > 0 THEN {P2} END AS p2 FROM t0))" + alert_sql("tls", HIGH, "CASE WHEN again THEN 'flow_stats_ml+tier2_seq' ELSE 'flow_stats_ml' END", "t WHERE CASE WHEN again THEN p >= 0.51 ELSE p > 0.72 END"),
   lambda s, d: detect.tls_tier2_alerts(detect.tls_tier2(with_p(detect.tls_gate(joined(s, d))), lambda r: r.withColumn("p2", F.expr(P2)))).select(A), "ssl", "conn", "pktseq")
+def own_detector(s, d):
+    """A detector of the user's own, added by name and run like the others."""
+
+    @detect.register("bulk_udp")
+    def bulk_udp(flows):
+        rows = flows.where("proto = 'udp' AND orig_bytes > 1000")
+        return detect.make_alert(rows, "exfil", "if(orig_bytes > 20000, 'HIGH', 'LOW')", "0.5D", "named_struct('bytes', orig_bytes)", 0, "custom")
+
+    return detect.REGISTRY["bulk_udp"](FL(s, d)).select(A)
+
+
+q("udf1_own_detector", alert_sql("exfil", "CASE WHEN orig_bytes > 20000 THEN 'HIGH' ELSE 'LOW' END", "'custom'", "flows WHERE proto = 'udp' AND orig_bytes > 1000", "0.5", "false"), own_detector, "flows")
+
+
 # ---- streams ----
 
 
@@ -334,6 +364,10 @@ q("src4_file_stream", "SELECT uid, orig_bytes FROM flows", lambda s, d: landed(s
 q("src3_src5_topic_rows", "SELECT src_ip AS key, uid, ts FROM flows", lambda s, d: stream.decoded(stream.kafka_rows(FL(s, d).select("src_ip", "uid", "ts")).selectExpr("key AS topic", "value"), "ts double, uid string").withColumnRenamed("topic", "key"), "flows")
 q("sm3_scan_state", "SELECT event_id, count(*) OVER w AS n, len(list_distinct(list(dst_port) OVER w)) AS \"distinct\" FROM flows WINDOW w AS (PARTITION BY src_ip ORDER BY ts_us, event_id RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)".replace("ORDER BY ts_us, event_id", "ORDER BY ts_us"), lambda s, d: landed(s, stream.scan_state(arriving(s, FL(s, d)))), "flows")
 q("sm4_beacon_state", "SELECT event_id, count(*) OVER (PARTITION BY src_ip, dst_ip, dst_port ORDER BY ts_us, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS n FROM flows", lambda s, d: landed(s, stream.beacon_state(arriving(s, FL(s, d)))).select("event_id", "n"), "flows")
+q("sm4_beacon_intervals", f"WITH {WN3} SELECT event_id, observations AS n, mean_interval, std_interval, cv FROM f",
+  lambda s, d: landed(s, stream.beacon_state(arriving(s, FL(s, d)))).selectExpr("event_id", "n", "round(mean_interval, 2) AS mean_interval", "round(std_interval, 2) AS std_interval", "round(cv, 4) AS cv"), "flows")
+q("ag12_throughput_stream", "SELECT w, count(*) / 10.0::DOUBLE AS rate FROM (SELECT unnest(range(ts_us // 1000000 - 9, ts_us // 1000000 + 1)) AS w FROM flows) GROUP BY w",
+  lambda s, d: landed(s, stream.throughput(arriving(s, FL(s, d), ends=True))).selectExpr("unix_seconds(window.start) AS w", "rate"), "flows")
 q("sm5_flood_state", "WITH g AS (SELECT unnest(range(ts_us // 1000000 - 9, ts_us // 1000000 + 1)) AS w, dst_port, src_ip FROM flows) SELECT w, count(*) AS packet_rate, count(DISTINCT dst_port) AS unique_dst_ports, round(entropy(dst_port), 4) AS dst_port_entropy, count(DISTINCT src_ip) AS unique_src_ips, round(entropy(src_ip), 4) AS src_ip_entropy FROM g GROUP BY w",
   lambda s, d: landed(s, stream.flood_state(arriving(s, FL(s, d), ends=True))).where(f"window.start < timestamp_micros({(10**15) * 2})").selectExpr("unix_seconds(window.start) AS w", "packet_rate", "unique_dst_ports", "dst_port_entropy", "unique_src_ips", "src_ip_entropy"), "flows")
 SLOW = "sl AS (SELECT *, count(*) OVER (PARTITION BY dst_ip, dst_port ORDER BY ts_us RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW) AS slow_count FROM flows WHERE proto IN ('tcp', 'udp') AND duration > 15 AND orig_bytes < 500)"
@@ -381,4 +415,11 @@ def exact_stream(s, d):
     return s.read.parquet(out).select("event_id", "unique_ports", "unique_hosts", "connection_count", "port_entropy")
 
 
+def exact_flood(s, d):
+    out = folder(s, "exact")
+    stream.exact(arriving(s, FL(s, d)), features.flood_features, 10, out, folder(s, "carry"), folder(s, "progress")).awaitTermination()
+    return s.read.parquet(out).select(F1)
+
+
+q("sm5_exact_flood", f"WITH {WN1.format(src='flows', iat=IAT)} SELECT {', '.join(F1)} FROM f", exact_flood, "flows")
 q("sm5_exact_frames", f"WITH {WN2} SELECT event_id, unique_ports, unique_hosts, connection_count, port_entropy FROM f", exact_stream, "flows")

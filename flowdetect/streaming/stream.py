@@ -6,9 +6,12 @@ with a carry-over of the frame's length (``foreachBatch``)."""
 
 from __future__ import annotations
 
+import heapq
 import logging
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,18 +144,39 @@ class Trailing(Expiring):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         d = pd.concat(rows).sort_values(["ts_us", "event_id"])
         held = sorted(tuple(h) for h in self.held.get()) if self.held.exists() else []
-        n, distinct = [], []
-        for t, v in zip(d["ts_us"], d[self.value]):
-            held.append((int(t), int(v)))
-            if self.seconds is not None:
-                held = [h for h in held if h[0] >= t - self.seconds * 1_000_000]
-            if self.rows is not None:
-                held = held[-self.rows :]
-            n.append(len(held))
-            distinct.append(len({h[1] for h in held}))
+        count = Counter(v for _, v in held)
+        out = []
+        for t, v in zip(d["ts_us"].tolist(), d[self.value].tolist()):
+            heapq.heappush(held, (int(t), int(v)))  # sorted, hence a heap: late rows find their place
+            count[int(v)] += 1
+            while (self.seconds is not None and held[0][0] < t - self.seconds * 1_000_000) or (self.rows is not None and len(held) > self.rows):
+                gone = heapq.heappop(held)[1]
+                count[gone] -= 1
+                if not count[gone]:
+                    del count[gone]
+            out.append(self.row(held, count))
         self.held.put(held)
-        self.remind(held[-1][0])
-        yield pd.DataFrame({"event_id": d["event_id"], "n": n, "distinct": distinct})
+        self.remind(max(held)[0] if held else int(d["ts_us"].iloc[-1]))
+        yield pd.DataFrame(out, columns=self.columns, dtype=object).assign(event_id=d["event_id"].to_numpy())[["event_id", *self.columns]]
+
+    columns = ("n", "distinct")
+
+    def row(self, held: list, count: Counter) -> tuple:
+        return len(held), len(count)
+
+
+class Beacon(Trailing):
+    """Adds the mean and the population deviation of the gaps between the held
+    rows, in seconds, and their ratio (none below two rows, infinite at mean 0)."""
+
+    columns = ("n", "distinct", "mean_interval", "std_interval", "cv")
+
+    def row(self, held: list, count: Counter) -> tuple:
+        gaps = np.diff(sorted(h[0] for h in held)) / 1e6
+        if not len(gaps):
+            return len(held), len(count), 0.0, 0.0, None
+        mean, std = float(gaps.mean()), float(gaps.std())
+        return len(held), len(count), mean, std, std / mean if mean else float("inf")
 
 
 _TIME = "_event_time"
@@ -181,7 +205,10 @@ def scan_state(flows: DataFrame, seconds: int = 60, delay: str | None = None) ->
 
 
 def beacon_state(flows: DataFrame, rows: int = 20) -> DataFrame:
-    return _keyed(flows, ["src_ip", "dst_ip", "dst_port"], Trailing(None, rows, "event_id"), "event_id long, n long, distinct long")
+    """event_id, n, distinct, mean_interval, std_interval and cv of the last rows
+    of source, destination and port."""
+    schema = "event_id long, n long, distinct long, mean_interval double, std_interval double, cv double"
+    return _keyed(flows, ["src_ip", "dst_ip", "dst_port"], Beacon(None, rows, "event_id"), schema)
 
 
 class Baseline(StatefulProcessor):
@@ -286,6 +313,7 @@ def flood_state(flows: DataFrame) -> DataFrame:
 
 
 def throughput(flows: DataFrame) -> DataFrame:
+    """Rows a second over the last 10 s, every second."""
     d = with_time(flows).withWatermark("event_time", "30 seconds")
     return d.groupBy(F.window("event_time", "10 seconds", "1 second")).agg((F.count("*") / 10.0).alias("rate"))
 
