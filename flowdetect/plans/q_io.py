@@ -376,6 +376,26 @@ q("sm6_cooldown_state", cool("(SELECT * FROM sl WHERE slow_count >= 25)", ["dst_
 q("sm7_once_state", f"WITH {SLOW} SELECT event_id FROM sl WHERE slow_count >= 25 QUALIFY row_number() OVER (PARTITION BY dst_ip ORDER BY ts_us, event_id) = 1", lambda s, d: landed(s, stream.once(arriving(s, slow(s, d)), ["dst_ip"])).select("event_id"), "flows")
 q("jn3_sm2_enrich_stream", "SELECT s.uid, coalesce(c.orig_bytes, 0) AS orig_bytes, coalesce(c.duration, 0) AS duration FROM ssl s LEFT JOIN conn c ON s.uid = c.uid AND c.ts_us BETWEEN s.ts_us - 30000000 AND s.ts_us + 30000000",
   lambda s, d: landed(s, stream.enrich_stream(arriving(s, view(s, d, "ssl"), ends=True), arriving(s, view(s, d, "conn"), ends=True)).select("uid", "orig_bytes", "duration")).where("uid <> 'end'"), "ssl", "conn")
+# The fields of each topic's records that the enrichment reads.
+RECORDS = {"ssl": "uid string, ts_us long", "conn": "uid string, ts_us long, orig_bytes long, resp_bytes long, duration double", "pktseq": "uid string, ts_us long, sizes array<long>, gaps array<double>"}
+
+
+def routed_stream(s, d):
+    """Sessions, connections and packets as records of three topics in one
+    stream, told apart again and joined."""
+    records = None
+    for topic, fields in RECORDS.items():
+        rows = view(s, d, topic).select(*(f.split()[0] for f in fields.split(", ")))
+        end = rows.orderBy(F.desc("ts_us")).limit(1).withColumns({"uid": F.lit("end"), "ts_us": F.col("ts_us") + 300_000_000})
+        rows = rows.union(end).select(F.lit(topic).alias("topic"), F.to_json(F.struct("*")).alias("value"), "ts_us")
+        records = rows if records is None else records.union(rows)
+    by = stream.routed(arriving(s, records), RECORDS)
+    joined_ = stream.enrich_stream(by["ssl"], by["conn"].drop("log_type"), by["pktseq"].drop("log_type"))
+    return landed(s, joined_.select("uid", "log_type", "orig_bytes", "duration", "sizes")).where("uid <> 'end'").selectExpr("uid", "log_type", "orig_bytes", "duration", "CASE WHEN sizes IS NOT NULL THEN cast(size(sizes) AS bigint) END AS n_sizes")
+
+
+q("src3_jn3_routed_topics", """SELECT s.uid, 'ssl' AS log_type, coalesce(c.orig_bytes, 0) AS orig_bytes, coalesce(c.duration, 0) AS duration, len(p.sizes) AS n_sizes FROM ssl s
+LEFT JOIN conn c ON s.uid = c.uid AND c.ts_us BETWEEN s.ts_us - 30000000 AND s.ts_us + 30000000 LEFT JOIN pktseq p ON s.uid = p.uid AND p.ts_us BETWEEN s.ts_us - 30000000 AND s.ts_us + 30000000""", routed_stream, "ssl", "conn", "pktseq")
 q("sm9_baseline_state", EW, lambda s, d: landed(s, stream.rate_baseline(arriving(s, view(s, d, "alerts")))).select("seq", F.round("class_gap", 3).alias("class_gap"), "class_n"), "alerts")
 
 

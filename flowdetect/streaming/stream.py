@@ -37,6 +37,12 @@ def decoded(records: DataFrame, schema: str) -> DataFrame:
     return d.where("v IS NOT NULL").select("topic", "v.*")
 
 
+def routed(records: DataFrame, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """Rows of each topic (topic, value), by the topic's own schema; a topic is
+    the ``log_type`` of its rows. Topics without a schema are skipped."""
+    return {t: decoded(records.where(F.col("topic") == t), schema).withColumnRenamed("topic", "log_type") for t, schema in schemas.items()}
+
+
 def file_source(spark: SparkSession, path: str, schema, fmt: str = "json") -> DataFrame:
     """New files of a directory; logs are rotated into it."""
     return spark.readStream.schema(schema).format(fmt).load(path)

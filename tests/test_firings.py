@@ -54,11 +54,11 @@ def test_next_firing_equals_plain_search():
             assert got == next((i for i, u in enumerate(p.times.tolist()) if u > x and (u - x > hold or not ids(u) <= ids(x))), len(p.times))
 
 
-def test_busy_source_is_dealt_to_many_groups(spark):
+def test_busy_source(spark):
     classes = ("recon", "c2", "exfil")
-    a = alerts(spark, [(1e6 + 3 * i, classes[i % 3], "hot", f"f{i}") for i in range(60_000)])
+    a = alerts(spark, [(1e6 + 3 * i, classes[i % 3], "hot", f"f{i}") for i in range(20_000)])
     d = correlate.fire(a)
-    assert d.where("pattern = 'KILL_CHAIN'").count() == 60_000 - 2
+    assert d.where("pattern = 'KILL_CHAIN'").count() == 20_000 - 2
     assert d.agg(F.max(F.size("contributing"))).first()[0] == 20
 
 
