@@ -153,7 +153,7 @@ def _along(maps: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([same("src_ip"), pa.array(blocks, pa.int64()), same("priority"), pa.array(before, pa.int64())], names=["src_ip", "_b", "priority", "last"])
 
 
-def spread(alerts: DataFrame, patterns: tuple, hold: int = 900, block: int = 14_400) -> DataFrame:
+def spread(alerts: DataFrame, patterns: tuple, hold: int = 900, block: int = 86_400) -> DataFrame:
     """Firings of ``patterns`` (name, classes, seconds, confidence, severity; by
     priority) over ``alerts`` (src_ip, ts_us, seq, threat_class, id, confidence,
     dst_ip, event_ts), with the last alerts that contribute.
