@@ -135,9 +135,10 @@ def frame_stats(rows: DataFrame, keys: list[str], width_us: int, values: list[st
         *["_hi", "_lo"] * bool(span),
     )
     if span:
-        out = out.join(_left(base, at, width_us, span), ["_g", "_t"]).withColumn("_span", F.expr("cast(greatest(_hi, hi) + greatest(_lo, lo) AS int)")).drop("_hi", "_lo", "hi", "lo")
+        out = out.join(_left(base, at, width_us, span).hint("merge"), ["_g", "_t"]).withColumn("_span", F.expr("cast(greatest(_hi, hi) + greatest(_lo, lo) AS int)")).drop("_hi", "_lo", "hi", "lo")
     given = rows if points is None else points
-    return at.join(out, ["_g", "_t"]).select(*given.columns, *(c for c in out.columns if c not in ("_g", "_t")))
+    # points are often a grid, whose rows Spark estimates by what the grid was made of: neither side is sent whole
+    return at.join(out.hint("merge"), ["_g", "_t"]).select(*given.columns, *(c for c in out.columns if c not in ("_g", "_t")))
 
 
 def _ends(rows: DataFrame, column: str) -> DataFrame:
