@@ -22,3 +22,16 @@ def test_a_grid_is_not_sent_whole(spark, rows):
     d = rows(events, sessions)
     assert len(d.collect()) == 59 * S // (140_000 if rows is dataset.flood_rows else 150_000) + 1
     assert "Broadcast" not in final_plan(d)
+
+
+def test_a_silence_is_filled_in_runs(spark):
+    times = [0, 3, 3, 10, 25_000_010]
+    inside = spark.createDataFrame([("c", t) for t in times], "session_id string, ts_us long")
+    ends = spark.createDataFrame([("c", 1, 0, 25_000_010)], "session_id string, label int, start_us long, end_us long")
+    d = dataset.history(inside, ends, 1000)
+    got = sorted((r.t_us, r.n, r.mean_interval) for r in d.collect())
+    assert [g[0] for g in got] == list(range(1000, 25_000_011, 1000))
+    assert {g[1:] for g in got} == {(4, 0.0)}
+    d = dataset.history(inside, ends, 5).where("t_us < 20 OR t_us >= 25000005")
+    assert sorted((r.t_us, r.n) for r in d.collect()) == [(5, 3), (10, 4), (15, 4), (25_000_005, 4), (25_000_010, 5)]
+    assert "Broadcast" not in final_plan(d) and "SortAggregate" not in final_plan(d)
