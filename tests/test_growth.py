@@ -35,3 +35,20 @@ def test_a_silence_is_filled_in_runs(spark):
     d = dataset.history(inside, ends, 5).where("t_us < 20 OR t_us >= 25000005")
     assert sorted((r.t_us, r.n) for r in d.collect()) == [(5, 3), (10, 4), (15, 4), (25_000_005, 4), (25_000_010, 5)]
     assert "Broadcast" not in final_plan(d) and "SortAggregate" not in final_plan(d)
+
+
+def test_trigrams_of_a_long_text_in_one_pass(spark):
+    long = "Ab9 élan xyzzy the-cat " * 20_000 + "q" * 400_000
+    runs = [r for r in "".join(c if "a" <= c <= "z" else " " for c in long.lower()).split() if len(r) > 2]
+    n = Counter()
+    for run, c in Counter(runs).items():
+        for i in range(len(run) - 2):
+            n[run[i : i + 3]] += c
+    began = time.time()
+    got = {r.gram: r.logp for r in text.trigram_model(spark.createDataFrame([(long,), (None,), ("no",)], "t string"), "t").collect()}
+    assert time.time() - began < 20
+    assert got == {g: pytest.approx(log2(c / n.total()), abs=1e-4) for g, c in n.items()}
+    short = spark.createDataFrame([("a", "Thecat.net"), ("b", None), ("c", "x-y")], "k string, q string")
+    model = spark.createDataFrame([("the", -1.0), ("hec", -2.0)], "gram string, logp double")
+    d = text.ngram_score(short, "k", "q", model)
+    assert {r.k: r.ngram_score for r in d.collect()} == {"a": pytest.approx((-3 - 30) / 5), "b": -10.0, "c": -10.0}
