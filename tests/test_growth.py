@@ -1,12 +1,16 @@
 """Steps whose cost must not outgrow their input."""
 
+import hashlib
+import random
 import time
 from collections import Counter
 from math import log2
 
+import pandas as pd
 import pytest
 
-from flowdetect.operators import dataset, text
+from flowdetect.operators import correlate, custody, dataset, text
+from flowdetect.streaming import stream
 
 S = 1_000_000
 
@@ -52,3 +56,24 @@ def test_trigrams_of_a_long_text_in_one_pass(spark):
     model = spark.createDataFrame([("the", -1.0), ("hec", -2.0)], "gram string, logp double")
     d = text.ngram_score(short, "k", "q", model)
     assert {r.k: r.ngram_score for r in d.collect()} == {"a": pytest.approx((-3 - 30) / 5), "b": -10.0, "c": -10.0}
+
+
+@pytest.mark.parametrize("block", [5, 50_000])
+def test_running_means_whatever_the_block(spark, monkeypatch, block):
+    monkeypatch.setattr(correlate, "BLOCK", block)
+    rng = random.Random(3)
+    times = {k: sorted(rng.sample(range(40 * 3600), 60)) for k in ("c2", "dga")}  # a few an hour, hours without any
+    d = spark.createDataFrame([(k, t * S) for k in times for t in times[k]], "key string, ts_us long")
+    start = spark.createDataFrame([("c2", -S, 50.0, 4)], "key string, last_us long, m double, n int")
+    calls = correlate._running(d, 0.2, start).collect()
+    want = {}
+    for k, at in times.items():
+        last, m, n = (-1, 50.0, 4) if k == "c2" else (None, None, 0)
+        for t in at:
+            if last is not None:
+                m, n = t - last if m is None else 0.2 * (t - last) + 0.8 * m, n + 1
+            last = t
+            want[k, t * S] = (m, n)
+    assert {(r.key, r.ts_us): (r.m, r.n) for r in calls} == {k: (pytest.approx(m) if m is not None else None, n) for k, (m, n) in want.items()}
+    quiet = pd.DataFrame({"key": "c2", "g": 0, "b": [0, 1, 9], "ts_us": [5 * S, 3700 * S, 33000 * S], "last_us": [None, 5 * S, 3700 * S]})
+    assert correlate._local(quiet, 0.2)["n"].tolist() == [0, 1, 2]  # several hours in one call
