@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import heapq
 import logging
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -273,15 +273,24 @@ class Correlate(Expiring):
         news_of = list(zip(times, d["id"].tolist(), d["threat_class"].tolist()))
         first = next((i for i, h in enumerate(held) if h[0] == times[0]), len(held))
         late = held[first:]  # of the first new instant; they stand in its frames like its own rows
-        seen, to = held[:first], 0
+        spans, to = [deque() for _ in correlate.PATTERNS], 0
+
+        def enter(these: list) -> None:
+            for span, pattern in zip(spans, correlate.PATTERNS):
+                span.extend(h for h in these if h[2] in pattern[1])
+
+        enter(held[:first])
         for i, (t, _, _) in enumerate(news_of):
             if i == to:  # rows of equal time are in each other's frames
                 while to < len(news_of) and news_of[to][0] == t:
                     to += 1
-                seen += (late if i == 0 else []) + news_of[i:to]
+                enter((late if i == 0 else []) + news_of[i:to])
             tries = []
-            for name, classes, seconds, confidence, _ in correlate.PATTERNS:
-                inside = [h for h in seen if h[2] in classes and h[0] > t - seconds * 1_000_000]
+            for span, (name, classes, seconds, confidence, _) in zip(spans, correlate.PATTERNS):
+                since = t - seconds * 1_000_000
+                while span and span[0][0] <= since:  # nor does a later row reach it
+                    span.popleft()
+                inside = [h for h in span if h[0] > since]
                 if {h[2] for h in inside} == set(classes):
                     tries.append((name, confidence, [h[1] for h in inside]))
             for k in gates.news([t] * len(tries), [i] * len(tries), [x[0] for x in tries], [x[2] for x in tries], 900, fired):

@@ -77,3 +77,34 @@ def test_running_means_whatever_the_block(spark, monkeypatch, block):
     assert {(r.key, r.ts_us): (r.m, r.n) for r in calls} == {k: (pytest.approx(m) if m is not None else None, n) for k, (m, n) in want.items()}
     quiet = pd.DataFrame({"key": "c2", "g": 0, "b": [0, 1, 9], "ts_us": [5 * S, 3700 * S, 33000 * S], "last_us": [None, 5 * S, 3700 * S]})
     assert correlate._local(quiet, 0.2)["n"].tolist() == [0, 1, 2]  # several hours in one call
+
+
+class Held:
+    def __init__(self):
+        self.values = {}
+
+    def exists(self):
+        return bool(self.values)
+
+    def get(self):
+        return self.values
+
+    put = update = lambda self, v: setattr(self, "values", v)
+
+    def iterator(self):
+        return iter(())
+
+    def updateValue(self, k, v):
+        self.values[k] = v
+
+
+def test_a_long_batch_of_one_source_is_linear():
+    n, p = 20_000, stream.Correlate()
+    p.handle, p.held, p.fired = None, Held(), Held()
+    kinds = ["recon", "c2", "dga", "exfil", "ddos", "tls", "tls"]
+    d = pd.DataFrame({"seq": range(n), "ts_us": [i * 20 * S for i in range(n)], "id": [f"i{i}" for i in range(n)], "threat_class": [kinds[i % 7] for i in range(n)]})
+    began = time.time()
+    out = pd.concat(p.handleInputRows(("s",), iter([d]), None))
+    assert time.time() - began < 15
+    assert out.head(3).values.tolist() == [[2, "s", "DGA_C2", 0.88], [3, "s", "KILL_CHAIN", 0.97], [4, "s", "C2_EXFIL", 0.92]]
+    assert len(p.held.values) == 45
