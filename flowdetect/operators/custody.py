@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,24 +24,32 @@ def append(records: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     chain; chains run in parallel. ``heads``, as :func:`tail` gives them, are the
     ends of stored chains: each goes on from its own number and hash, and one
     without a head begins anew. A chain's links depend on each other, so one
-    chain is one task's work, whatever the engine."""
-    schema = "chain_id string, pos long, body string, seq long, prev_hash string, record_hash string"
+    chain is one task's work, whatever the engine; it goes by in order, batch by
+    batch, and no chain is held."""
+    d = records.select("chain_id", "pos", "body", F.lit(1).alias("_k"), F.lit(None).cast("long").alias("_seq"), F.lit(None).cast("string").alias("_hash"))
+    if heads is not None:
+        none = [F.lit(None).cast(records.schema[c].dataType).alias(c) for c in ("pos", "body")]
+        d = d.unionByName(heads.select("chain_id", *none, F.lit(0).alias("_k"), F.col("seq").cast("long").alias("_seq"), F.col("record_hash").alias("_hash")))
 
-    def run(rows: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos").reset_index(drop=True)
-        seq, last = (int(head["seq"].iloc[0]) + 1, head["record_hash"].iloc[0]) if len(head) else (0, GENESIS)
-        before, own = [], []
-        for body in rows["body"]:
-            before.append(last)
-            last = hashlib.sha256(f"{body}|{last}".encode()).hexdigest()
-            own.append(last)
-        return rows.assign(seq=range(seq, seq + len(rows)), prev_hash=before, record_hash=own)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, seq, last = object(), 0, GENESIS
+        for b in batches:
+            numbers, before, own = [], [], []
+            for c, body, k, n, h in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
+                if c != chain:
+                    chain, seq, last = c, 0, GENESIS
+                if not k:
+                    seq, last = n + 1, h
+                    continue
+                numbers.append(seq)
+                before.append(last)
+                seq, last = seq + 1, hashlib.sha256(f"{body}|{last}".encode()).hexdigest()
+                own.append(last)
+            kept = [b.column(i).filter(pc.equal(b.column(3), 1)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(numbers, pa.int64()), pa.array(before, pa.string()), pa.array(own, pa.string())], ["chain_id", "pos", "body", "seq", "prev_hash", "record_hash"])
 
-    records = records.select("chain_id", "pos", "body")
-    if heads is None:
-        return records.groupBy("chain_id").applyInPandas(lambda rows: run(rows, rows[:0]), schema)
-    ends = heads.select("chain_id", "seq", "record_hash").join(records.select("chain_id").distinct(), "chain_id", "left_semi")
-    return records.groupBy("chain_id").cogroup(ends.groupBy("chain_id")).applyInPandas(run, schema)
+    d = d.repartition("chain_id").sortWithinPartitions("chain_id", "_k", F.asc_nulls_last("pos"))
+    return d.mapInArrow(run, "chain_id string, pos long, body string, seq long, prev_hash string, record_hash string")
 
 
 def verify(chain: DataFrame) -> DataFrame:

@@ -108,3 +108,23 @@ def test_a_long_batch_of_one_source_is_linear():
     assert time.time() - began < 15
     assert out.head(3).values.tolist() == [[2, "s", "DGA_C2", 0.88], [3, "s", "KILL_CHAIN", 0.97], [4, "s", "C2_EXFIL", 0.92]]
     assert len(p.held.values) == 45
+
+
+def test_a_chain_goes_by_in_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(c, i, f"{c}{i}") for c in ("a", "b", None) for i in range(40)]
+        records = spark.createDataFrame(rows, "chain_id string, pos long, body string")
+        first = custody.append(records.where("pos < 25"))
+        d = custody.append(records.where("pos >= 25"), custody.tail(first))
+        got = {(r.chain_id, r.pos): r for r in first.collect() + d.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "MapInArrow" in final_plan(d) and "FlatMap" not in final_plan(d)
+    for c in ("a", "b", None):
+        last = custody.GENESIS
+        for i in range(40):
+            r = got[c, i]
+            assert (r.seq, r.prev_hash) == (i, last) and (r.body, c) == (f"{c}{i}", c)
+            last = hashlib.sha256(f"{c}{i}|{last}".encode()).hexdigest()
+            assert r.record_hash == last
