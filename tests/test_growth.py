@@ -9,7 +9,7 @@ from math import log2
 import pandas as pd
 import pytest
 
-from flowdetect.operators import correlate, custody, dataset, text
+from flowdetect.operators import correlate, custody, dataset, ml, text
 from flowdetect.streaming import stream
 
 S = 1_000_000
@@ -128,3 +128,11 @@ def test_a_chain_goes_by_in_batches(spark):
             assert (r.seq, r.prev_hash) == (i, last) and (r.body, c) == (f"{c}{i}", c)
             last = hashlib.sha256(f"{c}{i}|{last}".encode()).hexdigest()
             assert r.record_hash == last
+
+
+def test_forests_train_on_partitions_of_so_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(ml, "TRAINED", 20)
+    rows = spark.range(300).selectExpr("id", "cast(id % 2 AS int) AS y", "cast(id % 7 + id % 2 * 9 AS double) AS a", "1D AS w").coalesce(1)
+    dealt = ml._dealt(rows, ["a"], "w")
+    assert max(len(p) for p in dealt.rdd.glom().collect()) <= 40 and dealt.count() == 300 and dealt.columns == ["y", "a", "w"]
+    assert ml.score(ml.train_rf(rows, ["a"], 5, 3, "w"), rows).where("(p > 0.5) <> (y = 1)").count() == 0
