@@ -5,13 +5,19 @@ and leaves just after t + W. Time is cut into slots, ``SLOTS`` a frame. What a
 row adds to its own slot and to the starts of the few later ones that it lasts
 into is dealt there, and within a slot all is a running sum. No group spans
 more than a slot, so a busy instant or key is cut by time, whatever the keys;
-work is linear in the rows. Sums are of whole numbers: nothing cancels."""
+work is linear in the rows. Sums are of whole numbers: nothing cancels.
+
+Rows are written once to the shared folder, as several steps read them, and
+counted there; shuffles are cut into partitions of ``DEALT`` of them, so that a
+task holds no more of a larger table."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowdetect.sources.shared import stored
+
 
 def halo(df: DataFrame, width_us: int, ts: str = "ts_us", stretch: int = 1) -> DataFrame:
     """Rows dealt to time buckets of ``stretch`` times the frame's width; those
@@ -34,6 +40,7 @@ def last_rows(n: int, *keys: str, order: tuple[str, ...] = ("ts_us", "event_id")
 
 
 SLOTS = 2  # slots a frame
+DEALT = 50_000  # rows of a partition of a shuffle; each makes about ten changes
 BITS = 1 << 30  # fractions in which c * log2(c) is summed; exact to 2 ** 28 rows a frame
 
 
@@ -41,7 +48,7 @@ def _slot(t: str, slot_us: int) -> str:
     return f"(({t} - pmod({t}, {slot_us}L)) DIV {slot_us}L)"
 
 
-def _events(items: DataFrame, by: list[str], sums: list[str], slot_us: int, maxima: tuple[str, ...] = ()) -> DataFrame:
+def _events(items: DataFrame, by: list[str], sums: list[str], slot_us: int, parts: int, maxima: tuple[str, ...] = ()) -> DataFrame:
     """(by, _s: slot, _t, sums, maxima) of items that last from ``_a`` to before
     ``_b``, a frame's length at most: their values enter at _a, leave at _b, and
     stand at the start of every slot between. A maximum does not leave; it holds
@@ -51,7 +58,7 @@ def _events(items: DataFrame, by: list[str], sums: list[str], slot_us: int, maxi
     between = ", ".join(f"struct(if(_sa + {j} <= _sb, _sa + {j}, NULL) AS _s, (_sa + {j}) * {slot_us} AS _t, {enter})" for j in range(1, SLOTS + 2))
     each = F.expr(f"inline(array(struct(_sa AS _s, _a AS _t, {enter}), struct(_sb AS _s, _b AS _t, {leave}), {between}))")
     met = items.select(*by, each).where("_s IS NOT NULL")
-    return met.groupBy(*by, "_s", "_t").agg(*(F.sum(c).alias(c) for c in sums), *(F.max(c).alias(c) for c in maxima))
+    return met.repartition(parts, *by, "_s").groupBy(*by, "_s", "_t").agg(*(F.sum(c).alias(c) for c in sums), *(F.max(c).alias(c) for c in maxima))
 
 
 def _keyed(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
@@ -59,6 +66,14 @@ def _keyed(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return df.withColumns({"_g": F.struct(*keys) if keys else F.struct(F.lit(0)), "_t": F.col(ts).cast("long")})
 
 
+def _once(rows: DataFrame, keys: list[str], ts: str) -> tuple[DataFrame, int]:
+    """``rows`` with ``_g`` and ``_t`` from the shared folder, and how many
+    partitions they fill. Read from a file, ``_g`` is no constant to Spark, which
+    would drop it from some steps and shuffle anew between them."""
+    rows = stored(_keyed(rows, keys, ts), "frames")
+    return rows, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // DEALT))
+
+
 def _running(by: list[str]):
     return Window.partitionBy(*by, "_s").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
 
@@ -68,12 +83,13 @@ def sliding_sums(rows: DataFrame, keys: list[str], width_us: int, sums: dict[str
     of every row, by ``keys``, peers of equal time included. A row travels with
     its own entry, so ``rows`` are computed and dealt once."""
     slot = width_us // SLOTS
-    d = _keyed(rows, keys, ts).withColumns({f"_v{i}": c for i, c in enumerate(sums.values())} | {"_sa": F.expr(_slot(f"cast({ts} AS bigint)", slot)), "_sb": F.expr(_slot(f"(cast({ts} AS bigint) + {width_us + 1})", slot))})
+    held, parts = _once(rows, keys, ts)
+    d = held.withColumns({f"_v{i}": c for i, c in enumerate(sums.values())} | {"_sa": F.expr(_slot(f"cast({ts} AS bigint)", slot)), "_sb": F.expr(_slot(f"(cast({ts} AS bigint) + {width_us + 1})", slot))})
     row = "struct({})".format(", ".join(f"`{c}`" for c in rows.columns))
     none = f"if(true, NULL, {row})"
     later = ", ".join(f"struct(if(_sa + {j} <= _sb, _sa + {j}, NULL) AS _s, (_sa + {j}) * {slot} AS _at, 1 AS _w, {none} AS _row)" for j in range(1, SLOTS + 2))
     each = F.expr(f"inline(array(struct(_sa AS _s, _t AS _at, 1 AS _w, {row} AS _row), struct(_sb AS _s, _t + {width_us + 1} AS _at, -1 AS _w, {none} AS _row), {later}))")
-    d = d.select("_g", *(f"_v{i}" for i in range(len(sums))), each).where("_s IS NOT NULL")
+    d = d.select("_g", *(f"_v{i}" for i in range(len(sums))), each).where("_s IS NOT NULL").repartition(parts, "_g", "_s")
     w = Window.partitionBy("_g", "_s").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
     d = d.select("_row", *(F.sum(F.col(f"_v{i}") * F.col("_w")).over(w).alias(n) for i, n in enumerate(sums)))
     return d.where("_row IS NOT NULL").select("_row.*", *sums)
@@ -91,7 +107,7 @@ def frame_stats(rows: DataFrame, keys: list[str], width_us: int, values: list[st
     ``width_us`` is a multiple of ``SLOTS``."""
     if width_us % SLOTS or not values:
         raise ValueError(f"a frame takes a multiple of {SLOTS} microseconds and at least one value")
-    base = _keyed(rows, keys, ts)
+    base, parts = _once(rows, keys, ts)
     at = base if points is None else _keyed(points, keys, ts)
     slot, gone = width_us // SLOTS, width_us + 1
     sums = ["_n", *(f"_{p}{i}" for i in range(len(values)) for p in "df"), "_q", "_first"]
@@ -105,23 +121,23 @@ def frame_stats(rows: DataFrame, keys: list[str], width_us: int, values: list[st
     kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.coalesce(F.concat(F.lit("="), F.col(v).cast("string")), F.lit("")).alias("v")) for i, v in enumerate(values))))
     by = ["_g", "c", "v"]
     met = base.select("_g", F.col("_t").alias("_a"), (F.col("_t") + gone).alias("_b"), kinds.alias("_v"), F.lit(1).cast("long").alias("x")).select("_g", "_v.c", "_v.v", "_a", "_b", "x")
-    held = _events(met, by, ["x"], slot).withColumn("y", F.sum("x").over(_running(by)))
+    held = _events(met, by, ["x"], slot, parts).withColumn("y", F.sum("x").over(_running(by)))
     f = lambda c: f"if({c} > 1, cast(round({c} * log2({c}) * {BITS}) AS bigint), 0L)"
     held = held.selectExpr("_g", "_s", "_t", "c", "x", f"{f('y')} - {f('(y - x)')} AS f", "cast(y > 0 AS bigint) - cast(y > x AS bigint) AS d")
     counts = part(held, _n="if(c = 0, x, 0)", **{f"_{p}{i}": f"if(c = {i}, {p}, 0)" for i in range(len(values)) for p in "df"})
     # instants with rows, each with the gap from the one before, if a frame can hold both
     later = ", ".join(f"struct({_slot('_t', slot)} + {j} AS _s, cast(NULL AS bigint) AS i)" for j in range(1, SLOTS + 2))
     near = F.expr(f"inline(array(struct({_slot('_t', slot)} AS _s, _t AS i), {later}))")
-    times = base.select("_g", "_t", near).groupBy("_g", "_s", "i").agg(F.max("_t").alias("_t"))
+    times = base.select("_g", "_t", near).repartition(parts, "_g", "_s").groupBy("_g", "_s", "i").agg(F.max("_t").alias("_t"))
     times = times.withColumn("p", F.lag("_t").over(Window.partitionBy("_g", "_s").orderBy("_t"))).where("i IS NOT NULL").withColumn("g", F.expr(f"if(_t - p <= {width_us}, _t - p, NULL)"))
     item = f"struct(_t AS _a, _t + {gone} AS _b, 0L AS _q, 0L AS _first, _t AS _last), struct(if(g IS NULL, _t, p + {gone}) AS _a, _t + {gone} AS _b, 0L AS _q, _t AS _first, cast(NULL AS bigint) AS _last)"
     gap = f"struct(_t AS _a, if(g IS NULL, NULL, p + {gone}) AS _b, g * g AS _q, 0L AS _first, cast(NULL AS bigint) AS _last)"
-    spans = _events(times.select("_g", F.expr(f"inline(array({item}, {gap}))")).where("_b IS NOT NULL"), ["_g"], ["_q", "_first"], slot, ("_last",))
+    spans = _events(times.select("_g", F.expr(f"inline(array({item}, {gap}))")).where("_b IS NOT NULL"), ["_g"], ["_q", "_first"], slot, parts, ("_last",))
     every = counts.unionByName(part(spans, _q="_q", _first="_first", _last="_last"))
-    every = every.unionByName(part(at.select("_g", "_t").distinct().withColumn("_s", F.expr(_slot("_t", slot))), _own="1"))
+    every = every.unionByName(part(at.select("_g", "_t").withColumn("_s", F.expr(_slot("_t", slot))), _own="1"))
     if span:
         every = every.unionByName(part(_edges(base, slot, span), _hi="hi", _lo="lo"))
-    every = every.groupBy("_g", "_s", "_t").agg(*(F.sum(c).alias(c) for c in sums), *(F.max(c).alias(c) for c in maxima))
+    every = every.repartition(parts, "_g", "_s").groupBy("_g", "_s", "_t").agg(*(F.sum(c).alias(c) for c in sums), *(F.max(c).alias(c) for c in maxima))
     w = _running(["_g"])
     every = every.withColumns({c: F.sum(c).over(w) for c in sums} | {c: F.max(c).over(w) for c in maxima if c != "_own"})
     held = every.where("_own = 1 AND _n > 0").selectExpr("*", "_n - 1 AS _k", "_last - _first AS _w")
@@ -135,10 +151,11 @@ def frame_stats(rows: DataFrame, keys: list[str], width_us: int, values: list[st
         *["_hi", "_lo"] * bool(span),
     )
     if span:
-        out = out.join(_left(base, at, width_us, span).hint("merge"), ["_g", "_t"]).withColumn("_span", F.expr("cast(greatest(_hi, hi) + greatest(_lo, lo) AS int)")).drop("_hi", "_lo", "hi", "lo")
+        left = _left(base, at, width_us, span, parts).repartition(parts, "_g", "_t")
+        out = out.repartition(parts, "_g", "_t").join(left.hint("merge"), ["_g", "_t"]).withColumn("_span", F.expr("cast(greatest(_hi, hi) + greatest(_lo, lo) AS int)")).drop("_hi", "_lo", "hi", "lo")
     given = rows if points is None else points
     # points are often a grid, whose rows Spark estimates by what the grid was made of: neither side is sent whole
-    return at.join(out.hint("merge"), ["_g", "_t"]).select(*given.columns, *(c for c in out.columns if c not in ("_g", "_t")))
+    return at.repartition(parts, "_g", "_t").join(out.repartition(parts, "_g", "_t").hint("merge"), ["_g", "_t"]).select(*given.columns, *(c for c in out.columns if c not in ("_g", "_t")))
 
 
 def _ends(rows: DataFrame, column: str) -> DataFrame:
@@ -151,18 +168,17 @@ def _edges(rows: DataFrame, slot_us: int, column: str) -> DataFrame:
     the starts of the later ones whose frames hold all of it."""
     here = _slot("_t", slot_us)
     each = f"explode(concat(array(struct({here} AS _s, _t AS t)), transform(sequence(1, {SLOTS - 1}), j -> struct({here} + j AS _s, ({here} + j) * {slot_us} AS t))))"
-    dealt = _ends(rows, column).select("_g", "hi", "lo", F.expr(each).alias("_e"))
-    return dealt.groupBy("_g", "_e._s", F.col("_e.t").alias("_t")).agg(F.max("hi").alias("hi"), F.max("lo").alias("lo"))
+    return _ends(rows, column).select("_g", "hi", "lo", F.expr(each).alias("_e")).select("_g", "_e._s", F.col("_e.t").alias("_t"), "hi", "lo")
 
 
-def _left(rows: DataFrame, points: DataFrame, width_us: int, column: str) -> DataFrame:
+def _left(rows: DataFrame, points: DataFrame, width_us: int, column: str, parts: int) -> DataFrame:
     """(_g, _t, hi, lo) of the part of a point's frame in the slot in which the
     frame begins: running maxima backwards."""
     here = F.expr(_slot("_t", width_us // SLOTS))
     none = F.lit(None).cast("long")
     asked = points.select("_g", (F.col("_t") - width_us).alias("_t"), none.alias("hi"), none.alias("lo"), F.col("_t").alias("to"))
     both = _ends(rows, column).withColumn("to", none).unionByName(asked).withColumn("_s", here)
-    both = both.groupBy("_g", "_s", "_t").agg(*(F.max(c).alias(c) for c in ("hi", "lo", "to")))
+    both = both.repartition(parts, "_g", "_s").groupBy("_g", "_s", "_t").agg(*(F.max(c).alias(c) for c in ("hi", "lo", "to")))
     back = Window.partitionBy("_g", "_s").orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumns({c: F.max(c).over(back) for c in ("hi", "lo")})
     return both.where("to IS NOT NULL").select("_g", F.col("to").alias("_t"), "hi", "lo")

@@ -2,14 +2,16 @@
 
 import hashlib
 import random
+import re
 import time
 from collections import Counter
 from math import log2
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from flowdetect.operators import correlate, custody, dataset, ml, text
+from flowdetect.operators import correlate, custody, dataset, ml, text, windows
 from flowdetect.streaming import stream
 
 S = 1_000_000
@@ -136,3 +138,15 @@ def test_forests_train_on_partitions_of_so_many_rows(spark, monkeypatch):
     dealt = ml._dealt(rows, ["a"], "w")
     assert max(len(p) for p in dealt.rdd.glom().collect()) <= 40 and dealt.count() == 300 and dealt.columns == ["y", "a", "w"]
     assert ml.score(ml.train_rf(rows, ["a"], 5, 3, "w"), rows).where("(p > 0.5) <> (y = 1)").count() == 0
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_shuffles_of_frames_are_cut_by_rows(spark, monkeypatch, keys):
+    rows = spark.range(400).selectExpr("id", "id * 700000 AS ts_us", "id % 3 AS k", "cast(id % 7 AS int) AS v")
+    make = [lambda: windows.frame_stats(rows, keys, 10 * S, ["v"], "v"), lambda: windows.sliding_sums(rows, keys, 10 * S, {"n": F.lit(1).cast("long")})]
+    want = [sorted(m().collect()) for m in make]
+    monkeypatch.setattr(windows, "DEALT", 20)
+    for m, w in zip(make, want):
+        d = m()
+        assert sorted(d.collect()) == w
+        assert set(re.findall(r"hashpartitioning\([^)]*, (\d+)\)", final_plan(d))) == {"20"}
