@@ -9,18 +9,30 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowdetect.sources.shared import stored
+
+
+FILLED = 20_000  # candidates that a block of the busiest key may hold
+
 
 def cooldown(candidates: DataFrame, keys: list[str], seconds: int, ts: str = "ts_us", row: str = "event_id", blocks: int = 64) -> DataFrame:
     """Keeps a candidate iff it is ``seconds`` after the last kept one of its
     key, in order of time, then ``row``.
 
-    A key's candidates are cut into blocks of ``blocks`` cooldowns. The last one
-    that a block keeps is a step function of the first time at which it may keep
-    any; these functions (a row for each step) are composed along a key, and
-    each block then keeps its own, so a busy key is spread over tasks."""
+    A key's candidates are cut into blocks of ``blocks`` cooldowns, or as many
+    times that as hold ``FILLED`` of them where they are busiest: a block is a
+    call, which costs more than a few rows. The last one that a block keeps is a
+    step function of the first time at which it may keep any; these functions (a
+    row for each step) are composed along a key, and each block then keeps its
+    own, so a busy key is spread over tasks. Candidates are written once to the
+    shared folder, as each step reads them."""
     span = max(seconds, 1) * 1_000_000
     block, gap = span * blocks, seconds * 1_000_000
-    d = candidates.withColumn("_b", F.expr(f"({ts} - pmod({ts}, {block}L)) DIV {block}L"))
+    of = lambda block: F.expr(f"({ts} - pmod({ts}, {block}L)) DIV {block}L")
+    candidates = stored(candidates, "candidates")
+    most = candidates.groupBy(*keys, of(block).alias("_b")).count().agg(F.max("count")).first()[0]
+    block *= max(1, FILLED // (most or FILLED))
+    d = candidates.withColumn("_b", of(block))
     kinds = ", ".join(f"`{k}` {candidates.schema[k].dataType.simpleString()}" for k in keys)
 
     def steps(t: pa.Table) -> pa.Table:
@@ -29,9 +41,11 @@ def cooldown(candidates: DataFrame, keys: list[str], seconds: int, ts: str = "ts
         at = np.sort(t[ts].to_numpy())
         start = t["_b"][0].as_py() * block
         first = np.arange(min(len(at), int(np.searchsorted(at, start + span)) + 1))
-        end, after = first, np.maximum(np.searchsorted(at, at + gap), np.arange(len(at)) + 1)
-        while (go := after[end] < len(at)).any():  # along the kept ones, for all first ones at once
-            end = np.where(go, after[np.minimum(end, len(at) - 1)].clip(max=len(at) - 1), end)
+        after = np.maximum(np.searchsorted(at, at + gap), np.arange(len(at)) + 1)
+        end = np.where(after < len(at), after, np.arange(len(at)))
+        while (end != (end := end[end])).any():  # along the kept ones, twice as far each time
+            pass
+        end = end[first]
         change = np.append(at[end][1:] != at[end][:-1], True)
         head = t.slice(0, 1).select([*keys, "_b"])
         columns = [pa.chunked_array([pa.array([c[0].as_py()] * int(change.sum()), c.type)]) for c in head.columns]
@@ -56,13 +70,14 @@ def cooldown(candidates: DataFrame, keys: list[str], seconds: int, ts: str = "ts
         own = own.take(pc.sort_indices(own, sort_keys=[(ts, "ascending"), (row, "ascending")]))
         at, since = own[ts].to_numpy(), begin["_from"][0].as_py() if len(begin) else None
         i, kept = 0 if since is None else int(np.searchsorted(at, since)), []
+        after = np.maximum(np.searchsorted(at, at + gap), np.arange(len(at)) + 1).tolist()
         while i < len(at):
             kept.append(i)
-            i = max(i + 1, int(np.searchsorted(at, at[i] + gap)))
+            i = after[i]
         return own.take(pa.array(kept, pa.int64())).drop_columns("_b")
 
     by = d.groupBy(*keys, "_b")
-    maps = by.applyInArrow(steps, f"{kinds}, _b long, until long, last long")
+    maps = d.select(*keys, "_b", ts).groupBy(*keys, "_b").applyInArrow(steps, f"{kinds}, _b long, until long, last long")
     begins = maps.groupBy(*keys).applyInArrow(along, f"{kinds}, _b long, _from long")
     return by.cogroup(begins.groupBy(*keys, "_b")).applyInArrow(keep, candidates.schema)
 

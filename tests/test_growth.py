@@ -8,10 +8,11 @@ from collections import Counter
 from math import log2
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from flowdetect.operators import correlate, custody, dataset, ml, text, windows
+from flowdetect.operators import correlate, custody, dataset, gates, ml, text, windows
 from flowdetect.streaming import stream
 
 S = 1_000_000
@@ -150,3 +151,30 @@ def test_shuffles_of_frames_are_cut_by_rows(spark, monkeypatch, keys):
         d = m()
         assert sorted(d.collect()) == w
         assert set(re.findall(r"hashpartitioning\([^)]*, (\d+)\)", final_plan(d))) == {"20"}
+
+
+def test_frames_take_one_shuffle_and_any_chunk(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(60) * 900_000, rng.choice([None, "a", "b"]), rng.choice([1, 2, None, 9])) for i in range(300)]
+    d = spark.createDataFrame(rows, "event_id long, ts_us long, k string, v int")
+    got = windows.frame_stats(d, ["k"], 6 * S, ["v"], "v")
+    got.collect()
+    assert len(re.findall(r"\bExchange hashpartitioning", final_plan(got).split("Initial Plan")[0])) == 1
+    t = pa.table({"_g": ["a"] * 200 + ["b"] * 100, "_b": [0] * 100 + [1] * 200, "_t": sorted(rng.randrange(200) for _ in range(100)) * 3, "_x": [1] * 300, "_own": [True] * 300, "_row": list(range(300)), "_v0": [rng.randrange(4) for _ in range(300)], "_v": [rng.randrange(9) for _ in range(300)]})
+    whole, *cut = (pa.Table.from_batches(windows._measured(iter(t.to_batches(max_chunksize=n)), 20, 1, True, n)).to_pylist() for n in (1000, 1, 7))
+    assert [r["_row"] for r in whole] == list(range(300)) and all(c == whole for c in cut)
+
+
+@pytest.mark.parametrize("filled,block", [(1, 1920), (20_000, 1920 * (20_000 // 3))])
+def test_blocks_of_cooldowns_hold_many_candidates(spark, monkeypatch, filled, block):
+    monkeypatch.setattr(gates, "FILLED", filled)
+    times = [i * 1000 + i % 7 * 150 for i in range(500)]
+    d = spark.createDataFrame([(i, t * S, "s") for i, t in enumerate(times)], "event_id long, ts_us long, src_ip string")
+    kept = gates.cooldown(d, ["src_ip"], 30)
+    want, last = [], None
+    for i, t in sorted(enumerate(times), key=lambda x: (x[1], x[0])):
+        if last is None or t - last >= 30:
+            want.append(i)
+            last = t
+    assert sorted(r.event_id for r in kept.collect()) == sorted(want)
+    assert f"{block * S}" in final_plan(kept)
