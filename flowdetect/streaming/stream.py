@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -173,7 +174,9 @@ class Trailing(Expiring):
 
 class Beacon(Trailing):
     """Adds the mean and the population deviation of the gaps between the held
-    rows, in seconds, and their ratio (none below two rows, infinite at mean 0)."""
+    rows, in seconds, and their ratio (none below two rows, infinite at mean 0).
+    Held are the last ``rows``; a batch's rows in order of time are measured all
+    at once, after late ones one by one."""
 
     columns = ("n", "distinct", "mean_interval", "std_interval", "cv")
 
@@ -184,6 +187,105 @@ class Beacon(Trailing):
         mean, std = float(gaps.mean()), float(gaps.std())
         return len(held), len(count), mean, std, std / mean if mean else float("inf")
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        d = pd.concat(rows)
+        held = np.array(sorted(tuple(h) for h in self.held.get()) if self.held.exists() else [], np.int64).reshape(-1, 2)
+        new = d[["ts_us", self.value]].to_numpy(np.int64)
+        order = np.lexsort((d["event_id"].to_numpy(), new[:, 0]))
+        new, k = new[order], len(held)
+        if self.seconds is not None or (k and tuple(new[0]) < tuple(held[-1])):  # late
+            yield from super().handleInputRows(key, iter([d]), timer)
+            return
+        both = np.concatenate([held, new])
+        end = np.arange(k + 1, len(both) + 1)
+        begin = np.maximum(end - self.rows, 0)
+        out = {"n": end - begin, "distinct": _distinct(both[:, 1], begin, end), **_gaps(both[:, 0], begin, end)}
+        self.held.put([tuple(h) for h in both[-self.rows :].tolist()])
+        yield pd.DataFrame({"event_id": d["event_id"].to_numpy()[order], **out})
+
+
+CALLS = 256  # buckets of channels
+
+
+class Channels(StatefulProcessor):
+    """The values of :class:`Beacon` for the channels (``channel``) of a bucket. A call
+    costs more than a few rows and most channels have few in a batch, so all of a
+    bucket's are measured at once; its state is a table of each one's last rows."""
+
+    def __init__(self, rows: int):
+        self.rows = rows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "rows binary")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        d = pd.concat(rows)[["channel", "ts_us", "event_id"]].assign(new=True)
+        if self.held.exists():
+            d = pd.concat([pa.ipc.open_stream(self.held.get()[0]).read_pandas().assign(new=False), d])
+        code = pd.factorize(d["channel"])[0]
+        order = np.lexsort((d["event_id"].to_numpy(), d["ts_us"].to_numpy(), code))
+        d, code = d.iloc[order].reset_index(drop=True), code[order]
+        t, e, new = d["ts_us"].to_numpy(np.int64), d["event_id"].to_numpy(np.int64), d["new"].to_numpy(bool)
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        begin = np.maximum(np.repeat(first, np.diff(np.append(first, len(d)))), np.arange(len(d)) + 1 - self.rows)
+        late = np.unique(code[1:][new[:-1] & ~new[1:] & (code[1:] == code[:-1])])
+        at = np.flatnonzero(new & ~np.isin(code, late))
+        if len(at):
+            yield pd.DataFrame({"event_id": e[at], "n": at + 1 - begin[at], "distinct": _distinct(e, begin[at], at + 1), **_gaps(t, begin[at], at + 1)})
+        for c in late:  # held rows that come after new ones
+            here = code == c
+            yield self.one_by_one(list(zip(t[here & ~new].tolist(), e[here & ~new].tolist())), list(zip(t[here & new].tolist(), e[here & new].tolist())))
+        last = np.append(first[1:], len(d))[np.searchsorted(first, np.arange(len(d)), "right") - 1] - np.arange(len(d)) <= self.rows
+        table = pa.Table.from_pandas(d.loc[last, ["channel", "ts_us", "event_id"]], preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as w:
+            w.write_table(table)
+        self.held.update((sink.getvalue().to_pybytes(),))
+
+    def one_by_one(self, held: list, news: list) -> pd.DataFrame:
+        out = []
+        for t, e in news:
+            heapq.heappush(held, (t, e))  # sorted, hence a heap
+            if len(held) > self.rows:
+                heapq.heappop(held)
+            frame = sorted(held)
+            v = _gaps(np.array([h[0] for h in frame]), np.array([0]), np.array([len(frame)]))
+            out.append((e, len(frame), len({h[1] for h in frame}), *(x[0] for x in v.values())))
+        return pd.DataFrame(out, columns=["event_id", *Beacon.columns])
+
+
+def _distinct(v: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many values v[begin:end] has, of frames that end at each of the last
+    rows: those of its rows whose next equal one is not in it."""
+    order = np.argsort(v, kind="stable")
+    same = v[order][1:] == v[order][:-1]
+    if not same.any():
+        return end - begin
+    after = np.full(len(v), len(v))
+    after[order[:-1][same]] = order[1:][same]
+    n = np.zeros(len(end), np.int64)
+    for back in range(1, int((end - begin).max()) + 1):
+        at = end - back
+        n += (at >= begin) & (after[np.maximum(at, 0)] >= end)
+    return n
+
+
+def _gaps(t: np.ndarray, begin: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
+    """Mean, deviation and their ratio of the gaps within t[begin:end], by number
+    of gaps: frames of equal length are the rows of one matrix."""
+    gaps, k = np.diff(t) / 1e6, end - begin - 1
+    mean, std, cv = np.zeros(len(k)), np.zeros(len(k)), np.full(len(k), np.nan)
+    for n in np.unique(k[k > 0]).tolist():
+        here = k == n
+        g = np.lib.stride_tricks.sliding_window_view(gaps, n)[begin[here]]
+        m, s = g.mean(axis=1), g.std(axis=1)
+        mean[here], std[here] = m, s
+        cv[here] = np.divide(s, m, out=np.full(len(m), np.inf), where=m != 0)
+    return {"mean_interval": mean, "std_interval": std, "cv": pd.Series(cv).astype(object).where(k > 0, None)}
+
 
 _TIME = "_event_time"
 
@@ -214,7 +316,8 @@ def beacon_state(flows: DataFrame, rows: int = 20) -> DataFrame:
     """event_id, n, distinct, mean_interval, std_interval and cv of the last rows
     of source, destination and port."""
     schema = "event_id long, n long, distinct long, mean_interval double, std_interval double, cv double"
-    return _keyed(flows, ["src_ip", "dst_ip", "dst_port"], Beacon(None, rows, "event_id"), schema)
+    d = flows.select(F.to_json(F.struct("src_ip", "dst_ip", "dst_port")).alias("channel"), "ts_us", "event_id").withColumn("bucket", F.expr(f"pmod(xxhash64(channel), {CALLS})"))
+    return _keyed(d, ["bucket"], Channels(rows), schema)
 
 
 class Baseline(StatefulProcessor):

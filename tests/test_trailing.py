@@ -77,3 +77,37 @@ def test_last_rows_with_intervals(seed):
 def test_a_late_row_finds_its_place():
     got = batches(stream.Trailing(60, None, "dst_port"), [[(100_000_000, 0, 1)], [(50_000_000, 1, 2), (120_000_000, 2, 3)]], "dst_port")
     assert [(got[i].n, got[i].distinct) for i in range(3)] == [(1, 1), (2, 2), (2, 2)]
+
+
+class Bytes(Cell):
+    def get(self):
+        return self.rows
+
+    def update(self, value):
+        self.rows = value
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+
+def test_channels_of_a_bucket_equal_each_alone():
+    r = random.Random(4)
+    rows = [(r.randrange(300) * 1_000_000, i, r.choice(["a", "b", "c", "once"] if i % 9 else ["late"])) for i in range(400)]
+    rows.sort()
+    cut = [rows[:150], rows[150:151], [x for x in rows[151:] if x[0] % 2_000_000], [x for x in rows[151:] if not x[0] % 2_000_000]]  # the last one late
+    both, calls = stream.Channels(20), []
+    both.init(Bytes())
+    for part in cut:
+        d = pd.DataFrame([(c, t, e) for t, e, c in part], columns=["channel", "ts_us", "event_id"])
+        calls += list(both.handleInputRows((0,), iter([d[:40], d[40:]] if len(d) > 40 else [d]), None))
+    got = {x.event_id: x for d in calls for x in d.itertuples(index=False)}
+    assert len(got) == len(rows) and len(calls) <= 4 + 5
+    for c in ("a", "b", "c", "once", "late"):
+        alone = stream.Beacon(None, 20, "event_id")
+        alone.init(Cell())
+        for part in cut:
+            d = pd.DataFrame([(t, e) for t, e, k in part if k == c], columns=["ts_us", "event_id"])
+            for x in (y for out in (stream.Trailing.handleInputRows(alone, ("k",), iter([d]), None) if len(d) else []) for y in out.itertuples(index=False)):
+                g = got[x.event_id]
+                assert (g.n, g.distinct) == (x.n, x.distinct) and math.isclose(g.mean_interval, x.mean_interval) and math.isclose(g.std_interval, x.std_interval, abs_tol=1e-9)
+                assert (g.cv is None) == (x.cv is None) and (x.cv is None or math.isclose(g.cv, x.cv))
