@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowdetect.functions import expr as x
 from flowdetect.operators import features, ranks, text
+from flowdetect.sources.shared import stored
 
 S = 1_000_000
 
@@ -246,16 +247,21 @@ def domain_rows(df: DataFrame, query: str) -> DataFrame:
     return df.selectExpr("*", f"round({x.char_entropy(query)}, 4) AS entropy", f"round({x.consonant_ratio(query)}, 4) AS consonant_ratio", f"round({x.numeric_ratio(query)}, 4) AS numeric_ratio", f"length({query}) AS n", f"bround(length({query}) / 5D) * 5 AS length_bucket")
 
 
+LABELS = 2_000
 LEXICAL = ["entropy", "n", "label_n", "numeric_ratio", "consonant_ratio", "ngram_score", "word_boundary_score", "known_tld"]
 
 
 def lexical_rows(df: DataFrame, query: str, corpus: DataFrame) -> DataFrame:
     """Adds the eight lexical features; the language model and the word list
-    are those of ``corpus`` (text). Ratios and the score are of the first label."""
+    are those of ``corpus`` (text), which is passed over once. Ratios and the
+    score are of the first label; labels, each of which makes hundreds of
+    candidate words, are dealt by ``LABELS`` to a task."""
     d = df.withColumn("_first", F.split(F.col(query), r"\.")[0])
-    labels = d.selectExpr("_first", "_first AS _w").where("_first IS NOT NULL").distinct()
-    scores = text.ngram_score(labels, "_first", "_w", text.trigram_model(corpus, "text"))
-    words = text.word_boundary_score(labels, "_first", "_w", text.words(corpus, "text"))
+    labels = stored(d.selectExpr("_first", "_first AS _w").where("_first IS NOT NULL").distinct(), "labels")
+    labels = labels.repartition(max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-labels.count() // LABELS)), "_first")
+    runs = stored(text.letter_runs(corpus, "text"), "runs")
+    scores = text.ngram_score(labels, "_first", "_w", text.trigram_model_of(runs))
+    words = text.word_boundary_score(labels, "_first", "_w", runs.where("length(run) <= 10").selectExpr("run AS word"), 10)
     d = d.join(scores.join(words.withColumnRenamed("wbs", "word_boundary_score"), "_first"), "_first", "left")
     own = [f"{x.char_entropy(query)} AS entropy", f"length({query}) AS n", "length(_first) AS label_n", f"{x.numeric_ratio('_first')} AS numeric_ratio", f"{x.consonant_ratio('_first')} AS consonant_ratio", f"cast({x.tld_known(f'lower({query})')} AS int) AS known_tld"]
     return d.selectExpr("*", *own).drop("_first")

@@ -159,6 +159,13 @@ def _dealt(rows: DataFrame, features: list[str], weight: str | None) -> DataFram
     return d.repartition(max(1, -(-rows.count() // TRAINED), rows.sparkSession.sparkContext.defaultParallelism))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` of a stored table in ``TRAINED`` to a partition at most, one for
+    each core at least: a table of few files would be scored in as few tasks."""
+    parts = max(-(-rows.count() // TRAINED), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows if rows.rdd.getNumPartitions() >= parts else rows.repartition(parts)
+
+
 def train_rf(rows: DataFrame, features: list[str], trees: int = 200, depth: int = 6, weight: str | None = None):
     c = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42)
     return _pipeline(features, c.setWeightCol(weight) if weight else c).fit(_dealt(rows, features, weight))

@@ -13,10 +13,18 @@ def trigrams(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(F.regexp_extract_all(F.lower(text), F.lit("(?=([a-z]{3}))"), 1)).alias("gram"))
 
 
+def letter_runs(df: DataFrame, text: str) -> DataFrame:
+    """run, c: the distinct runs of three or more letters and how often each stands."""
+    return df.select(F.explode(F.split(F.lower(text), "[^a-z]+")).alias("run")).where("length(run) >= 3").groupBy("run").agg(F.count("*").alias("c"))
+
+
 def trigram_model(df: DataFrame, text: str) -> DataFrame:
     """gram, log2 of its share, four digits. No 3-gram crosses a run of letters,
     so equal runs are counted first and taken apart once."""
-    runs = df.select(F.explode(F.split(F.lower(text), "[^a-z]+")).alias("run")).where("length(run) >= 3").groupBy("run").agg(F.count("*").alias("c"))
+    return trigram_model_of(letter_runs(df, text))
+
+
+def trigram_model_of(runs: DataFrame) -> DataFrame:
     n = trigrams(runs, "run", "c").groupBy("gram").agg(F.sum("c").alias("n"))
     return n.crossJoin(n.agg(F.sum("n").alias("total"))).select("gram", F.expr("round(log2(n / total), 4)").alias("logp"))
 

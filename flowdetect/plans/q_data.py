@@ -104,13 +104,13 @@ def flood_labelled(s, d):
 
 def dt1(s, d):
     rows = flood_labelled(s, d)
-    return detect.flood_ml(ml.score(forest(rows, FEAT), rows)).drop("evidence_json")
+    return detect.flood_ml(ml.score(forest(rows, FEAT), ml.spread(rows))).drop("evidence_json")
 
 
 def dt5(s, d):
     rows = stored(features.scan_features(FL(s, d)).withColumn("y", F.expr("cast(src_ip = '10.0.9.1' AS int)")), "scan")
     f = ["unique_ports", "unique_hosts", "connection_count", "port_entropy", "port_range_span", "mean_iat", "std_iat"]
-    return detect.scan_ml(ml.score(forest(rows, f), rows)).drop("evidence_json")
+    return detect.scan_ml(ml.score(forest(rows, f), ml.spread(rows))).drop("evidence_json")
 
 
 def dt7(s, d):
@@ -121,7 +121,7 @@ def dt7(s, d):
 def dt9(s, d):
     dns = view(s, d, "dns")
     rows = stored(dataset.lexical_rows(detect.dns_gate(dns), "query", view(s, d, "documents")).withColumn("y", F.expr("cast(query LIKE '%.ru' AS int)")), "lexical")
-    scored = ml.score(forest(rows, dataset.LEXICAL, depth=30), rows)
+    scored = ml.score(forest(rows, dataset.LEXICAL, depth=30), ml.spread(rows))
     return detect.dga_ml(scored, detect.dns_tunnel_rows(dns)).withColumn("detection_path", F.get_json_object("evidence_json", "$.detection_path")).drop("evidence_json")
 
 

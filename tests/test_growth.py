@@ -178,3 +178,15 @@ def test_blocks_of_cooldowns_hold_many_candidates(spark, monkeypatch, filled, bl
             last = t
     assert sorted(r.event_id for r in kept.collect()) == sorted(want)
     assert f"{block * S}" in final_plan(kept)
+
+
+def test_labels_are_dealt_and_the_corpus_read_once(spark, monkeypatch):
+    monkeypatch.setattr(dataset, "LABELS", 5)
+    calls, own = [], text.letter_runs
+    monkeypatch.setattr(text, "letter_runs", lambda *a: calls.append(1) or own(*a))
+    d = spark.createDataFrame([(f"u{i}", f"thecat{i}.net") for i in range(60)], "uid string, query string")
+    corpus = spark.createDataFrame([("The cat, the CAT",)], "text string")
+    got = dataset.lexical_rows(d, "query", corpus)
+    assert {r.word_boundary_score for r in got.collect()} == {round(6 / 7, 4), round(6 / 8, 4)} and len(calls) == 1
+    assert re.search(r"hashpartitioning\(_first[^)]*, 12\)", final_plan(got))
+    assert ml.spread(d.coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
