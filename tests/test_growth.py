@@ -190,3 +190,15 @@ def test_labels_are_dealt_and_the_corpus_read_once(spark, monkeypatch):
     assert {r.word_boundary_score for r in got.collect()} == {round(6 / 7, 4), round(6 / 8, 4)} and len(calls) == 1
     assert re.search(r"hashpartitioning\(_first[^)]*, 12\)", final_plan(got))
     assert ml.spread(d.coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_rounds_over_few_rows_take_one_task(spark, monkeypatch):
+    rows = spark.range(300).selectExpr("cast(id % 2 AS int) AS y", "cast(id AS double) AS a", "1D AS w", "id % 5 AS fold").repartition(6)
+    assert ml._dealt(rows, ["a"], "w", ml.ROUNDS).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(ml, "ROUNDS", 100)
+    assert ml._dealt(rows, ["a"], "w", ml.ROUNDS).rdd.getNumPartitions() == 3
+    pools, own = [], ml.ThreadPool
+    monkeypatch.setattr(ml, "ThreadPool", lambda n: pools.append(n) or own(n))
+    given = lambda fit, f: lambda held: held.withColumn("p", held.y + 0.0)
+    got = ml.compare(rows, ["a"], "fold", 5, {"rf": given, "gbt": given}, light=("gbt",)).collect()
+    assert pools == [4, 5] and {(r.model, r.tp, r.tn) for r in got} == {("rf", 150, 150), ("gbt", 150, 150)}
