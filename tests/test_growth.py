@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowdetect.operators import correlate, custody, dataset, gates, ml, text, windows
+from flowdetect.plans import q_io
 from flowdetect.streaming import stream
 
 S = 1_000_000
@@ -202,3 +203,11 @@ def test_rounds_over_few_rows_take_one_task(spark, monkeypatch):
     given = lambda fit, f: lambda held: held.withColumn("p", held.y + 0.0)
     got = ml.compare(rows, ["a"], "fold", 5, {"rf": given, "gbt": given}, light=("gbt",)).collect()
     assert pools == [4, 5] and {(r.model, r.tp, r.tn) for r in got} == {("rf", 150, 150), ("gbt", 150, 150)}
+
+
+def test_a_batch_of_a_stream_comes_in_several_files(spark, monkeypatch):
+    monkeypatch.setattr(q_io, "ROWS_A_FILE", 20)
+    rows = spark.range(300).selectExpr("id AS event_id", "id * 1000000 AS ts_us")
+    out = q_io.landed(spark, q_io.arriving(spark, rows).withColumn("at", F.input_file_name()))
+    files = [(r.lo, r.hi) for r in out.groupBy("at").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).collect()]
+    assert len(files) == 15 and {lo // 100 == hi // 100 for lo, hi in files} == {True} and out.count() == 300
