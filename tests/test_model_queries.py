@@ -92,3 +92,13 @@ def test_a_cell_is_drawn_as_often_as_its_rows(spark):
     off = [(r[f"_c{i}"] - r["_n"]) / max(r["_n"], 1) ** 0.5 for r in first for i in range(50)]
     assert abs(sum(off) / len(off)) < 0.03 and abs(sum(o * o for o in off) / len(off) - 39 / 40) < 0.05  # mean and variance n
     assert all(r[f"_c{i}"] == 0 for r in first if r["_n"] == 0 for i in range(50))
+
+
+def test_scans_train_on_cells_too(spark, monkeypatch):
+    monkeypatch.setattr(ml, "MANY", 500)
+    monkeypatch.setattr(ml, "COPIES", 1)
+    monkeypatch.setattr(q_data, "forest", lambda rows, f: made.append(ml.train_forest(ml.class_weight(rows), f, 4, 3, "w")) or made[-1])
+    made = []
+    rows = q_data.Q["dt5_scan_ml"](spark, SF)
+    assert isinstance(made[0], ml.Cells) and len(made[0].trees) == 4
+    assert rows.count() > 0 and rows.where("confidence <= 0.5 OR confidence IS NULL").count() == 0
