@@ -446,9 +446,10 @@ def alert_feed(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def exact(source: DataFrame, operator: Callable[[DataFrame], DataFrame], seconds: int, sink: str, carry: str, checkpoint: str):
     """Runs a batch operator with a trailing frame over every micro-batch and
-    the ``seconds`` before it; results of new rows only. Results and carried rows
-    stand under the batch's id, so a repeated batch overwrites itself; each
-    batch carries on what may still be in a frame, and older folders go."""
+    the ``seconds`` before it; results of new rows only, told by a mark, as the
+    operator keeps the columns of its rows. Results and carried rows stand under
+    the batch's id, so a repeated batch overwrites itself; each batch carries on
+    what may still be in a frame, and older folders go."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -458,7 +459,7 @@ def exact(source: DataFrame, operator: Callable[[DataFrame], DataFrame], seconds
         since = first - seconds * 1_000_000
         held = spark.read.schema(batch.schema).parquet(f"{carry}/batch={batch_id - 1}") if batch_id else batch.limit(0)
         old = held.where(F.col("ts_us") >= since).join(batch.select("event_id"), "event_id", "left_anti")
-        out = operator(old.unionByName(batch)).join(batch.select("event_id"), "event_id", "left_semi")
+        out = operator(old.withColumn("_new", F.lit(False)).unionByName(batch.withColumn("_new", F.lit(True)))).where("_new").drop("_new")
         out.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
         batch.unionByName(old).write.mode("overwrite").parquet(f"{carry}/batch={batch_id}")
         _forget(spark, carry, batch_id - 1)

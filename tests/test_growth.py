@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from flowdetect.operators import correlate, custody, dataset, gates, ml, text, windows
+from flowdetect.operators import correlate, custody, dataset, features, gates, ml, text, windows
 from flowdetect.plans import q_io
 from flowdetect.streaming import stream
 
@@ -211,3 +211,20 @@ def test_a_batch_of_a_stream_comes_in_several_files(spark, monkeypatch):
     out = q_io.landed(spark, q_io.arriving(spark, rows).withColumn("at", F.input_file_name()))
     files = [(r.lo, r.hi) for r in out.groupBy("at").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).collect()]
     assert len(files) == 15 and {lo // 100 == hi // 100 for lo, hi in files} == {True} and out.count() == 300
+
+
+def test_new_rows_of_an_exact_batch_are_told_by_a_mark(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    for ids in ([0, 1, 2], [2, 3]):  # 2 comes again
+        spark.createDataFrame([(i, i * 10 * S, "a", "b", i) for i in ids], "event_id long, ts_us long, src_ip string, dst_ip string, dst_port int").coalesce(1).write.mode("append").parquet(str(src))
+    met = []
+
+    def operator(rows):
+        met.append(rows.columns)
+        return features.scan_features(rows)
+
+    rows = spark.read.parquet(str(src))
+    stream.exact(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(src)), operator, 60, out, str(tmp_path / "carry"), str(tmp_path / "cp")).awaitTermination(100)
+    got = spark.read.parquet(out)
+    assert sorted((r.batch, r.event_id, r.connection_count) for r in got.collect()) == [(0, 0, 1), (0, 1, 2), (0, 2, 3), (1, 2, 3), (1, 3, 4)]
+    assert all("_new" in columns for columns in met) and "_new" not in got.columns
