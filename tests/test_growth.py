@@ -228,3 +228,11 @@ def test_new_rows_of_an_exact_batch_are_told_by_a_mark(spark, tmp_path):
     got = spark.read.parquet(out)
     assert sorted((r.batch, r.event_id, r.connection_count) for r in got.collect()) == [(0, 0, 1), (0, 1, 2), (0, 2, 3), (1, 2, 3), (1, 3, 4)]
     assert all("_new" in columns for columns in met) and "_new" not in got.columns
+
+
+def test_turns_of_all_alerts_are_numbered_in_ranges(spark):
+    d = q_io.Q["sm11_combine"](spark, "/root/testdata/sf0.001")
+    got = sorted(d.collect(), key=lambda r: r.turn)
+    assert [r.turn for r in got] == list(range(1, len(got) + 1)) and got
+    assert [tuple(r)[:3] for r in got] == sorted(tuple(r)[:3] for r in got)
+    assert "row_number() windowspecdefinition(event_ts" not in final_plan(d) and d.schema["turn"].dataType.simpleString() == "int"
