@@ -23,6 +23,8 @@ README gives the figures that rule it out here. Names are 64-bit fingerprints;
 two texts, runs or suffixes count as equal when two of them (96 bits or more)
 agree. Runs that occur more than once within a block of a task are settled
 there, so a passage in a third of all documents stays a few rows per block.
+Partitions of runs and suffixes are sorted by Spark and read along, so a task
+holds the same however many rows its partition has.
 
 Edge cases: null and empty texts, and texts under ``length`` bytes, lose
 nothing. Repeated rows are copies: a text of ``length`` bytes or more that
@@ -145,40 +147,67 @@ def _sampled(batches: Iterator[pa.RecordBatch], length: int):
         yield settled()
 
 
-def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
-    got = [b for b in batches if b.num_rows]
-    return [np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(got[0].num_columns)] if got else None
+HELD = 100_000  # sorted rows looked at together
+
+
+def _sorted_rows(batches: Iterator[pa.RecordBatch], look, direct):
+    """Rows of one sorted partition, ``HELD`` at a time. Those that need no look
+    (``direct``) go at once; ``look(rows, kept, last)`` gives what is settled of the
+    others and the rows to hold for the next ones, as the latest group may go on.
+    As many fresh rows as are held are taken at least."""
+    held, fresh, kept = [], 0, None
+    for batch in batches:
+        rows = tuple(c.to_numpy() for c in batch.columns)
+        now = direct(rows[-1])
+        if now.any():
+            yield tuple(x[now] for x in rows)
+        held.append(tuple(x[~now] for x in rows))
+        fresh += len(held[-1][0])
+        if fresh >= max(HELD, len(kept[0]) if kept else 0):
+            out, kept = look(tuple(np.concatenate(x) for x in zip(*([kept] if kept else []), *held)), bool(kept), False)
+            yield out
+            held, fresh = [], 0
+    if fresh or kept:
+        yield look(tuple(np.concatenate(x) for x in zip(*([kept] if kept else []), *held)), bool(kept), True)[0]
 
 
 DECIDED, SHOWN, ASKED = 1, 2, 3
 
 
 def _named(batches: Iterator[pa.RecordBatch]):
-    """Of one partition of runs: what becomes of each one's suffixes."""
-    cols = _columns(batches)
-    if cols is None:
-        return
-    g, t, k1, k2, meta = cols
-    direct = (meta & 3) == 0
-    out = [(k1[direct], k2[direct], (meta[direct] >> 2) * 4 + DECIDED)]
-    g, t, k1, k2, meta = (x[~direct] for x in cols)
-    if len(g):
-        order = np.lexsort((k1, t, g))
-        g, t, k1, k2, meta = (x[order] for x in (g, t, k1, k2, meta))
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (t[1:] != t[:-1])])
-        head = np.flatnonzero(new)
+    """Of one partition of runs, sorted by key and name: what becomes of each
+    one's suffixes. Of a key that goes on, one row a name is held at most; once a
+    run that occurs once has stood under it beside another, its latest name only."""
+    mixed = False  # the key held has such a run
+
+    def look(rows, kept, last):
+        nonlocal mixed
+        g, t, k1, k2, meta = rows
+        head = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (t[1:] != t[:-1])]))
         size = np.diff(np.append(head, len(g)))
         twice = np.add.reduceat(meta & 3, head) > 1
-        group = np.concatenate([[True], g[head][1:] != g[head][:-1]])
-        which = np.cumsum(group) - 1
-        kinds = np.bincount(which)[which]
-        lone = np.bincount(which, weights=~twice)[which] > 0
-        flag = np.repeat(np.where(twice, DECIDED, np.where(kinds > 1, ASKED, 0)), size)
-        flag[head[twice & lone & (kinds > 1)]] = SHOWN
-        some = flag > 0
-        out.append((k1[some], k2[some], (meta[some] >> 2) * 4 + flag[some]))
-    k1, k2, meta = (np.concatenate(x) for x in zip(*out))
-    yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(meta.astype(np.int32))], ["k1", "k2", "meta"])
+        which = np.cumsum(np.concatenate([[True], g[head][1:] != g[head][:-1]])) - 1
+        some = (np.bincount(which, weights=~twice)[which] > 0) & (np.bincount(which)[which] > 1)
+        if kept and mixed:
+            some |= which == 0
+        open_ = np.zeros(len(head), bool)  # names that wait
+        if not last:
+            own = which == which[-1]
+            mixed = bool((kept and mixed and which[-1] == 0) or (~twice[own][:-1]).any())  # the latest name may recur
+            some[own] = mixed
+            open_ = np.zeros(len(head), bool) if mixed else own
+            open_[-1] = True
+        flag = np.repeat(np.where(twice, DECIDED, np.where(some, ASKED, 0)), size)
+        flag[head[twice & some]] = SHOWN
+        flag[head[open_]] = 0
+        wait = head[open_]
+        keep = (g[wait], t[wait], k1[wait], k2[wait], (meta[wait] & ~3) | np.where(twice[open_], 2, meta[wait] & 3).astype(meta.dtype))
+        told = flag > 0
+        return (k1[told], k2[told], (meta[told] >> 2) * 4 + flag[told]), None if last else keep
+
+    for out in _sorted_rows(batches, look, lambda meta: (meta & 3) == 0):
+        k1, k2, meta = out if len(out) == 3 else (out[2], out[3], (out[4] >> 2) * 4 + DECIDED)
+        yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(meta.astype(np.int32))], ["k1", "k2", "meta"])
 
 
 def _spread(l: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -232,57 +261,69 @@ def _applied(batches: Iterator[pa.RecordBatch], length: int):
             )
 
 
+SUFFIXES = 400_000  # suffixes of a task that are settled together
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch], length: int):
-    """(w, v: names of 200 bytes, k1, k2, meta = position * 4 + occurrences
-    * 2 + asked); what recurs in the batch is answered directly (w = k1)."""
+    """(w, v: names of 200 bytes, k1, k2, meta = position * 8 + occurrences
+    * 2 + asked); what recurs among those that the task holds at that time is
+    answered directly (w = k1)."""
+    part, n = [], 0
+
+    def settled():
+        w, v, k1, k2, at, ask = (np.concatenate(x) for x in zip(*part))
+        first, count = _settle(w, v)
+        # the first stands for all; if it recurs here, it and the others are answered now
+        more = (count > 1) & (ask > 0)
+        rows = [(as_long(w[first]), v[first], k1[first], k2[first], at[first] * 8 + count[first] * 2 + (ask[first] * (count[first] < 2)))]
+        rows.append((k1[more], v[more], k1[more], k2[more], at[more] * 8))
+        w, v, k1, k2, meta = (np.concatenate(x) for x in zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (w.astype(np.int64), v.astype(np.int32), k1, k2.astype(np.int32), meta.astype(np.int64))], ["w", "v", "k1", "k2", "meta"])
+
     back = zstandard.ZstdDecompressor()
     for batch in batches:
-        part = []
         for i in range(batch.num_rows):
             raw = np.frombuffer(back.decompress(batch.column(2)[i].as_py(), max_output_size=1 << 31), np.uint8)
             l, r, ask = np.frombuffer(batch.column(3)[i].as_py(), np.int32).reshape(3, -1).astype(np.int64)
+            own = [batch.column(c)[i].as_py() for c in (0, 1)]
             for lo in range(0, len(raw), SEGMENT):
                 here = (l >= lo) & (l < lo + SEGMENT)
                 if not here.any():
                     continue
                 seg = raw[lo : lo + SEGMENT + 3 * length]  # a run starts in the segment and is at most half of ``length`` long
-                at = _spread(l[here] - lo, r[here] - lo)
+                places, asked = _spread(l[here] - lo, r[here] - lo), np.repeat(ask[here], (r - l + 1)[here])
                 sums = np.zeros(len(seg) + 1, U64)
                 np.cumsum(_BYTE[seg] * powers(len(seg) + 1)[: len(seg)], out=sums[1:])
-                name = (sums[at + length] - sums[at]) * powers(len(seg) + 1, -1)[at]
-                half = mix((sums[at + length // 2] - sums[at]) * powers(len(seg) + 1, -1)[at])
-                k1, k2 = (np.full(len(at), batch.column(c)[i].as_py()) for c in (0, 1))
-                part.append((mix(name), half & U64(0x7FFFFFFF), k1, k2, at + lo, np.repeat(ask[here], (r - l + 1)[here])))
-        if not part:
-            continue
-        w, v, k1, k2, at, ask = (np.concatenate(x) for x in zip(*part))
-        first, count = _settle(w, v)
-        # the first stands for all; if it recurs here, it and the others are answered now
-        more = (count > 1) & (ask > 0)
-        rows = [(as_long(w[first]), v[first], k1[first], k2[first], at[first] * 8 + count[first] * 2 + (ask[first] * (count[first] < 2)))]
-        rows.append((k1[more], v[more], k1[more], k2[more], at[more] * 8))
-        w, v, k1, k2, meta = (np.concatenate(x) for x in zip(*rows))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w.astype(np.int64), v.astype(np.int32), k1, k2.astype(np.int32), meta.astype(np.int64))], ["w", "v", "k1", "k2", "meta"])
+                inverse = powers(len(seg) + 1, -1)
+                for j in range(0, len(places), SUFFIXES):
+                    at = places[j : j + SUFFIXES]
+                    name = (sums[at + length] - sums[at]) * inverse[at]
+                    half = mix((sums[at + length // 2] - sums[at]) * inverse[at])
+                    part.append((mix(name), half & U64(0x7FFFFFFF), *(np.full(len(at), k) for k in own), at + lo, asked[j : j + SUFFIXES]))
+                    n += len(at)
+                    if n >= SUFFIXES:
+                        yield settled()
+                        part, n = [], 0
+    if n:
+        yield settled()
 
 
 def _merged(batches: Iterator[pa.RecordBatch]):
-    """Of one partition of sorted suffixes: asked ones equal to a neighbour."""
-    cols = _columns(batches)
-    if cols is None:
-        return
-    w, v, k1, k2, meta = cols
-    direct = (meta & 7) == 0
-    out = [(k1[direct], k2[direct], meta[direct] >> 3)]
-    w, v, k1, k2, meta = (x[~direct] for x in cols)
-    if len(w):
-        order = np.lexsort((v, w))
-        w, v, k1, k2, meta = (x[order] for x in (w, v, k1, k2, meta))
+    """Of one partition of sorted suffixes: asked ones equal to a neighbour. Of
+    equal ones that go on, one is held."""
+
+    def look(rows, _, last):
+        w, v, k1, k2, meta = rows
         head = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])]))
         n = np.add.reduceat((meta >> 1) & 3, head)
         hit = np.repeat(n > 1, np.diff(np.append(head, len(w)))) & ((meta & 1) > 0)
-        out.append((k1[hit], k2[hit], meta[hit] >> 3))
-    k1, k2, at = (np.concatenate(x) for x in zip(*out))
-    yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(at.astype(np.int32))], ["k1", "k2", "at"])
+        i = head[-1:]  # answered if it recurs; else it may still
+        keep = (w[i], v[i], k1[i], k2[i], (meta[i] & ~7) | 4 if n[-1] > 1 else meta[i])
+        return (k1[hit], k2[hit], meta[hit] >> 3), None if last else keep
+
+    for out in _sorted_rows(batches, look, lambda meta: (meta & 7) == 0):
+        k1, k2, at = out if len(out) == 3 else (out[2], out[3], out[4] >> 3)
+        yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(at.astype(np.int32))], ["k1", "k2", "at"])
 
 
 def _finished(batches: Iterator[pa.RecordBatch], length: int):
@@ -307,6 +348,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, text_col: str = "text") -
     told = (
         keyed.mapInArrow(partial(_sampled, length=length), "g long, t long, k1 long, k2 int, meta int")
         .repartition("g")
+        .sortWithinPartitions("g", "t", "k1")
         .mapInArrow(_named, "k1 long, k2 int, meta int")
         .groupBy("k1", "k2")
         .agg(F.collect_set("meta").alias("told"))
@@ -321,6 +363,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, text_col: str = "text") -
         .select("k1", "k2", "z", "show")
         .mapInArrow(partial(_suffixes, length=length), "w long, v int, k1 long, k2 int, meta long")
         .repartition("w")
+        .sortWithinPartitions("w", "v")
         .mapInArrow(_merged, "k1 long, k2 int, at int")
         .groupBy("k1", "k2")
         .agg(F.collect_set("at").alias("at"))
